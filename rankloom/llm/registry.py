@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from rankloom.llm import sharding
+from rankloom.llm import mixing, sharding
 
 
 def queries() -> dict:
     return {
+        "op4_source_mixing": mixing.op4,
         "op9_virtual_slot_sharding": sharding.op9,
     }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {
+        "op4_source_mixing": mixing.SQL,
+    }
