@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from rankloom.llm import mixing, sharding
+from rankloom.llm import mixing, sharding, simhash
 
 
 def queries() -> dict:
     return {
+        "op1_simhash_near_dedup": simhash.op1,
         "op4_source_mixing": mixing.op4,
         "op9_virtual_slot_sharding": sharding.op9,
     }
@@ -14,5 +15,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     return {
+        "op1_simhash_near_dedup": simhash.op1,
         "op4_source_mixing": mixing.SQL,
     }
