@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rankloom.llm import mixing, quality, sharding, simhash
+from rankloom.llm import decontamination, mixing, quality, sharding, simhash
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op4_source_mixing": mixing.op4,
         "op8_quality_forest": quality.op8,
         "op9_virtual_slot_sharding": sharding.op9,
+        "op10_template_decontamination": decontamination.op10,
     }
 
 
