@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from rankloom.llm import decontamination, mixing, quality, sharding, simhash
+from rankloom.llm import decontamination, huffman, mixing, quality, sharding, simhash
 
 
 def queries() -> dict:
     return {
         "op1_simhash_near_dedup": simhash.op1,
         "op4_source_mixing": mixing.op4,
+        "op6_huffman_ids": huffman.op6,
         "op8_quality_forest": quality.op8,
         "op9_virtual_slot_sharding": sharding.op9,
         "op10_template_decontamination": decontamination.op10,
