@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from rankloom.llm import decontamination, huffman, mixing, quality, sharding, simhash
+from rankloom.llm import decontamination, huffman, mixing, quality, sharding, simhash, token_counts
 
 
 def queries() -> dict:
     return {
         "op1_simhash_near_dedup": simhash.op1,
+        "op2_trie_token_counts": token_counts.op2,
         "op4_source_mixing": mixing.op4,
         "op6_huffman_ids": huffman.op6,
         "op8_quality_forest": quality.op8,
