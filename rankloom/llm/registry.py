@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rankloom.llm import decontamination, huffman, mixing, quality, sharding, simhash, token_counts
+from rankloom.llm import decontamination, huffman, mixing, quality, sharding, simhash, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_simhash_near_dedup": simhash.op1,
         "op2_trie_token_counts": token_counts.op2,
         "op4_source_mixing": mixing.op4,
+        "op5_toxicity_knn": toxicity.op5,
         "op6_huffman_ids": huffman.op6,
         "op8_quality_forest": quality.op8,
         "op9_virtual_slot_sharding": sharding.op9,
