@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from rankloom.llm import decontamination, huffman, mixing, quality, sharding, simhash, token_counts, toxicity
+from rankloom.llm import decontamination, huffman, line_dedup, mixing, quality, sharding, simhash, token_counts, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_simhash_near_dedup": simhash.op1,
         "op2_trie_token_counts": token_counts.op2,
+        "op3_line_dedup": line_dedup.op3,
         "op4_source_mixing": mixing.op4,
         "op5_toxicity_knn": toxicity.op5,
         "op6_huffman_ids": huffman.op6,
