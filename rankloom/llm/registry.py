@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rankloom.llm import decontamination, huffman, line_dedup, mixing, quality, sharding, simhash, token_counts, toxicity
+from rankloom.llm import decontamination, huffman, line_dedup, mixing, pii, quality, sharding, simhash, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_source_mixing": mixing.op4,
         "op5_toxicity_knn": toxicity.op5,
         "op6_huffman_ids": huffman.op6,
+        "op7_pii_weak_supervision": pii.op7,
         "op8_quality_forest": quality.op8,
         "op9_virtual_slot_sharding": sharding.op9,
         "op10_template_decontamination": decontamination.op10,
