@@ -33,6 +33,10 @@ def shuffle_key(doc_id: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))))
 
 
+def _key(text: Column, source: Column) -> Column:
+    return F.xxhash64(text.cast("string"), source.cast("string"))
+
+
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = 1.0, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """source, source_size, target, for sizes(source, source_size) with a row per source.
 
@@ -81,7 +85,7 @@ def schedule(plan: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.0, max_epochs: int = MAX_EPOCHS, block_words: int = BLOCK_WORDS, seed: int = 42) -> DataFrame:
-    """doc_id, size, source_size, target, taken, key per row of docs(doc_id, text, source); `key` is xxhash64(text).
+    """doc_id, size, source_size, target, taken, key per row of docs(doc_id, text, source); `key` is a hash of text and source.
 
     size: words of the text, null 0. target: words that the mix should take from the row's source. taken: words that it takes from this
     row, repeats counted; at most max_epochs x size; 0 for empty texts. A source's taken words are its target, rounded. A null source is
@@ -90,7 +94,7 @@ def mix_documents(docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.0,
     """
     spark = docs.sparkSession
     path = work_dir(spark)
-    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("key"))
+    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), _key(F.col("text"), F.col("source")).alias("key"))
     rows = written(rows.withColumn("order", shuffle_key(F.col("doc_id"), seed)), f"{path}/rows")
     plan = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, max_epochs)
     blocks = F.ceil(F.col("source_size") / block_words)
@@ -123,6 +127,25 @@ def mix_documents(docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.0,
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("sum", F.lit(0)).cast("long").alias("taken"), "key")
 
 
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs, with all their columns, as often as the mix takes them: a row of which it takes q passes and a part stays q
+    times, and once more if the part is half of the row or more. Rows that are taken less than half go, as do rows without words.
+
+    Rows that share doc_id, source and text are put apart again by their number, so that the words of all of them come out right.
+    """
+    found = mix_documents(docs, **options).where("taken > 0")
+    times = found.select("doc_id", "key", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("times")).where("times > 0")
+    # equal rows differ in `taken` by their place alone; together they stay as often as the sum of their times
+    times = times.groupBy(F.col("doc_id").alias("__rl_id"), F.col("key").alias("__rl_key")).agg(F.sum("times").alias("__rl_sum"))
+    rows = found.groupBy(F.col("doc_id").alias("__rl_rid"), F.col("key").alias("__rl_rkey")).agg(F.count("*").alias("__rl_rows"))
+    times = times.join(rows, F.col("__rl_id").eqNullSafe(F.col("__rl_rid")) & (F.col("__rl_key") == F.col("__rl_rkey"))).select("__rl_id", "__rl_key", "__rl_sum", "__rl_rows")
+    out = docs.join(times, docs["doc_id"].eqNullSafe(F.col("__rl_id")) & (_key(docs["text"], docs["source"]) == F.col("__rl_key")))
+    one = out.where("__rl_rows = 1")
+    # equal rows are made one, then dealt out again
+    many = out.where("__rl_rows > 1").dropDuplicates(["doc_id", "text", "source"])
+    return one.union(many).withColumn("__rl_copy", F.explode(F.sequence(F.lit(1), F.col("__rl_sum").cast("int")))).select(*docs.columns)
+
+
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(table(spark, sf_dir, "documents")).drop("key").withColumn("target", F.round("target", 3))
 
