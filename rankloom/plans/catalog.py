@@ -2,10 +2,654 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from rankloom.functions import stem
+from rankloom.functions import text as T
+from rankloom.operators import collections as C
+from rankloom.operators import index as I
+from rankloom.operators import metrics as M
+from rankloom.operators import ranking as R
+from rankloom.operators import serving as V
+from rankloom.operators import stats as S
+from rankloom.operators import tuning as U
+from rankloom.plans import fixtures as X
+from rankloom.plans import sql as Q
+from rankloom.sources import readers, writers
 
-def oracle_sql() -> dict:
-    return {}
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, extra: dict[str, str] | None = None, name: str | None = None):
+    """Registers a query with the SQL that gives the same rows."""
+
+    def add(f):
+        key = name or f.__name__
+        _QUERIES[key] = f
+        if sql is not None:
+            _SQL[key] = Q.build(sql, extra)
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def rounded(df: DataFrame, n: int = 6) -> DataFrame:
+    """Doubles to n places, as sums depend on their order beyond that."""
+    return df.select(*[F.round(c, n).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
+
+
+def longs(df: DataFrame) -> DataFrame:
+    return df.select(*[F.col(c).cast("long").alias(c) if t == "int" else F.col(c) for c, t in df.dtypes])
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return X.table(spark, d, "documents")
+
+
+# --- text ---
+
+MATH_TAIL, URL_TAIL, CITE_TAIL = r" tail $x_1$ and \alpha costs", " see https://a.b/c?d=1, or www.x.org now", " as in [1, 2–3] and [ 7 ] but [a1] [3-]"
+
+
+def _with_tail(spark: SparkSession, d: str, tail: str) -> DataFrame:
+    return _docs(spark, d).select("doc_id", F.concat("text", F.lit(tail)).alias("t"))
+
+
+SQL_MATH = r"regexp_replace(CASE WHEN (length({t}) - length(replace({t}, '$', ''))) % 2 = 0 THEN regexp_replace({t}, '\$[^$]*\$', ' ', 'g') ELSE {t} END, '\\[a-zA-Z]+', ' ', 'g')"
+SQL_URL = rf"regexp_replace({{t}}, 'https?://[^{Q.SP}]+|www\.[^{Q.SP}]+', ' ', 'g')"
+SQL_CITE = rf"regexp_replace({{t}}, '\[[{Q.SP}]*\p{{{{Nd}}}}+(?:[{Q.SP}]*[,–-][{Q.SP}]*\p{{{{Nd}}}}+)*[{Q.SP}]*\]', ' ', 'g')".replace(Q.SP, Q.SP.replace("{", "{{").replace("}", "}}"))
+SQL_URL = SQL_URL.replace(Q.SP, Q.SP.replace("{", "{{").replace("}", "}}"))
+
+
+@query(f"SELECT doc_id, {SQL_MATH.format(t='t')} AS cleaned FROM (SELECT doc_id, text || '{MATH_TAIL}' AS t FROM documents)")
+def clean_math(spark, d):
+    return _with_tail(spark, d, MATH_TAIL).select("doc_id", T.clean_math(F.col("t")).alias("cleaned"))
+
+
+@query(f"SELECT doc_id, {SQL_URL.format(t='t')} AS cleaned FROM (SELECT doc_id, text || '{URL_TAIL}' AS t FROM documents)")
+def clean_urls(spark, d):
+    return _with_tail(spark, d, URL_TAIL).select("doc_id", T.clean_urls(F.col("t")).alias("cleaned"))
+
+
+@query(f"SELECT doc_id, {SQL_CITE.format(t='t')} AS cleaned FROM (SELECT doc_id, text || '{CITE_TAIL}' AS t FROM documents)")
+def clean_citations(spark, d):
+    return _with_tail(spark, d, CITE_TAIL).select("doc_id", T.clean_citations(F.col("t")).alias("cleaned"))
+
+
+ENCODER_TAIL = MATH_TAIL + URL_TAIL + CITE_TAIL + " ( ) end ."
+_STEP1 = SQL_CITE.format(t=SQL_URL.format(t=SQL_MATH.format(t="t")))
+_STEP2 = rf"regexp_replace({_STEP1}, '\([{Q.SP}]*\)|\[[{Q.SP}]*\]', ' ', 'g')"
+_STEP3 = rf"trim(regexp_replace(regexp_replace({_STEP2}, '[{Q.SP}]', ' ', 'g'), '[{Q.SP}]+([.,;:!?)\]])', '\1', 'g'))"
+
+
+@query(f"SELECT doc_id, {_STEP3} AS cleaned FROM (SELECT doc_id, text || '{ENCODER_TAIL}' AS t FROM documents)")
+def clean_for_encoder(spark, d):
+    return _with_tail(spark, d, ENCODER_TAIL).select("doc_id", T.clean_for_encoder(F.col("t")).alias("cleaned"))
+
+
+@query("SELECT doc_id, tokens FROM papers")
+def tokenize(spark, d):
+    return X.paper_tokens(spark, d).select("doc_id", "tokens")
+
+
+@query(rf"SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+'), lambda x: NOT list_contains({Q.SW_BASE}, x)) AS tokens FROM documents")
+def tokenize_baseline(spark, d):
+    return _docs(spark, d).select("doc_id", T.tokenize(F.col("text"), T.BASELINE).alias("tokens"))
+
+
+@query()
+def stem_vocabulary(spark, d):
+    words = X.paper_index(spark, d).term_stats.select("term")
+    return words.select("term", stem.stem(F.col("term"), "snowball").alias("snowball"), stem.stem(F.col("term"), "porter").alias("porter"))
+
+
+@query()
+def bm25_stemmed(spark, d):
+    rows = X.paper_tokens(spark, d)
+    flat = lambda t, k: stem.stem_tokens(t.select(k, F.posexplode("tokens").alias("pos", "term")))
+    postings = flat(rows, "doc_id").groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+    q = flat(X.queries(spark, d), "query_id").groupBy("query_id").agg(F.collect_list("term").alias("tokens"))
+    return longs(R.bm25(q, I.build(rows, postings), 100, *R.TUNED["paper"]))
+
+
+# --- collections, index, statistics ---
+
+
+@query("SELECT doc_id, paper_id, pos, text, tokens FROM paras_full")
+def paragraph_collection(spark, d):
+    return C.non_empty(C.tokenized(X.paragraphs(spark, d)))
+
+
+@query("SELECT doc_id, paper_id, pos FROM paras WHERE len(tokens) = 0")
+def empty_paragraphs(spark, d):
+    return C.empty(C.tokenized(X.paragraphs(spark, d))).select("doc_id", "paper_id", "pos")
+
+
+@query("SELECT p.doc_id, p.title, a.text AS abstract, 2000 + CAST(p.doc_id AS BIGINT) % 100 AS year FROM papers p LEFT JOIN paras a ON a.doc_id = p.doc_id || '_1'")
+def paper_metadata(spark, d):
+    papers = X.papers(spark, d).select("doc_id", "title", F.lit("").alias("abstract"), (2000 + F.col("doc_id").cast("long") % 100).alias("year"))
+    return C.metadata(papers, X.paragraphs(spark, d))
+
+
+_MANIFEST = "(SELECT count(*) AS {0}s_read, count(*) FILTER (WHERE len(tokens) > 0) AS {0}s, count(*) FILTER (WHERE len(tokens) = 0) AS empty_{0}s, CAST(sum(len(tokens)) AS BIGINT) AS {0}_tokens FROM {1})"
+
+
+@query(f"SELECT * FROM {_MANIFEST.format('paper', 'papers')}, {_MANIFEST.format('paragraph', 'paras')}")
+def collection_manifest(spark, d):
+    return C.manifest(X.paper_tokens(spark, d), C.tokenized(X.paragraphs(spark, d)))
+
+
+@query("SELECT term, doc_id, tf FROM pap_p")
+def inverted_index(spark, d):
+    return X.paper_index(spark, d).postings
+
+
+@query("SELECT term, list(doc_id ORDER BY doc_id) AS docs, list(tf ORDER BY doc_id) AS tfs FROM pap_p GROUP BY term")
+def postings_lists(spark, d):
+    return I.postings_lists(X.paper_index(spark, d).postings)
+
+
+@query("SELECT term, df, CAST(cf AS BIGINT) AS cf, round(idf, 6) AS idf FROM pap_t")
+def term_stats(spark, d):
+    return rounded(X.paper_index(spark, d).term_stats)
+
+
+@query("SELECT num_docs, round(avg_doc_length, 6) AS avg_doc_length FROM pap_c")
+def collection_stats(spark, d):
+    return rounded(X.paper_index(spark, d).collection_stats)
+
+
+_LEN = "SELECT doc_id, text, CAST(len(tokens) AS BIGINT) AS n, row_number() OVER (ORDER BY len(tokens), doc_id) AS r, count(*) OVER () AS total FROM {0}"
+
+
+@query(
+    "SELECT (SELECT count(*) FROM l) AS docs, min(n) AS min_tokens, max(n) AS max_tokens, count(*) FILTER (WHERE n = 0) AS empty, count(*) FILTER (WHERE n > 0 AND n < 10) AS short, count(*) FILTER (WHERE n > 1000) AS long, "
+    "count(*) FILTER (WHERE (length(text) - length(replace(text, '$', ''))) % 2 = 1) AS odd_dollars, CAST(sum(n) AS BIGINT) AS total_tokens, CAST(median(n) AS DOUBLE) AS median_tokens, "
+    "max(n) FILTER (WHERE r = least(total, CAST(floor(total * 0.9::DOUBLE) AS BIGINT) + 1)) AS p90_tokens, (SELECT count(*) FROM par_t) AS unique_tokens, (SELECT count(*) FROM par_t WHERE cf = 1) AS singletons FROM l",
+    {"l": _LEN.format("paras")},
+)
+def corpus_stats(spark, d):
+    return S.corpus_stats(C.tokenized(X.paragraphs(spark, d)))
+
+
+_P = {"p10": 0.1, "p50": 0.5, "p90": 0.9, "p99": 0.99, "p100": 1.0}
+
+
+@query("SELECT " + ", ".join(f"max(n) FILTER (WHERE r = least(total, CAST(floor(total * {p}::DOUBLE) AS BIGINT) + 1)) AS {k}" for k, p in _P.items()) + " FROM l", {"l": _LEN.format("papers")})
+def length_percentiles(spark, d):
+    return S.percentiles(X.paper_tokens(spark, d).select(F.size("tokens").cast("long").alias("n")), "n", _P)
+
+
+@query("SELECT term, CAST(cf AS BIGINT) AS n FROM pap_t ORDER BY cf DESC, term LIMIT 50")
+def top_tokens(spark, d):
+    return S.top_tokens(X.paper_tokens(spark, d), 50)
+
+
+@query("SELECT doc_id, CAST(len(tokens) AS BIGINT) AS n_tokens, substr(text, 1, 80) AS preview FROM paras ORDER BY len(tokens) DESC, doc_id DESC LIMIT 10")
+def longest_paragraphs(spark, d):
+    return S.longest(C.tokenized(X.paragraphs(spark, d)), 10)
+
+
+# --- lexical ranking ---
+
+_RUN = "SELECT query_id, doc_id, score, rank FROM {}"
+
+
+@query(_RUN.format("bm25"))
+def bm25_papers(spark, d):
+    return longs(X.bm25_run(spark, d))
+
+
+@query(_RUN.format("bm25def"), {"bm25def": Q.bm25("pap", 100, *R.DEFAULT)})
+def bm25_papers_default(spark, d):
+    return longs(R.bm25(X.queries(spark, d), X.paper_index(spark, d), 100))
+
+
+@query(_RUN.format("bm25par") + " WHERE rank <= 100")
+def bm25_paragraphs(spark, d):
+    return longs(X.paragraph_run(spark, d).where("rank <= 100"))
+
+
+@query(
+    "SELECT query_id, doc_id, term, qtf, tf, round(idf, 6) AS idf, round(qtf * idf * tf * 5.0 / (tf + 4.0 * (0.25 + 0.75 * doc_length / avg_doc_length)), 6) AS part FROM qt JOIN pap_p USING (term) JOIN pap_t USING (term) JOIN pap_d USING (doc_id) JOIN (SELECT query_id, doc_id FROM bm25 WHERE rank <= 5) USING (query_id, doc_id), pap_c"
+)
+def bm25_explain(spark, d):
+    return rounded(R.bm25_explain(X.queries(spark, d), X.paper_index(spark, d), X.bm25_run(spark, d).where("rank <= 5"), *R.TUNED["paper"]))
+
+
+@query("SELECT doc_id, round(norm, 6) AS norm FROM pap_n")
+def tfidf_doc_norms(spark, d):
+    return rounded(R.tfidf_norms(X.paper_index(spark, d)))
+
+
+@query(_RUN.format("pap_tfidf"))
+def tfidf_papers(spark, d):
+    return longs(X.tfidf_run(spark, d))
+
+
+@query(_RUN.format("par_tfidf"))
+def tfidf_paragraphs(spark, d):
+    return longs(R.tfidf(X.queries(spark, d), X.paragraph_index(spark, d), 100))
+
+
+@query("SELECT query_id, rank, query_id || chr(9) || 'Q0' || chr(9) || doc_id || chr(9) || CAST(rank AS VARCHAR) || chr(9) || printf('%.6f', score) || chr(9) || 'bm25' AS line FROM bm25")
+def run_file(spark, d):
+    return longs(writers.run_lines(X.bm25_run(spark, d), "bm25"))
+
+
+@query("SELECT query_id, count(*) AS n, count(*) <= 100 AND min(rank) = 1 AND max(rank) = count(*) AS valid FROM bm25 GROUP BY query_id")
+def run_validation(spark, d):
+    run = X.bm25_run(spark, d)
+    bad = writers.unsorted(run).select("query_id").distinct().withColumn("bad", F.lit(True))
+    n = run.groupBy("query_id").agg(F.count("*").alias("n"), F.min("rank").alias("a"), F.max("rank").alias("b"))
+    return n.join(bad, "query_id", "left").select("query_id", "n", ((F.col("n") <= 100) & (F.col("a") == 1) & (F.col("b") == F.col("n")) & F.col("bad").isNull()).alias("valid"))
+
+
+@query("SELECT count(*) AS queries, count(*) FILTER (WHERE n = 0) AS without_results, count(*) FILTER (WHERE n > 0 AND n < 100) AS with_few, round(avg(n), 6) AS mean_results FROM (SELECT q.query_id, count(r.doc_id) AS n FROM q LEFT JOIN bm25 r USING (query_id) GROUP BY q.query_id)")
+def run_shape(spark, d):
+    n = X.queries(spark, d).select("query_id").join(X.bm25_run(spark, d).groupBy("query_id").count(), "query_id", "left").select(F.coalesce("count", F.lit(0)).alias("n"))
+    return rounded(n.agg(F.count("*").alias("queries"), F.count_if(F.col("n") == 0).alias("without_results"), F.count_if((F.col("n") > 0) & (F.col("n") < 100)).alias("with_few"), F.avg("n").alias("mean_results")))
+
+
+# --- vectors, fusion ---
+
+
+@query(_RUN.format("sparse"))
+def sparse_topk(spark, d):
+    return longs(X.sparse_run(spark, d))
+
+
+@query(_RUN.format("dense"))
+def dense_topk(spark, d):
+    return longs(R.dense(X.vector_queries(spark, d), X.vectors(spark, d), 100))
+
+
+@query("SELECT doc_id, i AS dim, round(CAST(vector[i] AS DOUBLE) / sqrt(list_sum(list_transform(vector, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 6) AS x FROM vec, (SELECT unnest(range(1, 65)) AS i)")
+def l2_normalize(spark, d):
+    rows = X.vectors(spark, d).select("doc_id", F.posexplode(R.l2_normalize(F.col("vector"))).alias("p", "x"))
+    return rounded(rows.select("doc_id", (F.col("p") + 1).cast("long").alias("dim"), "x"))
+
+
+@query("SELECT CAST(label AS VARCHAR) AS doc_id, i AS term, round(max(ln(1 + greatest(CAST(vector[i] AS DOUBLE), 0))), 6) AS weight FROM vec, (SELECT unnest(range(1, 65)) AS i) GROUP BY label, i HAVING max(vector[i]) > 0")
+def splade_max_pool(spark, d):
+    rows = X.vectors(spark, d).select(F.col("label").cast("string").alias("doc_id"), F.posexplode("vector").alias("p", "x"))
+    return rounded(R.max_pool(rows.select("doc_id", (F.col("p") + 1).cast("long").alias("term"), F.col("x").cast("double").alias("x"), F.lit(1).alias("mask"))))
+
+
+@query("SELECT round(sum(power(s / n, 2)), 6) AS flops FROM (SELECT term, sum(weight) AS s FROM sw GROUP BY term), (SELECT count(DISTINCT doc_id) AS n FROM sw)")
+def flops_regularizer(spark, d):
+    return rounded(R.flops(X.sparse_weights(X.paper_index(spark, d))))
+
+
+@query()
+def mnr_loss(spark, d):
+    v = X.table(spark, d, "embeddings").select("vec_id", "embedding", F.floor(F.col("vec_id") / 64).alias("batch"))
+    pairs = v.alias("a").join(v.alias("b"), F.col("b.vec_id") == F.col("a.vec_id") + 1).select(F.col("a.batch").alias("batch"), F.col("a.vec_id").alias("pair"), F.col("a.embedding").alias("a"), F.col("b.embedding").alias("p"))
+    return R.mnr_loss(pairs)
+
+
+@query("SELECT count(*) AS vectors, CAST(sum(n) AS BIGINT) AS nonzero, round(avg(n), 6) AS mean_active, max(n) AS most_active FROM (SELECT doc_id, count(*) AS n FROM sw GROUP BY doc_id)")
+def sparse_index_stats(spark, d):
+    n = X.sparse_weights(X.paper_index(spark, d)).groupBy("doc_id").agg(F.count("*").alias("n"))
+    return rounded(n.agg(F.count("*").alias("vectors"), F.sum("n").alias("nonzero"), F.avg("n").alias("mean_active"), F.max("n").alias("most_active")))
+
+
+_MAXP = Q.ranked("SELECT query_id, regexp_replace(doc_id, '_[^_]*$', '') AS doc_id, max(score) AS score FROM bm25par GROUP BY query_id, regexp_replace(doc_id, '_[^_]*$', '')", 100)
+
+
+@query(_RUN.format(f"({_MAXP})"))
+def bm25_maxp(spark, d):
+    return longs(R.maxp(X.paragraph_run(spark, d)))
+
+
+@query("SELECT query_id, doc_id AS paragraph_id, regexp_replace(doc_id, '_[^_]*$', '') AS paper_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, regexp_replace(doc_id, '_[^_]*$', '') ORDER BY rank) AS n FROM bm25par) WHERE n = 1")
+def maxp(spark, d):
+    w = Window.partitionBy("query_id", "paper_id").orderBy("rank")
+    run = X.paragraph_run(spark, d).withColumn("paper_id", F.regexp_replace("doc_id", "_[^_]*$", "")).withColumn("n", F.row_number().over(w))
+    return run.where("n = 1").select("query_id", F.col("doc_id").alias("paragraph_id"), "paper_id", "score")
+
+
+@query(_RUN.format("(" + Q.ranked("SELECT query_id, CAST(CAST(doc_id AS BIGINT) // 10 AS VARCHAR) AS doc_id, max(score) AS score FROM (" + Q.ranked("SELECT * FROM densefull", 2000) + ") GROUP BY query_id, CAST(doc_id AS BIGINT) // 10", 100) + ")"))
+def dense_maxp(spark, d):
+    v = X.vectors(spark, d)
+    group = v.select("doc_id", F.floor(F.col("doc_id").cast("long") / 10).cast("string").alias("paper_id"))
+    return longs(R.maxp(R.dense(X.vector_queries(spark, d), v, 2000), group))
+
+
+def _rrf(*names: str) -> str:
+    every = " UNION ALL ".join(f"SELECT query_id, doc_id, rank FROM {n} WHERE rank <= 100" for n in names)
+    return _RUN.format("(" + Q.ranked(f"SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM ({every}) GROUP BY query_id, doc_id", 100) + ")")
+
+
+@query(_rrf("bm25", "pap_tfidf"))
+def rrf_two(spark, d):
+    return longs(R.rrf([X.bm25_run(spark, d), X.tfidf_run(spark, d)]))
+
+
+@query(_rrf("bm25", "sparse", "pap_tfidf"))
+def rrf_three(spark, d):
+    return longs(R.rrf([X.bm25_run(spark, d), X.sparse_run(spark, d), X.tfidf_run(spark, d)]))
+
+
+# --- evaluation ---
+
+
+def _metrics(spark, d):
+    return M.per_query(X.bm25_run(spark, d), X.qrels(spark, d))
+
+
+def _metric(name: str, *cols: str) -> None:
+    """A query with some of the metrics of the BM25 run, per judged query."""
+    picked = ", ".join(f"round({c}, 6) AS {c}" for c in cols)
+    query(f"SELECT query_id, {picked} FROM m", Q.metric_steps("bm25"), name)(lambda spark, d: rounded(_metrics(spark, d).select("query_id", *cols)))
+
+
+for _name, *_cols in (
+    ("ndcg", "ndcg"), ("ndcg_at_5", "ndcg_at_5"), ("ndcg_at_10", "ndcg_at_10"), ("ndcg_exponential", "ndcg_exp", "ndcg_exp_at_5"), ("mrr", "mrr"), ("mrr_at_10", "mrr_at_10"),
+    ("precision_at_k", "p_at_5", "p_at_10"), ("recall_at_100", "recall_at_100"), ("accuracy_at_k", "accuracy_at_1", "accuracy_at_5", "accuracy_at_10"),
+):
+    _metric(_name, *_cols)
+
+_LOCAL = {
+    "lr": "SELECT r.query_id, r.doc_id, r.rank, power(2, coalesce(j.grade, 0)) - 1 AS g FROM bm25 r LEFT JOIN qrels j ON r.query_id = j.query_id AND r.doc_id = j.doc_id WHERE r.query_id IN (SELECT query_id FROM qrels)",
+    "lb": "SELECT query_id, sum(g / log2(n + 1)) AS b FROM (SELECT query_id, g, row_number() OVER (PARTITION BY query_id ORDER BY g DESC, rank) AS n FROM lr) GROUP BY query_id",
+}
+
+
+@query("SELECT query_id, round(CASE WHEN b > 0 THEN a / b ELSE 0 END, 6) AS ndcg FROM (SELECT query_id, sum(g / log2(rank + 1)) AS a FROM lr GROUP BY query_id) JOIN lb USING (query_id)", _LOCAL)
+def ndcg_list_local(spark, d):
+    return rounded(M.ndcg_list_local(X.bm25_run(spark, d), X.qrels(spark, d)))
+
+
+_STRICT = {"strict_q": "SELECT * FROM qrels WHERE grade = 2"} | Q.metric_steps("bm25", "strict_q")
+
+
+@query("SELECT query_id, round(mrr, 6) AS mrr, round(p_at_5, 6) AS p_at_5 FROM m", _STRICT)
+def strict_metrics(spark, d):
+    return rounded(M.per_query(X.bm25_run(spark, d), M.strict(X.qrels(spark, d))).select("query_id", "mrr", "p_at_5"))
+
+
+@query("SELECT q.query_id, round(coalesce(m.ndcg, 0), 6) AS ndcg FROM (SELECT DISTINCT query_id FROM qrels) q LEFT JOIN m USING (query_id)", Q.metric_steps("bm25"))
+def make_comparable(spark, d):
+    known = X.qrels(spark, d).select("query_id").distinct()
+    return rounded(known.join(_metrics(spark, d).select("query_id", "ndcg"), "query_id", "left").fillna(0.0))
+
+
+def _by_model(spark, d):
+    out = None
+    for name, get in (("bm25", X.bm25_run), ("sparse", X.sparse_run), ("tfidf", X.tfidf_run)):
+        rows = M.per_query(get(spark, d), X.qrels(spark, d)).withColumn("model", F.lit(name))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+_MODELS = Q.metric_steps("runs", by="model")
+_PAIRS = "SELECT a.query_id, a.model AS model_a, b.model AS model_b, a.ndcg - b.ndcg AS d FROM m a JOIN m b ON a.query_id = b.query_id AND a.model < b.model"
+
+
+@query(f"SELECT query_id, model_a, model_b, round(d, 6) AS d FROM ({_PAIRS})", _MODELS)
+def paired_differences(spark, d):
+    return rounded(M.paired_differences(_by_model(spark, d), "ndcg"))
+
+
+@query(f"SELECT model_a, model_b, count(*) AS n, round(avg(d), 6) AS mean_d, round(CASE WHEN stddev_samp(d) > 0 THEN avg(d) / (stddev_samp(d) / sqrt(count(*))) END, 4) AS t FROM ({_PAIRS}) GROUP BY model_a, model_b", _MODELS)
+def paired_t_statistic(spark, d):
+    return rounded(rounded(M.paired_t(_by_model(spark, d), "ndcg")).withColumn("t", F.round("t", 4)))
+
+
+_REPORT = ("ndcg", "ndcg_at_5", "mrr", "p_at_5", "p_at_10", "recall_at_100")
+
+
+@query("SELECT model, " + ", ".join(f"round(avg({c}), 6) AS {c}" for c in _REPORT) + " FROM m GROUP BY model", _MODELS)
+def evaluation_report(spark, d):
+    return rounded(M.means(_by_model(spark, d).select("model", *_REPORT), ("model",)))
+
+
+@query("SELECT label, count(*) AS n, round(avg(ndcg), 6) AS ndcg, round(avg(mrr), 6) AS mrr FROM m JOIN q USING (query_id) GROUP BY label", Q.metric_steps("bm25"))
+def metrics_by_label(spark, d):
+    rows = _metrics(spark, d).join(X.queries(spark, d).select("query_id", "label"), "query_id")
+    return rounded(rows.groupBy("label").agg(F.count("*").alias("n"), F.avg("ndcg").alias("ndcg"), F.avg("mrr").alias("mrr")))
+
+
+@query("SELECT label, CAST(grade AS BIGINT) AS grade, count(*) AS n FROM qrels JOIN q USING (query_id) GROUP BY label, grade")
+def annotation_summary(spark, d):
+    return longs(X.qrels(spark, d).join(X.queries(spark, d).select("query_id", "label"), "query_id").groupBy("label", "grade").agg(F.count("*").alias("n")))
+
+
+@query("SELECT query_id, label FROM q WHERE query_id IN (SELECT query_id FROM qrels)")
+def judged_queries(spark, d):
+    return X.queries(spark, d).join(X.qrels(spark, d), "query_id", "left_semi").select("query_id", "label")
+
+
+# --- tuning and training data ---
+
+_CELLS = "SELECT CAST(k1 AS DOUBLE) AS k1, CAST(b AS DOUBLE) AS b FROM (SELECT unnest([0.6, 0.9, 1.2, 1.5, 1.8]) AS k1), (SELECT unnest([0.2, 0.4, 0.6, 0.75, 0.9]) AS b)"
+_GRID = {
+    "cells": _CELLS,
+    "jq": "SELECT DISTINCT query_id FROM qrels",
+    "gs": "SELECT k1, b, query_id, doc_id, round(sum(qtf * idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * doc_length / avg_doc_length))), 6) AS score FROM qt JOIN jq USING (query_id) JOIN pap_p USING (term) JOIN pap_t USING (term) JOIN pap_d USING (doc_id), pap_c, cells GROUP BY k1, b, query_id, doc_id",
+    "gr": "SELECT *, row_number() OVER (PARTITION BY k1, b, query_id ORDER BY score DESC, doc_id) AS rank FROM gs",
+    "gd": "SELECT k1, b, query_id, sum(grade / log2(rank + 1)) AS dcg FROM gr JOIN qrels USING (query_id, doc_id) WHERE rank <= 5 GROUP BY k1, b, query_id",
+    "gi": "SELECT query_id, sum(grade / log2(n + 1)) AS best FROM (SELECT query_id, grade, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, doc_id) AS n FROM qrels) WHERE n <= 5 GROUP BY query_id",
+    "gq": "SELECT k1, b, query_id, coalesce(dcg / best, 0) AS ndcg_at_5 FROM (SELECT * FROM jq, cells) LEFT JOIN gd USING (k1, b, query_id) LEFT JOIN gi USING (query_id)",
+    "gm": "SELECT k1, b, round(avg(ndcg_at_5), 6) AS ndcg_at_5 FROM gq GROUP BY k1, b",
+    "ho": "SELECT query_id, row_number() OVER (ORDER BY md5('42-' || query_id), query_id) <= floor(count(*) OVER () * 0.2::DOUBLE) AS held_out FROM jq",
+}
+
+
+@X._kept
+def _grid(spark, d):
+    return U.bm25_grid(X.queries(spark, d), X.paper_index(spark, d), X.qrels(spark, d)).persist()
+
+
+@query("SELECT * FROM gm", _GRID)
+def bm25_grid(spark, d):
+    return U.grid_means(_grid(spark, d))
+
+
+@query("SELECT * FROM gm ORDER BY ndcg_at_5 DESC, k1, b LIMIT 1", _GRID)
+def bm25_best_params(spark, d):
+    return U.best_cell(U.grid_means(_grid(spark, d)))
+
+
+_TRAINED = {"gt": "SELECT k1, b, round(avg(ndcg_at_5), 6) AS t FROM gq JOIN ho USING (query_id) WHERE NOT held_out GROUP BY k1, b", "gb": "SELECT k1, b FROM gt ORDER BY t DESC, k1, b LIMIT 1"}
+
+
+@query("SELECT k1, b, count(*) AS n, round(avg(ndcg_at_5), 6) AS ndcg_at_5 FROM gq JOIN ho USING (query_id) JOIN gb USING (k1, b) WHERE held_out GROUP BY k1, b", _GRID | _TRAINED)
+def bm25_heldout(spark, d):
+    cells = _grid(spark, d)
+    split = U.held_out(cells.select("query_id").distinct())
+    known = cells.join(F.broadcast(split), "query_id")
+    best = U.best_cell(U.grid_means(known.where("not held_out"))).select("k1", "b")
+    return rounded(known.where("held_out").join(F.broadcast(best), ["k1", "b"]).groupBy("k1", "b").agg(F.count("*").alias("n"), F.avg("ndcg_at_5").alias("ndcg_at_5")))
+
+
+@query("SELECT k1, max(ndcg_at_5) FILTER (WHERE b = 0.2) AS \"0.2\", max(ndcg_at_5) FILTER (WHERE b = 0.4) AS \"0.4\", max(ndcg_at_5) FILTER (WHERE b = 0.6) AS \"0.6\", max(ndcg_at_5) FILTER (WHERE b = 0.75) AS \"0.75\", max(ndcg_at_5) FILTER (WHERE b = 0.9) AS \"0.9\" FROM gm GROUP BY k1", _GRID)
+def tuning_grid_pivot(spark, d):
+    return readers.grid_matrix(U.grid_means(_grid(spark, d)), "ndcg_at_5")
+
+
+@query("SELECT query_id, doc_id, rank FROM bm25 WHERE rank <= 50")
+def run_candidates(spark, d):
+    return longs(U.candidates(X.bm25_run(spark, d), 50))
+
+
+_HARD = {
+    "hc": "SELECT query_id, doc_id, rank FROM bm25 b WHERE rank > 20 AND NOT EXISTS (SELECT 1 FROM qrels j WHERE j.query_id = b.query_id AND j.doc_id = b.doc_id)",
+    "hn": "SELECT query_id, doc_id, pick FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY md5('42-' || query_id || '-' || doc_id), doc_id) AS pick FROM hc) WHERE pick <= 30",
+    "ex": "SELECT q.query_id, query, label, pos, coalesce(neg, []) AS neg FROM q JOIN (SELECT query_id, list(doc_id ORDER BY doc_id) AS pos FROM qrels GROUP BY query_id) USING (query_id) LEFT JOIN (SELECT query_id, list(doc_id ORDER BY pick) AS neg FROM hn GROUP BY query_id) USING (query_id)",
+}
+
+
+@query("SELECT query_id, doc_id, rank FROM hc", _HARD)
+def hard_negative_candidates(spark, d):
+    return longs(X.bm25_run(spark, d).where("rank > 20").join(X.qrels(spark, d), ["query_id", "doc_id"], "left_anti").select("query_id", "doc_id", "rank"))
+
+
+@query("SELECT query_id, doc_id, pick FROM hn", _HARD)
+def hard_negatives(spark, d):
+    return longs(U.hard_negatives(X.bm25_run(spark, d), X.qrels(spark, d)))
+
+
+def _examples(spark, d):
+    return U.training_examples(X.queries(spark, d), X.qrels(spark, d), X.bm25_run(spark, d))
+
+
+@query("SELECT query_id, query, label, list_aggregate(pos, 'string_agg', ',') AS positives, coalesce(list_aggregate(neg, 'string_agg', ','), '') AS negatives FROM ex", _HARD)
+def training_examples(spark, d):
+    ex = U.at_least(_examples(spark, d))
+    return ex.select("query_id", "query", "label", F.array_join(F.array_sort(F.map_keys("positives")), ",").alias("positives"), F.array_join("negatives", ",").alias("negatives"))
+
+
+@query("SELECT query_id, query AS anchor, p.text AS positive, n.text AS negative FROM (SELECT query_id, query, pos[i] AS pos_id, neg[(i - 1) % len(neg) + 1] AS neg_id FROM (SELECT *, unnest(range(1, len(pos) + 1)) AS i FROM ex WHERE len(neg) > 0)) JOIN papers p ON p.doc_id = pos_id JOIN papers n ON n.doc_id = neg_id", _HARD)
+def training_triples(spark, d):
+    return U.training_triples(_examples(spark, d), X.papers(spark, d))
+
+
+@query("SELECT j.query_id, j.doc_id, q.query, p.text FROM qrels j JOIN q USING (query_id) JOIN papers p ON p.doc_id = j.doc_id WHERE grade > 0")
+def training_pairs(spark, d):
+    return U.training_pairs(X.queries(spark, d), X.qrels(spark, d), X.papers(spark, d))
+
+
+_SPLIT = "SELECT query_id, label, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY md5('42-' || query_id), query_id) <= round_even(count(*) OVER (PARTITION BY label) * 0.1::DOUBLE, 0) THEN 'val' ELSE 'train' END AS split FROM q"
+
+
+@query(_SPLIT)
+def stratified_split(spark, d):
+    return U.stratified_split(X.queries(spark, d).select("query_id", "label"))
+
+
+@query("SELECT query_id, CASE WHEN row_number() OVER (ORDER BY md5('42-' || query_id), query_id) <= floor(count(*) OVER () * 0.8::DOUBLE) THEN 'train' ELSE 'val' END AS split FROM q")
+def query_split(spark, d):
+    kept = U.held_out(X.queries(spark, d), 0.8)
+    return kept.select("query_id", F.when(F.col("held_out"), "train").otherwise("val").alias("split"))
+
+
+@query("SELECT s.split, s.label, count(*) AS queries, CAST(sum(len(pos)) AS BIGINT) AS positives, CAST(sum(len(neg)) AS BIGINT) AS negatives FROM (" + _SPLIT + ") s JOIN ex USING (query_id) GROUP BY s.split, s.label", _HARD)
+def training_manifest(spark, d):
+    rows = _examples(spark, d).join(U.stratified_split(X.queries(spark, d).select("query_id", "label")).select("query_id", "split"), "query_id")
+    return rows.groupBy("split", "label").agg(F.count("*").alias("queries"), F.sum(F.size("positives")).cast("long").alias("positives"), F.sum(F.size("negatives")).cast("long").alias("negatives"))
+
+
+@query(
+    "SELECT * FROM vj UNION ALL SELECT * FROM vc UNION ALL SELECT * FROM (SELECT doc_id, 'distractor' AS part FROM papers WHERE doc_id NOT IN (SELECT doc_id FROM vj) AND doc_id NOT IN (SELECT doc_id FROM vc) ORDER BY md5('42-' || doc_id), doc_id LIMIT 200)",
+    {"vj": "SELECT DISTINCT doc_id, 'judged' AS part FROM qrels", "vc": "SELECT DISTINCT doc_id, 'candidate' AS part FROM bm25 WHERE rank <= 100 AND doc_id NOT IN (SELECT doc_id FROM vj)"},
+)
+def validation_corpus(spark, d):
+    return U.validation_corpus(X.papers(spark, d), X.qrels(spark, d), X.bm25_run(spark, d), 200)
+
+
+@query()
+def best_checkpoint(spark, d):
+    log = X.table(spark, d, "events").groupBy((F.floor(F.col("event_id") / 50) * 50).alias("step")).agg(F.avg("value").alias("value"))
+    return U.best_checkpoint(log)
+
+
+# --- serving ---
+
+
+@query("SELECT query_id, b.rank, b.doc_id, b.score, count(*) OVER (PARTITION BY query_id) AS total, title FROM bm25 b JOIN papers USING (doc_id) QUALIFY b.rank BETWEEN 11 AND 20")
+def search_results_page(spark, d):
+    return longs(V.results_page(X.bm25_run(spark, d), X.papers(spark, d), X.queries(spark, d), 2, 10).drop("excerpt"))
+
+
+_SENT = rf"SELECT query_id, doc_id, tokens, unnest(ss) AS s, unnest(range(len(ss))) AS i FROM (SELECT query_id, b.doc_id, q.tokens, str_split(regexp_replace(p.text, '([.!?])[\s\x0b]+', '\1' || chr(1), 'g'), chr(1)) AS ss FROM bm25 b JOIN q USING (query_id) JOIN papers p ON p.doc_id = b.doc_id WHERE b.rank <= 5)"
+
+
+@query(
+    "SELECT query_id, doc_id, CASE WHEN length(s) <= 300 THEN s ELSE regexp_replace(substr(s, 1, 300), ' [^ ]*$', '') || '...' END AS excerpt FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY len(list_intersect(list_distinct(" + Q.tok("s") + "), list_distinct(tokens))) DESC, i) AS n FROM se) WHERE n = 1",
+    {"se": _SENT},
+)
+def excerpt(spark, d):
+    rows = X.bm25_run(spark, d).where("rank <= 5").join(X.papers(spark, d).select("doc_id", "text"), "doc_id").join(X.queries(spark, d).select("query_id", "query"), "query_id")
+    return V.excerpt(rows).select("query_id", "doc_id", "excerpt")
+
+
+@query("SELECT doc_id, title, text FROM papers WHERE doc_id = '7' UNION ALL SELECT doc_id, '' AS title, text FROM paras WHERE doc_id = '7_1'")
+def document_preview(spark, d):
+    return X.papers(spark, d).where("doc_id = '7'").select("doc_id", "title", "text").union(X.paragraphs(spark, d).where("doc_id = '7_1'").select("doc_id", F.lit(""), "text"))
+
+
+@query(
+    "SELECT query_id, word, row_number() OVER (PARTITION BY query_id ORDER BY first) - 1 AS pos FROM (SELECT query_id, word, min(i) AS first FROM (SELECT CAST(item_id AS VARCHAR) AS query_id, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM (SELECT item_id, list_filter(regexp_split_to_array(text, '[" + Q.SP + "]+'), lambda x: x <> '') AS ws FROM benchmark)) GROUP BY query_id, word) WHERE len(" + Q.tok("word") + ") > 0"
+)
+def query_vocabulary(spark, d):
+    return V.query_vocabulary(X.queries(spark, d))
+
+
+@query()
+def vocabulary_merge(spark, d):
+    words = V.query_vocabulary(X.queries(spark, d)).select("word").distinct()
+    return V.merge_vocabulary(words, words.where("word like 'th%'").withColumn("active", F.lit(False)))
+
+
+def _titles(spark, d):
+    return X.table(spark, d, "part").select(F.col("p_partkey").alias("number"), F.col("p_name").alias("title"))
+
+
+@query("SELECT p_partkey AS number, p_name AS title FROM part WHERE contains(lower(p_name), 're') ORDER BY p_partkey LIMIT 5")
+def suggest(spark, d):
+    return V.suggest(_titles(spark, d), " RE ")
+
+
+@query("SELECT p_partkey AS number, p_name AS title FROM part WHERE contains(lower(p_name), 're') ORDER BY starts_with(lower(p_name), 're') DESC, p_partkey LIMIT 5")
+def suggest_prefix_first(spark, d):
+    return V.suggest(_titles(spark, d), "re", prefix_first=True)
+
+
+_FACETS = "SELECT doc_id, lang AS type, 2000 + CAST(doc_id AS BIGINT) % 25 AS year FROM papers"
+
+
+def _facets(spark, d):
+    return X.papers(spark, d).select("doc_id", F.col("lang").alias("type"), (2000 + F.col("doc_id").cast("long") % 25).alias("year"))
+
+
+@query(f"SELECT * FROM ({_FACETS}) WHERE type IN ('de', 'fr') AND year >= 2015")
+def facet_filter(spark, d):
+    return V.facet_filter(_facets(spark, d), ["de", "fr"], 2015)
+
+
+@query(f"SELECT type, count(*) AS n FROM ({_FACETS}) WHERE year >= 2015 GROUP BY type")
+def facet_counts(spark, d):
+    return V.facet_filter(_facets(spark, d), None, 2015).groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n FROM events GROUP BY 1")
+def history_by_day(spark, d):
+    return V.history_by_day(X.table(spark, d, "events")).withColumn("day", F.col("day").cast("string"))
+
+
+@query("SELECT event_id, user_id, place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM events) WHERE place <= 100")
+def history_recent(spark, d):
+    return longs(V.recent(X.table(spark, d, "events")).select("event_id", "user_id", "place"))
+
+
+@query("SELECT event_id, user_id FROM events WHERE CAST(ts AS DATE) <> (SELECT CAST(min(ts) AS DATE) FROM events)")
+def history_clear_day(spark, d):
+    events = X.table(spark, d, "events")
+    day = events.agg(F.to_date(F.min("ts")).alias("day"))
+    return events.crossJoin(F.broadcast(day)).where(F.to_date("ts") != F.col("day")).select("event_id", "user_id")
+
+
+@query("SELECT user_id, name, event_id FROM (SELECT *, lower(event_type) AS name, row_number() OVER (PARTITION BY user_id, lower(event_type) ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
+def bookmark_dedupe(spark, d):
+    events = X.table(spark, d, "events").withColumn("name", F.lower("event_type"))
+    w = Window.partitionBy("user_id", "name").orderBy(F.desc("ts"), F.desc("event_id"))
+    return events.withColumn("n", F.row_number().over(w)).where("n = 1").select("user_id", "name", "event_id")
+
+
+@query()
+def highlight(spark, d):
+    return X.papers(spark, d).select("doc_id", T.highlight(F.col("title"), ["the", "on", "in"]).alias("marked"))
