@@ -27,12 +27,21 @@ def work_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/rankloom/{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, path: str) -> DataFrame:
+def written(df: DataFrame, path: str, compression: str | None = None) -> DataFrame:
     """The same rows, read back from a Parquet table: cuts lineage, and a lost executor costs no recomputation."""
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def least_hashed(df: DataFrame, key: str, k: int, *ties: str) -> DataFrame:
+    """The k rows of the least hashed keys. Rows far above the k-th are left out first, so that no task sorts or sends more than its share."""
+    h, n = F.pmod(F.xxhash64(key), F.lit(1 << 30)), df.count()
+    if n > 4 * k:
+        near = df.where(h < int((1 << 30) * 2 * k / n))
+        df = near if near.count() >= k else df
+    return df.orderBy(h, key, *ties).limit(k)
+
+
 def n_words(text: Column) -> Column:
     """Words of a text; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import table, work_dir, written
+from rankloom.llm.common import least_hashed, table, work_dir, written
 
 FIT_ROWS = 8000
 #: Terms: lengths of word beginnings; the most; the least log-likelihood ratio (about one term in a million by chance); the least odds ratio.
@@ -192,7 +192,7 @@ def _sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
     # the ids of the least hashes of each label: 2 x FIT_ROWS at most
     chosen = known.limit(0).select("doc_id", "toxic")
     for y in (0, 1):
-        chosen = chosen.union(known.where(f"toxic = {y}").orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id", "toxic").limit(FIT_ROWS))
+        chosen = chosen.union(least_hashed(known.where(f"toxic = {y}"), "doc_id", FIT_ROWS).select("doc_id", "toxic"))
     spark = docs.sparkSession
     chosen = written(chosen.select(F.col("doc_id").alias("__rl_id"), F.col("toxic").cast("int").alias("toxic")), f"{work_dir(spark)}/chosen")
     found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("__rl_id")).select("doc_id", "text", "toxic")
