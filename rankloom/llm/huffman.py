@@ -1,7 +1,7 @@
 """Operator 6, token ids in a binary format: canonical length-limited Huffman code, independent blocks, bit-offset checkpoints.
 
-First pass: the documents are tokenized and ids counted; the counts give one code for the corpus. Second pass: the documents are tokenized
-again and coded at once, so that only coded bytes are shuffled into ascending doc_id order. A file row is one chunk: an independent block
+The documents are tokenized once, into a table of raw ids; their global counts give one code for the corpus. The ids are coded where they
+are, so that only coded bytes are shuffled into ascending doc_id order. A file row is one chunk: an independent block
 with its documents' lengths, the bits of all their ids, and the bit offset of every STRIDE-th id. Chunks are kept in Parquet, whose
 commit protocol a lost task can't break, beside a one-row table with the code lengths. Decoding looks up TABLE bits at a time, for all
 checkpoints of a chunk at once.
@@ -9,20 +9,21 @@ checkpoints of a chunk at once.
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import table, work_dir
+from rankloom.llm.common import table, work_dir, written
 
 #: End of document; ids between checkpoints; longest code at least (more if the vocabulary needs it); coded bytes in a chunk, about.
 END_ID, STRIDE, MAX_BITS, CHUNK_BYTES = 1, 256, 16, 1 << 19
-#: Distinct words whose ids a worker keeps.
-KNOWN_WORDS = 300_000
+#: Distinct words whose ids a worker keeps, in each of two generations.
+KNOWN_WORDS = 250_000
 MAGIC = b"RLHC0001"
-_SEPARATORS = frozenset("\x1c\x1d\x1e\x1f")
+_SEPARATORS = re.compile("[\x1c-\x1f]").search
 
 FILES = "part int, chunk int, doc_ids array<long>, n_docs int, n_ids long, block binary"
 
@@ -177,84 +178,169 @@ def unpack(code: Code, block: bytes):
 
 
 class Words:
-    """Ids of texts, by words: the tokenizers this serves drop white space and never join what it parts. Known words are kept, up to a bound."""
+    """Ids of texts, by words: the tokenizers this serves drop white space and never join what it parts.
+
+    Known words are kept in two generations of KNOWN_WORDS each: when the young one is full it becomes the old one, from which words in
+    use move back. A new word in simple letters (below U+0250, where lower case and composition are plain) is cut into the pre-tokens of
+    this kind of vocabulary, which are kept as well; new ones are encoded as one text, whose ids part where a piece ends a word. All
+    other words are encoded one by one.
+    """
+
+    PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+    END = "</w>"
 
     def __init__(self, path: str):
+        import numpy as np
+        import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-        a, b, both = (self.tokenizer.encode(x, add_special_tokens=False).ids for x in ("ab", "Cd1", "ab\n Cd1"))
-        if a + b != both:
+        self.tokenizer = Tokenizer.from_file(path)
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        one = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
+        if one("ab") + one("Cd1") != one("ab\n Cd1"):
             raise ValueError("this tokenizer does not take the words of a text one by one")
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
+        self.cut = regex.compile(self.PRETOKEN).findall
+        self.ends = np.zeros(self.size, bool)
+        for piece, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            self.ends[i] = piece.endswith(self.END)
+        probe = "it's Ab1, x-2... \u00c4\u00df\u00b2 \u0178'LL"
+        self.simple = [x for w in probe.split() for x in self._by_parts([w])[0]] == [x for x in np.array(one(probe), self.kind).tobytes()]
+
+    def _by_parts(self, words: list[str]) -> list[bytes]:
+        import numpy as np
 
-    def ids(self, texts: list[str | None]):
-        """(ids of all texts, with END_ID after each, in one array; number of ids up to each text's end)."""
+        # letters alone, or with one mark after them, need no pattern
+        cuts = [(w.lower(),) if w.isalpha() else (w[:-1].lower(), w[-1]) if w[-1] in ".,;:!?" and w[:-1].isalpha() else self.cut(w.lower()) for w in words]
+        parts = self.parts
+        new = list({p for c in cuts for p in c if p not in parts})
+        if new:
+            if len(parts) > 2 * KNOWN_WORDS:
+                parts.clear()
+                new = list({p for c in cuts for p in c})
+            for k in range(0, len(new), 8192):
+                some = new[k : k + 8192]
+                ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.kind)
+                at = np.flatnonzero(self.ends[ids]) + 1
+                if len(at) == len(some) and at[-1] == len(ids):
+                    raw, at = ids.tobytes(), (at * self.kind.itemsize).tolist()
+                    parts.update(zip(some, [raw[a:b] for a, b in zip([0, *at[:-1]], at)]))
+                else:
+                    parts.update(zip(some, self._one_by_one(some)))
+        return [b"".join([parts[p] for p in c]) for c in cuts]
+
+    def _one_by_one(self, words: list[str]) -> list[bytes]:
+        import numpy as np
+
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> None:
+        plain = [w for w in new if w.isascii() or max(w) < "\u0250" and "\u0130" not in w] if self.simple else []
+        plain = [w for w in plain if "<|" not in w]
+        if len(plain) < len(new):
+            fast = set(plain)
+            odd = [w for w in new if w not in fast]
+            self.young.update(zip(odd, self._one_by_one(odd)))
+        self.young.update(zip(plain, self._by_parts(plain)))
+
+    def ids(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text, with END_ID after them, as little-endian numbers of self.kind."""
         import numpy as np
 
         # split() also parts at other white space, which these tokenizers drop as well, but for the four separators 0x1C-0x1F
-        split = [(t or "").split() if _SEPARATORS.isdisjoint(t or "") else [w.decode() for w in t.encode().split()] for t in texts]
-        if len(self.known) > KNOWN_WORDS:
-            self.known = {}
-        known = self.known
-        new = list({w for words in split for w in words if w not in known})
-        for k in range(0, len(new), 4096):
-            for w, e in zip(new[k : k + 4096], self.tokenizer.encode_batch(new[k : k + 4096], add_special_tokens=False)):
-                known[w] = np.array(e.ids, np.uint32).tobytes()
-        end = np.array([END_ID], np.uint32).tobytes()
-        parts = [b"".join([known[w] for w in words]) + end for words in split]
-        return np.frombuffer(b"".join(parts), np.uint32), np.cumsum([len(p) // 4 for p in parts])
+        split = [[w.decode() for w in t.encode().split()] if t and _SEPARATORS(t) else (t or "").split() for t in texts]
+        if len(self.young) > KNOWN_WORDS:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        new = set().union(*split).difference(young)
+        for w in [w for w in new if w in old]:
+            young[w] = old[w]
+            new.discard(w)
+        if new:
+            self._learn(list(new))
+        end, get = np.array([END_ID], self.kind).tobytes(), young.__getitem__
+        return [b"".join(map(get, words)) + end for words in split]
+
+
+_WORDS: dict[str, Words] = {}
+
+
+def _words(path: str) -> Words:
+    """One per worker process: what one task has learned serves the next."""
+    if path not in _WORDS:
+        _WORDS[path] = Words(path)
+    return _WORDS[path]
 
 
-def _steps(column, size: int = 500) -> Iterator[tuple[int, list]]:
-    for k in range(0, len(column), size):
-        yield k, column.slice(k, size).to_pylist()
+IDS = "doc_id long, n_ids long, width int, ids binary"
 
 
-def count_ids(docs: DataFrame, tokenizer: str) -> list[tuple[int, int]]:
-    """(id, count) over all documents, END_ID included. As many rows as the vocabulary has ids."""
+def tokenized(docs: DataFrame, tokenizer: str, step: int = 250) -> DataFrame:
+    """doc_id, n_ids, width (bytes of an id), ids (little-endian) per row."""
+
+    def made(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        words = _words(tokenizer)
+        width = words.kind.itemsize
+        for batch in batches:
+            for k in range(0, batch.num_rows, step):
+                ids = words.ids(batch.column(1).slice(k, step).to_pylist())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, step), pa.array([len(x) // width for x in ids], pa.int64()), pa.array([width] * len(ids), pa.int32()), pa.array(ids, pa.binary())], ["doc_id", "n_ids", "width", "ids"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(made, IDS)
+
+
+def _arrays(batch, step: int = 250) -> Iterator[tuple]:
+    """(first row, rows, all their ids in one array) for a few rows of IDS at a time."""
+    import numpy as np
+
+    for k in range(0, batch.num_rows, step):
+        rows = batch.slice(k, step)
+        width = rows.column(2)[0].as_py()
+        yield k, rows, np.frombuffer(b"".join(rows.column(3).to_pylist()), f"<u{width}")
+
+
+def count_ids(ids: DataFrame) -> list[tuple[int, int]]:
+    """(id, count) over a table of IDS. As many rows as the vocabulary has ids."""
 
     def counted(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        words = Words(tokenizer)
-        total = np.zeros(words.size + 2, np.int64)
+        total = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            for _, texts in _steps(batch.column(0)):
-                total += np.bincount(words.ids(texts)[0], minlength=len(total))
-        ids = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids], pa.int64())], ["id", "n"])
-
-    sums = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+            for _, _, x in _arrays(batch):
+                n = np.bincount(x, minlength=len(total))
+                n[: len(total)] += total
+                total = n
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], ["id", "n"])
+
+    sums = ids.mapInArrow(counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     return [(r["id"], r["n"]) for r in sums.collect()]
 
 
-def _coded(docs: DataFrame, tokenizer: str, lengths) -> DataFrame:
-    """doc_id, n_ids, marks, data per row."""
+def _coded(ids: DataFrame, lengths) -> DataFrame:
+    """doc_id, n_ids, marks, data per row of IDS."""
 
     def coded(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        words, code = Words(tokenizer), Code(lengths)
+        code = Code(lengths)
         for batch in batches:
-            for k, texts in _steps(batch.column(1)):
-                ids, ends = words.ids(texts)
-                data, after, marks, upto = code.encode(ids, ends)
-                first, low = np.concatenate(([0], after)), np.concatenate(([0], upto))
+            for _, rows, x in _arrays(batch):
+                data, after, marks, upto = code.encode(x, np.cumsum(rows.column(1).to_numpy()))
+                first, low = np.concatenate(([0], after)).tolist(), np.concatenate(([0], upto)).tolist()
                 marks = marks.astype(np.uint32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(k, len(texts)),
-                        pa.array(np.diff(np.concatenate(([0], ends))), pa.int64()),
-                        pa.array([marks[a:b].tobytes() for a, b in zip(low[:-1], low[1:])], pa.binary()),
-                        pa.array([data[a:b] for a, b in zip(first[:-1], first[1:])], pa.binary()),
-                    ],
-                    ["doc_id", "n_ids", "marks", "data"],
-                )
+                blobs = [pa.array([v[a:b] if v is data else v[a:b].tobytes() for a, b in zip(c[:-1], c[1:])], pa.binary()) for v, c in ((marks, low), (data, first))]
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *blobs], ["doc_id", "n_ids", "marks", "data"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(coded, "doc_id long, n_ids long, marks binary, data binary")
+    return ids.mapInArrow(coded, "doc_id long, n_ids long, marks binary, data binary")
 
 
 def _chunked(batches: Iterator) -> Iterator:
@@ -285,13 +371,14 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, max_bits
     """Writes the ids of docs(doc_id, text) under `path`: `code` (one row with the code lengths) and `chunks`, in ascending doc_id order."""
     spark = docs.sparkSession
     tokenizer = tokenizer or default_tokenizer()
-    found = count_ids(docs, tokenizer)
+    raw = written(tokenized(docs, tokenizer), f"{work_dir(spark)}/raw_ids", compression="zstd")
+    found = count_ids(raw)
     counts = [0] * (1 + max([i for i, _ in found], default=0))
     for i, n in found:
         counts[i] = n
     lengths = code_lengths(counts, max_bits)
     spark.createDataFrame([(bytearray(lengths.tobytes()), STRIDE)], "lengths binary, stride int").coalesce(1).write.mode("overwrite").parquet(f"{path}/code")
-    rows = _coded(docs, tokenizer, lengths)
+    rows = _coded(raw, lengths)
     # the hash parts rows with one doc_id; it sets the order among them, too
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.withColumn("tie", F.xxhash64("n_ids", "data")).repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
