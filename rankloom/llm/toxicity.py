@@ -21,7 +21,7 @@ from rankloom.llm.common import least_hashed, table, work_dir, written
 FIT_ROWS = 8000
 #: Terms: lengths of word beginnings; the most; the least log-likelihood ratio (about one term in a million by chance); the least odds ratio.
 PREFIXES, MAX_TERMS, MIN_G2, MIN_ODDS = (4, 5, 6), 2000, 24.0, 4.0
-NEIGHBOURS, BLOCK, EVIDENCE = 15, 64, 3
+NEIGHBOURS, BLOCK, EVIDENCE = 15, 1024, 3
 THRESHOLD = 0.7
 #: Pseudo-similarity of a vote for the labels' overall share.
 PRIOR = 0.1
@@ -97,32 +97,29 @@ class Index:
 
     def nearest(self, query: list[tuple[int, float]], k: int = NEIGHBOURS, without: int = -1) -> list[tuple[float, int]]:
         """The k examples of the largest positive cosines, exactly; of equals, the first ones. `without` is left out."""
-        import heapq
-
         import numpy as np
 
         if not query or not self.n:
             return []
-        bound = sum(x * self.largest[t] for t, x in query)
-        top: list[tuple[float, int]] = []  # (cosine, -place), least first
+        bound = sum(x * self.largest[t] for t, x in query) * (1 + 1e-9) + 1e-9
+        best, at = np.zeros(0), np.zeros(0, np.int64)
         for b in np.lexsort((np.arange(self.blocks), -bound)).tolist():
-            if bound[b] <= 0:
+            if bound[b] <= 1e-9 or len(at) == k and bound[b] < best[-1]:
                 break
-            if len(top) == k and (bound[b] * (1 + 1e-9) < top[0][0] or bound[b] <= top[0][0] and b * BLOCK > -top[0][1]):
-                if bound[b] * (1 + 1e-9) < top[0][0]:
-                    break
-                continue
             score = np.zeros(BLOCK)
             for t, x in query:
                 own = self.postings.get(t, {}).get(b)
                 if own:
                     score[own[0]] += x * own[1]
             score = np.round(score, 9)
-            for j in np.flatnonzero(score > 0).tolist():
-                e = b * BLOCK + j
-                if e != without:
-                    (heapq.heappush if len(top) < k else heapq.heappushpop)(top, (float(score[j]), -e))
-        return [(s, -e) for s, e in sorted(top, reverse=True)]
+            if b * BLOCK <= without < (b + 1) * BLOCK:
+                score[without - b * BLOCK] = 0.0
+            new = np.flatnonzero((score > 0) & (score >= best[-1]) if len(at) == k else score > 0)
+            if len(new):
+                best, at = np.concatenate([best, score[new]]), np.concatenate([at, new + b * BLOCK])
+                order = np.lexsort((at, -best))[:k]
+                best, at = best[order], at[order]
+        return list(zip(best.tolist(), at.tolist()))
 
 
 def vote(found: list[tuple[float, int]], labels: list[int], weight: tuple[float, float], prior: float) -> float:

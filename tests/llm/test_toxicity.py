@@ -8,7 +8,9 @@ from rankloom.llm import toxicity as X
 from .conftest import prose
 
 
-def test_index_is_exact():
+@pytest.mark.parametrize("block", [8, 64, 1024])
+def test_index_is_exact(monkeypatch, block):
+    monkeypatch.setattr(X, "BLOCK", block)
     r = random.Random(1)
     vectors = []
     for _ in range(300):
