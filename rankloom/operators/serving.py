@@ -69,3 +69,25 @@ def dedupe_saved(saved: DataFrame, keys: list[str], newest: Column) -> DataFrame
     """One row per key, the newest."""
     w = Window.partitionBy(*keys).orderBy(newest)
     return saved.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+
+
+def page_buttons(current: int, total: int, shown: int = 5) -> list[int]:
+    """The page numbers to offer: `shown` of them around the current one, within 1 and total."""
+    first = max(1, min(current - shown // 2, total - shown + 1))
+    return list(range(first, min(total, first + shown - 1) + 1))
+
+
+def active_filters(types: list[str] | None, since: int | None) -> int:
+    return len(types or []) + (since is not None)
+
+
+def saved_valid(rows: DataFrame) -> DataFrame:
+    """Saved collections that have an id, a name and whole documents."""
+    ok = F.forall("documents", lambda d: d["id"].isNotNull() & d["result"].isNotNull() & d["savedAt"].isNotNull())
+    return rows.where("id is not null and trim(name) <> '' and documents is not null").where(ok)
+
+
+def save_document(saved: DataFrame, new: DataFrame) -> DataFrame:
+    """saved(name, doc_id, collection, saved_at) with new ones; of one name (in any letter case), document and collection, the newest."""
+    every = saved.unionByName(new).withColumn("__name", F.lower(F.trim("name")))
+    return dedupe_saved(every, ["__name", "doc_id", "collection"], F.desc("saved_at")).drop("__name")

@@ -123,3 +123,17 @@ def best_checkpoint(log: DataFrame, patience: int = 3) -> DataFrame:
     stop = worse.agg(F.min(F.when(F.col("worse") >= patience, F.col("step"))).alias("stopped_at"))
     seen = worse.crossJoin(F.broadcast(stop)).where("stopped_at is null or step <= stopped_at")
     return seen.groupBy("stopped_at").agg(F.min_by("step", F.struct(-F.col("value"), F.col("step"))).alias("step"), F.max("value").alias("value")).select("step", "value", "stopped_at")
+
+
+def metric_column(columns: list[str], metric: str = "ndcg@10") -> str:
+    """The evaluation column of a metric: eval_..._<metric>."""
+    found = [c for c in columns if c.startswith("eval_") and c.endswith(metric)]
+    if not found:
+        raise KeyError(f"no evaluation column of {metric}")
+    return found[0]
+
+
+def curve(log: DataFrame, start: float, metric: str = "value") -> DataFrame:
+    """step, value of a training curve, from the untrained model's value at step 0 on."""
+    spark = log.sparkSession
+    return spark.createDataFrame([(0, float(start))], "step long, value double").union(log.where(F.col(metric).isNotNull()).select("step", F.col(metric).alias("value"))).orderBy("step")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankloom import schemas
@@ -85,3 +85,37 @@ def latest_checkpoint(paths: DataFrame) -> DataFrame:
     """The path whose name ends in the largest number."""
     n = F.regexp_extract("path", r"-(\d+)$", 1)
     return paths.where(n != "").orderBy(n.cast("long").desc()).limit(1)
+
+
+def batches(rows: DataFrame, size: int = 256, limit: int | None = None, order: str = "doc_id") -> DataFrame:
+    """rows(doc_id, text) with a logical batch number, `size` non-blank texts each, in order. A limit of 0 gives none.
+
+    Numbers come from two levels: rows per range partition, then inside each.
+    """
+    if size < 1:
+        raise ValueError("a batch has one row at least")
+    rows = rows.where(F.trim("text") != "")
+    if limit is not None:
+        rows = rows.orderBy(order).limit(limit)
+    parted = rows.repartitionByRange(order).withColumn("__p", F.spark_partition_id())
+    ahead = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    base = parted.groupBy("__p").agg(F.count("*").alias("__n")).select("__p", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__base"))
+    own = F.row_number().over(Window.partitionBy("__p").orderBy(order))
+    numbered = parted.withColumn("__i", own).join(F.broadcast(base), "__p")
+    return numbered.withColumn("batch", F.floor((F.col("__base") + F.col("__i") - 1) / size)).drop("__p", "__i", "__base")
+
+
+def manifest_count(spark: SparkSession, path: str, name: str = "paragraphs") -> int | None:
+    """A count of a manifest, or None without one."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        row = spark.read.json(path).first()
+    except AnalysisException:
+        return None
+    return row[name] if row and name in row.asDict() else None
+
+
+def stopword_file(spark: SparkSession, path: str) -> list[str]:
+    """Lower-cased words of a file with one per line; blank lines are skipped."""
+    return [r[0] for r in spark.read.text(path).select(F.lower(F.trim("value")).alias("w")).where("w <> ''").distinct().orderBy("w").collect()]
