@@ -133,17 +133,16 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
 
     Rows that share doc_id, source and text are put apart again by their number, so that the words of all of them come out right.
     """
-    found = mix_documents(docs, **options).where("taken > 0")
-    times = found.select("doc_id", "key", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("times")).where("times > 0")
+    found = mix_documents(docs, **options)
+    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0)
     # equal rows differ in `taken` by their place alone; together they stay as often as the sum of their times
-    times = times.groupBy(F.col("doc_id").alias("__rl_id"), F.col("key").alias("__rl_key")).agg(F.sum("times").alias("__rl_sum"))
-    rows = found.groupBy(F.col("doc_id").alias("__rl_rid"), F.col("key").alias("__rl_rkey")).agg(F.count("*").alias("__rl_rows"))
-    times = times.join(rows, F.col("__rl_id").eqNullSafe(F.col("__rl_rid")) & (F.col("__rl_key") == F.col("__rl_rkey"))).select("__rl_id", "__rl_key", "__rl_sum", "__rl_rows")
+    times = found.groupBy(F.col("doc_id").alias("__rl_id"), F.col("key").alias("__rl_key")).agg(F.sum(times).cast("int").alias("__rl_sum"), F.count("*").alias("__rl_rows")).where("__rl_sum > 0")
+    times = written(times, f"{work_dir(docs.sparkSession)}/times")
     out = docs.join(times, docs["doc_id"].eqNullSafe(F.col("__rl_id")) & (_key(docs["text"], docs["source"]) == F.col("__rl_key")))
     one = out.where("__rl_rows = 1")
     # equal rows are made one, then dealt out again
     many = out.where("__rl_rows > 1").dropDuplicates(["doc_id", "text", "source"])
-    return one.union(many).withColumn("__rl_copy", F.explode(F.sequence(F.lit(1), F.col("__rl_sum").cast("int")))).select(*docs.columns)
+    return one.union(many).withColumn("__rl_copy", F.explode(F.sequence(F.lit(1), F.col("__rl_sum")))).select(*docs.columns)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
