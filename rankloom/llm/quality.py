@@ -179,18 +179,21 @@ def _binned(batches: Iterator, forest: dict) -> Iterator:
 
 
 def threshold(bins: list[tuple[int, int, int]]) -> float:
-    """The score (in steps of 1/2000) from which on documents are rejected: of those that lose GOOD_LOSS of the good rows at most, the
-    one that rejects most of the bad, and of equals the highest."""
-    good, bad = sum(n for _, q, n in bins if q == 1), sum(n for _, q, n in bins if q == 0)
-    best, at, lost, caught = (0, 2.0), 2.0, 0, 0
-    for s in sorted({s for s, _, _ in bins}, reverse=True):
+    """The score from which on documents are rejected; bins: score in steps of 1/2000, quality, rows.
+
+    Of the bins that, rejected with all above, lose GOOD_LOSS of the good rows at most, the one that adds the last bad rows; the threshold
+    lies midway between it and the next one below. 2 without bad rows: nothing is rejected.
+    """
+    good = sum(n for _, q, n in bins if q == 1)
+    scores = sorted({s for s, _, _ in bins}, reverse=True)
+    at, lost = 2.0, 0
+    for s, below in zip(scores, [*scores[1:], None]):
         lost += sum(n for b, q, n in bins if b == s and q == 1)
-        caught += sum(n for b, q, n in bins if b == s and q == 0)
         if lost > GOOD_LOSS * good:
             break
-        if caught > best[0]:
-            best = (caught, s / 2000)
-    return best[1] if bad else at
+        if any(b == s and q == 0 for b, q, _ in bins):
+            at = s / 2000 if below is None else (s + below + 1) / 4000
+    return at
 
 
 def _judged(c, model: dict):
