@@ -111,7 +111,8 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     keys = kept.select(F.col("k.doc_id").alias("__rl_id"), F.col("k.text_key").alias("__rl_key"))
     times = found.groupBy(F.col("doc_id").alias("__rl_id"), F.col("text_key").alias("__rl_key")).count().select("__rl_id", "__rl_key", (F.col("count") > 1).alias("__rl_many"))
     keys = written(keys.join(times, keys["__rl_id"].eqNullSafe(times["__rl_id"]) & (keys["__rl_key"] == times["__rl_key"])).select(keys["__rl_id"], keys["__rl_key"], "__rl_many"), f"{path}/kept")
-    one = lambda many: docs.join(keys.where(F.col("__rl_many") == many), docs["doc_id"].eqNullSafe(F.col("__rl_id")) & (F.xxhash64(docs["text"]) == F.col("__rl_key")), "left_semi")
+    # the keys grow with the documents: they are never broadcast
+    one = lambda many: docs.join(keys.where(F.col("__rl_many") == many).hint("merge"), docs["doc_id"].eqNullSafe(F.col("__rl_id")) & (F.xxhash64(docs["text"]) == F.col("__rl_key")), "left_semi")
     return one(False).union(one(True).dropDuplicates(["doc_id", "text"]))
 
 
