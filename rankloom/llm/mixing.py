@@ -19,7 +19,7 @@ BLOCK_WORDS = 1024
 #: frac(golden ratio), and frac(2^20 x golden ratio): a slot number is split in two, so that points stay exact to 2^-40 or so.
 PHI, PHI_20, LOW = 0.6180339887498949, 0.5779302058079734, 1 << 20
 #: Documents (schedule slots) that one bucket of a source's running sums holds, about.
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 4096
 
 
 def point(i: Column) -> Column:
@@ -138,7 +138,8 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     # equal rows differ in `taken` by their place alone; together they stay as often as the sum of their times
     times = found.groupBy(F.col("doc_id").alias("__rl_id"), F.col("key").alias("__rl_key")).agg(F.sum(times).cast("int").alias("__rl_sum"), F.count("*").alias("__rl_rows")).where("__rl_sum > 0")
     times = written(times, f"{work_dir(docs.sparkSession)}/times")
-    out = docs.join(times, docs["doc_id"].eqNullSafe(F.col("__rl_id")) & (_key(docs["text"], docs["source"]) == F.col("__rl_key")))
+    # the times grow with the documents: they are never broadcast
+    out = docs.join(times.hint("merge"), docs["doc_id"].eqNullSafe(F.col("__rl_id")) & (_key(docs["text"], docs["source"]) == F.col("__rl_key")))
     one = out.where("__rl_rows = 1")
     # equal rows are made one, then dealt out again
     many = out.where("__rl_rows > 1").dropDuplicates(["doc_id", "text", "source"])
