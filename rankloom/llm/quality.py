@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import table, work_dir, written
+from rankloom.llm.common import least_hashed, table, work_dir, written
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -152,7 +152,7 @@ def fit(counted: DataFrame, labels: DataFrame) -> dict:
     edge = counted.agg(*[F.max(F.expr(x)).alias(f"m{i}") for i, x in enumerate(_sql_statistics())]).first()
     passed = counted.where(f"n_words >= {MIN_WORDS} and 100 * n_repeat_words <= {MAX_REPEAT_PERCENT} * n_words")
     known = passed.join(labels.select(F.col("doc_id").alias("__rl_id"), "quality").where("quality is not null"), F.col("doc_id") == F.col("__rl_id"))
-    good = known.where("quality = 1").orderBy(F.xxhash64("doc_id"), "doc_id", *cols).select(*cols).limit(FIT_ROWS).collect()
+    good = least_hashed(known.where("quality = 1"), "doc_id", FIT_ROWS, *cols).select(*cols).collect()
     if len(good) < 2:
         return {"forest": None, "threshold": 2.0}
     rows = statistics([tuple(r) for r in good])
