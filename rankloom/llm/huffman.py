@@ -21,7 +21,7 @@ from rankloom.llm.common import table, work_dir, written
 #: End of document; ids between checkpoints; longest code at least (more if the vocabulary needs it); coded bytes in a chunk, about.
 END_ID, STRIDE, MAX_BITS, CHUNK_BYTES = 1, 256, 16, 1 << 19
 #: Distinct words whose ids a worker keeps, in each of two generations.
-KNOWN_WORDS = 250_000
+KNOWN_WORDS = 500_000
 MAGIC = b"RLHC0001"
 _SEPARATORS = re.compile("[\x1c-\x1f]").search
 
@@ -218,7 +218,7 @@ class Words:
         parts = self.parts
         new = list({p for c in cuts for p in c if p not in parts})
         if new:
-            if len(parts) > 2 * KNOWN_WORDS:
+            if len(parts) > KNOWN_WORDS:
                 parts.clear()
                 new = list({p for c in cuts for p in c})
             for k in range(0, len(new), 8192):
