@@ -50,7 +50,9 @@ def test_odd_rows(odd, none):
     got = Counter((r["doc_id"], r["fp"] % (1 << 64), r["component_id"]) for r in simhash.near_duplicates(odd).collect())
     assert got == expected
     kept = simhash.drop_near_duplicates(odd)
-    assert kept.columns == odd.columns and kept.count() == len({c for *_, c in expected})
+    # two components may have one least id: an id that is given to different texts
+    classes = set(groups(list(enumerate(f for _, f in items))))
+    assert kept.columns == odd.columns and kept.count() == len(classes) == 7
     assert simhash.near_duplicates(none).count() == 0 and simhash.drop_near_duplicates(none).count() == 0
 
 
