@@ -1,6 +1,6 @@
 """The corpus pipeline: documents go through STAGES in order, each written as Parquet and read again as the next one's input.
 
-1 quality rules (rejected documents go), 2 SimHash near-dedup (one document of each group stays), 3 benchmark decontamination (documents
+1 quality rules (rejected documents go), 2 near-dedup by five-word shingles (one document of each group stays), 3 benchmark decontamination (documents
 that hold a benchmark item go), 4 mixing sources to target weights (documents are left out or repeated), 5 sharding (every row gets its
 place). All stages but the last return the columns of documents.
 """
@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import decontamination, mixing, quality, sharding, simhash
+from rankloom.llm import decontamination, mixing, near_dedup as near, quality, sharding
 from rankloom.llm.common import table, work_dir, written
 
 
@@ -21,7 +21,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.drop_near_duplicates(docs)
+    return near.drop_near_duplicates(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

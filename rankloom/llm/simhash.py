@@ -100,13 +100,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, of which one is left for each component: that of its component_id.
+    """The rows of docs, with all their columns, of which one is left for each component, as keep_one() says."""
+    return keep_one(docs, near_duplicates(docs))
+
+
+def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of docs of which one is left for each component of found(doc_id, text_key, root, component_id): that of its component_id.
 
     A component whose ids are all null keeps the row with the least text_key. Rows that repeat both the kept id and its text are left once.
     """
-    spark = docs.sparkSession
-    path = work_dir(spark)
-    found = near_duplicates(docs)
+    path = work_dir(docs.sparkSession)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("k"))
     keys = kept.select(F.col("k.doc_id").alias("__rl_id"), F.col("k.text_key").alias("__rl_key"))
     times = found.groupBy(F.col("doc_id").alias("__rl_id"), F.col("text_key").alias("__rl_key")).count().select("__rl_id", "__rl_key", (F.col("count") > 1).alias("__rl_many"))
