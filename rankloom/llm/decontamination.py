@@ -4,7 +4,7 @@ Texts become sequences of template tokens: numbers, units and names turn into ty
 words are lower-cased. Windows of template tokens are hash-joined with the windows of the benchmark; matches of one item that lie on one
 diagonal are put together, and their slots must agree with the item's by a one-to-one renaming. A question that was copied with other
 numbers or names is caught; a text that only shares a pattern of placeholders is not. Each text has a second template in which names
-stay words: so a copy in other letter case is caught as well.
+stay words: so a copy in other letter case is caught as well. In a third one, capitalised words that begin a sentence are names too.
 
 Workers first hash a batch's windows in array operations; only documents with a window of the benchmark are looked at closely.
 
@@ -36,6 +36,9 @@ UNITS = frozenset(
     "usd eur gbp dollar dollars euro euros pound pounds cent cents percent % $ € £ ° c f degree degrees kwh w kw v a hz mph kmh".split()
 )
 NUMBER, UNIT, NAME = "<number>", "<unit>", "<name>"
+#: Templates: names inside sentences (True), no names (False), and names at the beginnings of sentences too.
+EVERY = 2
+TEMPLATES = (True, False, EVERY)
 
 _TOKEN = re.compile(r"[0-9]+(?:[.,:/][0-9]+)*|[^\W\d_]+(?:['’-][^\W\d_]+)*|[%$€£°]|[.!?]")
 
@@ -51,11 +54,11 @@ def _kind(token: str) -> int:
     return 3 if token[0].isupper() and len(token) > 1 and token[1:].islower() else 0
 
 
-def template(text: str | None, names: bool = True) -> tuple[list[str], list[str]]:
+def template(text: str | None, names: int = True) -> tuple[list[str], list[str]]:
     """Template tokens and, for each, its value: '' for plain words.
 
     Numbers are digits with inner separators. A unit is a word or sign of UNITS beside a number. With `names`, a capitalised word that
-    does not begin a sentence or line is a name. Other words are taken as they are, in lower case; punctuation goes.
+    does not begin a sentence or line is a name; with EVERY, one that does as well. Other words are taken as they are, in lower case; punctuation goes.
     """
     words: list[tuple[str, int, bool]] = []
     for line in (text or "").split("\n"):
@@ -70,7 +73,7 @@ def template(text: str | None, names: bool = True) -> tuple[list[str], list[str]
     for k, (w, kind, begins) in enumerate(words):
         low = w.lower()
         beside = k and words[k - 1][1] == 1 or k + 1 < len(words) and words[k + 1][1] == 1
-        token = NUMBER if kind == 1 else UNIT if kind == 2 and beside else NAME if kind == 3 and names and not begins else low
+        token = NUMBER if kind == 1 else UNIT if kind == 2 and beside else NAME if kind == 3 and names and (names == EVERY or not begins) else low
         tokens.append(token)
         values.append(low if token in (NUMBER, UNIT, NAME) else "")
     return tokens, values
@@ -103,7 +106,7 @@ def window_hashes(tokens: list[str]):
 
 
 class Index:
-    """The windows of a block of benchmark items, for both templates: where each hash occurs, and a bitmap for quick refusal."""
+    """The windows of a block of benchmark items, for all templates: where each hash occurs, and a bitmap for quick refusal."""
 
     BITS = 22
 
@@ -112,7 +115,7 @@ class Index:
 
         self.items, self.places = {}, defaultdict(list)
         for item, text in items:
-            for names in (True, False):
+            for names in TEMPLATES:
                 tokens, values = template(text, names)
                 h = window_hashes(tokens)
                 self.items[item, text, names] = (tokens, values, len(h))
@@ -134,7 +137,7 @@ class Index:
     def matches(self, text: str | None) -> list[tuple]:
         """(item, share of its windows, longest run of tokens, renamed slots, first token in the text) of the items that a text holds."""
         best: dict[object, tuple] = {}
-        for names in (True, False):
+        for names in TEMPLATES:
             tokens, values = template(text, names)
             # windows on one diagonal (text position minus item position) belong to one copy
             diagonals: dict[tuple, list[int]] = defaultdict(list)
@@ -248,7 +251,7 @@ class Scanner:
         unit = (kind == 2) & (number[:-2] & same[:-1] | number[2:] & same[1:])
         plain = np.where(kind == 1, self.fixed[NUMBER], np.where(unit, self.fixed[UNIT], h))
         found = set()
-        for a in (np.where((kind == 3) & ~begins, self.fixed[NAME], plain), plain):
+        for a in (np.where((kind == 3) & ~begins, self.fixed[NAME], plain), plain, np.where((kind == 3) & ~unit, self.fixed[NAME], plain)):
             if len(a) >= WINDOW:
                 hit = self.index.has(_rolled(a, WINDOW))
                 found.update(text[hit[text[hit] == text[hit + WINDOW - 1]]].tolist())

@@ -52,3 +52,17 @@ def test_blocks_and_odd_rows(spark, odd, none):
     clean = D.drop_contaminated(odd, bench, 40)
     assert clean.columns == odd.columns and clean.count() == odd.count() - 3
     assert D.find_contaminated(none, bench).count() == 0 and D.find_contaminated(odd, bench.limit(0)).count() == 0 and D.drop_contaminated(odd, bench.limit(0)).count() == odd.count()
+
+
+APPLES = "Anna has 5 apples. Peter gives her 3 more apples. Mary eats 2 of them. How many apples has Anna now?"
+
+
+def test_names_that_begin_sentences(spark):
+    copy = APPLES.replace("Anna", "Carla").replace("Peter", "Marco").replace("Mary", "Lisa").replace("5", "8").replace("3", "4")
+    text = f"{prose(1, 30)}.\n{copy}\n{prose(2, 30)}"
+    assert held(text, APPLES) == [0] and D.Scanner(D.Index([(0, APPLES)])).candidates([text]) == [0]
+    docs, bench = spark.createDataFrame([(1, text), (2, prose(5, 90))], "doc_id long, text string"), spark.createDataFrame([(0, APPLES)], "item_id long, text string")
+    assert [r["doc_id"] for r in D.find_contaminated(docs, bench).collect()] == [1]
+    assert [r["doc_id"] for r in D.drop_contaminated(docs, bench).collect()] == [2]
+    # not renamed one to one
+    assert held(copy.replace("Marco", "Carla").replace("Lisa", "Carla"), APPLES) == []
