@@ -2,7 +2,7 @@
 
 Texts become sequences of template tokens: numbers, units and names turn into typed placeholders whose values are kept as slots, other
 words are lower-cased. Windows of template tokens are hash-joined with the windows of the benchmark; matches of one item that lie on one
-diagonal are put together, and their slots must agree with the item's by a one-to-one renaming. A question that was copied with other
+diagonal, or on neighbouring ones in order, are put together, and their slots must agree with the item's by a one-to-one renaming. A question that was copied with other
 numbers or names is caught; a text that only shares a pattern of placeholders is not. Each text has a second template in which names
 stay words: so a copy in other letter case is caught as well. In a third one, capitalised words that begin a sentence are names too.
 
@@ -15,6 +15,7 @@ benchmark takes more passes over the documents, and loses nothing.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -25,6 +26,8 @@ from rankloom.llm.common import table
 
 #: Template tokens in a window; share of an item's windows that a document must hold; or so many tokens on end.
 WINDOW, CONTAINED, RUN = 5, 0.8, 13
+#: Diagonals of an item that lie so near are one copy with words put in or left out; items from JOINED tokens on are joined so.
+SHIFT, JOINED = 4, 2 * WINDOW
 #: Share of an item's matched tokens that may be renamed slots, at most: more would match on placeholders alone.
 MAX_RENAMED = 0.4
 #: Windows of the benchmark that a block may have (about 100 bytes each).
@@ -137,6 +140,8 @@ class Index:
     def matches(self, text: str | None) -> list[tuple]:
         """(item, share of its windows, longest run of tokens, renamed slots, first token in the text) of the items that a text holds."""
         best: dict[object, tuple] = {}
+        near: dict[tuple, list[tuple[int, int]]] = defaultdict(list)
+        texts: dict[int, tuple] = {}
         for names in TEMPLATES:
             tokens, values = template(text, names)
             # windows on one diagonal (text position minus item position) belong to one copy
@@ -149,6 +154,19 @@ class Index:
                 found = self._verified((item, own, names), shift, ks, tokens, values)
                 if found and (found[0] >= CONTAINED or found[1] >= RUN) and found[:2] > best.get(item, (0, 0))[:2]:
                     best[item] = found
+            for (item, own, shift), ks in diagonals.items():
+                near[item, own, names].extend((shift, k) for k in ks)
+            texts[names] = tokens, values
+        # the template with most slots comes first: what disagrees there is no copy in another
+        wrong = set()
+        for names in (EVERY, True, False):
+            for key, at in near.items():
+                if key[2] == names and key[0] not in best and key[:2] not in wrong:
+                    found = self._joined(key, at, *texts[names])
+                    if found:
+                        best[key[0]] = found
+                    elif found is False:
+                        wrong.add(key[:2])
         return sorted(((i, *x) for i, x in best.items()), key=lambda x: (-x[1], -x[2], x[0] is None, x[0] or 0))
 
     def _verified(self, key: tuple, shift: int, ks: list[int], tokens: list[str], values: list[str]):
@@ -180,6 +198,83 @@ class Index:
             return None
         return good / windows, longest, len(changed), shift + min(covered)
 
+    def _joined(self, key: tuple, at: list[tuple[int, int]], tokens: list[str], values: list[str]):
+        """The same as _verified() over windows (shift, place) on neighbouring diagonals: the share is that of the item's tokens which match in order.
+
+        A changed word costs one token here, not all windows that hold it. None below CONTAINED, or if windows have less than half of the item, or if any slots disagree (False).
+        """
+        own, slots, _ = self.items[key]
+        n = len(own)
+        if n < JOINED:
+            return None
+        at, best, wrong = sorted(at), None, False
+        for start in sorted({shift for shift, _ in at}):
+            windows = [(k, shift) for shift, k in at[bisect_left(at, (start, -1)) : bisect_left(at, (start + SHIFT + 1, -1))]]
+            if 2 * WINDOW * len(windows) < n:
+                continue
+            found = self._chained(own, slots, sorted(windows), tokens, values)
+            wrong = wrong or found is False
+            if found and (best is None or found[:2] > best[:2]):
+                best = found
+        return best or (False if wrong else None)
+
+    @staticmethod
+    def _chained(own: list[str], slots: list[str], windows: list[tuple[int, int]], tokens: list[str], values: list[str]):
+        n = len(own)
+        there: dict[tuple, str] = {}
+        back: dict[tuple, str] = {}
+        places: dict[int, int] = {}
+        changed, wrong = set(), set()
+
+        def take(j: int, p: int) -> bool:
+            """Matches the item's token j with the text's token p if template and slots agree."""
+            if not 0 <= p < len(tokens) or own[j] != tokens[p]:
+                return False
+            if slots[j]:
+                a, b = (own[j], slots[j]), (own[j], values[p])
+                if there.get(a, b[1]) != b[1] or back.get(b, a[1]) != a[1]:
+                    wrong.add(j)
+                    return False
+                there[a], back[b] = b[1], a[1]
+                if a != b:
+                    changed.add(j)
+            places[j] = p
+            return True
+
+        last = -1
+        for k, shift in windows:
+            for j in range(k, k + WINDOW):
+                if j not in places and j + shift > last and take(j, j + shift):
+                    last = j + shift
+        if 2 * len(places) < n:
+            return None
+        if wrong:
+            return False
+        # single tokens between and beside the windows, on the diagonal of the match before or after
+        bound, shift, before = [len(tokens)] * n, None, -1
+        for j in range(n - 1, 0, -1):
+            bound[j - 1] = places.get(j, bound[j])
+        for j in range(n):
+            if j not in places and shift is not None and before < j + shift < bound[j]:
+                take(j, j + shift)
+            if j in places:
+                shift, before = places[j] - j, places[j]
+        bound, shift, after = [-1] * n, None, len(tokens)
+        for j in range(n - 1):
+            bound[j + 1] = places.get(j, bound[j])
+        for j in range(n - 1, -1, -1):
+            if j not in places and shift is not None and bound[j] < j + shift < after:
+                take(j, j + shift)
+            if j in places:
+                shift, after = places[j] - j, places[j]
+        if wrong or len(places) < CONTAINED * n or len(changed) > MAX_RENAMED * len(places):
+            return None
+        run = longest = 0
+        for j in range(n):
+            run = run + 1 if j in places and places.get(j - 1, places[j] - 1) == places[j] - 1 else int(j in places)
+            longest = max(longest, run)
+        return len(places) / n, longest, len(changed), min(places.values())
+
 
 class Scanner:
     """Finds the texts of a batch that share a window with an index. Keeps what it knows of raw words up to a bound."""
@@ -297,7 +392,8 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, limit: int = BLOCK_
     """doc_id, item_id, contained, run, renamed, start: a row for each document and each benchmark item that it holds.
 
     A document holds an item if, on one diagonal, at least CONTAINED of the item's windows match, or a run of RUN tokens does, with slots
-    that agree by a one-to-one renaming of at most MAX_RENAMED of the tokens. contained: that share; run: tokens in the longest run;
+    that agree by a one-to-one renaming of at most MAX_RENAMED of the tokens. So does one that holds CONTAINED of the tokens of an item of
+    JOINED tokens or more, in order, on diagonals at most SHIFT apart, with half of the item in matching windows and no slots that disagree. contained: that share; run: tokens in the longest run;
     renamed: slots with another value; start: the match's first token in the document. An item of fewer tokens than a window is held only by
     a document that is that item, as short ones would be found in clean texts.
     Null and empty texts and items match nothing. Repeated documents are rows of their own; repeated items count once. An empty table

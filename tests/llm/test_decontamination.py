@@ -66,3 +66,15 @@ def test_names_that_begin_sentences(spark):
     assert [r["doc_id"] for r in D.drop_contaminated(docs, bench).collect()] == [2]
     # not renamed one to one
     assert held(copy.replace("Marco", "Carla").replace("Lisa", "Carla"), APPLES) == []
+
+
+def test_short_items_with_a_changed_word():
+    item = "Please send the seven video clips to Anna Smith in April because the club meets again then"
+    words, around = item.split(), f"{prose(1, 30)}.\n{{}}\n{prose(2, 30)}"
+    copies = [words[:8] + ["old"] + words[8:], words[:7] + words[8:], words[:6] + ["for"] + words[7:]]
+    for copy in [*map(" ".join, copies), item.replace("Anna Smith", "Carla")]:
+        assert held(around.format(copy), item) == [0], copy
+    # less than 0.8 of the tokens, another order, and pieces far apart
+    assert held(around.format(" ".join(words[:8])), item) == []
+    assert held(around.format(" ".join(words[8:] + words[:8])), item) == []
+    assert held(around.format(" ".join(words[:8]) + " " + prose(3, 20) + " " + " ".join(words[8:])), item) == []
