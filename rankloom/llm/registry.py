@@ -22,6 +22,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     return {
-        "op1_simhash_near_dedup": simhash.op1,
+        "op3_line_dedup": line_dedup.SQL,
         "op4_source_mixing": mixing.SQL,
     }
