@@ -1,4 +1,9 @@
 import itertools
+import random
+
+import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 import corpus_pipeline as P
 from rankloom.llm import near_dedup as N
@@ -44,6 +49,31 @@ def test_near_and_merely_similar(spark, sf):
     assert sorted(r["doc_id"] for r in dict(P.STAGES)["near_dedup"](spark, docs, sf).collect()) == sorted(set(brute(rows)))
 
 
+def test_edited_copies_against_all_pairs(spark):
+    """A group whose members were edited apart, some alike: buckets stay open after the first round, and the prefix search decides."""
+    r, words = random.Random(5), prose(21, 120).split()
+    rows = []
+    for k in range(160):
+        own = list(words)
+        for _ in range(r.randrange(9)):
+            own[r.randrange(len(own))] = f"e{r.randrange(3)}" if k % 2 else f"own{k}x{r.randrange(50)}"
+        rows.append((k, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(x["doc_id"], x["component_id"]) for x in N.near_duplicates(docs).collect()}
+    assert found == set(zip((i for i, _ in rows), brute(rows))) and 5 < len({c for _, c in found}) < 155
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.integers(0, 10**6), st.integers(1, 400), st.floats(0, 0.3))
+def test_sketch_rules_out_no_similar_pair(seed, n, share):
+    r = random.Random(seed)
+    a = {r.getrandbits(64) for _ in range(n)}
+    b = {x for x in a if r.random() > share} | {r.getrandbits(64) for _ in range(int(n * share / 2))}
+    x, y = (N.parities(np.array(sorted(s), np.uint64)) for s in (a, b))
+    apart = sum(((p ^ q) & (1 << 64) - 1).bit_count() for p, q in zip(x, y))
+    assert len(x) == N.CELLS // 64 and apart <= len(a ^ b)
+
+
 def test_odd_rows(spark, odd, none):
     kept = N.drop_near_duplicates(odd)
     assert kept.columns == odd.columns and kept.where("doc_id = 4").count() == 1 and kept.where("doc_id = 8").count() == 0
