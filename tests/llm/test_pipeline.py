@@ -2,11 +2,10 @@ import zlib
 from collections import Counter
 
 import corpus_pipeline as P
-from rankloom.llm import decontamination, mixing, quality, simhash
+from rankloom.llm import mixing, quality
 from rankloom.llm.common import written
 
-from .test_simhash import brute as fingerprint
-from .test_simhash import groups
+from .test_near_dedup import brute as near
 
 
 def test_stages_against_brute_force(spark, sf, tmp_path):
@@ -21,7 +20,7 @@ def test_stages_against_brute_force(spark, sf, tmp_path):
     rows = good.collect()
     assert good.columns == columns and {r["doc_id"] for r in rows} == kept and len(rows) == len(kept)
 
-    component = groups([(r["doc_id"], fingerprint(r["text"])) for r in rows])
+    component = near([(r["doc_id"], r["text"]) for r in rows])
     unique = step("near_dedup", good)
     rows = unique.collect()
     assert unique.columns == columns and sorted(r["doc_id"] for r in rows) == sorted(set(component))
