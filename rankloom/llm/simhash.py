@@ -69,14 +69,15 @@ def links(nodes: DataFrame) -> DataFrame:
     asked = stored.select(F.col("fp").alias("q"), "side", F.col("key").alias("near"), F.explode(near).alias("bit")).select("q", "side", F.col("near").bitwiseXOR(F.col("bit")).alias("key"))
     large = written(stored.groupBy("side", "key").count().where(F.col("count") > LARGE_BUCKET).select("side", "key"), f"{work_dir(nodes.sparkSession)}/large")
     close = (F.col("q") < F.col("fp")) & (F.bit_count(F.col("q").bitwiseXOR(F.col("fp"))) <= MAX_DISTANCE)
-    usual = asked.join(stored.join(large, ["side", "key"], "left_anti"), ["side", "key"]).where(close).select("q", "fp")
+    # explode() hides from the optimizer how many rows are asked: without the hint it would broadcast 33 for each stored one
+    usual = asked.hint("merge").join(stored.join(large, ["side", "key"], "left_anti"), ["side", "key"]).where(close).select("q", "fp")
 
     def by_byte(rows: DataFrame, fp: str) -> DataFrame:
         other = F.when(F.col("side") == 0, F.col(fp)).otherwise(F.shiftrightunsigned(fp, 32))
         cuts = F.array(*[F.struct(F.lit(k).alias("cut"), F.shiftrightunsigned(other, 8 * k).bitwiseAND(F.lit(255)).alias("byte")) for k in range(4)])
         return rows.join(large, ["side", "key"], "left_semi").withColumn("c", F.explode(cuts)).select("side", "key", fp, "c.cut", "c.byte")
 
-    crowded = by_byte(asked, "q").join(by_byte(stored, "fp"), ["side", "key", "cut", "byte"]).where(close).select("q", "fp")
+    crowded = by_byte(asked, "q").hint("merge").join(by_byte(stored, "fp"), ["side", "key", "cut", "byte"]).where(close).select("q", "fp")
     return usual.union(crowded).distinct().toDF("a", "b")
 
 

@@ -102,3 +102,9 @@ def test_long_text_and_bits():
     assert simhash.fingerprint(text.encode()) == brute(text)
     assert simhash.fingerprint(None) == simhash.fingerprint(b" \n") == 0
     assert simhash.fingerprint("ÀB c".encode()) == brute("ÀB c")
+
+
+def test_asked_values_are_merged_not_broadcast(spark):
+    nodes = spark.range(3000).select(F.xxhash64("id").alias("fp"))
+    plan = simhash.links(nodes)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("leftHint=(strategy=merge)") + plan.count("rightHint=(strategy=merge)") == 2
