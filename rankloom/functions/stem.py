@@ -45,7 +45,8 @@ def porter2(w: str) -> str:
     if w in _SPECIAL:
         return _SPECIAL[w]
     w = w.lstrip("'")
-    w = re.sub(rf"(^|(?<=[{_V}]))y", "Y", w)
+    # a y after a y that has become Y is a vowel again
+    w = re.sub(rf"([{_V}])y", r"\1Y", re.sub("^y", "Y", w))
     r1, r2 = _regions(w)
     w = re.sub("'s'$|'s$|'$", "", w)
     if w.endswith("sses"):
@@ -163,6 +164,28 @@ def stem(col: Column, kind: str = "snowball") -> Column:
     return stems(col)
 
 
+def stem_arrays(col: Column, kind: str = "snowball", depth: int = 1) -> Column:
+    """Arrays of words (of `depth` levels), stemmed in Arrow batches: of each batch, every distinct word once. Nothing is shuffled."""
+    if kind == "none":
+        return col
+    one = STEMMERS[kind]
+
+    def stems(lists):
+        import pyarrow as pa
+
+        def level(x):
+            if pa.types.is_list(x.type):
+                # a slice's offsets do not begin at 0
+                offsets = pa.compute.subtract(x.offsets, x.offsets[0])
+                return pa.ListArray.from_arrays(offsets, level(x.flatten()), mask=x.is_null() if x.null_count else None)
+            words = x.dictionary_encode()
+            return pa.array([one(w) for w in words.dictionary.to_pylist()], pa.string()).take(words.indices)
+
+        return level(lists)
+
+    return F.arrow_udf(stems, "array<" * depth + "string" + ">" * depth)(col)
+
+
 def stem_tokens(tokens: DataFrame, kind: str = "snowball", column: str = "term") -> DataFrame:
     """A table with a row per token (or term): each distinct word is stemmed once, and joined back."""
     if kind == "none":

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from rankloom.functions import stopwords
+from rankloom.functions.stem import stem_arrays
 
 # Patterns of what is cleaned away. White space and digits are those of Unicode.
 SPACE = r"\s\x0b\x1c-\x1f\x{85}\p{Z}"
@@ -41,7 +42,7 @@ class Tokenizing:
     min_token_length: int = 2
     drop_numeric: bool = True
     stopwords: tuple = field(default_factory=lambda: tuple(stopwords.build()))
-    stemming: str = "none"
+    stemming: str = "snowball"
 
     def __post_init__(self):
         if not isinstance(self.min_token_length, int) or self.min_token_length < 1:
@@ -59,7 +60,9 @@ class Tokenizing:
         return cls(**d)
 
 
-BASELINE = Tokenizing(split_underscores=False, min_token_length=1, drop_numeric=False, stopwords=tuple(stopwords.build(keep=("not", "no"))))
+BASELINE = Tokenizing(split_underscores=False, min_token_length=1, drop_numeric=False, stopwords=tuple(stopwords.build(keep=("not", "no"))), stemming="none")
+#: The usual settings without the last step.
+UNSTEMMED = Tokenizing(stemming="none")
 
 
 def known_keys(cls, d: dict) -> dict:
@@ -70,6 +73,13 @@ def known_keys(cls, d: dict) -> dict:
     return d
 
 
+def known_sections(d: dict, names: tuple) -> dict:
+    odd = sorted(set(d) - set(names))
+    if odd:
+        raise ValueError(f"unknown sections: {', '.join(map(str, odd))}")
+    return d
+
+
 def clean_math(t: Column) -> Column:
     """Inline math goes if the dollar signs pair up; commands always go. Each match becomes one space."""
     paired = F.length(F.regexp_replace(t, r"[^$]", "")) % 2 == 0
@@ -96,8 +106,8 @@ def clean_for_encoder(t: Column, cfg: Cleaning = Cleaning()) -> Column:
     return F.btrim(F.regexp_replace(F.regexp_replace(t, f"[{SPACE}]", " "), SPACE_BEFORE_MARK, "$1"))
 
 
-def tokenize(t: Column, cfg: Tokenizing = Tokenizing(), cleaning: Cleaning | None = None) -> Column:
-    """Tokens in order, repeats kept; null gives no tokens. Stemming is a step of its own, over distinct words (functions.stem)."""
+def words(t: Column, cfg: Tokenizing = Tokenizing(), cleaning: Cleaning | None = None) -> Column:
+    """Tokens in order before stemming, repeats kept; null gives no tokens. All of it runs inside the JVM."""
     t = F.coalesce(t, F.lit(""))
     t = clean_text(t, cleaning) if cleaning else t
     t = F.lower(t) if cfg.lowercase else t
@@ -113,6 +123,11 @@ def tokenize(t: Column, cfg: Tokenizing = Tokenizing(), cleaning: Cleaning | Non
     return F.filter(tokens, kept)
 
 
+def tokenize(t: Column, cfg: Tokenizing = Tokenizing(), cleaning: Cleaning | None = None) -> Column:
+    """Tokens in order, repeats kept, stemmed as cfg says; null gives no tokens."""
+    return stem_arrays(words(t, cfg, cleaning), cfg.stemming)
+
+
 def count_words(t: Column) -> Column:
     return F.coalesce(F.regexp_count(t, F.lit(WORD)), F.lit(0)).cast("long")
 

@@ -58,3 +58,28 @@ def manifest(papers: DataFrame, parts: DataFrame) -> DataFrame:
     a = papers.agg(F.count("*").alias("papers_read"), F.count_if(n > 0).alias("papers"), F.count_if(n == 0).alias("empty_papers"), F.coalesce(F.sum(n), F.lit(0)).cast("long").alias("paper_tokens"))
     b = parts.agg(F.count("*").alias("paragraphs_read"), F.count_if(n > 0).alias("paragraphs"), F.count_if(n == 0).alias("empty_paragraphs"), F.coalesce(F.sum(n), F.lit(0)).cast("long").alias("paragraph_tokens"))
     return a.crossJoin(F.broadcast(b))
+
+
+def texts(papers: DataFrame, parts: DataFrame, collection: str, cleaning: T.Cleaning | None = None, with_title: bool = False) -> DataFrame:
+    """doc_id, text of a collection for an encoder: papers are title and abstract, paragraphs their own text, after its title if wanted.
+
+    papers(doc_id, title, abstract), parts(doc_id, paper_id, text). What is empty after cleaning drops out.
+    """
+    if collection == "paper":
+        rows = papers.select("doc_id", T.title_and_abstract(F.col("title"), F.col("abstract")).alias("text"))
+    elif collection == "paragraph":
+        own = T.clean_for_encoder(F.col("text"), cleaning) if cleaning else F.col("text")
+        rows = parts.select("doc_id", "paper_id", own.alias("text")).where(F.trim("text") != "")
+        if with_title:
+            heads = papers.select(F.col("doc_id").alias("paper_id"), "title")
+            rows = rows.join(heads, "paper_id", "left").withColumn("text", T.title_and_text(F.col("title"), F.col("text")))
+        rows = rows.select("doc_id", "text")
+    else:
+        raise ValueError(f"unknown collection {collection!r}")
+    return rows.where(F.trim("text") != "")
+
+
+def neural_collection(papers: DataFrame, parts: DataFrame, cleaning: T.Cleaning = T.Cleaning()) -> DataFrame:
+    """doc_id, paper_id, title, text of the paragraphs whose cleaned text is not empty."""
+    rows = parts.select("doc_id", "paper_id", T.clean_for_encoder(F.col("text"), cleaning).alias("text")).where("text <> ''")
+    return rows.join(papers.select(F.col("doc_id").alias("paper_id"), "title"), "paper_id", "left").select("doc_id", "paper_id", F.coalesce("title", F.lit("")).alias("title"), "text")

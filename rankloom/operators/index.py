@@ -1,4 +1,6 @@
-"""Inverted index as tables: postings(term, doc_id, tf), doc_stats(doc_id, doc_length), term_stats(term, df, idf), one row of collection_stats."""
+"""Inverted index as tables: postings(term, doc_id, tf, doc_length), doc_stats(doc_id, doc_length), doc_norms(doc_id, norm),
+term_stats(term, df, cf, idf, tidf), one row of collection_stats. Postings carry their document's length, so that scoring joins no table of
+documents; TF-IDF norms are made once, with the index."""
 
 from __future__ import annotations
 
@@ -7,7 +9,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TABLES = ("postings", "doc_stats", "term_stats", "collection_stats")
+TABLES = ("postings", "doc_stats", "doc_norms", "term_stats", "collection_stats")
+#: Documents in a block of a packed posting list, about.
+BLOCK = 4096
 
 
 def bm25_idf(n: Column, df: Column) -> Column:
@@ -18,6 +22,7 @@ def bm25_idf(n: Column, df: Column) -> Column:
 class Index:
     postings: DataFrame
     doc_stats: DataFrame
+    doc_norms: DataFrame
     term_stats: DataFrame
     collection_stats: DataFrame
 
@@ -25,7 +30,32 @@ class Index:
         return self.term_stats.select("term")
 
     def term_postings(self, term: str) -> DataFrame:
-        return self.postings.where(F.col("term") == term)
+        """A term's postings, by id; no rows for an unknown term."""
+        return self.postings.where(F.col("term") == term).select("doc_id", "tf").orderBy("doc_id")
+
+    def doc_numbers(self) -> DataFrame:
+        """doc_id, number: places in the order of ids, from 0. Two levels: rows by range partition, then inside each."""
+        from pyspark.sql import Window
+
+        parted = self.doc_stats.select("doc_id").repartitionByRange("doc_id").withColumn("__p", F.spark_partition_id())
+        ahead = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+        base = parted.groupBy("__p").agg(F.count("*").alias("__n")).select("__p", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__base"))
+        own = F.row_number().over(Window.partitionBy("__p").orderBy("doc_id")) - 1
+        return parted.withColumn("__i", own).join(F.broadcast(base), "__p").select("doc_id", (F.col("__base") + F.col("__i")).cast("long").alias("number"))
+
+    def doc_number(self, doc_id: str) -> int:
+        """A document's number; KeyError for an unknown one."""
+        found = self.doc_numbers().where(F.col("doc_id") == doc_id).first()
+        if found is None:
+            raise KeyError(doc_id)
+        return found["number"]
+
+    def doc_id(self, number: int) -> str:
+        """The id at a number; IndexError beyond the last one."""
+        found = self.doc_numbers().where(F.col("number") == number).first()
+        if found is None:
+            raise IndexError(number)
+        return found["doc_id"]
 
     def save(self, path: str, buckets: int | None = None) -> None:
         """Postings are dealt out and sorted by term, so that a reader prunes row groups by query terms."""
@@ -35,6 +65,11 @@ class Index:
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
 
+def empty(spark: SparkSession) -> Index:
+    """An index of no documents."""
+    return build(spark.createDataFrame([], "doc_id string, tokens array<string>"))
+
+
 def load(spark: SparkSession, path: str) -> Index:
     return Index(*[spark.read.parquet(f"{path}/{name}") for name in TABLES])
 
@@ -53,20 +88,36 @@ def load_or_build(spark: SparkSession, path: str, tokens: DataFrame, force: bool
 
 def term_frequencies(rows: DataFrame) -> DataFrame:
     """postings from rows(doc_id, tokens). Tokens of one document are counted where they are, then once more after the shuffle."""
-    return rows.select("doc_id", F.explode("tokens").alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+    flat = rows.select("doc_id", F.size("tokens").cast("long").alias("doc_length"), F.explode("tokens").alias("term"))
+    return flat.groupBy("term", "doc_id", "doc_length").agg(F.count("*").alias("tf")).select("term", "doc_id", "tf", "doc_length")
 
 
 def build(rows: DataFrame, postings: DataFrame | None = None) -> Index:
-    """rows(doc_id, tokens). Documents without tokens count as documents of length 0. `postings`: a written or stemmed table to use."""
+    """rows(doc_id, tokens). Documents without tokens count as documents of length 0. `postings`: a written or cached table to use."""
     postings = term_frequencies(rows) if postings is None else postings
     docs = rows.select("doc_id", F.size("tokens").cast("long").alias("doc_length"))
     stats = docs.agg(F.count("*").alias("num_docs"), F.coalesce(F.avg("doc_length"), F.lit(0.0)).alias("avg_doc_length"))
     terms = postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).crossJoin(F.broadcast(stats.select("num_docs")))
-    terms = terms.select("term", "df", "cf", bm25_idf(F.col("num_docs"), F.col("df")).alias("idf"))
-    return Index(postings, docs, terms, stats)
+    terms = terms.select("term", "df", "cf", bm25_idf(F.col("num_docs"), F.col("df")).alias("idf"), F.log10(F.col("num_docs") / F.col("df")).alias("tidf"))
+    return Index(postings, docs, norms(postings, terms), terms, stats)
+
+
+def tfidf_weight(tf: Column, tidf: Column) -> Column:
+    return (1 + F.log10(tf)) * tidf
+
+
+def norms(postings: DataFrame, terms: DataFrame) -> DataFrame:
+    """doc_id, norm: the lengths of the documents' TF-IDF vectors; terms of every document weigh nothing."""
+    w = postings.join(terms.where("tidf > 0").select("term", "tidf"), "term").select("doc_id", tfidf_weight(F.col("tf"), F.col("tidf")).alias("w"))
+    return w.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+
 
+def postings_lists(postings: DataFrame, term_stats: DataFrame, block: int = BLOCK) -> DataFrame:
+    """term, block, docs, tfs: parallel arrays by doc_id, in blocks of about `block` documents of a term, dealt by the hash of the id.
 
-def postings_lists(postings: DataFrame) -> DataFrame:
-    """term, docs, tfs: parallel arrays by doc_id. A packed form for small vocabularies; ranking reads the flat table."""
-    packed = postings.groupBy("term").agg(F.array_sort(F.collect_list(F.struct("doc_id", "tf"))).alias("p"))
-    return packed.select("term", F.col("p.doc_id").alias("docs"), F.col("p.tf").alias("tfs"))
+    No row holds a whole list of a common term; a term of `block` documents or fewer is one row.
+    """
+    many = term_stats.select("term", F.ceil(F.col("df") / block).alias("many"))
+    dealt = F.conv(F.substring(F.md5("doc_id"), 1, 7), 16, 10).cast("long") % F.col("many")
+    packed = postings.join(many, "term").withColumn("block", dealt).groupBy("term", "block").agg(F.array_sort(F.collect_list(F.struct("doc_id", "tf"))).alias("p"))
+    return packed.select("term", "block", F.col("p.doc_id").alias("docs"), F.col("p.tf").alias("tfs"))

@@ -58,7 +58,7 @@ def per_query(run: DataFrame, qrels: DataFrame, k: int = 100) -> DataFrame:
         zero(F.when(F.col("first") <= 10, 1.0 / F.col("first"))).alias("mrr_at_10"),
         zero(F.col("h5") / 5.0).alias("p_at_5"),
         zero(F.col("h10") / 10.0).alias("p_at_10"),
-        share("h100", "relevant").alias("recall_at_100"),
+        *[share(f"h{n}", "relevant").alias(f"recall_at_{n}") for n in (5, 10, 100)],
         *[zero((F.col(f"h{n}") > 0).cast("double")).alias(f"accuracy_at_{n}") for n in (1, 5, 10)],
     )
 
@@ -90,6 +90,112 @@ def paired_t(metrics: DataFrame, metric: str) -> DataFrame:
     return d.select("model_a", "model_b", "n", "mean_d", F.when(F.col("sd") > 0, F.col("mean_d") / (F.col("sd") / F.sqrt("n"))).alias("t"))
 
 
+#: Rows of a report by setting.
+GRADED, STRICT = ("ndcg", "ndcg_at_5", "mrr", "p_at_5", "p_at_10", "recall_at_100"), ("mrr", "p_at_5")
+#: Differences are marked below this probability; draws of the randomization tests.
+MAX_P, DRAWS = 0.05, 1000
+
+
+def by_keys(run: DataFrame, qrels: DataFrame, keys: list[str], k: int = 100) -> DataFrame:
+    """per_query() of many runs in one pass: keys, query_id and all metrics. Runs and judgements that have the same keys go together."""
+    tag = lambda rows: rows.withColumn("query_id", F.to_json(F.array(*keys, "query_id"))).drop(*keys)
+    found = per_query(tag(run), tag(qrels), k).withColumn("__k", F.from_json("query_id", "array<string>"))
+    named = [F.col("__k")[i].alias(c) for i, c in enumerate([*keys, "query_id"])]
+    return found.select(*named, *[c for c in found.columns if c not in ("query_id", "__k")])
+
+
+def by_model(runs: DataFrame, qrels: DataFrame, models: list[str]) -> DataFrame:
+    """model, query_id and all metrics of runs(model, ...); a query that a model does not answer counts as 0."""
+    return by_keys(runs, qrels.withColumn("model", F.explode(F.array(*map(F.lit, models)))), ["model"])
+
+
+def report(runs: DataFrame, qrels: DataFrame, models: dict[str, list[str]]) -> DataFrame:
+    """collection, setting, model, metric, value: means over the judged queries, graded, and strict (highest grade alone).
+
+    runs and qrels have a column collection; models are those of each collection. All are measured in one pass.
+    """
+    named = F.create_map(*[x for c, m in models.items() for x in (F.lit(c), F.array(*map(F.lit, m)))])
+    settings = F.explode(F.array(F.lit("graded"), F.lit("strict")))
+    judged = qrels.withColumn("setting", settings).where("setting = 'graded' or grade = 2").withColumn("model", F.explode(named[F.col("collection")]))
+    keys = ["collection", "setting", "model"]
+    means_ = by_keys(runs.withColumn("setting", settings), judged, keys).groupBy(*keys).agg(*[F.avg(c).alias(c) for c in GRADED])
+    return means_.unpivot(keys, list(GRADED), "metric", "value").where((F.col("setting") == "graded") | F.col("metric").isin(*STRICT))
+
+
+def student_p(t: Column, n: Column) -> Column:
+    """Two-sided p of Student's t with n - 1 degrees of freedom, by the finite series that whole degrees have; 1 without t."""
+    v = (n - 1).cast("int")
+    angle = F.atan(F.abs(t) / F.sqrt(v.cast("double")))
+    c, odd = F.cos(angle), v % 2 == 1
+    first = F.when(odd, c).otherwise(F.lit(1.0))
+    last = F.when(odd, F.floor((v - 3) / 2)).otherwise(F.floor((v - 2) / 2)).cast("int")
+    steps = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.expr("cast(array() as array<int>)"))
+    ratio = lambda j: F.when(odd, 2 * j / (2 * j + 1)).otherwise((2 * j - 1) / (2 * j))
+    start = F.struct(first.alias("a"), F.when(last >= 0, first).otherwise(F.lit(0.0)).alias("s"))
+
+    def step(acc, j):
+        a = acc["a"] * c * c * ratio(j)
+        return F.struct(a.alias("a"), (acc["s"] + a).alias("s"))
+
+    series = F.sin(angle) * F.aggregate(steps, start, step)["s"]
+    inside = F.when(odd, 2 / F.pi() * (angle + series)).otherwise(series)
+    return F.when(t.isNull() | (n < 2), F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), 1 - inside))
+
+
+def significance(metrics: DataFrame, metric: str) -> DataFrame:
+    """model_a, model_b, n, mean_d, t, p, significant: paired two-sided t-tests of each two models. Equal runs have p 1."""
+    rows = paired_t(metrics, metric).withColumn("p", student_p(F.col("t"), F.col("n")))
+    return rows.withColumn("significant", F.col("p") < MAX_P)
+
+
+def randomization(metrics: DataFrame, metric: str, draws: int = DRAWS, seed: int = 42) -> DataFrame:
+    """model_a, model_b, n, mean_d, p: Fisher's randomization test. Each draw turns the signs of the queries' differences by a seeded hash;
+    p is the share of draws, the observed one among them, whose mean is as far from 0."""
+    d = paired_differences(metrics, metric)
+    seen = d.groupBy("model_a", "model_b").agg(F.count("*").alias("n"), F.round(F.avg("d"), 9).alias("mean_d"))
+    rows = d.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    odd = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("draw").cast("string"), "query_id")), 1, 4), 16, 10).cast("long") % 2
+    means = rows.groupBy("model_a", "model_b", "draw").agg(F.round(F.avg(F.when(odd == 1, -F.col("d")).otherwise(F.col("d"))), 9).alias("m"))
+    far = means.join(seen, ["model_a", "model_b"]).groupBy("model_a", "model_b", "n", "mean_d").agg(F.count_if(F.abs("m") >= F.abs("mean_d")).alias("far"))
+    return far.select("model_a", "model_b", "n", "mean_d", ((F.col("far") + 1) / F.lit(draws + 1)).alias("p"))
+
+
+def tukey(metrics: DataFrame, metric: str, draws: int = DRAWS, seed: int = 42) -> DataFrame:
+    """model_a, model_b, mean_d, p: Tukey's honestly significant differences by randomization. Each draw shuffles every query's scores among
+    the models by a seeded hash; p is the share of draws, the observed one among them, whose largest mean exceeds the least by as much."""
+    rows = metrics.select("model", "query_id", F.col(metric).alias("x"))
+    means = rows.groupBy("model").agg(F.round(F.avg("x"), 9).alias("mean"))
+    drawn = rows.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    order = Window.partitionBy("draw", "query_id").orderBy(F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("draw").cast("string"), "query_id", "model")), "model")
+    seats = drawn.withColumn("seat", F.row_number().over(order)).groupBy("draw", "seat").agg(F.round(F.avg("x"), 9).alias("m"))
+    ranges = seats.groupBy("draw").agg(F.round(F.max("m") - F.min("m"), 9).alias("range"))
+    a, b = means.toDF("model_a", "x"), means.toDF("model_b", "y")
+    pairs = a.join(b, F.col("model_a") < F.col("model_b")).select("model_a", "model_b", F.round(F.col("x") - F.col("y"), 9).alias("mean_d"))
+    far = pairs.crossJoin(ranges).groupBy("model_a", "model_b", "mean_d").agg(F.count_if(F.col("range") >= F.abs("mean_d")).alias("far"))
+    return far.select("model_a", "model_b", "mean_d", ((F.col("far") + 1) / F.lit(draws + 1)).alias("p"))
+
+
+TESTS = {"student": significance, "fisher": randomization, "tukey": tukey}
+
+# What models are called in tables.
+DISPLAY_NAMES = {"bm25": "BM25", "tfidf": "TF-IDF", "dense": "Dense", "sparse": "SPLADE", "sparse_zeroshot": "SPLADE (zero-shot)"}
+
+
+def display_name(model: str) -> str:
+    """rrf:a+b is the fusion of a and b."""
+    if model.startswith("rrf:"):
+        return f"RRF({'+'.join(DISPLAY_NAMES.get(m, m) for m in model.removeprefix('rrf:').split('+'))})"
+    return DISPLAY_NAMES.get(model, model)
+
+
+def display_names(model: Column) -> Column:
+    """display_name() of a column."""
+    names = F.create_map(*[F.lit(x) for kv in DISPLAY_NAMES.items() for x in kv])
+    one = lambda m: F.coalesce(names[m], m)
+    parts = F.transform(F.split(F.substring(model, 5, 1000), r"\+"), one)
+    return F.when(F.startswith(model, F.lit("rrf:")), F.concat(F.lit("RRF("), F.array_join(parts, "+"), F.lit(")"))).otherwise(one(model))
+
+
 def t_p_value(t: float, n: int) -> float:
     """Two-sided p of Student's t with n - 1 degrees of freedom, by the continued fraction of the incomplete beta function."""
     df = n - 1

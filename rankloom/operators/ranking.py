@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+from typing import Protocol
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankloom.operators.index import Index
+from rankloom.functions import text as T
+from rankloom.operators.index import Index, tfidf_weight
 
 #: Settings of BM25 by collection: (k1, b).
 DEFAULT, TUNED = (0.9, 0.4), {"paper": (4.0, 0.75), "paragraph": (0.4, 0.9)}
-#: A query side of at most so many rows is broadcast; a larger one is shuffled.
-BROADCAST_ROWS = 200_000
+#: A side of at most so many rows and bytes of its columns is broadcast; a larger one is shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 
 def check(k1: float, b: float) -> None:
@@ -18,9 +23,11 @@ def check(k1: float, b: float) -> None:
         raise ValueError("k1 must not be negative and b must lie in [0, 1]")
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, to be broadcast if it has no more than `rows` rows: counted first, up to that bound."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df, to be broadcast if it has no more than `rows` rows and `most` bytes: counted first, up to that bound."""
+    width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) if t == "string" else F.coalesce(F.size(c), F.lit(0)) * 8 if t.startswith("array") else F.lit(8) for c, t in df.dtypes), F.lit(0))
+    r = df.limit(rows + 1).agg(F.count("*").alias("n"), F.sum(width.cast("long")).alias("b")).first()
+    return F.broadcast(df) if r["n"] <= rows and (r["b"] or 0) <= most else df
 
 
 def top_k(scored: DataFrame, k: int, by: tuple = ("query_id",), tie: str = "doc_id") -> DataFrame:
@@ -42,8 +49,7 @@ def bm25_weight(k1: Column, b: Column) -> Column:
 def matched(queries: DataFrame, ix: Index) -> DataFrame:
     """query_id, term, qtf, doc_id, tf, idf, doc_length, avg_doc_length of every posting of a query's terms; unknown terms drop out."""
     terms = query_terms(queries).join(ix.term_stats.select("term", "df", "idf"), "term")
-    hits = ix.postings.join(small(terms), "term").join(ix.doc_stats, "doc_id")
-    return hits.crossJoin(F.broadcast(ix.collection_stats))
+    return ix.postings.join(small(terms), "term").crossJoin(F.broadcast(ix.collection_stats))
 
 
 def bm25(queries: DataFrame, ix: Index, k: int = 100, k1: float = DEFAULT[0], b: float = DEFAULT[1]) -> DataFrame:
@@ -58,23 +64,13 @@ def bm25_explain(queries: DataFrame, ix: Index, pairs: DataFrame, k1: float = DE
     return matched(queries, ix).join(pairs.select("query_id", "doc_id"), ["query_id", "doc_id"]).select("query_id", "doc_id", "term", "qtf", "tf", "idf", bm25_weight(F.lit(float(k1)), F.lit(float(b))).alias("part"))
 
 
-def tfidf_weights(ix: Index) -> DataFrame:
-    """term, doc_id, w = (1 + log10 tf) log10(N / df); terms of every document have none."""
-    terms = ix.term_stats.crossJoin(F.broadcast(ix.collection_stats)).select("term", F.log10(F.col("num_docs") / F.col("df")).alias("tidf")).where("tidf > 0")
-    return ix.postings.join(terms, "term").select("term", "doc_id", ((1 + F.log10("tf")) * F.col("tidf")).alias("w"), "tidf")
-
-
-def tfidf_norms(ix: Index) -> DataFrame:
-    return tfidf_weights(ix).groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-
-
 def tfidf(queries: DataFrame, ix: Index, k: int = 100) -> DataFrame:
-    """Cosine of TF-IDF vectors over the whole document and query."""
-    weights = tfidf_weights(ix)
-    terms = query_terms(queries).join(weights.select("term", "tidf").distinct(), "term").select("query_id", "term", ((1 + F.log10("qtf")) * F.col("tidf")).alias("qw"))
+    """Cosine of TF-IDF vectors over the whole document and query. Only postings of query terms are weighed; norms come with the index."""
+    terms = query_terms(queries).join(ix.term_stats.where("tidf > 0").select("term", "tidf"), "term").withColumn("qw", tfidf_weight(F.col("qtf"), F.col("tidf")))
     qnorm = terms.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
-    dots = weights.join(small(terms), "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
-    scored = dots.join(tfidf_norms(ix), "doc_id").join(small(qnorm), "query_id").where("norm > 0").select("query_id", "doc_id", (F.col("dot") / F.col("norm") / F.col("qnorm")).alias("score"))
+    hits = ix.postings.join(small(terms.select("query_id", "term", "tidf", "qw")), "term")
+    dots = hits.groupBy("query_id", "doc_id").agg(F.sum(tfidf_weight(F.col("tf"), F.col("tidf")) * F.col("qw")).alias("dot"))
+    scored = dots.join(ix.doc_norms, "doc_id").join(small(qnorm), "query_id").where("norm > 0").select("query_id", "doc_id", (F.col("dot") / F.col("norm") / F.col("qnorm")).alias("score"))
     return top_k(scored, k)
 
 
@@ -96,21 +92,54 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def dense(queries: DataFrame, vectors: DataFrame, k: int = 100, block: int = 2000) -> DataFrame:
-    """Exact inner products of every query(query_id, vector) with every vector(doc_id, vector).
+#: Queries whose vectors one scan takes along; queries and vectors that are multiplied at a time.
+SCAN_QUERIES, QUERY_BLOCK, VECTOR_BLOCK = 65_536, 512, 2048
 
-    The stated query set goes out in blocks of `block` queries. Each block's vectors are cut to k per query and partition before the
-    shuffle (Catalyst's group limit under row_number), so what moves is queries x partitions x k rows, never all pairs.
+
+def dense(queries: DataFrame, vectors: DataFrame, k: int = 100, scan: int = SCAN_QUERIES) -> DataFrame:
+    """Exact inner products of every query(query_id, vector) with every vector(doc_id, vector), in double precision, k best of each query.
+
+    A scan of the vectors serves `scan` queries at a time, whose matrix is sent to the workers. There each batch of vectors is one
+    matrix product per block of queries, and only scores that reach the k-th best of what the task has seen leave it: what moves is
+    about queries x partitions x k rows. Vectors of unlike lengths are an error.
     """
-    numbered = queries.select("query_id", F.col("vector").alias("qv"))
-    n = numbered.count()
-    parts = [numbered] if n <= block else [numbered.where(F.pmod(F.xxhash64("query_id"), F.lit(-(-n // block))) == i) for i in range(-(-n // block))]
-    out = None
-    for part in parts:
-        scored = vectors.crossJoin(F.broadcast(part)).select("query_id", "doc_id", dot(F.col("vector"), F.col("qv")).alias("score"))
-        best = top_k(scored, k)
-        out = best if out is None else out.union(best)
-    return out
+    import numpy as np
+
+    spark, n = queries.sparkSession, queries.count()
+    parts = -(-n // scan)
+    kind = vectors.schema["doc_id"].dataType.simpleString()
+    known = queries.select("query_id", F.col("vector").cast("array<double>").alias("v"), F.pmod(F.xxhash64("query_id"), F.lit(max(parts, 1))).alias("part"))
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id {kind}, score double"
+    out = spark.createDataFrame([], schema)
+    for part in range(parts):
+        rows = known.where(F.col("part") == part).orderBy("query_id").collect()
+        if len({len(r["v"]) for r in rows}) > 1:
+            raise ValueError("query vectors have unlike lengths")
+        if rows:
+            sent = spark.sparkContext.broadcast(([r["query_id"] for r in rows], np.array([r["v"] for r in rows])))
+            out = out.union(vectors.select("doc_id", F.col("vector").cast("array<double>").alias("v")).mapInArrow(lambda b, s=sent: _products(b, *s.value, k), schema))
+    return top_k(out, k)
+
+
+def _products(batches: Iterator, ids: list, q, k: int) -> Iterator:
+    import numpy as np
+    import pyarrow as pa
+
+    names = pa.array(ids)
+    best = np.full((len(ids), k), -np.inf)
+    for batch in batches:
+        for at in range(0, batch.num_rows, VECTOR_BLOCK):
+            some = batch.slice(at, VECTOR_BLOCK)
+            flat = some.column(1).flatten().to_numpy(zero_copy_only=False)
+            if len(flat) != some.num_rows * q.shape[1]:
+                raise ValueError("a vector is longer or shorter than the queries")
+            v = flat.reshape(some.num_rows, q.shape[1])
+            for b in range(0, len(ids), QUERY_BLOCK):
+                score = np.round(q[b : b + QUERY_BLOCK] @ v.T, 6) + 0.0
+                own = np.concatenate([best[b : b + QUERY_BLOCK], score], axis=1)
+                best[b : b + QUERY_BLOCK] = np.partition(own, -k, axis=1)[:, -k:]
+                r, c = np.nonzero(score >= best[b : b + QUERY_BLOCK].min(axis=1)[:, None])
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(r + b)), some.column(0).take(pa.array(c)), pa.array(score[r, c])], ["query_id", "doc_id", "score"])
 
 
 def max_pool(rows: DataFrame) -> DataFrame:
@@ -138,11 +167,18 @@ def mnr_loss(pairs: DataFrame, scale: float = 20.0) -> DataFrame:
 
 
 def maxp(run: DataFrame, paper_of: DataFrame | None = None, k: int = 100, depth: int = 2000) -> DataFrame:
-    """Papers by their best paragraph in the first `depth`; paper_of(doc_id, paper_id), or the id up to its last underscore."""
+    """Papers by their best paragraph in the first `depth`; paper_of(doc_id, paper_id), or the id up to its last underscore.
+
+    A paragraph that paper_of does not know is an error, raised where the row is.
+    """
     if depth < k:
         raise ValueError("depth must not be below k")
     run = run.where(F.col("rank") <= depth)
-    named = run.join(paper_of, "doc_id") if paper_of is not None else run.withColumn("paper_id", F.regexp_replace("doc_id", "_[^_]*$", ""))
+    if paper_of is None:
+        named = run.withColumn("paper_id", F.regexp_replace("doc_id", "_[^_]*$", ""))
+    else:
+        named = run.join(paper_of.select("doc_id", "paper_id"), "doc_id", "left")
+        named = named.withColumn("paper_id", F.coalesce("paper_id", F.raise_error(F.concat(F.lit("no paper for paragraph "), "doc_id")).cast("string")))
     return top_k(named.groupBy("query_id", F.col("paper_id").alias("doc_id")).agg(F.max("score").alias("score")), k)
 
 
@@ -159,3 +195,83 @@ def page(run: DataFrame, number: int = 1, size: int = 10) -> DataFrame:
     if number < 1 or not 1 <= size <= 100:
         raise ValueError("pages begin at 1 and have 1 to 100 rows")
     return run.where(F.col("rank").between((number - 1) * size + 1, number * size))
+
+
+class Ranker(Protocol):
+    """What all rankers can do: rank a table of queries, or one text."""
+
+    def rank(self, queries: DataFrame, k: int = 100) -> DataFrame: ...
+
+    def search(self, text: str, k: int = 100) -> list[tuple[str, float]]: ...
+
+
+class _Search:
+    """search(text, k) over rank(): the best (doc_id, score) of one text."""
+
+    def search(self, text: str, k: int = 100) -> list[tuple[str, float]]:
+        one = self.spark.createDataFrame([("", text)], "query_id string, query string")
+        return [(r["doc_id"], r["score"]) for r in self.rank(one, k).orderBy("rank").collect()]
+
+
+@dataclass
+class Bm25(_Search):
+    """rank() takes queries(query_id, query). set_params() weighs anew; nothing of the index is made again."""
+
+    index: Index
+    k1: float = DEFAULT[0]
+    b: float = DEFAULT[1]
+    tokenizing: T.Tokenizing = T.Tokenizing()
+
+    def __post_init__(self):
+        self.set_params(self.k1, self.b)
+        self.spark = self.index.postings.sparkSession
+
+    def set_params(self, k1: float, b: float) -> None:
+        check(k1, b)
+        self.k1, self.b = k1, b
+
+    def rank(self, queries: DataFrame, k: int = 100) -> DataFrame:
+        return bm25(queries.select("query_id", T.tokenize(F.col("query"), self.tokenizing).alias("tokens")), self.index, k, self.k1, self.b)
+
+
+@dataclass
+class TfIdf(_Search):
+    index: Index
+    tokenizing: T.Tokenizing = T.Tokenizing()
+
+    def __post_init__(self):
+        self.spark = self.index.postings.sparkSession
+
+    def rank(self, queries: DataFrame, k: int = 100) -> DataFrame:
+        return tfidf(queries.select("query_id", T.tokenize(F.col("query"), self.tokenizing).alias("tokens")), self.index, k)
+
+
+@dataclass
+class Sparse(_Search):
+    """weigh: queries(query_id, query) to (query_id, term, weight); postings(term, doc_id, weight)."""
+
+    postings: DataFrame
+    weigh: object
+
+    def __post_init__(self):
+        self.spark = self.postings.sparkSession
+
+    def rank(self, queries: DataFrame, k: int = 100) -> DataFrame:
+        return sparse(self.weigh(queries), self.postings, k)
+
+
+@dataclass
+class Dense(_Search):
+    """make: an encoder class; vectors(doc_id, vector) of unit length."""
+
+    vectors: DataFrame
+    make: object
+
+    def __post_init__(self):
+        self.spark = self.vectors.sparkSession
+
+    def rank(self, queries: DataFrame, k: int = 100) -> DataFrame:
+        from rankloom.functions import encoders
+
+        vectors = encoders.encode(queries.select("query_id", "query"), self.make, "query")
+        return dense(vectors.select("query_id", l2_normalize(F.col("vector")).alias("vector")), self.vectors, k)

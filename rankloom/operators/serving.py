@@ -6,14 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions import text as T
+from rankloom.functions.stem import stem_arrays
 from rankloom.operators.ranking import page
 
 
 def excerpt(rows: DataFrame, cfg: T.Tokenizing = T.Tokenizing(), length: int = 300) -> DataFrame:
     """rows(text, query) with excerpt: the sentence that shares most tokens with the query, the first of equals, cut at `length`."""
-    q = T.tokenize(F.col("query"), cfg)
-    shared = F.transform(T.sentences(F.col("text")), lambda s, i: F.struct((-F.size(F.array_intersect(T.tokenize(s, cfg), F.col("__q")))).alias("n"), i.alias("i"), s.alias("s")))
-    return rows.withColumn("__q", q).withColumn("excerpt", T.truncate(F.array_min(shared)["s"], length)).drop("__q")
+    rows = rows.withColumn("__s", T.sentences(F.col("text"))).withColumn("__q", T.tokenize(F.col("query"), cfg))
+    rows = rows.withColumn("__t", stem_arrays(F.transform("__s", lambda s: T.words(s, cfg)), cfg.stemming, 2))
+    shared = F.transform("__s", lambda s, i: F.struct((-F.size(F.array_intersect(F.get("__t", i), F.col("__q")))).alias("n"), i.alias("i"), s.alias("s")))
+    return rows.withColumn("excerpt", T.truncate(F.array_min(shared)["s"], length)).drop("__q", "__s", "__t")
 
 
 def results_page(run: DataFrame, metadata: DataFrame, queries: DataFrame, number: int = 1, size: int = 10, depth: int = 100) -> DataFrame:
@@ -42,7 +44,7 @@ def suggest(titles: DataFrame, text: str, n: int = 5, prefix_first: bool = False
 def query_vocabulary(queries: DataFrame, cfg: T.Tokenizing = T.Tokenizing()) -> DataFrame:
     """query_id, word, pos: a query's distinct words, as written, that leave a token; by first place."""
     words = F.array_distinct(F.filter(F.split(F.col("query"), f"[{T.SPACE}]+"), lambda w: w != ""))
-    kept = F.filter(words, lambda w: F.size(T.tokenize(w, cfg)) > 0)
+    kept = F.filter(words, lambda w: F.size(T.words(w, cfg)) > 0)
     return queries.select("query_id", F.posexplode(kept).alias("pos", "word")).select("query_id", "word", F.col("pos").cast("long").alias("pos"))
 
 
@@ -91,3 +93,124 @@ def save_document(saved: DataFrame, new: DataFrame) -> DataFrame:
     """saved(name, doc_id, collection, saved_at) with new ones; of one name (in any letter case), document and collection, the newest."""
     every = saved.unionByName(new).withColumn("__name", F.lower(F.trim("name")))
     return dedupe_saved(every, ["__name", "doc_id", "collection"], F.desc("saved_at")).drop("__name")
+
+
+class NotFound(LookupError):
+    """A document that is not there: what an interface answers with 404."""
+
+
+def document(doc_id: str, metadata: DataFrame, parts: DataFrame, collection: str = "paper") -> DataFrame:
+    """One row doc_id, type, title, year, content: a paper's abstract or a paragraph's text. NotFound for an id that the collection lacks, or
+    whose paper has no metadata. metadata(doc_id, title, abstract, year), parts(doc_id, paper_id, text). Both are filtered by id, so that
+    a reader prunes row groups."""
+    if collection not in ("paper", "paragraph"):
+        raise ValueError(f"unknown collection {collection!r}")
+    if collection == "paper":
+        rows = metadata.where(F.col("doc_id") == doc_id).select("doc_id", F.lit("Paper").alias("type"), "title", "year", F.col("abstract").alias("content"))
+    else:
+        own = parts.where(F.col("doc_id") == doc_id).select("doc_id", "paper_id", F.col("text").alias("content"))
+        heads = metadata.select(F.col("doc_id").alias("paper_id"), "title", "year")
+        rows = own.join(heads, "paper_id").select("doc_id", F.lit("Paragraph").alias("type"), "title", "year", "content")
+    if rows.limit(1).count() == 0:
+        raise NotFound(doc_id)
+    return rows
+
+
+#: What an interface offers.
+MODELS, COLLECTIONS = ("bm25", "tfidf"), ("paper", "paragraph")
+
+
+def health() -> dict:
+    return {"status": "ok", "models": list(MODELS), "collections": list(COLLECTIONS)}
+
+
+def preferences(stored: dict | None) -> dict:
+    """model and collection of stored preferences; what is missing or unknown is the first one."""
+    stored = stored if isinstance(stored, dict) else {}
+    pick = lambda key, known: stored.get(key) if stored.get(key) in known else known[0]
+    return {"model": pick("model", MODELS), "collection": pick("collection", COLLECTIONS)}
+
+
+def search(ranked: DataFrame, metadata: DataFrame, parts: DataFrame | None, queries: DataFrame, collection: str = "paper", number: int = 1, size: int = 10, depth: int = 100) -> DataFrame:
+    """query_id, rank, doc_id, type, year, title, excerpt, total of a page of the first `depth` hits.
+
+    A paragraph's paper is found over parts(doc_id, paper_id, text), its title and year over metadata(doc_id, title, abstract, year); hits
+    without metadata drop out of the page, not out of the total.
+    """
+    top = ranked.where(F.col("rank") <= depth)
+    total = top.groupBy("query_id").agg(F.count("*").alias("total"))
+    rows = page(top, number, size).join(total, "query_id").join(queries.select("query_id", "query"), "query_id")
+    if collection == "paper":
+        rows = rows.join(metadata.withColumnRenamed("abstract", "text"), "doc_id")
+    else:
+        rows = rows.join(parts.select("doc_id", "paper_id", "text"), "doc_id").join(metadata.select(F.col("doc_id").alias("paper_id"), "title", "year"), "paper_id")
+    kind = F.lit("Paper" if collection == "paper" else "Paragraph")
+    return excerpt(rows).select("query_id", "rank", "doc_id", kind.alias("type"), "year", "title", "excerpt", "total")
+
+
+# --- a user's vocabulary: words(word, kind, active), kind query, keyword or suggested ---
+
+
+def vocabulary_state(query_words: DataFrame, state: DataFrame) -> DataFrame:
+    """word, kind, active after a new query: its words, as they were switched before (new ones on), and the user's own keywords."""
+    fresh = merge_vocabulary(query_words.select("word").distinct(), state.select("word", "active")).select("word", F.lit("query").alias("kind"), "active")
+    own = state.where("kind <> 'query'").withColumn("__k", F.lower("word"))
+    rest = own.join(fresh.select(F.lower("word").alias("__k")), "__k", "left_anti").select("word", "kind", "active")
+    return fresh.unionByName(rest)
+
+
+def toggle(state: DataFrame, word: str) -> DataFrame:
+    return state.withColumn("active", F.when(F.lower("word") == word.strip().lower(), ~F.col("active")).otherwise(F.col("active")))
+
+
+def add_keyword(state: DataFrame, word: str) -> DataFrame:
+    """The state with a keyword; blank ones and those that are there, in any letter case, change nothing but that they are on."""
+    key = word.strip().lower()
+    if not key:
+        return state
+    there = F.lower("word") == key
+    known = state.where(there).limit(1).count() > 0
+    on = state.withColumn("active", F.col("active") | there)
+    return on if known else on.unionByName(state.sparkSession.createDataFrame([(word.strip(), "keyword", True)], "word string, kind string, active boolean"))
+
+
+def remove_keyword(state: DataFrame, word: str) -> DataFrame:
+    return state.where((F.lower("word") != word.strip().lower()) | (F.col("kind") == "query"))
+
+
+def reset(state: DataFrame) -> DataFrame:
+    """All words on, without the user's own."""
+    return state.where("kind = 'query'").withColumn("active", F.lit(True))
+
+
+def active_words(state: DataFrame) -> list[str]:
+    """The words to highlight."""
+    return [r["word"] for r in state.where("active").select("word").distinct().orderBy("word").collect()]
+
+
+# --- history(event_id, user_id, query, ts) ---
+
+
+def add_search(history: DataFrame, new: DataFrame, keep: int = 100, by: str = "user_id") -> DataFrame:
+    """The history with new entries, newest first, `keep` of each user; blank queries are not kept."""
+    every = history.unionByName(new.where(F.trim("query") != ""))
+    return recent(every, keep, by).drop("place")
+
+
+def remove_search(history: DataFrame, ids: DataFrame) -> DataFrame:
+    return history.join(ids.select("event_id"), "event_id", "left_anti")
+
+
+def clear_history(history: DataFrame, users: DataFrame | None = None) -> DataFrame:
+    """Without the entries of these users, or of all."""
+    return history.limit(0) if users is None else history.join(users.select("user_id"), "user_id", "left_anti")
+
+
+def remove_saved(saved: DataFrame, name: str, doc_id: str, collection: str) -> DataFrame:
+    """saved(name, doc_id, collection, saved_at) without one document of a collection of that name, in any letter case."""
+    gone = (F.lower(F.trim("name")) == name.strip().lower()) & (F.col("doc_id") == doc_id) & (F.col("collection") == collection)
+    return saved.where(~gone)
+
+
+def delete_saved(saved: DataFrame, name: str) -> DataFrame:
+    return saved.where(F.lower(F.trim("name")) != name.strip().lower())

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rankloom.operators import metrics
 from rankloom.operators.index import Index
-from rankloom.operators.ranking import BROADCAST_ROWS, bm25_weight, check, matched
+from rankloom.operators.ranking import bm25_weight, check, matched
 
 K1, B = (0.6, 0.9, 1.2, 1.5, 1.8), (0.2, 0.4, 0.6, 0.75, 0.9)
 
@@ -17,25 +17,51 @@ def draw(*parts: Column, seed: int = 42) -> Column:
     return F.md5(F.concat_ws("-", F.lit(str(seed)), *parts))
 
 
-def bm25_grid(queries: DataFrame, ix: Index, qrels: DataFrame, k1s=K1, bs=B, k: int = 100) -> DataFrame:
-    """k1, b, query_id, ndcg_at_5 for every cell and judged query, in one job: postings are matched once, cells joined last."""
-    for a in k1s:
-        for b in bs:
-            check(a, b)
-    spark = queries.sparkSession
-    cells = spark.createDataFrame([(float(a), float(b)) for a in k1s for b in bs], "k1 double, b double")
-    hits = matched(queries.join(qrels.select("query_id").distinct(), "query_id", "left_semi"), ix).crossJoin(F.broadcast(cells))
-    scored = hits.groupBy("k1", "b", "query_id", "doc_id").agg(F.round(F.sum(bm25_weight(F.col("k1"), F.col("b"))), 6).alias("score"))
+#: Settings that the best cell is compared with on held-out queries.
+KNOWN_SETTINGS = {"default": (0.9, 0.4), "textbook": (1.2, 0.75)}
+
+
+def bm25_grid(queries: DataFrame, ix: Index, qrels: DataFrame, cells: list[tuple[float, float]] | None = None, depth: int = 5) -> DataFrame:
+    """k1, b, query_id, ndcg_at_5 for every cell and judged query, in one job.
+
+    Postings are matched and shuffled once: each (query, document) sums all cells' scores side by side, and becomes a row per cell after that.
+    """
+    cells = cells or [(float(a), float(b)) for a in K1 for b in B]
+    for a, b in cells:
+        check(a, b)
+    hits = matched(queries.join(qrels.select("query_id").distinct(), "query_id", "left_semi"), ix)
+    sums = hits.groupBy("query_id", "doc_id").agg(*[F.sum(bm25_weight(F.lit(a), F.lit(b))).alias(f"s{i}") for i, (a, b) in enumerate(cells)])
+    each = F.array(*[F.struct(F.lit(float(a)).alias("k1"), F.lit(float(b)).alias("b"), F.round(f"s{i}", 6).alias("score")) for i, (a, b) in enumerate(cells)])
+    scored = sums.select("query_id", "doc_id", F.explode(each).alias("c")).select("c.k1", "c.b", "query_id", "doc_id", "c.score")
     w = Window.partitionBy("k1", "b", "query_id").orderBy(F.desc("score"), "doc_id")
-    run = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    run = run.withColumn("query", F.col("query_id")).join(qrels.select("query_id", "doc_id", "grade"), ["query_id", "doc_id"], "left").where("grade > 0 and rank <= 5")
+    run = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= depth)
+    run = run.join(qrels.select("query_id", "doc_id", "grade"), ["query_id", "doc_id"]).where("grade > 0")
     got = run.groupBy("k1", "b", "query_id").agg(F.sum(F.col("grade") / F.log2(F.col("rank") + 1.0)).alias("dcg"))
-    best = metrics.dcg(metrics.ideal(qrels), 5, name="best")
-    judged = qrels.select("query_id").distinct().crossJoin(F.broadcast(cells))
+    best = metrics.dcg(metrics.ideal(qrels), depth, name="best")
+    tried = F.explode(F.array(*[F.struct(F.lit(float(a)).alias("k1"), F.lit(float(b)).alias("b")) for a, b in cells]))
+    judged = qrels.select("query_id").distinct().join(queries.select("query_id"), "query_id", "left_semi").select("query_id", tried.alias("c")).select("c.k1", "c.b", "query_id")
     both = judged.join(got, ["k1", "b", "query_id"], "left").join(best, "query_id", "left")
     return both.select("k1", "b", "query_id", F.coalesce(F.col("dcg") / F.col("best"), F.lit(0.0)).alias("ndcg_at_5"))
 
 
+def tuning_sample(judged: DataFrame, n: int = 400, share: float = 0.2, seed: int = 42) -> DataFrame:
+    """query_id, held_out: n judged queries in drawn order, of which the first int(n share) are held out."""
+    w = Window.orderBy(draw(F.col("query_id"), seed=seed), "query_id")
+    some = judged.select("query_id").distinct().withColumn("at", F.row_number().over(w)).where(F.col("at") <= n)
+    return some.select("query_id", (F.col("at") <= F.floor(F.count("*").over(Window.partitionBy()) * F.lit(share))).alias("held_out"))
+
+
+def held_out_check(queries: DataFrame, ix: Index, qrels: DataFrame, split: DataFrame, grid: DataFrame) -> DataFrame:
+    """setting, k1, b, n, ndcg_at_5: the best cell of the tuning queries, and the known settings, on the held-out ones."""
+    best = best_cell(grid).first()
+    settings = ([("best", best["k1"], best["b"])] if best else []) + [(name, *cell) for name, cell in KNOWN_SETTINGS.items()]
+    dev = queries.join(split.where("held_out").select("query_id"), "query_id", "left_semi")
+    cells = bm25_grid(dev, ix, qrels, sorted({(a, b) for _, a, b in settings}))
+    means = cells.groupBy("k1", "b").agg(F.count("*").alias("n"), F.round(F.avg("ndcg_at_5"), 6).alias("ndcg_at_5"))
+    named = queries.sparkSession.createDataFrame([(x, float(a), float(b)) for x, a, b in settings], "setting string, k1 double, b double")
+    return named.join(means, ["k1", "b"]).select("setting", "k1", "b", "n", "ndcg_at_5")
+
+
 def grid_means(cells: DataFrame) -> DataFrame:
     return cells.groupBy("k1", "b").agg(F.round(F.avg("ndcg_at_5"), 6).alias("ndcg_at_5"))
 
@@ -70,11 +96,15 @@ def hard_negatives(run: DataFrame, qrels: DataFrame, n: int = 30, skip_top: int
     return left.select("query_id", "doc_id", F.row_number().over(w).alias("pick")).where(F.col("pick") <= n)
 
 
-def training_examples(queries: DataFrame, qrels: DataFrame, run: DataFrame, n: int = 30, skip_top: int = 20, seed: int = 42) -> DataFrame:
+def training_examples(queries: DataFrame, qrels: DataFrame, run: DataFrame, n: int = 30, skip_top: int = 20, seed: int = 42, collection: DataFrame | None = None) -> DataFrame:
     """query_id, query, label, positives {doc: grade}, negatives [doc]: judged zeros first, then hard negatives, n in all.
 
-    Queries without a positive drop out; those without negatives stay with an empty list.
+    Queries without a positive drop out; those without negatives stay with an empty list. With `collection`(doc_id), documents that it does
+    not have count for nothing.
     """
+    if collection is not None:
+        there = collection.select("doc_id")
+        qrels, run = qrels.join(there, "doc_id", "left_semi"), run.join(there, "doc_id", "left_semi")
     positives = qrels.where("grade > 0").groupBy("query_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("doc_id", "grade")))).alias("positives"))
     zero = qrels.where("grade = 0").select("query_id", "doc_id", F.lit(0).alias("kind"), F.lit(0).alias("pick"))
     hard = hard_negatives(run, qrels, n, skip_top, seed).select("query_id", "doc_id", F.lit(1).alias("kind"), "pick")
@@ -85,6 +115,30 @@ def training_examples(queries: DataFrame, qrels: DataFrame, run: DataFrame, n: i
     return out.withColumn("negatives", F.coalesce("negatives", F.expr("cast(array() as array<string>)")))
 
 
+def manifest(examples: DataFrame, splits: DataFrame) -> DataFrame:
+    """split, label, queries, positives, negatives."""
+    rows = examples.join(splits.select("query_id", "split"), "query_id")
+    return rows.groupBy("split", "label").agg(F.count("*").alias("queries"), F.sum(F.size("positives")).cast("long").alias("positives"), F.sum(F.size("negatives")).cast("long").alias("negatives"))
+
+
+def relevant_sets(qrels: DataFrame, corpus: DataFrame) -> DataFrame:
+    """query_id, relevant: the ids of a query's relevant documents that the corpus has, in order."""
+    rows = qrels.where("grade > 0").join(corpus.select("doc_id"), "doc_id", "left_semi")
+    return rows.groupBy("query_id").agg(F.array_sort(F.collect_set("doc_id")).alias("relevant"))
+
+
+def namespaced(papers: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    """doc_id, text of papers and paragraphs as one corpus, ids beginning with paper_ or paragraph_."""
+    each = [rows.select(F.concat(F.lit(f"{name}_"), "doc_id").alias("doc_id"), "text") for name, rows in (("paper", papers), ("paragraph", paragraphs))]
+    return each[0].unionByName(each[1])
+
+
+def overridden(background: DataFrame, own: DataFrame) -> DataFrame:
+    """doc_id, text of both tables; of an id in both, the text of `own`."""
+    rest = background.select("doc_id", "text").join(own.select("doc_id"), "doc_id", "left_anti")
+    return rest.unionByName(own.select("doc_id", "text"))
+
+
 def at_least(examples: DataFrame, grade: int = 1) -> DataFrame:
     """Examples with only the positives of that grade, without those that lose all."""
     kept = F.map_filter("positives", lambda _, v: v >= grade)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -38,13 +39,20 @@ def query(sql: str | None = None, extra: dict[str, str] | None = None, name: str
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
 
 
+def _load() -> None:
+    """Further modules register their queries when they are imported."""
+    import rankloom.plans.storage  # noqa: F401
+
+
 def rounded(df: DataFrame, n: int = 6) -> DataFrame:
     """Doubles to n places, as sums depend on their order beyond that."""
     return df.select(*[F.round(c, n).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
@@ -99,48 +107,81 @@ def clean_for_encoder(spark, d):
     return _with_tail(spark, d, ENCODER_TAIL).select("doc_id", T.clean_for_encoder(F.col("t")).alias("cleaned"))
 
 
-@query("SELECT doc_id, tokens FROM papers")
+@query("SELECT doc_id, tokens FROM papers_s")
 def tokenize(spark, d):
     return X.paper_tokens(spark, d).select("doc_id", "tokens")
 
 
+@query("SELECT doc_id, tokens FROM papers")
+def tokenize_unstemmed(spark, d):
+    return X.papers(spark, d).select("doc_id", T.tokenize(F.col("text"), T.UNSTEMMED).alias("tokens"))
+
+
 @query(rf"SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+'), lambda x: NOT list_contains({Q.SW_BASE}, x)) AS tokens FROM documents")
 def tokenize_baseline(spark, d):
     return _docs(spark, d).select("doc_id", T.tokenize(F.col("text"), T.BASELINE).alias("tokens"))
 
 
-@query()
+@query("SELECT term, s AS stem FROM stems")
 def stem_vocabulary(spark, d):
-    words = X.paper_index(spark, d).term_stats.select("term")
-    return words.select("term", stem.stem(F.col("term"), "snowball").alias("snowball"), stem.stem(F.col("term"), "porter").alias("porter"))
+    """Every distinct word of documents and queries, and its stem."""
+    cut = lambda rows, c: rows.select(F.explode(T.words(F.col(c))).alias("term"))
+    words = cut(X.papers(spark, d), "text").union(cut(X.query_texts(spark, d), "query")).distinct()
+    return words.select("term", stem.stem(F.col("term")).alias("stem"))
+
 
+_NOSTEM = Q.index("pno", "papers_full", stemmed=False) | {"qtno": "SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest(tokens) AS term FROM q) GROUP BY query_id, term"}
 
-@query()
-def bm25_stemmed(spark, d):
-    rows = X.paper_tokens(spark, d)
-    flat = lambda t, k: stem.stem_tokens(t.select(k, F.posexplode("tokens").alias("pos", "term")))
-    postings = flat(rows, "doc_id").groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
-    q = flat(X.queries(spark, d), "query_id").groupBy("query_id").agg(F.collect_list("term").alias("tokens"))
-    return longs(R.bm25(q, I.build(rows, postings), 100, *R.TUNED["paper"]))
+
+@query("SELECT query_id, doc_id, score, rank FROM (" + Q.bm25("pno", 100, *R.TUNED["paper"], terms="qtno") + ")", _NOSTEM)
+def bm25_unstemmed(spark, d):
+    rows = X.papers(spark, d).select("doc_id", T.tokenize(F.col("text"), T.UNSTEMMED).alias("tokens"))
+    queries = X.query_texts(spark, d).select("query_id", T.tokenize(F.col("query"), T.UNSTEMMED).alias("tokens"))
+    return longs(R.bm25(queries, I.build(C.non_empty(rows)), 100, *R.TUNED["paper"]))
+
+
+_TEXT_FIELDS = rf"""SELECT doc_id, 2000 + CAST(substr(lpad(CAST(CAST(doc_id AS BIGINT) % 10000 AS VARCHAR), 4, '0'), 1, 2) AS BIGINT) AS year,
+  CASE WHEN title <> '' THEN title || '. ' || text ELSE text END AS titled, trim(title || ' ' || source) AS headed,
+  CAST(len(regexp_extract_all(text, '[^{Q.SP}]+')) AS BIGINT) AS n_words, regexp_replace(regexp_replace(text, '^[{Q.SP}]+|[{Q.SP}]+$', '', 'g'), '[{Q.SP}]+', ' ', 'g') AS normal FROM papers"""
+
+
+@query(_TEXT_FIELDS)
+def text_fields(spark, d):
+    number = F.lpad((F.col("doc_id").cast("long") % 10000).cast("string"), 4, "0")
+    return longs(X.papers(spark, d).select(
+        "doc_id", T.paper_year(number).alias("year"), T.title_and_text(F.col("title"), F.col("text")).alias("titled"), T.title_and_abstract(F.col("title"), F.col("source")).alias("headed"),
+        T.count_words(F.col("text")).alias("n_words"), T.normalize_space(F.col("text")).alias("normal"),
+    ))
 
 
 # --- collections, index, statistics ---
 
 
-@query("SELECT doc_id, paper_id, pos, text, tokens FROM paras_full")
+@query("SELECT doc_id, paper_id, pos, text, s.tokens FROM paras_full JOIN paras_s s USING (doc_id)")
 def paragraph_collection(spark, d):
-    return C.non_empty(C.tokenized(X.paragraphs(spark, d)))
+    return C.non_empty(X.paragraph_tokens(spark, d))
+
+
+@query(f"SELECT doc_id, paper_id, title, cleaned AS text FROM (SELECT p.doc_id, paper_id, q.title, {_STEP3.replace('(t,', '(p.text,').replace('length(t)', 'length(p.text)').replace('ELSE t END', 'ELSE p.text END')} AS cleaned FROM paras p JOIN papers q ON p.paper_id = q.doc_id) WHERE cleaned <> ''")
+def neural_collection(spark, d):
+    return C.neural_collection(X.papers(spark, d), X.paragraphs(spark, d))
+
+
+@query("SELECT doc_id, text FROM (SELECT doc_id, trim(title || ' ' || coalesce(abstract, '')) AS text FROM meta) WHERE text <> '' UNION ALL SELECT p.doc_id, CASE WHEN m.title <> '' THEN m.title || '. ' || p.text ELSE p.text END FROM paras p JOIN meta m ON m.doc_id = p.paper_id WHERE trim(p.text) <> ''")
+def encoder_texts(spark, d):
+    """Both collections' texts as encoders take them."""
+    meta, parts = X.metadata(spark, d), X.paragraphs(spark, d)
+    return C.texts(meta, parts, "paper").unionByName(C.texts(meta, parts, "paragraph", with_title=True))
 
 
 @query("SELECT doc_id, paper_id, pos FROM paras WHERE len(tokens) = 0")
 def empty_paragraphs(spark, d):
-    return C.empty(C.tokenized(X.paragraphs(spark, d))).select("doc_id", "paper_id", "pos")
+    return C.empty(X.paragraph_tokens(spark, d)).select("doc_id", "paper_id", "pos")
 
 
-@query("SELECT p.doc_id, p.title, a.text AS abstract, 2000 + CAST(p.doc_id AS BIGINT) % 100 AS year FROM papers p LEFT JOIN paras a ON a.doc_id = p.doc_id || '_1'")
+@query("SELECT * FROM meta")
 def paper_metadata(spark, d):
-    papers = X.papers(spark, d).select("doc_id", "title", F.lit("").alias("abstract"), (2000 + F.col("doc_id").cast("long") % 100).alias("year"))
-    return C.metadata(papers, X.paragraphs(spark, d))
+    return X.metadata(spark, d)
 
 
 _MANIFEST = "(SELECT count(*) AS {0}s_read, count(*) FILTER (WHERE len(tokens) > 0) AS {0}s, count(*) FILTER (WHERE len(tokens) = 0) AS empty_{0}s, CAST(sum(len(tokens)) AS BIGINT) AS {0}_tokens FROM {1})"
@@ -148,22 +189,28 @@ _MANIFEST = "(SELECT count(*) AS {0}s_read, count(*) FILTER (WHERE len(tokens) >
 
 @query(f"SELECT * FROM {_MANIFEST.format('paper', 'papers')}, {_MANIFEST.format('paragraph', 'paras')}")
 def collection_manifest(spark, d):
-    return C.manifest(X.paper_tokens(spark, d), C.tokenized(X.paragraphs(spark, d)))
+    return C.manifest(X.paper_tokens(spark, d), X.paragraph_tokens(spark, d))
 
 
 @query("SELECT term, doc_id, tf FROM pap_p")
 def inverted_index(spark, d):
-    return X.paper_index(spark, d).postings
+    return X.paper_index(spark, d).postings.select("term", "doc_id", "tf")
 
 
-@query("SELECT term, list(doc_id ORDER BY doc_id) AS docs, list(tf ORDER BY doc_id) AS tfs FROM pap_p GROUP BY term")
+@query(f"SELECT term, block, list(doc_id ORDER BY doc_id) AS docs, list(tf ORDER BY doc_id) AS tfs FROM (SELECT term, doc_id, tf, CAST('0x' || substr(md5(doc_id), 1, 7) AS BIGINT) % CAST(ceil(df / {I.BLOCK}.0) AS BIGINT) AS block FROM pap_p JOIN pap_t USING (term)) GROUP BY term, block")
 def postings_lists(spark, d):
-    return I.postings_lists(X.paper_index(spark, d).postings)
+    ix = X.paper_index(spark, d)
+    return I.postings_lists(ix.postings, ix.term_stats)
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS number FROM papers_full")
+def doc_numbers(spark, d):
+    return X.paper_index(spark, d).doc_numbers()
 
 
 @query("SELECT term, df, CAST(cf AS BIGINT) AS cf, round(idf, 6) AS idf FROM pap_t")
 def term_stats(spark, d):
-    return rounded(X.paper_index(spark, d).term_stats)
+    return rounded(X.paper_index(spark, d).term_stats.drop("tidf"))
 
 
 @query("SELECT num_docs, round(avg_doc_length, 6) AS avg_doc_length FROM pap_c")
@@ -181,7 +228,17 @@ _LEN = "SELECT doc_id, text, CAST(len(tokens) AS BIGINT) AS n, row_number() OVER
     {"l": _LEN.format("paras")},
 )
 def corpus_stats(spark, d):
-    return S.corpus_stats(C.tokenized(X.paragraphs(spark, d)))
+    return S.corpus_stats(_lengths(spark, d), X.paragraph_index(spark, d).term_stats)
+
+
+@X._kept
+def _lengths(spark, d):
+    return S.lengths(X.paragraph_tokens(spark, d)).persist()
+
+
+@query("SELECT doc_id, substr(text, 1, 100) AS preview FROM paras WHERE len(tokens) < 10 ORDER BY doc_id LIMIT 5")
+def short_examples(spark, d):
+    return S.short_examples(X.paragraph_tokens(spark, d))
 
 
 _P = {"p10": 0.1, "p50": 0.5, "p90": 0.9, "p99": 0.99, "p100": 1.0}
@@ -199,7 +256,7 @@ def top_tokens(spark, d):
 
 @query("SELECT doc_id, CAST(len(tokens) AS BIGINT) AS n_tokens, substr(text, 1, 80) AS preview FROM paras ORDER BY len(tokens) DESC, doc_id DESC LIMIT 10")
 def longest_paragraphs(spark, d):
-    return S.longest(C.tokenized(X.paragraphs(spark, d)), 10)
+    return S.longest(X.paragraph_tokens(spark, d), 10)
 
 
 # --- lexical ranking ---
@@ -223,15 +280,15 @@ def bm25_paragraphs(spark, d):
 
 
 @query(
-    "SELECT query_id, doc_id, term, qtf, tf, round(idf, 6) AS idf, round(qtf * idf * tf * 5.0 / (tf + 4.0 * (0.25 + 0.75 * doc_length / avg_doc_length)), 6) AS part FROM qt JOIN pap_p USING (term) JOIN pap_t USING (term) JOIN pap_d USING (doc_id) JOIN (SELECT query_id, doc_id FROM bm25 WHERE rank <= 5) USING (query_id, doc_id), pap_c"
+    "SELECT query_id, doc_id, term, qtf, tf, round(idf, 6) AS idf, round(qtf * idf * tf * 5.0 / (tf + 4.0 * (0.25 + 0.75 * doc_length / avg_doc_length)), 6) AS part FROM qt JOIN pap_p USING (term) JOIN pap_t USING (term) JOIN pap_d USING (doc_id) JOIN (SELECT query_id, doc_id FROM bm25) USING (query_id, doc_id), pap_c"
 )
 def bm25_explain(spark, d):
-    return rounded(R.bm25_explain(X.queries(spark, d), X.paper_index(spark, d), X.bm25_run(spark, d).where("rank <= 5"), *R.TUNED["paper"]))
+    return rounded(R.bm25_explain(X.queries(spark, d), X.paper_index(spark, d), X.bm25_run(spark, d), *R.TUNED["paper"]))
 
 
 @query("SELECT doc_id, round(norm, 6) AS norm FROM pap_n")
 def tfidf_doc_norms(spark, d):
-    return rounded(R.tfidf_norms(X.paper_index(spark, d)))
+    return rounded(X.paper_index(spark, d).doc_norms)
 
 
 @query(_RUN.format("pap_tfidf"))
@@ -241,7 +298,7 @@ def tfidf_papers(spark, d):
 
 @query(_RUN.format("par_tfidf"))
 def tfidf_paragraphs(spark, d):
-    return longs(R.tfidf(X.queries(spark, d), X.paragraph_index(spark, d), 100))
+    return longs(X.paragraph_tfidf_run(spark, d))
 
 
 @query("SELECT query_id, rank, query_id || chr(9) || 'Q0' || chr(9) || doc_id || chr(9) || CAST(rank AS VARCHAR) || chr(9) || printf('%.6f', score) || chr(9) || 'bm25' AS line FROM bm25")
@@ -259,8 +316,7 @@ def run_validation(spark, d):
 
 @query("SELECT count(*) AS queries, count(*) FILTER (WHERE n = 0) AS without_results, count(*) FILTER (WHERE n > 0 AND n < 100) AS with_few, round(avg(n), 6) AS mean_results FROM (SELECT q.query_id, count(r.doc_id) AS n FROM q LEFT JOIN bm25 r USING (query_id) GROUP BY q.query_id)")
 def run_shape(spark, d):
-    n = X.queries(spark, d).select("query_id").join(X.bm25_run(spark, d).groupBy("query_id").count(), "query_id", "left").select(F.coalesce("count", F.lit(0)).alias("n"))
-    return rounded(n.agg(F.count("*").alias("queries"), F.count_if(F.col("n") == 0).alias("without_results"), F.count_if((F.col("n") > 0) & (F.col("n") < 100)).alias("with_few"), F.avg("n").alias("mean_results")))
+    return rounded(S.run_shape(X.queries(spark, d).select("query_id"), X.bm25_run(spark, d)))
 
 
 # --- vectors, fusion ---
@@ -293,11 +349,19 @@ def flops_regularizer(spark, d):
     return rounded(R.flops(X.sparse_weights(X.paper_index(spark, d))))
 
 
-@query()
+_UNIT = "SELECT vec_id, vec_id // 64 AS batch, list_transform(embedding, lambda x: CAST(x AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * CAST(y AS DOUBLE))))) AS v FROM embeddings"
+_MNR = {
+    "uv": _UNIT,
+    "mp": "SELECT a.batch, a.vec_id AS pair, a.v AS a, b.v AS p FROM uv a JOIN uv b ON b.vec_id = a.vec_id + 1",
+    "ms": "SELECT x.batch, x.pair, y.pair AS other, 20 * list_sum(list_transform(range(1, 65), lambda i: x.a[i] * y.p[i])) AS s FROM mp x JOIN mp y USING (batch)",
+}
+
+
+@query("SELECT batch, round(avg(l), 6) AS loss FROM (SELECT batch, pair, ln(sum(exp(s))) - max(s) FILTER (WHERE pair = other) AS l FROM ms GROUP BY batch, pair) GROUP BY batch", _MNR)
 def mnr_loss(spark, d):
     v = X.table(spark, d, "embeddings").select("vec_id", "embedding", F.floor(F.col("vec_id") / 64).alias("batch"))
     pairs = v.alias("a").join(v.alias("b"), F.col("b.vec_id") == F.col("a.vec_id") + 1).select(F.col("a.batch").alias("batch"), F.col("a.vec_id").alias("pair"), F.col("a.embedding").alias("a"), F.col("b.embedding").alias("p"))
-    return R.mnr_loss(pairs)
+    return rounded(R.mnr_loss(pairs))
 
 
 @query("SELECT count(*) AS vectors, CAST(sum(n) AS BIGINT) AS nonzero, round(avg(n), 6) AS mean_active, max(n) AS most_active FROM (SELECT doc_id, count(*) AS n FROM sw GROUP BY doc_id)")
@@ -314,6 +378,12 @@ def bm25_maxp(spark, d):
     return longs(R.maxp(X.paragraph_run(spark, d)))
 
 
+@query(_RUN.format(f"({_MAXP})"))
+def maxp_by_table(spark, d):
+    """The papers of the paragraphs are looked up, and must be known."""
+    return longs(R.maxp(X.paragraph_run(spark, d), X.paragraphs(spark, d).select("doc_id", "paper_id")))
+
+
 @query("SELECT query_id, doc_id AS paragraph_id, regexp_replace(doc_id, '_[^_]*$', '') AS paper_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, regexp_replace(doc_id, '_[^_]*$', '') ORDER BY rank) AS n FROM bm25par) WHERE n = 1")
 def maxp(spark, d):
     w = Window.partitionBy("query_id", "paper_id").orderBy("rank")
@@ -328,21 +398,28 @@ def dense_maxp(spark, d):
     return longs(R.maxp(R.dense(X.vector_queries(spark, d), v, 2000), group))
 
 
-def _rrf(*names: str) -> str:
-    every = " UNION ALL ".join(f"SELECT query_id, doc_id, rank FROM {n} WHERE rank <= 100" for n in names)
-    return _RUN.format("(" + Q.ranked(f"SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM ({every}) GROUP BY query_id, doc_id", 100) + ")")
-
-
-@query(_rrf("bm25", "pap_tfidf"))
+@query(_RUN.format("rrfpap"))
 def rrf_two(spark, d):
     return longs(R.rrf([X.bm25_run(spark, d), X.tfidf_run(spark, d)]))
 
 
-@query(_rrf("bm25", "sparse", "pap_tfidf"))
+@query(_RUN.format(f"({Q.rrf('bm25', 'sparse', 'pap_tfidf')})"))
 def rrf_three(spark, d):
     return longs(R.rrf([X.bm25_run(spark, d), X.sparse_run(spark, d), X.tfidf_run(spark, d)]))
 
 
+@query("SELECT 'bm25' AS model, query_id, doc_id, score, rank FROM bm25 UNION ALL SELECT 'tfidf', query_id, doc_id, score, rank FROM pap_tfidf UNION ALL SELECT 'sparse', query_id, doc_id, score, rank FROM sparse UNION ALL SELECT 'dense', query_id, doc_id, score, rank FROM dense")
+def rankers(spark, d):
+    """Every ranker behind the common surface: texts in, runs out."""
+    texts, ix = X.query_texts(spark, d), X.paper_index(spark, d)
+    weigh = lambda q: R.query_terms(q.select("query_id", T.tokenize(F.col("query")).alias("tokens"))).select("query_id", "term", F.log1p("qtf").alias("weight"))
+    each = {"bm25": R.Bm25(ix, *R.TUNED["paper"]), "tfidf": R.TfIdf(ix), "sparse": R.Sparse(X.sparse_weights(ix), weigh)}
+    out = R.dense(X.vector_queries(spark, d), X.vectors(spark, d), 100).select(F.lit("dense").alias("model"), "query_id", "doc_id", "score", "rank")
+    for name, ranker in each.items():
+        out = out.unionByName(ranker.rank(texts).select(F.lit(name).alias("model"), "query_id", "doc_id", "score", "rank"))
+    return longs(out)
+
+
 # --- evaluation ---
 
 
@@ -358,7 +435,7 @@ def _metric(name: str, *cols: str) -> None:
 
 for _name, *_cols in (
     ("ndcg", "ndcg"), ("ndcg_at_5", "ndcg_at_5"), ("ndcg_at_10", "ndcg_at_10"), ("ndcg_exponential", "ndcg_exp", "ndcg_exp_at_5"), ("mrr", "mrr"), ("mrr_at_10", "mrr_at_10"),
-    ("precision_at_k", "p_at_5", "p_at_10"), ("recall_at_100", "recall_at_100"), ("accuracy_at_k", "accuracy_at_1", "accuracy_at_5", "accuracy_at_10"),
+    ("precision_at_k", "p_at_5", "p_at_10"), ("recall_at_100", "recall_at_100"), ("recall_at_k", "recall_at_5", "recall_at_10"), ("accuracy_at_k", "accuracy_at_1", "accuracy_at_5", "accuracy_at_10"),
 ):
     _metric(_name, *_cols)
 
@@ -387,12 +464,9 @@ def make_comparable(spark, d):
     return rounded(known.join(_metrics(spark, d).select("query_id", "ndcg"), "query_id", "left").fillna(0.0))
 
 
+@X._kept
 def _by_model(spark, d):
-    out = None
-    for name, get in (("bm25", X.bm25_run), ("sparse", X.sparse_run), ("tfidf", X.tfidf_run)):
-        rows = M.per_query(get(spark, d), X.qrels(spark, d)).withColumn("model", F.lit(name))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    return M.by_model(X.runs(spark, d, "paper"), X.qrels(spark, d), X.MODELS["paper"]).persist()
 
 
 _MODELS = Q.metric_steps("runs", by="model")
@@ -404,28 +478,88 @@ def paired_differences(spark, d):
     return rounded(M.paired_differences(_by_model(spark, d), "ndcg"))
 
 
-@query(f"SELECT model_a, model_b, count(*) AS n, round(avg(d), 6) AS mean_d, round(CASE WHEN stddev_samp(d) > 0 THEN avg(d) / (stddev_samp(d) / sqrt(count(*))) END, 4) AS t FROM ({_PAIRS}) GROUP BY model_a, model_b", _MODELS)
+_T = f"SELECT model_a, model_b, count(*) AS n, avg(d) AS mean_d, CASE WHEN stddev_samp(d) > 0 THEN avg(d) / (stddev_samp(d) / sqrt(count(*))) END AS t FROM ({_PAIRS}) GROUP BY model_a, model_b"
+
+
+@query(f"SELECT model_a, model_b, n, round(mean_d, 6) AS mean_d, round(t, 4) AS t FROM ({_T})", _MODELS)
 def paired_t_statistic(spark, d):
     return rounded(rounded(M.paired_t(_by_model(spark, d), "ndcg")).withColumn("t", F.round("t", 4)))
 
 
-_REPORT = ("ndcg", "ndcg_at_5", "mrr", "p_at_5", "p_at_10", "recall_at_100")
+# Student's distribution has a finite series in the angle for whole degrees of freedom v; products of its ratios by sums of logarithms
+_TAIL = "list_sum(list_transform(range(0, {last}), lambda j: coalesce(exp(list_sum(list_transform(range(1, j + 1), lambda i: ln({ratio})))), 1) * power(cos(a), {power})))"
+_ODD = _TAIL.format(last="(v - 1) // 2", ratio="2.0 * i / (2 * i + 1)", power="2 * j + 1")
+_EVEN = _TAIL.format(last="v // 2", ratio="(2.0 * i - 1) / (2 * i)", power="2 * j")
+_P_VALUE = f"CASE WHEN t IS NULL OR n < 2 THEN 1.0 WHEN v % 2 = 1 THEN greatest(0, 1 - 2 / pi() * (a + sin(a) * coalesce({_ODD}, 0))) ELSE greatest(0, 1 - sin(a) * coalesce({_EVEN}, 0)) END"
+
+
+@query(f"SELECT model_a, model_b, n, round(mean_d, 6) AS mean_d, round(t, 4) AS t, round(p, 6) AS p, p < 0.05 AS significant FROM (SELECT *, {_P_VALUE} AS p FROM (SELECT *, n - 1 AS v, atan(abs(t) / sqrt(n - 1)) AS a FROM tt))", _MODELS | {"tt": _T})
+def significance(spark, d):
+    return rounded(M.significance(_by_model(spark, d), "ndcg").withColumn("t", F.round("t", 4)))
+
+
+_FISHER = {
+    "pd": _PAIRS,
+    "fo": "SELECT model_a, model_b, count(*) AS n, round(avg(d), 9) AS mean_d FROM pd GROUP BY model_a, model_b",
+    "fd": f"SELECT model_a, model_b, draw, round(avg(CASE WHEN CAST('0x' || substr(md5('42-' || CAST(draw AS VARCHAR) || '-' || query_id), 1, 4) AS BIGINT) % 2 = 1 THEN -d ELSE d END), 9) AS m FROM pd, (SELECT unnest(range(1, {M.DRAWS + 1})) AS draw) GROUP BY model_a, model_b, draw",
+}
+
+
+@query(f"SELECT model_a, model_b, n, round(mean_d, 6) AS mean_d, round((count(*) FILTER (WHERE abs(m) >= abs(mean_d)) + 1) / {M.DRAWS + 1}.0, 6) AS p FROM fd JOIN fo USING (model_a, model_b) GROUP BY model_a, model_b, n, mean_d", _MODELS | _FISHER)
+def significance_fisher(spark, d):
+    return rounded(M.randomization(_by_model(spark, d), "ndcg"))
+
+
+_TUKEY = {
+    "tm": "SELECT model, round(avg(ndcg), 9) AS mean FROM m GROUP BY model",
+    "td": f"SELECT draw, seat, round(avg(ndcg), 9) AS x FROM (SELECT draw, ndcg, row_number() OVER (PARTITION BY draw, query_id ORDER BY md5('42-' || CAST(draw AS VARCHAR) || '-' || query_id || '-' || model), model) AS seat FROM m, (SELECT unnest(range(1, {M.DRAWS + 1})) AS draw)) GROUP BY draw, seat",
+    "tr": "SELECT draw, round(max(x) - min(x), 9) AS spread FROM td GROUP BY draw",
+    "tp": "SELECT a.model AS model_a, b.model AS model_b, round(a.mean - b.mean, 9) AS mean_d FROM tm a JOIN tm b ON a.model < b.model",
+}
+
+
+@query(f"SELECT model_a, model_b, round(mean_d, 6) AS mean_d, round((count(*) FILTER (WHERE spread >= abs(mean_d)) + 1) / {M.DRAWS + 1}.0, 6) AS p FROM tp, tr GROUP BY model_a, model_b, mean_d", _MODELS | _TUKEY)
+def significance_tukey(spark, d):
+    return rounded(M.tukey(_by_model(spark, d), "ndcg"))
+
 
+def _report_sql(collection: str, runs: str, qrels: str) -> tuple[str, dict[str, str]]:
+    """Rows of the report of a collection, and its steps, under names of their own."""
+    body, steps = [], {}
+    for setting, judged, wanted in (("graded", qrels, M.GRADED), ("strict", f"(SELECT * FROM {qrels} WHERE grade = 2)", M.STRICT)):
+        tag = f"{collection[:4]}{setting[0]}"
+        steps |= {f"{tag}_j": f"SELECT * FROM {judged}"}
+        for k, v in Q.metric_steps(runs, f"{tag}_j", by="model").items():
+            for other in ("rows_", "found", "best", "rel"):
+                v = re.sub(rf"\b(FROM|JOIN) {other}\b", rf"\1 {tag}_{other}", v)
+            steps[f"{tag}_{k}"] = v
+        for metric in wanted:
+            body.append(f"SELECT '{collection}' AS collection, '{setting}' AS setting, model, '{metric}' AS metric, round(avg({metric}), 6) AS value FROM {tag}_m GROUP BY model")
+    return " UNION ALL ".join(body), steps
 
-@query("SELECT model, " + ", ".join(f"round(avg({c}), 6) AS {c}" for c in _REPORT) + " FROM m GROUP BY model", _MODELS)
+
+_PAPER_REPORT, _PARA_REPORT = _report_sql("paper", "runs", "qrels"), _report_sql("paragraph", "pruns", "pqrels")
+_SHOWN = "CASE model WHEN 'bm25' THEN 'BM25' WHEN 'sparse' THEN 'SPLADE' WHEN 'tfidf' THEN 'TF-IDF' WHEN 'rrf:bm25+tfidf' THEN 'RRF(BM25+TF-IDF)' END"
+
+
+@query(f"SELECT collection, setting, {_SHOWN} AS name, metric, value FROM ({_PAPER_REPORT[0]} UNION ALL {_PARA_REPORT[0]})", _PAPER_REPORT[1] | _PARA_REPORT[1])
 def evaluation_report(spark, d):
-    return rounded(M.means(_by_model(spark, d).select("model", *_REPORT), ("model",)))
+    """Both collections, graded and strict, in one pass."""
+    both = lambda get: get("paper").withColumn("collection", F.lit("paper")).unionByName(get("paragraph").withColumn("collection", F.lit("paragraph")))
+    qrels = both(lambda c: (X.qrels if c == "paper" else X.paragraph_qrels)(spark, d))
+    rows = M.report(both(lambda c: X.runs(spark, d, c)), qrels, X.MODELS)
+    return rounded(rows.select("collection", "setting", M.display_names(F.col("model")).alias("name"), "metric", "value"))
 
 
 @query("SELECT label, count(*) AS n, round(avg(ndcg), 6) AS ndcg, round(avg(mrr), 6) AS mrr FROM m JOIN q USING (query_id) GROUP BY label", Q.metric_steps("bm25"))
 def metrics_by_label(spark, d):
-    rows = _metrics(spark, d).join(X.queries(spark, d).select("query_id", "label"), "query_id")
+    rows = _metrics(spark, d).join(X.query_texts(spark, d).select("query_id", "label"), "query_id")
     return rounded(rows.groupBy("label").agg(F.count("*").alias("n"), F.avg("ndcg").alias("ndcg"), F.avg("mrr").alias("mrr")))
 
 
 @query("SELECT label, CAST(grade AS BIGINT) AS grade, count(*) AS n FROM qrels JOIN q USING (query_id) GROUP BY label, grade")
 def annotation_summary(spark, d):
-    return longs(X.qrels(spark, d).join(X.queries(spark, d).select("query_id", "label"), "query_id").groupBy("label", "grade").agg(F.count("*").alias("n")))
+    return longs(X.qrels(spark, d).join(X.query_texts(spark, d).select("query_id", "label"), "query_id").groupBy("label", "grade").agg(F.count("*").alias("n")))
 
 
 @query("SELECT query_id, label FROM q WHERE query_id IN (SELECT query_id FROM qrels)")
@@ -436,49 +570,66 @@ def judged_queries(spark, d):
 # --- tuning and training data ---
 
 _CELLS = "SELECT CAST(k1 AS DOUBLE) AS k1, CAST(b AS DOUBLE) AS b FROM (SELECT unnest([0.6, 0.9, 1.2, 1.5, 1.8]) AS k1), (SELECT unnest([0.2, 0.4, 0.6, 0.75, 0.9]) AS b)"
-_GRID = {
-    "cells": _CELLS,
-    "jq": "SELECT DISTINCT query_id FROM qrels",
-    "gs": "SELECT k1, b, query_id, doc_id, round(sum(qtf * idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * doc_length / avg_doc_length))), 6) AS score FROM qt JOIN jq USING (query_id) JOIN pap_p USING (term) JOIN pap_t USING (term) JOIN pap_d USING (doc_id), pap_c, cells GROUP BY k1, b, query_id, doc_id",
-    "gr": "SELECT *, row_number() OVER (PARTITION BY k1, b, query_id ORDER BY score DESC, doc_id) AS rank FROM gs",
-    "gd": "SELECT k1, b, query_id, sum(grade / log2(rank + 1)) AS dcg FROM gr JOIN qrels USING (query_id, doc_id) WHERE rank <= 5 GROUP BY k1, b, query_id",
-    "gi": "SELECT query_id, sum(grade / log2(n + 1)) AS best FROM (SELECT query_id, grade, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, doc_id) AS n FROM qrels) WHERE n <= 5 GROUP BY query_id",
-    "gq": "SELECT k1, b, query_id, coalesce(dcg / best, 0) AS ndcg_at_5 FROM (SELECT * FROM jq, cells) LEFT JOIN gd USING (k1, b, query_id) LEFT JOIN gi USING (query_id)",
-    "gm": "SELECT k1, b, round(avg(ndcg_at_5), 6) AS ndcg_at_5 FROM gq GROUP BY k1, b",
-    "ho": "SELECT query_id, row_number() OVER (ORDER BY md5('42-' || query_id), query_id) <= floor(count(*) OVER () * 0.2::DOUBLE) AS held_out FROM jq",
-}
+
+
+def _grid_steps(cells: str, judged: str) -> dict[str, str]:
+    """Step gq: nDCG@5 of each cell and query of `judged`."""
+    return {
+        "cells": cells,
+        "jq": judged,
+        "gs": "SELECT k1, b, query_id, doc_id, round(sum(qtf * idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * doc_length / avg_doc_length))), 6) AS score FROM qt JOIN jq USING (query_id) JOIN pap_p USING (term) JOIN pap_t USING (term) JOIN pap_d USING (doc_id), pap_c, cells GROUP BY k1, b, query_id, doc_id",
+        "gr": "SELECT *, row_number() OVER (PARTITION BY k1, b, query_id ORDER BY score DESC, doc_id) AS rank FROM gs",
+        "gd": "SELECT k1, b, query_id, sum(grade / log2(rank + 1)) AS dcg FROM gr JOIN qrels USING (query_id, doc_id) WHERE rank <= 5 GROUP BY k1, b, query_id",
+        "gi": "SELECT query_id, sum(grade / log2(n + 1)) AS best FROM (SELECT query_id, grade, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, doc_id) AS n FROM qrels) WHERE n <= 5 GROUP BY query_id",
+        "gq": "SELECT k1, b, query_id, coalesce(dcg / best, 0) AS ndcg_at_5 FROM (SELECT * FROM jq, cells) LEFT JOIN gd USING (k1, b, query_id) LEFT JOIN gi USING (query_id)",
+        "gm": "SELECT k1, b, round(avg(ndcg_at_5), 6) AS ndcg_at_5 FROM gq GROUP BY k1, b",
+    }
+
+
+_SAMPLE = "SELECT query_id, pos <= floor(count(*) OVER () * 0.2::DOUBLE) AS held_out FROM (SELECT query_id, row_number() OVER (ORDER BY md5('42-' || query_id), query_id) AS pos FROM (SELECT DISTINCT query_id FROM qrels)) WHERE pos <= 400"
+_GRID = {"ho": _SAMPLE} | _grid_steps(_CELLS, "SELECT query_id FROM ho WHERE NOT held_out")
+
+
+@X._kept
+def _tuning_split(spark, d):
+    return U.tuning_sample(X.qrels(spark, d)).persist()
 
 
 @X._kept
 def _grid(spark, d):
-    return U.bm25_grid(X.queries(spark, d), X.paper_index(spark, d), X.qrels(spark, d)).persist()
+    """Of the tuning queries alone."""
+    queries = X.queries(spark, d).join(_tuning_split(spark, d).where("not held_out"), "query_id", "left_semi")
+    return U.grid_means(U.bm25_grid(queries, X.paper_index(spark, d), X.qrels(spark, d))).persist()
+
+
+@query("SELECT query_id, held_out FROM ho", _GRID)
+def tuning_sample(spark, d):
+    return _tuning_split(spark, d)
 
 
 @query("SELECT * FROM gm", _GRID)
 def bm25_grid(spark, d):
-    return U.grid_means(_grid(spark, d))
+    return _grid(spark, d)
 
 
 @query("SELECT * FROM gm ORDER BY ndcg_at_5 DESC, k1, b LIMIT 1", _GRID)
 def bm25_best_params(spark, d):
-    return U.best_cell(U.grid_means(_grid(spark, d)))
+    return U.best_cell(_grid(spark, d))
 
 
-_TRAINED = {"gt": "SELECT k1, b, round(avg(ndcg_at_5), 6) AS t FROM gq JOIN ho USING (query_id) WHERE NOT held_out GROUP BY k1, b", "gb": "SELECT k1, b FROM gt ORDER BY t DESC, k1, b LIMIT 1"}
+_HELD = {"best_cell": "SELECT 'best' AS setting, k1, b FROM (SELECT * FROM gm ORDER BY ndcg_at_5 DESC, k1, b LIMIT 1) UNION ALL SELECT 'default', 0.9::DOUBLE, 0.4::DOUBLE UNION ALL SELECT 'textbook', 1.2::DOUBLE, 0.75::DOUBLE"}
+_HELD |= {"h_" + k: re.sub(r"\b(cells|jq|gs|gr|gd|gi)\b", r"h_\1", v) for k, v in _grid_steps("SELECT DISTINCT k1, b FROM best_cell", "SELECT query_id FROM ho WHERE held_out").items() if k != "gm"}
 
 
-@query("SELECT k1, b, count(*) AS n, round(avg(ndcg_at_5), 6) AS ndcg_at_5 FROM gq JOIN ho USING (query_id) JOIN gb USING (k1, b) WHERE held_out GROUP BY k1, b", _GRID | _TRAINED)
+@query("SELECT setting, k1, b, count(*) AS n, round(avg(ndcg_at_5), 6) AS ndcg_at_5 FROM h_gq JOIN best_cell USING (k1, b) GROUP BY setting, k1, b", _GRID | _HELD)
 def bm25_heldout(spark, d):
-    cells = _grid(spark, d)
-    split = U.held_out(cells.select("query_id").distinct())
-    known = cells.join(F.broadcast(split), "query_id")
-    best = U.best_cell(U.grid_means(known.where("not held_out"))).select("k1", "b")
-    return rounded(known.where("held_out").join(F.broadcast(best), ["k1", "b"]).groupBy("k1", "b").agg(F.count("*").alias("n"), F.avg("ndcg_at_5").alias("ndcg_at_5")))
+    """The chosen cell and the known settings on queries that chose nothing."""
+    return U.held_out_check(X.queries(spark, d), X.paper_index(spark, d), X.qrels(spark, d), _tuning_split(spark, d), _grid(spark, d))
 
 
 @query("SELECT k1, max(ndcg_at_5) FILTER (WHERE b = 0.2) AS \"0.2\", max(ndcg_at_5) FILTER (WHERE b = 0.4) AS \"0.4\", max(ndcg_at_5) FILTER (WHERE b = 0.6) AS \"0.6\", max(ndcg_at_5) FILTER (WHERE b = 0.75) AS \"0.75\", max(ndcg_at_5) FILTER (WHERE b = 0.9) AS \"0.9\" FROM gm GROUP BY k1", _GRID)
 def tuning_grid_pivot(spark, d):
-    return readers.grid_matrix(U.grid_means(_grid(spark, d)), "ndcg_at_5")
+    return readers.grid_matrix(_grid(spark, d), "ndcg_at_5")
 
 
 @query("SELECT query_id, doc_id, rank FROM bm25 WHERE rank <= 50")
@@ -504,7 +655,7 @@ def hard_negatives(spark, d):
 
 
 def _examples(spark, d):
-    return U.training_examples(X.queries(spark, d), X.qrels(spark, d), X.bm25_run(spark, d))
+    return U.training_examples(X.query_texts(spark, d), X.qrels(spark, d), X.bm25_run(spark, d), collection=X.paper_index(spark, d).doc_stats)
 
 
 @query("SELECT query_id, query, label, list_aggregate(pos, 'string_agg', ',') AS positives, coalesce(list_aggregate(neg, 'string_agg', ','), '') AS negatives FROM ex", _HARD)
@@ -520,7 +671,7 @@ def training_triples(spark, d):
 
 @query("SELECT j.query_id, j.doc_id, q.query, p.text FROM qrels j JOIN q USING (query_id) JOIN papers p ON p.doc_id = j.doc_id WHERE grade > 0")
 def training_pairs(spark, d):
-    return U.training_pairs(X.queries(spark, d), X.qrels(spark, d), X.papers(spark, d))
+    return U.training_pairs(X.query_texts(spark, d), X.qrels(spark, d), X.papers(spark, d))
 
 
 _SPLIT = "SELECT query_id, label, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY md5('42-' || query_id), query_id) <= round_even(count(*) OVER (PARTITION BY label) * 0.1::DOUBLE, 0) THEN 'val' ELSE 'train' END AS split FROM q"
@@ -528,33 +679,83 @@ _SPLIT = "SELECT query_id, label, CASE WHEN row_number() OVER (PARTITION BY labe
 
 @query(_SPLIT)
 def stratified_split(spark, d):
-    return U.stratified_split(X.queries(spark, d).select("query_id", "label"))
+    return U.stratified_split(X.query_texts(spark, d).select("query_id", "label"))
 
 
 @query("SELECT query_id, CASE WHEN row_number() OVER (ORDER BY md5('42-' || query_id), query_id) <= floor(count(*) OVER () * 0.8::DOUBLE) THEN 'train' ELSE 'val' END AS split FROM q")
 def query_split(spark, d):
-    kept = U.held_out(X.queries(spark, d), 0.8)
+    kept = U.held_out(X.query_texts(spark, d), 0.8)
     return kept.select("query_id", F.when(F.col("held_out"), "train").otherwise("val").alias("split"))
 
 
 @query("SELECT s.split, s.label, count(*) AS queries, CAST(sum(len(pos)) AS BIGINT) AS positives, CAST(sum(len(neg)) AS BIGINT) AS negatives FROM (" + _SPLIT + ") s JOIN ex USING (query_id) GROUP BY s.split, s.label", _HARD)
 def training_manifest(spark, d):
-    rows = _examples(spark, d).join(U.stratified_split(X.queries(spark, d).select("query_id", "label")).select("query_id", "split"), "query_id")
-    return rows.groupBy("split", "label").agg(F.count("*").alias("queries"), F.sum(F.size("positives")).cast("long").alias("positives"), F.sum(F.size("negatives")).cast("long").alias("negatives"))
+    return U.manifest(_examples(spark, d), U.stratified_split(X.query_texts(spark, d).select("query_id", "label")))
 
 
 @query(
-    "SELECT * FROM vj UNION ALL SELECT * FROM vc UNION ALL SELECT * FROM (SELECT doc_id, 'distractor' AS part FROM papers WHERE doc_id NOT IN (SELECT doc_id FROM vj) AND doc_id NOT IN (SELECT doc_id FROM vc) ORDER BY md5('42-' || doc_id), doc_id LIMIT 200)",
+    "SELECT * FROM vj UNION ALL SELECT * FROM vc UNION ALL SELECT * FROM (SELECT doc_id, 'distractor' AS part FROM papers WHERE doc_id NOT IN (SELECT doc_id FROM vj) AND doc_id NOT IN (SELECT doc_id FROM vc) ORDER BY md5('42-' || doc_id), doc_id LIMIT 10000)",
     {"vj": "SELECT DISTINCT doc_id, 'judged' AS part FROM qrels", "vc": "SELECT DISTINCT doc_id, 'candidate' AS part FROM bm25 WHERE rank <= 100 AND doc_id NOT IN (SELECT doc_id FROM vj)"},
 )
 def validation_corpus(spark, d):
-    return U.validation_corpus(X.papers(spark, d), X.qrels(spark, d), X.bm25_run(spark, d), 200)
+    return U.validation_corpus(X.papers(spark, d), X.qrels(spark, d), X.bm25_run(spark, d))
+
+
+@query("SELECT query_id, list(doc_id ORDER BY doc_id) AS relevant FROM qrels WHERE grade > 0 AND doc_id IN (SELECT doc_id FROM papers_full) GROUP BY query_id")
+def relevant_sets(spark, d):
+    return U.relevant_sets(X.qrels(spark, d), X.paper_index(spark, d).doc_stats)
+
+
+_EVAL = ("accuracy_at_1", "accuracy_at_5", "accuracy_at_10", "p_at_5", "p_at_10", "recall_at_5", "recall_at_10", "mrr_at_10", "ndcg_at_5", "ndcg_at_10")
+
+
+@query("SELECT " + ", ".join(f"round(avg({c}), 6) AS {c}" for c in _EVAL) + " FROM m", Q.metric_steps("bm25"))
+def validation_report(spark, d):
+    """What the evaluator of training runs reports of a run over the validation corpus."""
+    corpus = U.validation_corpus(X.papers(spark, d), X.qrels(spark, d), X.bm25_run(spark, d))
+    run = X.bm25_run(spark, d).join(corpus.select("doc_id"), "doc_id", "left_semi")
+    return rounded(M.means(M.per_query(run, X.qrels(spark, d)).select(*_EVAL)))
+
+
+@query("SELECT 'paper_' || doc_id AS doc_id, text FROM papers UNION ALL SELECT 'paragraph_' || doc_id, text FROM paras")
+def namespaced_corpus(spark, d):
+    return U.namespaced(X.papers(spark, d), X.paragraphs(spark, d))
 
 
-@query()
+@query("SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM qrels) THEN title ELSE text END AS text FROM papers")
+def overridden_corpus(spark, d):
+    own = X.papers(spark, d).join(X.qrels(spark, d).select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.col("title").alias("text"))
+    return U.overridden(X.papers(spark, d), own)
+
+
+@query("SELECT j.query_id, j.doc_id, q.query, p.text FROM qrels j JOIN q USING (query_id) JOIN papers p ON p.doc_id = j.doc_id WHERE grade > 0 UNION ALL SELECT j.query_id, j.doc_id, q.query, p.text FROM pqrels j JOIN q USING (query_id) JOIN paras p ON p.doc_id = j.doc_id WHERE grade > 0")
+def combined_pairs(spark, d):
+    """Training pairs of papers and of paragraphs."""
+    q = X.query_texts(spark, d)
+    return U.training_pairs(q, X.qrels(spark, d), X.papers(spark, d)).unionByName(U.training_pairs(q, X.paragraph_qrels(spark, d), X.paragraphs(spark, d)))
+
+
+def _log(spark, d):
+    return X.table(spark, d, "events").groupBy((F.floor(F.col("event_id") / 50) * 50).alias("step")).agg(F.round(F.avg("value"), 9).alias("value"))
+
+
+_LOG = {
+    "lg": "SELECT event_id // 50 * 50 AS step, round(avg(value), 9) AS value FROM events GROUP BY 1",
+    "lb": "SELECT *, coalesce(value > max(value) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS better FROM lg",
+    "lr": "SELECT *, sum(CAST(better AS INT)) OVER (ORDER BY step) AS run FROM lb",
+    "lw": "SELECT *, row_number() OVER (PARTITION BY run ORDER BY step) - 1 AS worse FROM lr",
+    "ls": "SELECT min(step) FILTER (WHERE worse >= 3) AS stopped_at FROM lw",
+}
+
+
+@query("SELECT step, value, stopped_at FROM lg, ls WHERE stopped_at IS NULL OR step <= stopped_at ORDER BY value DESC, step LIMIT 1", _LOG)
 def best_checkpoint(spark, d):
-    log = X.table(spark, d, "events").groupBy((F.floor(F.col("event_id") / 50) * 50).alias("step")).agg(F.avg("value").alias("value"))
-    return U.best_checkpoint(log)
+    return U.best_checkpoint(_log(spark, d))
+
+
+@query("SELECT 0 AS step, -1.0::DOUBLE AS value UNION ALL SELECT step, value FROM lg", _LOG)
+def training_curve(spark, d):
+    return U.curve(_log(spark, d), -1.0)
 
 
 # --- serving ---
@@ -562,39 +763,59 @@ def best_checkpoint(spark, d):
 
 @query("SELECT query_id, b.rank, b.doc_id, b.score, count(*) OVER (PARTITION BY query_id) AS total, title FROM bm25 b JOIN papers USING (doc_id) QUALIFY b.rank BETWEEN 11 AND 20")
 def search_results_page(spark, d):
-    return longs(V.results_page(X.bm25_run(spark, d), X.papers(spark, d), X.queries(spark, d), 2, 10).drop("excerpt"))
+    return longs(V.results_page(X.bm25_run(spark, d), X.papers(spark, d), X.query_texts(spark, d), 2, 10).drop("excerpt"))
 
 
-_SENT = rf"SELECT query_id, doc_id, tokens, unnest(ss) AS s, unnest(range(len(ss))) AS i FROM (SELECT query_id, b.doc_id, q.tokens, str_split(regexp_replace(p.text, '([.!?])[\s\x0b]+', '\1' || chr(1), 'g'), chr(1)) AS ss FROM bm25 b JOIN q USING (query_id) JOIN papers p ON p.doc_id = b.doc_id WHERE b.rank <= 5)"
+_EXCERPT = {
+    "es": r"SELECT query_id, doc_id, unnest(ss) AS s, unnest(range(len(ss))) AS i FROM (SELECT query_id, b.doc_id, str_split(regexp_replace(p.text, '([.!?])[\s\x0b]+', '\1' || chr(1), 'g'), chr(1)) AS ss FROM bm25 b JOIN papers p ON p.doc_id = b.doc_id)",
+    "ew": "SELECT DISTINCT query_id, doc_id, i, stems.s AS term FROM (SELECT query_id, doc_id, i, unnest(" + Q.tok("s") + ") AS term FROM es) JOIN stems USING (term)",
+    "eo": "SELECT query_id, doc_id, i, count(*) AS n FROM ew JOIN qt USING (query_id, term) GROUP BY query_id, doc_id, i",
+    "eb": "SELECT query_id, doc_id, s, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY coalesce(n, 0) DESC, i) AS n FROM es LEFT JOIN eo USING (query_id, doc_id, i)",
+}
 
 
-@query(
-    "SELECT query_id, doc_id, CASE WHEN length(s) <= 300 THEN s ELSE regexp_replace(substr(s, 1, 300), ' [^ ]*$', '') || '...' END AS excerpt FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY len(list_intersect(list_distinct(" + Q.tok("s") + "), list_distinct(tokens))) DESC, i) AS n FROM se) WHERE n = 1",
-    {"se": _SENT},
-)
+@query("SELECT query_id, doc_id, CASE WHEN length(s) <= 300 THEN s ELSE regexp_replace(substr(s, 1, 300), ' [^ ]*$', '') || '...' END AS excerpt FROM eb WHERE n = 1", _EXCERPT)
 def excerpt(spark, d):
-    rows = X.bm25_run(spark, d).where("rank <= 5").join(X.papers(spark, d).select("doc_id", "text"), "doc_id").join(X.queries(spark, d).select("query_id", "query"), "query_id")
+    rows = X.bm25_run(spark, d).join(X.papers(spark, d).select("doc_id", "text"), "doc_id").join(X.query_texts(spark, d), "query_id")
     return V.excerpt(rows).select("query_id", "doc_id", "excerpt")
 
 
-@query("SELECT doc_id, title, text FROM papers WHERE doc_id = '7' UNION ALL SELECT doc_id, '' AS title, text FROM paras WHERE doc_id = '7_1'")
+@query("SELECT query_id, b.rank, b.doc_id, 'Paragraph' AS type, m.year, m.title, count(*) OVER (PARTITION BY query_id) AS total FROM (SELECT * FROM bm25par WHERE rank <= 100) b JOIN paras p ON p.doc_id = b.doc_id JOIN meta m ON m.doc_id = p.paper_id QUALIFY b.rank BETWEEN 1 AND 10")
+def search_paragraphs_page(spark, d):
+    """A page of paragraph hits: their papers are found over the paragraphs, title and year over the papers."""
+    return longs(V.search(X.paragraph_run(spark, d), X.metadata(spark, d), X.paragraphs(spark, d), X.query_texts(spark, d), "paragraph").drop("excerpt"))
+
+
+@query("SELECT doc_id, 'Paper' AS type, title, year, abstract AS content FROM meta WHERE doc_id = '7' UNION ALL SELECT p.doc_id, 'Paragraph', m.title, m.year, p.text FROM paras p JOIN meta m ON m.doc_id = p.paper_id WHERE p.doc_id = '7_1'")
 def document_preview(spark, d):
-    return X.papers(spark, d).where("doc_id = '7'").select("doc_id", "title", "text").union(X.paragraphs(spark, d).where("doc_id = '7_1'").select("doc_id", F.lit(""), "text"))
+    return V.document("7", X.metadata(spark, d), X.paragraphs(spark, d)).unionByName(V.document("7_1", X.metadata(spark, d), X.paragraphs(spark, d), "paragraph"))
 
 
 @query(
     "SELECT query_id, word, row_number() OVER (PARTITION BY query_id ORDER BY first) - 1 AS pos FROM (SELECT query_id, word, min(i) AS first FROM (SELECT CAST(item_id AS VARCHAR) AS query_id, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM (SELECT item_id, list_filter(regexp_split_to_array(text, '[" + Q.SP + "]+'), lambda x: x <> '') AS ws FROM benchmark)) GROUP BY query_id, word) WHERE len(" + Q.tok("word") + ") > 0"
 )
 def query_vocabulary(spark, d):
-    return V.query_vocabulary(X.queries(spark, d))
+    return V.query_vocabulary(X.query_texts(spark, d))
+
+
+_WORDS = {"qw": "SELECT DISTINCT word FROM (SELECT unnest(list_filter(regexp_split_to_array(text, '[" + Q.SP + "]+'), lambda x: x <> '')) AS word FROM benchmark) WHERE len(" + Q.tok("word") + ") > 0"}
 
 
-@query()
+@query("SELECT word, lower(word) NOT IN (SELECT lower(word) FROM qw WHERE starts_with(word, 'th')) AS active FROM qw", _WORDS)
 def vocabulary_merge(spark, d):
-    words = V.query_vocabulary(X.queries(spark, d)).select("word").distinct()
+    words = V.query_vocabulary(X.query_texts(spark, d)).select("word").distinct()
     return V.merge_vocabulary(words, words.where("word like 'th%'").withColumn("active", F.lit(False)))
 
 
+@query("SELECT word, 'query' AS kind, lower(word) NOT IN (SELECT lower(word) FROM qw WHERE starts_with(word, 'th')) AS active FROM qw UNION ALL SELECT 'Own Keyword', 'keyword', true", _WORDS)
+def vocabulary_state(spark, d):
+    """A user's words after a new query: what was switched off stays off, an own keyword stays, a removed one is gone."""
+    words = V.query_vocabulary(X.query_texts(spark, d)).select("word").distinct()
+    before = words.where("word like 'th%'").select("word", F.lit("query").alias("kind"), F.lit(False).alias("active"))
+    state = V.add_keyword(V.add_keyword(V.vocabulary_state(words, before), " Own Keyword "), "other")
+    return V.remove_keyword(V.toggle(V.toggle(state, "own keyword"), "own keyword"), "OTHER")
+
+
 def _titles(spark, d):
     return X.table(spark, d, "part").select(F.col("p_partkey").alias("number"), F.col("p_name").alias("title"))
 
@@ -643,13 +864,74 @@ def history_clear_day(spark, d):
     return events.crossJoin(F.broadcast(day)).where(F.to_date("ts") != F.col("day")).select("event_id", "user_id")
 
 
-@query("SELECT user_id, name, event_id FROM (SELECT *, lower(event_type) AS name, row_number() OVER (PARTITION BY user_id, lower(event_type) ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
+_HISTORY = "SELECT event_id, user_id, event_type AS query, ts FROM events"
+
+
+def _history(spark, d):
+    return X.table(spark, d, "events").select("event_id", "user_id", F.col("event_type").alias("query"), "ts")
+
+
+@query(f"SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM (SELECT * FROM ({_HISTORY}) WHERE event_id % 2 = 0 UNION ALL SELECT * FROM ({_HISTORY}) WHERE event_id % 2 = 1 AND event_id % 7 <> 0)) WHERE place <= 100")
+def history_add(spark, d):
+    """Half of the events are the history, the others are added; a seventh of these are blank."""
+    h = _history(spark, d)
+    new = h.where("event_id % 2 = 1").withColumn("query", F.when(F.col("event_id") % 7 == 0, "  ").otherwise(F.col("query")))
+    return V.add_search(h.where("event_id % 2 = 0"), new).select("event_id", "user_id")
+
+
+@query("SELECT event_id, user_id FROM events WHERE event_id % 3 <> 0")
+def history_remove(spark, d):
+    return V.remove_search(_history(spark, d), _history(spark, d).where("event_id % 3 = 0")).select("event_id", "user_id")
+
+
+@query("SELECT event_id, user_id FROM events WHERE user_id % 5 <> 0")
+def history_clear(spark, d):
+    return V.clear_history(_history(spark, d), _history(spark, d).where("user_id % 5 = 0").select("user_id").distinct()).select("event_id", "user_id")
+
+
+def _saved(spark, d):
+    """Each event saves a document in the collection that its type names, in one of two letter cases."""
+    name = F.when(F.col("event_id") % 2 == 0, F.upper("event_type")).otherwise(F.col("event_type"))
+    return X.table(spark, d, "events").select(name.alias("name"), (F.col("user_id") % 50).cast("string").alias("doc_id"), F.lit("paper").alias("collection"), "ts", "event_id", F.struct("ts", "event_id").alias("saved_at"))
+
+
+_SAVED = {
+    "sv": "SELECT lower(event_type) AS name, CAST(user_id % 50 AS VARCHAR) AS doc_id, ts, event_id FROM events",
+    "sk": "SELECT name, doc_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY name, doc_id ORDER BY ts DESC, event_id DESC) AS n FROM sv) WHERE n = 1",
+}
+
+
+@query("SELECT * FROM sk", _SAVED)
 def bookmark_dedupe(spark, d):
-    events = X.table(spark, d, "events").withColumn("name", F.lower("event_type"))
-    w = Window.partitionBy("user_id", "name").orderBy(F.desc("ts"), F.desc("event_id"))
-    return events.withColumn("n", F.row_number().over(w)).where("n = 1").select("user_id", "name", "event_id")
+    """Documents saved again, under a name in another letter case, are the same."""
+    s = _saved(spark, d)
+    kept = V.save_document(s.where("event_id % 2 = 0"), s.where("event_id % 2 = 1"))
+    return kept.select(F.lower("name").alias("name"), "doc_id", "event_id")
+
+
+@query("SELECT * FROM sk WHERE NOT (name = (SELECT min(name) FROM sk) AND doc_id = '7')", _SAVED)
+def bookmark_remove(spark, d):
+    s = _saved(spark, d)
+    kept = V.save_document(s.limit(0), s)
+    first = s.agg(F.min(F.lower("name"))).first()[0]
+    return V.remove_saved(kept, f" {first.upper()} ", "7", "paper").select(F.lower("name").alias("name"), "doc_id", "event_id")
+
+
+@query("SELECT * FROM sk WHERE name <> (SELECT min(name) FROM sk)", _SAVED)
+def bookmark_delete(spark, d):
+    s = _saved(spark, d)
+    return V.delete_saved(V.save_document(s.limit(0), s), s.agg(F.min(F.lower("name"))).first()[0].upper()).select(F.lower("name").alias("name"), "doc_id", "event_id")
+
+
+@query("SELECT CAST(event_id AS VARCHAR) AS id FROM events WHERE event_id % 4 = 0")
+def saved_valid(spark, d):
+    """Of four stored records one is whole: the others lack a name, a document's id, or the documents."""
+    k = F.col("event_id") % 4
+    document = F.struct(F.when(k != 1, F.lit("d")).alias("id"), F.lit("r").alias("result"), F.lit("paper").alias("searchCollection"), F.lit(False).alias("sampleData"), F.col("ts").alias("savedAt"))
+    rows = X.table(spark, d, "events").select(F.col("event_id").cast("string").alias("id"), F.when(k != 2, "n").otherwise(" ").alias("name"), F.when(k != 3, F.array(document)).alias("documents"))
+    return V.saved_valid(rows).select("id")
 
 
-@query()
+@query(r"SELECT doc_id, array_to_string(list_transform(regexp_extract_all(title, '[\p{L}\p{N}]+|[^\p{L}\p{N}]+'), lambda x: CASE WHEN lower(x) IN ('the', 'on', 'in') THEN '<mark>' || x || '</mark>' ELSE x END), '') AS marked FROM papers")
 def highlight(spark, d):
     return X.papers(spark, d).select("doc_id", T.highlight(F.col("title"), ["the", "on", "in"]).alias("marked"))

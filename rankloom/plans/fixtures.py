@@ -47,17 +47,29 @@ def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.paragraphs(table(spark, sf_dir, "documents"))
 
 
-def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """query_id, query, label, tokens from benchmark; labels 30 % Easy, 50 % Medium, 20 % Hard."""
+def paragraph_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.tokenized(paragraphs(spark, sf_dir))
+
+
+def query_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, query, label from benchmark; labels 30 % Easy, 50 % Medium, 20 % Hard."""
     label = F.when(F.col("item_id") % 10 <= 2, "Easy").when(F.col("item_id") % 10 <= 7, "Medium").otherwise("Hard")
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.col("text").alias("query"), label.alias("label"), T.tokenize(F.col("text")).alias("tokens"))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.col("text").alias("query"), label.alias("label"))
+
+
+def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_texts with tokens."""
+    return query_texts(spark, sf_dir).withColumn("tokens", T.tokenize(F.col("query")))
 
 
 def _index(rows: DataFrame) -> I.Index:
-    rows = rows.select("doc_id", "tokens").persist(StorageLevel.MEMORY_AND_DISK)
+    """Texts without tokens are no documents of a collection."""
+    rows = C.non_empty(rows).select("doc_id", "tokens").persist(StorageLevel.MEMORY_AND_DISK)
     built = I.build(rows, I.term_frequencies(rows).persist(StorageLevel.MEMORY_AND_DISK))
     built.term_stats = built.term_stats.persist(StorageLevel.MEMORY_AND_DISK)
     built.doc_stats = built.doc_stats.persist(StorageLevel.MEMORY_AND_DISK)
+    built.doc_norms = I.norms(built.postings, built.term_stats).persist(StorageLevel.MEMORY_AND_DISK)
+    built.collection_stats = built.collection_stats.persist(StorageLevel.MEMORY_AND_DISK)
     return built
 
 
@@ -68,19 +80,40 @@ def paper_index(spark: SparkSession, sf_dir: str) -> I.Index:
 
 @_kept
 def paragraph_index(spark: SparkSession, sf_dir: str) -> I.Index:
-    rows = paragraphs(spark, sf_dir).select("doc_id", T.tokenize(F.col("text")).alias("tokens"))
-    return _index(rows.where(F.size("tokens") > 0))
+    return _index(paragraph_tokens(spark, sf_dir))
+
+
+def _judged(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """query_id, doc_id, grade: 2 for docs(doc_id, text) that hold an item's text, 1 for others that share a line of 60 characters with one.
+
+    A text that holds an item holds each word inside it: texts are joined with the items by the longest such word, and only those are
+    searched. Items of two words or less have none inside, and are searched everywhere.
+    """
+    cut = lambda t: F.split(t, f"[{T.SPACE}]+")
+    inside = F.slice(cut(F.btrim("item")), 2, F.greatest(F.size(cut(F.btrim("item"))) - 2, F.lit(0)))
+    key = F.array_max(F.transform(inside, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    keyed = items.withColumn("key", key)
+    words = docs.select("doc_id", "text", F.explode(F.array_distinct(cut(F.col("text")))).alias("word"))
+    held = words.join(small(keyed.where("key is not null")), F.col("word") == F.col("key")).where(F.contains("text", "item")).select("query_id", "doc_id", "text")
+    short = docs.join(small(keyed.where("key is null")), F.contains("text", "item")).select("query_id", "doc_id", "text")
+    held = held.union(short).persist(StorageLevel.MEMORY_AND_DISK)
+    lines = lambda d, *keep: d.select(*keep, F.explode(F.split("text", "\n", -1)).alias("line")).where(F.length("line") >= 60)
+    near = lines(docs, "doc_id").join(small(lines(held, "query_id").distinct()), "line").select("query_id", "doc_id").distinct()
+    return held.select("query_id", "doc_id", F.lit(2).alias("grade")).union(near.join(held, ["query_id", "doc_id"], "left_anti").select("query_id", "doc_id", F.lit(1))).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.col("text").alias("item"))
 
 
 @_kept
 def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """query_id, doc_id, grade: 2 for documents that hold the query's text, 1 for others that share a line of 60 characters with one."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.col("text").alias("item"))
-    held = docs.join(small(items), F.contains("text", "item")).select("query_id", "doc_id", "text")
-    lines = lambda d, *keep: d.select(*keep, F.explode(F.split("text", "\n", -1)).alias("line")).where(F.length("line") >= 60)
-    near = lines(held, "query_id").distinct().join(lines(docs, "doc_id").distinct(), "line").select("query_id", "doc_id").distinct()
-    return held.select("query_id", "doc_id", F.lit(2).alias("grade")).union(near.join(held, ["query_id", "doc_id"], "left_anti").select("query_id", "doc_id", F.lit(1))).persist(StorageLevel.MEMORY_AND_DISK)
+    return _judged(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text"), _items(spark, sf_dir))
+
+
+@_kept
+def paragraph_qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _judged(paragraphs(spark, sf_dir).select("doc_id", "text"), _items(spark, sf_dir))
 
 
 @_kept
@@ -93,6 +126,11 @@ def tfidf_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.tfidf(queries(spark, sf_dir), paper_index(spark, sf_dir), 100).persist(StorageLevel.MEMORY_AND_DISK)
 
 
+@_kept
+def paragraph_tfidf_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.tfidf(queries(spark, sf_dir), paragraph_index(spark, sf_dir), 100).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 @_kept
 def paragraph_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.bm25(queries(spark, sf_dir), paragraph_index(spark, sf_dir), 2000, *R.TUNED["paragraph"]).persist(StorageLevel.MEMORY_AND_DISK)
@@ -117,14 +155,30 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").where("vec_id < 50").select(F.col("vec_id").cast("string").alias("query_id"), F.col("embedding").alias("vector"))
+    """Every vector whose id is divisible by 20, against all."""
+    return table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").cast("string").alias("query_id"), F.col("embedding").alias("vector"))
 
 
-def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three paper runs, with their model's name."""
-    each = [("bm25", bm25_run), ("sparse", sparse_run), ("tfidf", tfidf_run)]
+def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, title, abstract, year of the papers; the abstract is the first paragraph."""
+    heads = papers(spark, sf_dir).select("doc_id", "title", F.lit("").alias("abstract"), (2000 + F.col("doc_id").cast("long") % 100).alias("year"))
+    return C.metadata(heads, paragraphs(spark, sf_dir))
+
+
+#: The models of each collection's runs.
+MODELS = {"paper": ["bm25", "sparse", "tfidf", "rrf:bm25+tfidf"], "paragraph": ["bm25", "tfidf", "rrf:bm25+tfidf"]}
+
+
+@_kept
+def runs(spark: SparkSession, sf_dir: str, collection: str = "paper") -> DataFrame:
+    """model, query_id, doc_id, score, rank: the first 100 of each model's run, and of the fusion of two."""
+    if collection == "paper":
+        each = {"bm25": bm25_run(spark, sf_dir), "sparse": sparse_run(spark, sf_dir), "tfidf": tfidf_run(spark, sf_dir)}
+    else:
+        each = {"bm25": paragraph_run(spark, sf_dir).where("rank <= 100"), "tfidf": paragraph_tfidf_run(spark, sf_dir)}
+    each["rrf:bm25+tfidf"] = R.rrf([each["bm25"], each["tfidf"]])
     out = None
-    for name, get in each:
-        rows = get(spark, sf_dir).select(F.lit(name).alias("model"), "query_id", "doc_id", "score", "rank")
+    for name in MODELS[collection]:
+        rows = each[name].select(F.lit(name).alias("model"), "query_id", "doc_id", "score", "rank")
         out = rows if out is None else out.union(rows)
-    return out
+    return out.persist(StorageLevel.MEMORY_AND_DISK)

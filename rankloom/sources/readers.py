@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankloom import schemas
+from rankloom.functions import text as T
 
 
 class InputError(ValueError):
@@ -105,15 +109,155 @@ def batches(rows: DataFrame, size: int = 256, limit: int | None = None, order: s
     return numbered.withColumn("batch", F.floor((F.col("__base") + F.col("__i") - 1) / size)).drop("__p", "__i", "__base")
 
 
+def saved_sparse(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    """(weights, settings) that writers.save_sparse stored."""
+    return spark.read.schema("term string, doc_id string, weight double").parquet(f"{path}/weights"), settings(spark, path)
+
+
+def saved_dense(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    """(vectors, settings) that writers.save_dense stored."""
+    return spark.read.parquet(f"{path}/vectors"), settings(spark, path)
+
+
+def settings(spark: SparkSession, path: str) -> dict:
+    return {r["name"]: json.loads(r["value"]) for r in spark.read.schema("name string, value string").json(f"{path}/settings").collect()}
+
+
+def load_or_build(spark: SparkSession, path: str, load, build, force: bool = False):
+    """load(spark, path), after build() has stored it there if nothing is, or if it must be made again."""
+    from pyspark.errors import AnalysisException
+
+    if not force:
+        try:
+            return load(spark, path)
+        except AnalysisException:
+            pass
+    build()
+    return load(spark, path)
+
+
+def config(spark: SparkSession, path: str) -> dict:
+    """A YAML file of settings, as a dictionary; an empty file has none. Read by Spark, so that it can lie in any store."""
+    text = "\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect())
+    try:
+        import yaml
+    except ImportError:
+        found = plain_settings(text)
+    else:
+        found = yaml.safe_load(text) or {}
+    if not isinstance(found, dict):
+        raise InputError(f"{path} has no settings by name")
+    return found
+
+
+def plain_settings(text: str) -> dict:
+    """The part of YAML that settings files use: names by indentation, one-line lists, quoted and plain scalars, comments."""
+
+    def scalar(x: str):
+        if x[:1] in "'\"" and len(x) > 1:
+            return x[1:-1]
+        if x.startswith("["):
+            return [scalar(y.strip()) for y in x.strip("[]").split(",") if y.strip()]
+        known = {"true": True, "false": False, "null": None, "": None}
+        if x in known:
+            return known[x]
+        for kind in (int, float):
+            try:
+                return kind(x)
+            except ValueError:
+                pass
+        return x
+
+    out: dict = {}
+    open_: list[tuple[int, dict]] = [(-1, out)]
+    for line in text.split("\n"):
+        line = re.sub(r"(^|\s)#.*$", "", line).rstrip()
+        if not line.strip():
+            continue
+        depth = len(line) - len(line.lstrip())
+        name, colon, value = line.strip().partition(":")
+        if not colon:
+            raise InputError(f"not a setting: {line.strip()}")
+        while open_[-1][0] >= depth:
+            open_.pop()
+        if value.strip():
+            open_[-1][1][name] = scalar(value.strip())
+        else:
+            inner: dict = {}
+            open_[-1][1][name] = inner
+            open_.append((depth, inner))
+    return out
+
+
+def preprocessing(spark: SparkSession, path: str) -> tuple[T.Cleaning, T.Tokenizing]:
+    """(cleaning, tokenizing) of a file with the sections cleaning and tokenizer; unknown keys are errors. Words of a custom file come in."""
+    found = config(spark, path)
+    T.known_sections(found, ("cleaning", "tokenizer"))
+    section = dict(found.get("tokenizer") or {})
+    words = dict(section.get("stopwords") or {})
+    if "stopwords" in section:
+        custom = stopword_file(spark, words["custom_file"]) if words.get("source") == "custom" else None
+        section["stopwords"] = {"source": {"nltk": "english"}.get(words.get("source"), words.get("source", "english")), "extra": words.get("extra"), "keep": words.get("keep"), "custom": custom}
+    return T.Cleaning.of(found.get("cleaning") or {}), T.Tokenizing.of(section)
+
+
+def bm25_settings(spark: SparkSession, path: str, collection: str) -> tuple[float, float]:
+    """(k1, b) of a collection; an error if the file has none."""
+    found = config(spark, path).get(collection)
+    try:
+        return float(found["k1"]), float(found["b"])
+    except (KeyError, TypeError):
+        raise InputError(f"{path} has no k1 and b of {collection}") from None
+
+
+def run_parts(model: str) -> list[str]:
+    """The runs that a model is made of: rrf:a+b of a and b."""
+    return model.removeprefix("rrf:").split("+") if model.startswith("rrf:") else [model]
+
+
+def run_catalogue(spark: SparkSession, folder: str) -> DataFrame:
+    """collection, model, query_set, path of the run files in a folder, by their names <collection>_<model>_<query set>."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    rows = []
+    for f in fs.listStatus(at) if fs.exists(at) else []:
+        parts = re.fullmatch(r"(paper|paragraph)_(.+)_(train|study|test)(?:\.\w+)?", f.getPath().getName())
+        if parts:
+            rows.append((*parts.groups(), f.getPath().toString()))
+    return spark.createDataFrame(rows, "collection string, model string, query_set string, path string")
+
+
+def available_models(catalogue: DataFrame, models: list[str], collection: str, query_set: str) -> tuple[list[str], dict[str, list[str]]]:
+    """(models whose runs are all there, the missing runs of the others)."""
+    known = {r["model"] for r in catalogue.where((F.col("collection") == collection) & (F.col("query_set") == query_set)).collect()}
+    missing = {m: [p for p in run_parts(m) if p not in known] for m in models}
+    return [m for m in models if not missing[m]], {m: p for m, p in missing.items() if p}
+
+
+def load_run(catalogue: DataFrame, model: str, collection: str, query_set: str) -> DataFrame:
+    """query_id, doc_id, score, rank of a model's run, or of the fusion of those that rrf:a+b names."""
+    from rankloom.operators import ranking
+
+    found = available_models(catalogue, [model], collection, query_set)[1]
+    if found:
+        raise InputError(f"no run of {', '.join(found[model])}")
+    wanted = catalogue.where((F.col("collection") == collection) & (F.col("query_set") == query_set))
+    paths = {r["model"]: r["path"] for r in wanted.collect()}
+    runs = [run(catalogue.sparkSession, paths[p]).select("query_id", "doc_id", "score", "rank") for p in run_parts(model)]
+    return ranking.rrf(runs) if model.startswith("rrf:") else runs[0]
+
+
 def manifest_count(spark: SparkSession, path: str, name: str = "paragraphs") -> int | None:
-    """A count of a manifest, or None without one."""
+    """A count of a manifest, alone or within its counts, or None without one."""
     from pyspark.errors import AnalysisException
 
     try:
         row = spark.read.json(path).first()
     except AnalysisException:
         return None
-    return row[name] if row and name in row.asDict() else None
+    found = row.asDict(True) if row else {}
+    return found.get(name, (found.get("counts") or {}).get(name))
 
 
 def stopword_file(spark: SparkSession, path: str) -> list[str]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import DataFrame, Window
@@ -48,14 +49,64 @@ def write_csv(rows: DataFrame, path: str) -> None:
 
 
 def append_new(rows: DataFrame, path: str, key: str = "doc_id") -> int:
-    """Appends the rows whose key is not in the table yet, so that a build goes on where it ended; the number of rows appended."""
+    """Appends the rows whose key is not in the table yet, so that a build goes on where it ended; the number of rows appended.
+
+    The rows are made once: they are written to the table, and what is there is counted before and after.
+    """
     from pyspark.errors import AnalysisException
 
+    spark, before = rows.sparkSession, 0
     try:
-        rows = rows.join(rows.sparkSession.read.parquet(path).select(key), key, "left_anti")
+        there = spark.read.parquet(path)
+        before = there.count()
+        rows = rows.join(there.select(key), key, "left_anti")
     except AnalysisException:
         pass
+    rows.write.mode("append").parquet(path)
+    return spark.read.parquet(path).count() - before
+
+
+def append_in_parts(rows: DataFrame, path: str, make, key: str = "doc_id", every: int = 50_000) -> int:
+    """make(part) of all rows whose key is not in the table yet, appended in parts of about `every` rows; the number of rows appended.
+
+    Parts are dealt by the hash of the key. Each is a commit of its own: when a build breaks off, the next call does what is missing.
+    """
     n = rows.count()
-    if n:
-        rows.write.mode("append").parquet(path)
-    return n
+    parts, done = max(1, -(-n // every)), 0
+    for k in range(parts):
+        done += append_new(make(rows.where(F.pmod(F.xxhash64(key), F.lit(parts)) == k)), path, key)
+    return done
+
+
+def save_sparse(weights: DataFrame, path: str, settings: dict) -> None:
+    """weights(term, doc_id, weight), sorted by term as postings are, and the encoder's settings. Nothing to save is an error."""
+    if weights.limit(1).count() == 0:
+        raise InputError("no document was indexed: there is nothing to save")
+    spark = weights.sparkSession
+    weights.select("term", "doc_id", "weight").repartition("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/weights")
+    _save_settings(spark, path, settings)
+
+
+def save_dense(vectors: DataFrame, path: str, settings: dict) -> None:
+    """vectors(doc_id, vector), all of one length, and the encoder's settings."""
+    sizes = vectors.agg(F.count("*").alias("n"), F.min(F.size("vector")).alias("a"), F.max(F.size("vector")).alias("b"), F.count_distinct("doc_id").alias("k")).first()
+    if not sizes["n"] or sizes["a"] != sizes["b"] or sizes["k"] != sizes["n"]:
+        raise InputError("a vector index needs one vector for each id, all of one length")
+    vectors.select("doc_id", "vector").write.mode("overwrite").parquet(f"{path}/vectors")
+    _save_settings(vectors.sparkSession, path, settings | {"size": sizes["a"]})
+
+
+def _save_settings(spark, path: str, settings: dict) -> None:
+    rows = [(str(k), json.dumps(v)) for k, v in sorted(settings.items())]
+    spark.createDataFrame(rows, "name string, value string").coalesce(1).write.mode("overwrite").json(f"{path}/settings")
+
+
+def save_manifest(counts: DataFrame, path: str, settings: dict, empty_ids: DataFrame | None = None, config: str | None = None) -> None:
+    """A collection's manifest: its one row of counts, its settings, and, if given, the ids of empty texts and the config file's text."""
+    spark = counts.sparkSession
+    named = counts.select(F.struct(*counts.columns).alias("counts"), F.lit(json.dumps(settings, sort_keys=True)).alias("settings"), F.current_timestamp().alias("created"))
+    named.coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+    if empty_ids is not None:
+        empty_ids.select("doc_id").write.mode("overwrite").text(f"{path}/empty_ids")
+    if config is not None:
+        spark.createDataFrame([(config,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/config")

@@ -1,6 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+from rankloom.functions import encoders
+from rankloom.functions import text as T
 from rankloom.operators import index as I
 from rankloom.operators import metrics as M
 from rankloom.operators import ranking as R
@@ -39,7 +41,7 @@ def test_bm25_explain_sums_to_score(spark, ix):
 
 
 def test_tfidf(spark, ix):
-    assert {r["doc_id"]: round(r["norm"], 6) for r in R.tfidf_norms(ix).collect()} == {"d1": 0.645242, "d2": 0.249031, "d3": 0.543416}
+    assert {r["doc_id"]: round(r["norm"], 6) for r in ix.doc_norms.collect()} == {"d1": 0.645242, "d2": 0.249031, "d3": 0.543416}
     assert scores(R.tfidf(q(spark, "a", "b", "b"), ix)) == {"d1": 0.985373, "d2": 0.306076}
     assert scores(R.tfidf(q(spark, "c", "d"), ix)) == {"d3": 0.989425, "d2": 0.24483}
 
@@ -90,10 +92,80 @@ def test_percentiles(spark):
     assert S.median(ten, "n").first()[0] == 5.5
 
 
+def test_p_values_by_two_ways(spark):
+    rows = [(t, n) for n in (2, 3, 4, 5, 10, 21, 50, 201) for t in (0.1, 1.0, 2.262157, 5.0)]
+    got = spark.createDataFrame(rows, "t double, n long").select("t", "n", M.student_p(F.col("t"), F.col("n")).alias("p")).collect()
+    assert all(abs(r["p"] - M.t_p_value(r["t"], r["n"])) < 1e-9 for r in got)
+    assert spark.range(1).select(M.student_p(F.lit(None).cast("double"), F.lit(5))).first()[0] == 1.0
+
+
+def scored(spark):
+    rows = [(m, f"q{i}", x) for i in range(40) for m, x in (("a", 0.5 + i % 7 / 20), ("b", 0.2 + i % 5 / 20), ("c", 0.2 + i % 5 / 20))]
+    return spark.createDataFrame(rows, "model string, query_id string, ndcg double")
+
+
+def test_significance(spark):
+    for name, test in M.TESTS.items():
+        p = {(r["model_a"], r["model_b"]): r["p"] for r in test(scored(spark), "ndcg").collect()}
+        assert p["a", "b"] < 0.01 and p["a", "c"] < 0.01 and p["b", "c"] > 0.9, name
+    assert M.display_name("rrf:bm25+sparse") == "RRF(BM25+SPLADE)" and M.display_name("own") == "own"
+    names = spark.createDataFrame([("rrf:bm25+own",), ("tfidf",)], "m string").select(M.display_names(F.col("m")))
+    assert [r[0] for r in names.collect()] == ["RRF(BM25+own)", "TF-IDF"]
+
+
+def test_rankers_and_numbers(spark):
+    docs = spark.createDataFrame([("d1", "running fish"), ("d2", "a red fish swims"), ("d3", "blue sky")], "doc_id string, text string")
+    ix = I.build(docs.select("doc_id", T.tokenize(F.col("text")).alias("tokens")))
+    for ranker in (R.Bm25(ix), R.TfIdf(ix)):
+        assert [d for d, _ in ranker.search("runs fishes")] == ["d1", "d2"] and ranker.search("zzz") == []
+    with pytest.raises(ValueError):
+        R.Bm25(ix).set_params(1.0, 2.0)
+    vectors = encoders.encode(docs).select("doc_id", "vector")
+    assert R.Dense(vectors, encoders.HashEncoder).search("blue sky", 1)[0][0] == "d3"
+    assert ix.doc_number("d2") == 1 and ix.doc_id(2) == "d3" and [r["doc_id"] for r in ix.term_postings("fish").collect()] == ["d1", "d2"] and ix.term_postings("zzz").count() == 0
+    with pytest.raises(KeyError):
+        ix.doc_number("d9")
+    with pytest.raises(IndexError):
+        ix.doc_id(3)
+    assert I.empty(spark).collection_stats.first()["num_docs"] == 0
+
+
+def test_blocks_of_postings(spark):
+    rows = spark.createDataFrame([(f"d{i:03d}", ["x", "y"] if i % 50 else ["x"]) for i in range(200)], "doc_id string, tokens array<string>")
+    ix = I.build(rows)
+    lists = I.postings_lists(ix.postings, ix.term_stats, block=16).collect()
+    assert max(len(r["docs"]) for r in lists) < 60 and all(r["docs"] == sorted(r["docs"]) for r in lists)
+    assert sorted(d for r in lists if r["term"] == "x" for d in r["docs"]) == [f"d{i:03d}" for i in range(200)]
+
+
+def test_grid_equals_single_runs(spark, ix):
+    qrels = spark.createDataFrame([("q", "d1", 1), ("q", "d2", 2)], "query_id string, doc_id string, grade int")
+    queries = q(spark, "a", "b", "b", "c")
+    cells = [(0.9, 0.4), (0.4, 0.9)]
+    got = {(r["k1"], r["b"]): r["ndcg_at_5"] for r in U.bm25_grid(queries, ix, qrels, cells).collect()}
+    for k1, b in cells:
+        assert abs(got[k1, b] - M.per_query(R.bm25(queries, ix, 100, k1, b), qrels).first()["ndcg_at_5"]) < 1e-9
+    split = U.tuning_sample(spark.createDataFrame([(str(i),) for i in range(50)], "query_id string"), n=20)
+    assert split.count() == 20 and split.where("held_out").count() == 4
+
+
+def test_maxp_refuses_unknown_paragraphs(spark):
+    run = spark.createDataFrame([("q", "p1_3", 1, 0.9), ("q", "p2_1", 2, 0.8)], "query_id string, doc_id string, rank int, score double")
+    table = spark.createDataFrame([("p1_3", "p1")], "doc_id string, paper_id string")
+    with pytest.raises(Exception, match="no paper for paragraph p2_1"):
+        R.maxp(run, table, k=2).collect()
+
+
+def test_broadcasts_are_bounded_by_rows_and_bytes(spark):
+    hinted = lambda df: "hint" in df._jdf.queryExecution().logical().toString().lower()
+    few = spark.createDataFrame([("x" * 1000,)] * 5, "t string")
+    assert hinted(R.small(few)) and not hinted(R.small(few, rows=4)) and not hinted(R.small(few, most=4000))
+
+
 def test_dense_in_blocks(spark):
     v = spark.createDataFrame([(str(i), [float(i % 7), float(i % 5), 1.0]) for i in range(40)], "doc_id string, vector array<float>")
     queries = v.select(F.col("doc_id").alias("query_id"), "vector").where("cast(doc_id as int) < 9")
-    one, many = R.dense(queries, v, 5), R.dense(queries, v, 5, block=2)
+    one, many = R.dense(queries, v, 5), R.dense(queries, v, 5, scan=2)
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect())) and one.count() == 45
 
 

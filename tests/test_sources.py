@@ -20,10 +20,10 @@ def test_raw_papers_to_collections(spark, tmp_path):
     assert S.raw_papers(spark, str(d), 1)[0].count() == 1 and S.raw_papers(spark, str(d), 0)[0].count() == 2
     whole, parts = C.paper_collection(papers, title_weight=2)
     row = whole.collect()
-    assert len(row) == 1 and row[0]["tokens"] == ["deep", "nets", "deep", "nets", "first", "text", "second", "graph", "tenth"] and row[0]["year"] == 2024
+    assert len(row) == 1 and row[0]["tokens"] == ["deep", "net", "deep", "net", "first", "text", "second", "graph", "tenth"] and row[0]["year"] == 2024
     assert parts.count() == 3
     titled = C.paper_collection(papers, paragraph_title=True)[1].where("doc_id = '2401.00001_10'").first()
-    assert titled["tokens"] == ["deep", "nets", "tenth"]
+    assert titled["tokens"] == ["deep", "net", "tenth"]
 
 
 def test_queries(spark, tmp_path):
@@ -85,3 +85,14 @@ def test_stream_index_equals_batch(spark, tmp_path):
     incremental.index_stream(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out/postings")).select("term", "doc_id", "tf")
     assert sorted(map(tuple, got.collect())) == [("alpha", "a", 2), ("beta", "a", 1), ("beta", "b", 1), ("gamma", "b", 1)]
+
+
+def test_settings_without_a_yaml_library():
+    import yaml
+
+    from rankloom.plans import storage
+
+    for text in (storage.PREPROCESSING, storage.BM25, "a: 1\nb:\n  c: x # y\n  d: [1, 'two']\n", ""):
+        assert S.plain_settings(text) == (yaml.safe_load(text) or {})
+    with pytest.raises(S.InputError):
+        S.plain_settings("- a\n- b")

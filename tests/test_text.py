@@ -1,10 +1,13 @@
 import re
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from rankloom.functions import stem, stopwords
 from rankloom.functions import text as T
+from rankloom.plans import sql as Q
 
 CLEANED = [
     ("Let $x_i$ be the loss [1, 2–3].", "Let   be the loss  .", "Let   be the loss.", ["let", "be", "loss"]),
@@ -18,7 +21,7 @@ CLEANED = [
 
 
 def test_cleaning_and_tokens(spark):
-    cfg = T.Tokenizing(stopwords=("the", "of", "and", "is", "in", "a", *stopwords.EXTRA))
+    cfg = T.Tokenizing(stopwords=("the", "of", "and", "is", "in", "a", *stopwords.EXTRA), stemming="none")
     df = spark.createDataFrame([(i, r[0]) for i, r in enumerate(CLEANED)], "i int, t string")
     got = df.select("i", T.clean_text(F.col("t")).alias("c"), T.clean_for_encoder(F.col("t")).alias("e"), T.tokenize(F.col("t"), cfg, T.Cleaning()).alias("k")).orderBy("i").collect()
     for row, (_, clean, encoder, tokens) in zip(got, CLEANED):
@@ -27,7 +30,7 @@ def test_cleaning_and_tokens(spark):
 
 def test_tokens_agree_with_python(spark):
     texts = ["a_b ÀÉ x² 日本 1٣ don't ½ ǅ", "", None, "Straße—naïve… z"]
-    cfg = T.Tokenizing(min_token_length=1, drop_numeric=False, stopwords=())
+    cfg = T.Tokenizing(min_token_length=1, drop_numeric=False, stopwords=(), stemming="none")
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select(T.tokenize(F.col("t"), cfg).alias("k"), "t").collect()
     for r in rows:
         assert r["k"] == re.findall(r"[^\W_]+", (r["t"] or "").lower())
@@ -64,3 +67,23 @@ def test_stemmers(spark):
     assert {w: stem.porter(w) for w in old} == old
     rows = spark.createDataFrame([("1", "running"), ("2", "runs"), ("3", "running")], "d string, term string")
     assert sorted(tuple(r) for r in stem.stem_tokens(rows).collect()) == [("1", "run"), ("2", "run"), ("3", "run")]
+
+
+def test_tokens_are_stemmed_by_default(spark):
+    rows = spark.createDataFrame([("Running foxes ran happily",), ("",), (None,), ("x",)], "t string").repartition(1)
+    got = {r["t"]: r["k"] for r in rows.select("t", T.tokenize(F.col("t")).alias("k")).collect()}
+    assert got == {"Running foxes ran happily": ["run", "fox", "ran", "happili"], "": [], None: [], "x": []}
+    nested = rows.select(stem.stem_arrays(F.array(T.words(F.col("t")), F.array(F.lit("skies"))), "snowball", 2).alias("k")).collect()
+    assert sorted(r["k"] for r in nested) == sorted([[["run", "fox", "ran", "happili"], ["sky"]]] + 3 * [[[], ["sky"]]])
+    sliced = rows.where("t <> ''").select(stem.stem_arrays(F.split("t", " "), "none")).collect()
+    assert ["Running", "foxes", "ran", "happily"] in [r[0] for r in sliced]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from("aeioyytlsngdbvrmcué"), min_size=1, max_size=9), st.sampled_from(["", "s", "es", "ed", "ing", "ational", "ization", "fulness", "li", "ative", "ement", "ion", "ogi", "eedly", "ies"]))
+def test_stemming_in_sql_is_the_same(a, b):
+    import duckdb
+
+    steps = Q.stem_steps("w")
+    sql = f"WITH w AS (SELECT '{a + b}' AS term), " + ", ".join(f"{k} AS ({v})" for k, v in steps.items()) + " SELECT s FROM stems"
+    assert duckdb.sql(sql).fetchall()[0][0] == stem.porter2(a + b)
