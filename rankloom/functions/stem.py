@@ -18,24 +18,30 @@ _STEP3 = {"tional": "tion", "ational": "ate", "alize": "al", "icate": "ic", "ici
 _STEP4 = "al ance ence er ic able ible ant ement ment ent ism ate iti ous ive ize".split()
 
 
-def _regions(w: str) -> tuple[int, int]:
-    start = next((len(p) for p in ("gener", "commun", "arsen") if w.startswith(p)), None)
+_BEHIND = re.compile(rf"[{_V}][^{_V}]").search
+_SHORT, _TWO = re.compile(rf"[^{_V}][{_V}][^{_V}wxY]$").search, re.compile(rf"[{_V}][^{_V}]").fullmatch
+_VOWEL, _VOWEL_BEFORE, _Y_AFTER = re.compile(f"[{_V}]").search, re.compile(rf"[{_V}].").search, re.compile(rf"([{_V}])y").sub
+_LAST_Y = re.compile(rf"(?<=.[^{_V}])[yY]$").sub
+_STEPS = [("eed", "eedly", "ed", "edly", "ing", "ingly"), (*_STEP2, "ogi", "li"), (*_STEP3, "ative"), (*_STEP4, "ion")]
+
 
-    def after(k: int) -> int:
-        m = re.compile(rf"[{_V}][^{_V}]").search(w, k)
-        return m.end() if m else len(w)
+def _after(w: str, k: int) -> int:
+    m = _BEHIND(w, k)
+    return m.end() if m else len(w)
 
-    r1 = after(0) if start is None else start
-    return r1, after(r1)
+
+def _regions(w: str) -> tuple[int, int]:
+    r1 = next((len(p) for p in ("gener", "commun", "arsen") if w.startswith(p)), None) if w.startswith(("gener", "commun", "arsen")) else _after(w, 0)
+    return r1, _after(w, r1)
 
 
 def _short_syllable(w: str) -> bool:
     """Ends in a short syllable."""
-    return bool(re.search(rf"[^{_V}][{_V}][^{_V}wxY]$", w) or re.fullmatch(rf"[{_V}][^{_V}]", w))
+    return bool(_SHORT(w) or _TWO(w))
 
 
-def _longest(w: str, endings) -> str:
-    return max((e for e in endings if w.endswith(e)), key=len, default="")
+def _longest(w: str, endings: tuple) -> str:
+    return max((e for e in endings if w.endswith(e)), key=len) if w.endswith(endings) else ""
 
 
 @lru_cache(maxsize=200_000)
@@ -46,30 +52,32 @@ def porter2(w: str) -> str:
         return _SPECIAL[w]
     w = w.lstrip("'")
     # a y after a y that has become Y is a vowel again
-    w = re.sub(rf"([{_V}])y", r"\1Y", re.sub("^y", "Y", w))
+    if "y" in w:
+        w = _Y_AFTER(r"\1Y", "Y" + w[1:] if w[0] == "y" else w)
     r1, r2 = _regions(w)
-    w = re.sub("'s'$|'s$|'$", "", w)
+    if "'" in w:
+        w = re.sub("'s'$|'s$|'$", "", w)
     if w.endswith("sses"):
         w = w[:-2]
     elif w.endswith(("ied", "ies")):
         w = w[:-2] if len(w) > 4 else w[:-1]
-    elif w.endswith("s") and not w.endswith(("us", "ss")) and re.search(rf"[{_V}].", w[:-1]):
+    elif w.endswith("s") and not w.endswith(("us", "ss")) and _VOWEL_BEFORE(w[:-1]):
         w = w[:-1]
     if w in _AFTER_1A:
         return w
-    if e := _longest(w, ("eed", "eedly", "ed", "edly", "ing", "ingly")):
+    if e := _longest(w, _STEPS[0]):
         if e in ("eed", "eedly"):
             w = w[: -len(e)] + "ee" if len(w) - len(e) >= r1 else w
-        elif re.search(f"[{_V}]", w[: -len(e)]):
+        elif _VOWEL(w[: -len(e)]):
             w = w[: -len(e)]
             if w.endswith(("at", "bl", "iz")):
                 w += "e"
-            elif re.search(r"(bb|dd|ff|gg|mm|nn|pp|rr|tt)$", w):
+            elif w.endswith(("bb", "dd", "ff", "gg", "mm", "nn", "pp", "rr", "tt")):
                 w = w[:-1]
             elif r1 >= len(w) and _short_syllable(w):
                 w += "e"
-    w = re.sub(rf"(?<=.[^{_V}])[yY]$", "i", w)
-    if e := _longest(w, [*_STEP2, "ogi", "li"]):
+    w = _LAST_Y("i", w) if w[-1] in "yY" else w
+    if e := _longest(w, _STEPS[1]):
         if len(w) - len(e) >= r1:
             stem = w[: -len(e)]
             if e == "ogi":
@@ -78,12 +86,12 @@ def porter2(w: str) -> str:
                 w = stem if stem and stem[-1] in "cdeghkmnrt" else w
             else:
                 w = stem + _STEP2[e]
-    if e := _longest(w, [*_STEP3, "ative"]):
+    if e := _longest(w, _STEPS[2]):
         if e == "ative":
             w = w[:-5] if len(w) - 5 >= r2 else w
         elif len(w) - len(e) >= r1:
             w = w[: -len(e)] + _STEP3[e]
-    if e := _longest(w, [*_STEP4, "ion"]):
+    if e := _longest(w, _STEPS[3]):
         if len(w) - len(e) >= r2 and (e != "ion" or w[:-3].endswith(("s", "t"))):
             w = w[: -len(e)]
     if w.endswith("e") and (len(w) - 1 >= r2 or len(w) - 1 >= r1 and not _short_syllable(w[:-1])):
@@ -137,10 +145,10 @@ def porter(w: str) -> str:
     if w.endswith("y") and "v" in _shape(w[:-1]):
         w = w[:-1] + "i"
     for table in (_P2, _P3):
-        e = _longest(w, table)
+        e = _longest(w, tuple(table))
         if e and _measure(w[: -len(e)]) > 0:
             w = w[: -len(e)] + table[e]
-    e = _longest(w, [*_P4, "ion"])
+    e = _longest(w, (*_P4, "ion"))
     if e and _measure(w[: -len(e)]) > 1 and (e != "ion" or w[:-3].endswith(("s", "t"))):
         w = w[: -len(e)]
     if w.endswith("e") and (_measure(w[:-1]) > 1 or _measure(w[:-1]) == 1 and not _cvc(w[:-1])):
