@@ -1,7 +1,7 @@
 """Operator 5, toxicity from the nearest labelled examples by exact TF-IDF cosine, with a block-max inverted index.
 
-The labelled sample has FIT_ROWS rows of a label at most. Its label-associated terms (words and word beginnings) are the vocabulary;
-their document frequencies come from all documents. Each document's vector is searched in the index of the sample: blocks of examples
+The labelled sample has FIT_ROWS rows of a label at most. Its label-associated terms (words and word beginnings) are the vocabulary, or,
+with max_terms None, all its terms; their document frequencies come from all documents. Each document's vector is searched in the index of the sample: blocks of examples
 are visited by falling upper bound, the query's weights times each term's largest weight in the block, until no block can hold a nearer
 neighbour. The neighbours' votes, weighted by similarity, are calibrated to scores on the sample itself, each row left out of its own
 neighbours.
@@ -10,6 +10,7 @@ neighbours.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -95,8 +96,8 @@ class Index:
                 self.postings[t][b] = (at[own] - b * BLOCK, w[own])
                 self.largest[t, b] = w[own].max()
 
-    def nearest(self, query: list[tuple[int, float]], k: int = NEIGHBOURS, without: int = -1) -> list[tuple[float, int]]:
-        """The k examples of the largest positive cosines, exactly; of equals, the first ones. `without` is left out."""
+    def nearest(self, query: list[tuple[int, float]], k: int = NEIGHBOURS, without: tuple = ()) -> list[tuple[float, int]]:
+        """The k examples of the largest positive cosines, exactly; of equals, the first ones. Those of `without` are left out."""
         import numpy as np
 
         if not query or not self.n:
@@ -112,8 +113,9 @@ class Index:
                 if own:
                     score[own[0]] += x * own[1]
             score = np.round(score, 9)
-            if b * BLOCK <= without < (b + 1) * BLOCK:
-                score[without - b * BLOCK] = 0.0
+            for e in without:
+                if b * BLOCK <= e < (b + 1) * BLOCK:
+                    score[e - b * BLOCK] = 0.0
             new = np.flatnonzero((score > 0) & (score >= best[-1]) if len(at) == k else score > 0)
             if len(new):
                 best, at = np.concatenate([best, score[new]]), np.concatenate([at, new + b * BLOCK])
@@ -149,9 +151,13 @@ class Model:
     """Everything that scoring needs; its size is bounded by FIT_ROWS and MAX_TERMS."""
 
     def __init__(self, names: list[str], idf: list[float], sample: list[tuple], share: float):
-        self.idf, self.ids = idf, [i for i, _, _ in sample]
-        self.labels = [y for _, _, y in sample]
-        self.vectors = [weighted(tf, idf) for _, tf, _ in sample]
+        """sample: (id, text key, term frequencies, label)."""
+        self.idf, self.ids = idf, [x[0] for x in sample]
+        self.labels = [x[3] for x in sample]
+        self.vectors = [weighted(x[2], idf) for x in sample]
+        self.same: dict[int, tuple] = {}
+        for k, x in enumerate(sample):
+            self.same[x[1]] = (*self.same.get(x[1], ()), k)
         self.index = Index(self.vectors, len(names))
         self.prior = share
         n1 = sum(self.labels)
@@ -161,29 +167,35 @@ class Model:
         top = max(self.weight) or 1.0
         self.weight = (self.weight[0] / top, self.weight[1] / top)
         votes = []
-        for k, (v, y) in enumerate(zip(self.vectors, self.labels)):
-            votes.append((round(vote(self.index.nearest(v, without=k), self.labels, self.weight, share), 6), y, self.weight[y]))
+        for x, v, y in zip(sample, self.vectors, self.labels):
+            votes.append((round(vote(self.index.nearest(v, without=self.same[x[1]]), self.labels, self.weight, share), 6), y, self.weight[y]))
         self.steps = isotonic(votes)
         self.seen: dict[tuple, tuple] = {}
 
-    def score(self, tf: dict[int, int]) -> tuple[float, str]:
-        """(score, evidence: the nearest examples' ids, labels and similarities)."""
-        import bisect
-
+    def score(self, tf: dict[int, int], text_key: int | None = None) -> tuple[float, str]:
+        """(score, evidence: the nearest examples' ids, labels and similarities). An example with the same text is none, so that no score
+        is read off its own label."""
+        if text_key in self.same:
+            return self._score(tf, self.same[text_key])
         key = tuple(sorted(tf.items()))
         if key not in self.seen:
             if len(self.seen) > 100_000:
                 self.seen.clear()
-            found = self.index.nearest(weighted(tf, self.idf))
-            v = round(vote(found, self.labels, self.weight, self.prior), 6)
-            k = bisect.bisect_right(self.steps[0], v) - 1
-            score = self.steps[1][max(k, 0)] if self.steps[1] else self.prior
-            self.seen[key] = score, ",".join(f"{self.ids[e]}:{self.labels[e]}:{s:.3f}" for s, e in found[:EVIDENCE])
+            self.seen[key] = self._score(tf, ())
         return self.seen[key]
 
+    def _score(self, tf: dict[int, int], without: tuple) -> tuple[float, str]:
+        import bisect
+
+        found = self.index.nearest(weighted(tf, self.idf), without=without)
+        v = round(vote(found, self.labels, self.weight, self.prior), 6)
+        k = bisect.bisect_right(self.steps[0], v) - 1
+        score = self.steps[1][max(k, 0)] if self.steps[1] else self.prior
+        return score, ",".join(f"{self.ids[e]}:{self.labels[e]}:{s:.3f}" for s, e in found[:EVIDENCE])
+
 
 def _sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
-    """Rows (doc_id, toxic, terms) of the labelled sample, and the share of label 1 among all learnable labels."""
+    """(doc_id, toxic, key of the text, terms, tf) of the labelled sample, 2 x FIT_ROWS rows at most, and the share of label 1 among all learnable labels."""
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out(F.col("doc_id")))
     size = known.agg(F.count("*").alias("n"), F.sum("toxic").alias("n1")).first()
     # the ids of the least hashes of each label: 2 x FIT_ROWS at most
@@ -192,29 +204,48 @@ def _sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
         chosen = chosen.union(least_hashed(known.where(f"toxic = {y}"), "doc_id", FIT_ROWS).select("doc_id", "toxic"))
     spark = docs.sparkSession
     chosen = written(chosen.select(F.col("doc_id").alias("__rl_id"), F.col("toxic").cast("int").alias("toxic")), f"{work_dir(spark)}/chosen")
-    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("__rl_id")).select("doc_id", "text", "toxic")
+    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("__rl_id"))
+    # of an id that several rows have, the text of the least hash
+    one = found.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min(F.struct(F.xxhash64("text").alias("key"), "text")).alias("x")).select("doc_id", "toxic", "x.key", "x.text")
 
     def counted(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        cache = _Cache(terms)
+        cache = _Cache(lambda w: tuple(terms(w)))
         for b in batches:
-            rows = []
-            for k in range(b.num_rows):
-                rows.append(sorted({t for ts in map(cache.__getitem__, (b.column(1)[k].as_py() or "").split()) for t in ts}))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2).cast(pa.int32()), pa.array(rows, pa.list_(pa.string()))], ["doc_id", "toxic", "terms"])
+            rows = [sorted(vector(b.column(3)[k].as_py(), cache).items()) for k in range(b.num_rows)]
+            lists = [pa.array([[t for t, _ in r] for r in rows], pa.list_(pa.string())), pa.array([[n for _, n in r] for r in rows], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.int32()), b.column(2), *lists], ["doc_id", "toxic", "key", "terms", "tf"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return found.mapInArrow(counted, f"doc_id {kind}, toxic int, terms array<string>"), (size["n1"] or 0) / size["n"] if size["n"] else 0.0
+    return one.mapInArrow(counted, f"doc_id {kind}, toxic int, key long, terms array<string>, tf array<int>"), (size["n1"] or 0) / size["n"] if size["n"] else 0.0
+
+
+def document_frequencies(vectors: DataFrame, n_terms: int) -> dict[int, int]:
+    """How many rows of vectors(terms) have each term number. Each task sums its own; no row is made for a document's term."""
+
+    def counted(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        total = np.zeros(n_terms, np.int64)
+        for b in batches:
+            total += np.bincount(b.column(0).flatten().to_numpy(zero_copy_only=False), minlength=n_terms)[:n_terms]
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some], pa.int64())], ["t", "n"])
 
+    sums = vectors.select("terms").mapInArrow(counted, "t int, n long").groupBy("t").agg(F.sum("n").alias("n"))
+    return {r["t"]: r["n"] for r in sums.collect()}
 
-def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+
+def score_documents(docs: DataFrame, labels: DataFrame, max_terms: int | None = MAX_TERMS) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence per row of docs(doc_id, text); labels(doc_id, toxic) has toxic 1 for toxic, 0 else.
 
     Labels are learned from rows alone whose crc32(doc_id) mod 3 is not 1. Null and empty texts, and texts without a known term, have no
     neighbours: their score is what such rows of the sample have. A null doc_id is not held out. Labels with null ids or values are not
-    used; an id labelled twice has the larger label; without labels all scores are 0. Repeated rows score alike, but an example's own
-    row in the documents does find itself. An empty table gives an empty result; other columns are not looked at.
+    used; an id labelled twice has the larger label, and an id with several texts is one example, with one of them; without labels all
+    scores are 0. Equal texts score alike, and no text is an example for itself. An empty table gives an empty result; other columns
+    are not looked at. With max_terms None, every term of the sample is a dimension.
     """
     spark = docs.sparkSession
     path = work_dir(spark)
@@ -223,7 +254,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     # which terms go with which label: sums over the sample's rows, of which there are 2 x FIT_ROWS at most
     by_term = sample.select("toxic", F.explode("terms").alias("t")).groupBy("t").agg(F.sum("toxic").alias("a"), F.count("*").alias("n"))
     sizes = sample.agg(F.sum("toxic").alias("n1"), F.count("*").alias("n")).first()
-    names = select_terms_of(by_term, sizes["n1"] or 0, sizes["n"])
+    names = [r["t"] for r in by_term.select("t").orderBy("t").collect()] if max_terms is None else select_terms_of(by_term, sizes["n1"] or 0, sizes["n"], max_terms)
     number = {t: k for k, t in enumerate(names)}
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -232,13 +263,12 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
         cache = _Cache(lambda w: tuple(number[t] for t in terms(w) if t in number))
         for b in batches:
-            rows = [vector(b.column(1)[k].as_py(), cache) for k in range(b.num_rows)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([list(r) for r in rows], pa.list_(pa.int32())), pa.array([list(r.values()) for r in rows], pa.list_(pa.int32()))], ["doc_id", "terms", "tf"])
+            rows = [vector(b.column(2)[k].as_py(), cache) for k in range(b.num_rows)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([list(r) for r in rows], pa.list_(pa.int32())), pa.array([list(r.values()) for r in rows], pa.list_(pa.int32()))], ["doc_id", "key", "terms", "tf"])
 
-    found = written(docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(vectors, f"doc_id {kind}, terms array<int>, tf array<int>"), f"{path}/vectors")
-    df = {r["t"]: r["n"] for r in found.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}
-    examples = found.join(F.broadcast(sample.select(F.col("doc_id").alias("__rl_id"), "toxic").distinct()), F.col("doc_id") == F.col("__rl_id")).select("doc_id", "toxic", "terms", "tf")
-    model = make_model(names, df, found.count(), examples, share)
+    found = written(docs.select("doc_id", F.xxhash64("text").alias("key"), F.col("text").cast("string").alias("text")).mapInArrow(vectors, f"doc_id {kind}, key long, terms array<int>, tf array<int>"), f"{path}/vectors")
+    df = document_frequencies(found, len(names))
+    model = make_model(names, df, found.count(), sample, share)
     sent = spark.sparkContext.broadcast(model)
 
     def scored(batches: Iterator) -> Iterator:
@@ -246,13 +276,13 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
         m = sent.value
         for b in batches:
-            out = [m.score(dict(zip(b.column(2)[k].as_py(), b.column(3)[k].as_py()))) for k in range(b.num_rows)]
+            out = [m.score(dict(zip(b.column(2)[k].as_py(), b.column(3)[k].as_py())), b.column(4)[k].as_py()) for k in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([s for s, _ in out], pa.float64()), pa.array([int(s >= THRESHOLD) for s, _ in out], pa.int32()), pa.array([e for _, e in out], pa.string())], ["doc_id", "held_out", "score", "predicted", "evidence"])
 
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "terms", "tf").mapInArrow(scored, f"doc_id {kind}, held_out boolean, score double, predicted int, evidence string")
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "terms", "tf", "key").mapInArrow(scored, f"doc_id {kind}, held_out boolean, score double, predicted int, evidence string")
 
 
-def select_terms_of(by_term: DataFrame, n1: int, n: int) -> list[str]:
+def select_terms_of(by_term: DataFrame, n1: int, n: int, limit: int = MAX_TERMS) -> list[str]:
     """The terms that go most with one label: by log-likelihood ratio, of those with a clear odds ratio. by_term: t, a (rows with label 1), n."""
     n0 = n - n1
     if not n1 or not n0:
@@ -265,16 +295,27 @@ def select_terms_of(by_term: DataFrame, n1: int, n: int) -> list[str]:
     odds = (a + 0.5) * (d + 0.5) / ((b + 0.5) * (c + 0.5))
     best = by_term.where(F.col("n") < n).select("t", F.round(g2, 6).alias("g2"), odds.alias("odds"))
     best = best.where((F.col("g2") >= MIN_G2) & (F.greatest("odds", 1 / F.col("odds")) >= MIN_ODDS))
-    return [r["t"] for r in best.orderBy(F.desc("g2"), "t").limit(MAX_TERMS).collect()]
+    return [r["t"] for r in best.orderBy(F.desc("g2"), "t").limit(limit).collect()]
 
 
-def make_model(names: list[str], df: dict[int, int], n_docs: int, examples: DataFrame, share: float) -> Model:
-    """examples: doc_id, toxic, terms (numbers), tf; 2 x FIT_ROWS rows at most, with MAX_TERMS terms at most."""
+def make_model(names: list[str], df: dict[int, int], n_docs: int, sample: DataFrame, share: float) -> Model:
+    """sample: doc_id, toxic, key, terms, tf; 2 x FIT_ROWS rows at most. What is collected of it are the terms in `names`."""
     import math
 
+    number = {t: k for k, t in enumerate(names)}
+
+    def numbered(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            rows = [[(number[t], n) for t, n in zip(b.column(3)[k].as_py(), b.column(4)[k].as_py()) if t in number] for k in range(b.num_rows)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *[pa.array([[x[i] for x in r] for r in rows], pa.list_(pa.int32())) for i in (0, 1)]], ["doc_id", "toxic", "key", "terms", "tf"])
+
+    kind = sample.schema["doc_id"].dataType.simpleString()
+    examples = sample.mapInArrow(numbered, f"doc_id {kind}, toxic int, key long, terms array<int>, tf array<int>")
     idf = [math.log(n_docs / df[k]) if df.get(k) else 0.0 for k in range(len(names))]
-    rows = [(r["doc_id"], dict(zip(r["terms"], r["tf"])), r["toxic"]) for r in examples.orderBy(F.xxhash64("doc_id"), "doc_id", "terms", "tf").collect()]
-    return Model(names, idf, rows, share)
+    rows = [(r["doc_id"], r["key"], dict(zip(r["terms"], r["tf"])), r["toxic"]) for r in examples.collect()]
+    return Model(names, idf, sorted(rows, key=lambda r: (zlib.crc32(str(r[0]).encode()), str(r[0]))), share)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

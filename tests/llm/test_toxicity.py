@@ -1,5 +1,8 @@
+import bisect
+import math
 import random
 import zlib
+from collections import Counter
 
 import pytest
 
@@ -20,7 +23,7 @@ def test_index_is_exact(monkeypatch, block):
     for k, q in enumerate(vectors):
         dots = [(round(sum(x * dict(v).get(t, 0.0) for t, x in q), 9), e) for e, v in enumerate(vectors) if e != k]
         expected = sorted(((s, e) for s, e in dots if s > 0), key=lambda x: (-x[0], x[1]))[: X.NEIGHBOURS]
-        got = ix.nearest(q, without=k)
+        got = ix.nearest(q, without=(k,))
         assert [e for _, e in got] == [e for _, e in expected] and [s for s, _ in got] == pytest.approx([s for s, _ in expected])
 
 
@@ -57,3 +60,64 @@ def test_odd_rows(spark, odd, none):
     assert len(rows) == odd.count() and all(0 <= r["score"] <= 1 for r in rows) and not any(r["held_out"] for r in rows if r["doc_id"] is None)
     assert {r["score"] for r in X.score_documents(odd, labels.limit(0)).collect()} == {0.0}
     assert X.score_documents(none, labels).count() == 0
+    again = odd.union(odd).withColumnsRenamed({"size": "score", "kept": "held_out", "slot": "terms"})
+    assert X.score_documents(again, labels.union(labels)).count() == 2 * odd.count()
+
+
+def test_sample_is_bounded_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(X, "FIT_ROWS", 10)
+    docs = spark.range(5000).selectExpr("7L as doc_id", "concat('same id, text ', id) as text").union(spark.range(100, 200).selectExpr("id as doc_id", "concat('other ', id) as text"))
+    labels = spark.range(100, 200).selectExpr("id as doc_id", "cast(id % 2 as int) as toxic").union(spark.createDataFrame([(7, 1)] * 50, "doc_id long, toxic int"))
+    sample = X._sample(docs, labels)[0]
+    assert sample.count() <= 20 and sample.groupBy("doc_id").count().where("count > 1").count() == 0
+    assert X.score_documents(docs, labels).count() == 5100
+
+
+def brute(rows, label, max_terms):
+    """Scores by all pairs: plain dictionaries, no index, no blocks. rows: (id, text); label: of the learnable ids."""
+    tf = {i: Counter(t for w in (text or "").split() for t in X.terms(w)) for i, text in rows}
+    texts = dict(rows)
+    n1, n = sum(label.values()), len(label)
+    a, every = Counter(t for i, y in label.items() if y for t in tf[i]), Counter(t for i in label for t in tf[i])
+
+    def g2(t):
+        cells = [(a[t], every[t], n1), (every[t] - a[t], every[t], n - n1), (n1 - a[t], n - every[t], n1), (n - n1 - every[t] + a[t], n - every[t], n - n1)]
+        return 2 * sum(o * math.log(o * n / (r * c)) for o, r, c in cells if o > 0)
+
+    def odds(t):
+        x = (a[t] + 0.5) * (n - n1 - every[t] + a[t] + 0.5) / ((every[t] - a[t] + 0.5) * (n1 - a[t] + 0.5))
+        return max(x, 1 / x)
+
+    names = set(every)
+    if max_terms is not None:
+        names = set(sorted((t for t in every if every[t] < n and round(g2(t), 6) >= X.MIN_G2 and odds(t) >= X.MIN_ODDS), key=lambda t: (-round(g2(t), 6), t))[:max_terms])
+    df = Counter(t for i, _ in rows for t in tf[i])
+    vec = {}
+    for i in tf:
+        w = {t: (1 + math.log(k)) * math.log(len(rows) / df[t]) for t, k in tf[i].items() if t in names and df[t] < len(rows)}
+        norm = math.sqrt(sum(x * x for x in w.values()))
+        vec[i] = {t: x / norm for t, x in w.items()} if norm else {}
+    order = sorted(label, key=lambda i: (zlib.crc32(str(i).encode()), str(i)))
+    share = n1 / n
+    weight = [(1 - share) / (n - n1), share / n1]
+    weight = [w / max(weight) for w in weight]
+
+    def voted(i):
+        near = [(round(sum(x * vec[e].get(t, 0.0) for t, x in vec[i].items()), 9), k, e) for k, e in enumerate(order) if texts[e] != texts[i]]
+        near = sorted((x for x in near if x[0] > 0), key=lambda x: (-x[0], x[1]))[: X.NEIGHBOURS]
+        one, both = (sum(s * weight[label[e]] for s, _, e in near if label[e] or c) for c in (0, 1))
+        return round((one + X.PRIOR * share) / (both + X.PRIOR), 6)
+
+    steps = X.isotonic([(voted(i), label[i], weight[label[i]]) for i in order])
+    return {i: steps[1][max(bisect.bisect_right(steps[0], voted(i)) - 1, 0)] for i, _ in rows}
+
+
+@pytest.mark.parametrize("max_terms", [X.MAX_TERMS, None])
+def test_scores_equal_brute_force(spark, sf, max_terms):
+    rows = [(i, (prose(i, 30) if i % 9 else prose(3, 30)) + (" vexor grumblat" if i % 4 == 0 else "") + (" vexorish" if i % 7 == 0 else "")) for i in range(240)] + [(900, None), (901, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    label = {i: int(i % 4 == 0) for i in range(0, 240, 2) if zlib.crc32(str(i).encode()) % 3 != 1}
+    labels = spark.createDataFrame(list(label.items()), "doc_id long, toxic int")
+    expected = brute(rows, label, max_terms)
+    got = {r["doc_id"]: r["score"] for r in X.score_documents(docs, labels, max_terms).collect()}
+    assert got.keys() == expected.keys() and all(abs(got[i] - expected[i]) < 1e-6 for i in got) and len(set(got.values())) > 1
