@@ -151,7 +151,8 @@ def fit(counted: DataFrame, labels: DataFrame) -> dict:
     # the box that the forest cuts: from 0 to the largest value of any document
     edge = counted.agg(*[F.max(F.expr(x)).alias(f"m{i}") for i, x in enumerate(_sql_statistics())]).first()
     passed = counted.where(f"n_words >= {MIN_WORDS} and 100 * n_repeat_words <= {MAX_REPEAT_PERCENT} * n_words")
-    known = passed.join(labels.select(F.col("doc_id").alias("__rl_id"), "quality").where("quality is not null"), F.col("doc_id") == F.col("__rl_id"))
+    one = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").alias("__rl_id")).agg(F.min("quality").alias("quality"))
+    known = passed.join(one, F.col("doc_id") == F.col("__rl_id"))
     good = least_hashed(known.where("quality = 1"), "doc_id", FIT_ROWS, *cols).select(*cols).collect()
     if len(good) < 2:
         return {"forest": None, "threshold": 2.0}
@@ -219,7 +220,7 @@ def judge_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, COUNTS, base_failed, kept, anomaly per row of docs(doc_id, text); labels(doc_id, quality) has quality 1 for good, 0 for bad.
 
     Null and empty texts have zero counts and fail the base rules. Repeated rows are judged alike. Labels with null ids or qualities are
-    not used; without good labels only the base rules reject. An empty table gives an empty result; other columns are not looked at.
+    not used; an id labelled more than once counts once, with its lowest label; without good labels only the base rules reject. An empty table gives an empty result; other columns are not looked at.
     """
     counted = written(rule_counts(docs), f"{work_dir(docs.sparkSession)}/counts")
     model = fit(counted, labels)
@@ -228,7 +229,8 @@ def judge_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that judge_documents keeps, with all their columns."""
+    """The rows of docs that judge_documents keeps, with all their columns. Rows with null and empty texts go, as they fail the base rules;
+    repeated rows stay or go together; without labels only the base rules reject; an empty table stays empty."""
     model = fit(written(rule_counts(docs), f"{work_dir(docs.sparkSession)}/counts"), labels)
     at = docs.columns.index("text")
 

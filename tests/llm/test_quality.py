@@ -58,6 +58,28 @@ def test_odd_rows(spark, odd, none):
     assert Q.judge_documents(none, labels).count() == 0 and Q.keep_good(none, labels).count() == 0
 
 
+def test_forest_scores_equal_a_walk_by_hand():
+    """Each row goes down each tree one node at a time; the path counts a node per step, and what a leaf's rows would take."""
+    r = np.random.default_rng(3)
+    rows = r.random((150, 4)) * [1, 5, 0.1, 30]
+    forest = Q.grow(rows, np.zeros(4), rows.max(0))
+    for row, score in zip(rows[:40], Q.anomaly(forest, rows[:40])):
+        total = 0.0
+        for t in range(Q.TREES):
+            k = 0
+            while k < len(forest["feature"][t]) and forest["feature"][t][k] >= 0:
+                k = 2 * k + 1 + int(row[forest["feature"][t][k]] > forest["cut"][t][k])
+            total += forest["path"][t][k]
+        assert abs(score - 2 ** (-total / Q.TREES / forest["scale"])) < 1e-9
+
+
+def test_repeated_labels_count_once(spark):
+    docs = spark.createDataFrame([(i, prose(i, 60 + i % 50)) for i in range(120)], "doc_id long, text string")
+    once = [(i, int(i % 7 > 0)) for i in range(100)]
+    one, many = (Q.fit(Q.rule_counts(docs), spark.createDataFrame(rows, "doc_id long, quality int")) for rows in (once, once * 3 + [(i, 1) for i in range(0, 100, 7)]))
+    assert one["threshold"] == many["threshold"] and all((one["forest"][k] == many["forest"][k]).all() for k in ("feature", "cut", "path"))
+
+
 def test_threshold():
     bins = [(600, 1, 1000), (800, 1, 4), (800, 0, 3), (1500, 0, 50), (700, 0, 9)]
     assert Q.threshold(bins) == 1301 / 4000 and Q.threshold([(600, 1, 5)]) == 2.0 and Q.threshold([]) == 2.0
