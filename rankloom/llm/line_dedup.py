@@ -4,7 +4,7 @@ Lines that have a word are hashed. A window of a line is the shortest run of lin
 window, the line with the least hash is selected. Two copies of a run of min_words words hold a whole window, hence select the same
 line: selected lines are guaranteed fingerprints. Fingerprints that occur once are dropped. Around the others, matches are extended both
 ways, window by window: the windows that begin at, and those that end at, each line near a fingerprint are joined by their content, and
-all but the first occurrence of a window are repeats. Their lines are what is deleted, exactly the lines of every run of min_words words
+all but the first occurrence of a window are repeats (a window's content is known by 128 bits of independent hashes of its lines). Their lines are what is deleted, exactly the lines of every run of min_words words
 or more that has occurred before. Each content's first place is a partial aggregate: a line that is in most documents makes no large task.
 """
 
@@ -20,13 +20,13 @@ MIN_WORDS = 25
 
 
 def _lines(text: Column) -> Column:
-    """array<struct<line, h, w>> of a text's lines that have a word: number among all lines, hash, words."""
-    each = F.transform(F.split(text, "\n", -1), lambda s, i: F.struct(i.cast("int").alias("line"), F.xxhash64(s).alias("h"), F.regexp_count(s, F.lit(WORD)).alias("w")))
+    """array<struct<line, h, g, w>> of a text's lines that have a word: number among all lines, two hashes with different seeds, words."""
+    each = F.transform(F.split(text, "\n", -1), lambda s, i: F.struct(i.cast("int").alias("line"), F.xxhash64(s).alias("h"), F.xxhash64(F.lit("g"), s).alias("g"), F.regexp_count(s, F.lit(WORD)).alias("w")))
     return F.filter(each, lambda x: x["w"] > 0)
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, line, h, w, c0, c1 (words before, and up to the end of, the line) per line with a word of each distinct row.
+    """doc_id, text_key, line, h, g, w, c0, c1 (words before, and up to the end of, the line) per line with a word of each distinct row.
 
     Rows that repeat both doc_id and text are one document.
     """
@@ -54,12 +54,12 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     common = picked.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     anchors = picked.join(common, "h").select(*[F.col(c).alias(f"a_{c}") for c in doc], F.col("line").alias("a_line"))
     near = lines.join(anchors, F.col("doc_id").eqNullSafe(F.col("a_doc_id")) & (F.col("text_key") == F.col("a_text_key")) & (F.col("line") == F.col("a_line")), "left")
-    near = near.select(*doc, "line", "h", "w", "c0", "c1", F.col("a_line").isNotNull().cast("int").alias("anchor"))
+    near = near.select(*doc, "line", "h", "g", "w", "c0", "c1", F.col("a_line").isNotNull().cast("int").alias("anchor"))
 
     def windows(frame, side: int) -> DataFrame:
-        found = near.select(*doc, "line", F.collect_list("h").over(frame).alias("hs"), F.min("line").over(frame).alias("first"), F.max("line").over(frame).alias("last"), F.sum("w").over(frame).alias("ws"), F.max("anchor").over(frame).alias("near"))
+        found = near.select(*doc, "line", F.collect_list(F.struct("h", "g")).over(frame).alias("hs"), F.min("line").over(frame).alias("first"), F.max("line").over(frame).alias("last"), F.sum("w").over(frame).alias("ws"), F.max("anchor").over(frame).alias("near"))
         found = found.where((F.col("ws") >= min_words) & (F.col("near") == 1))
-        return found.select(*doc, "first", "last", F.lit(side).alias("side"), F.xxhash64("hs").alias("k1"), F.hash("hs").alias("k2"))
+        return found.select(*doc, "first", "last", F.lit(side).alias("side"), F.xxhash64("hs.h").alias("k1"), F.xxhash64("hs.g").alias("k2"))
 
     # a window that begins at a line and one that ends at a line may have the same content; each kind is joined with its own
     places = written(windows(ahead, 0).union(windows(back, 1)), f"{path}/windows")
@@ -72,7 +72,8 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """The rows of docs, with all their columns, without the lines that repeated_lines deletes. Null texts stay null."""
+    """The rows of docs, with all their columns, without the lines that repeated_lines deletes. Null texts stay null, empty ones empty; rows
+    that repeat both id and text are one document and lose the same lines; an empty table stays empty."""
     found = repeated_lines(docs, min_words).where("size(deleted) > 0").select(F.col("doc_id").alias("__rl_id"), F.col("text_key").alias("__rl_key"), F.col("deleted").alias("__rl_deleted"))
     out = docs.join(found, docs["doc_id"].eqNullSafe(F.col("__rl_id")) & (F.xxhash64(docs["text"]) == F.col("__rl_key")), "left")
     kept = F.filter(F.split("text", "\n", -1), lambda s, i: ~F.array_contains(F.col("__rl_deleted"), i.cast("int")))
