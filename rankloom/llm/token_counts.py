@@ -21,8 +21,8 @@ from rankloom.llm.common import table
 
 SPACE = "▁"
 UNKNOWN = 10.0
-#: Pre-tokens whose counts a worker keeps.
-KNOWN = 400_000
+#: Pre-tokens whose counts a worker keeps, and the longest one that is kept; characters of texts that are counted at a time.
+KNOWN, KEPT_LENGTH, STEP = 400_000, 64, 8 << 20
 
 
 def default_model() -> str:
@@ -100,13 +100,27 @@ class Counter:
             last = word
 
     def counts(self, texts: list[str | None]) -> list[tuple[int, int]]:
-        """(pre-tokens, tokens) of each text; none for null and empty texts."""
-        if len(self.known) > KNOWN:
-            self.known = {"": 0}
-        split = [self.pretokens(t) if t else [] for t in texts]
-        self.learn({w for words in split for w in words if w not in self.known})
-        known = self.known
-        return [(len(words) - words.count(""), sum([known[w] for w in words])) for words in split]
+        """(pre-tokens, tokens) of each text; none for null and empty texts. Texts are taken up to STEP characters at a time, or one alone;
+        long pre-tokens are forgotten after that, so that what is kept is bounded in bytes as well."""
+        out: list[tuple[int, int]] = []
+        begin = 0
+        while begin < len(texts):
+            end, size = begin + 1, len(texts[begin] or "")
+            while end < len(texts) and size + len(texts[end] or "") <= STEP:
+                size += len(texts[end] or "")
+                end += 1
+            if len(self.known) > KNOWN:
+                self.known = {"": 0}
+            split = [self.pretokens(t) if t else [] for t in texts[begin:end]]
+            new = {w for words in split for w in words if w not in self.known}
+            self.learn(new)
+            known = self.known
+            out += [(len(words) - words.count(""), sum([known[w] for w in words])) for words in split]
+            for w in new:
+                if len(w) > KEPT_LENGTH:
+                    del known[w]
+            begin = end
+        return out
 
 
 _PARTS = re.compile(r" +[^ ]*|[^ ]+")

@@ -47,3 +47,14 @@ def test_odd_rows(odd, none):
     assert len(rows) == odd.count() and sum(r["n_tokens"] for r in rows) == sum(len(LIBRARY.encode(r["text"] or "")) for r in odd.collect())
     assert {r["n_tokens"] for r in rows if r["doc_id"] in (2, 3)} == {0}
     assert T.count_tokens(none).count() == 0
+
+
+def test_long_pretokens_are_not_kept(monkeypatch):
+    monkeypatch.setattr(T, "STEP", 1000)
+    counter = T.Counter(T.piece_scores(T.default_model()))
+    texts = ["x" * 5000, "the cat", None, "", "y" * 900 + " the", "a" * 300 + " " + "b" * 300] * 3
+    plain = T.Counter(T.piece_scores(T.default_model()))
+    monkeypatch.setattr(T, "STEP", 1 << 30)
+    expected = plain.counts(texts)
+    monkeypatch.setattr(T, "STEP", 1000)
+    assert counter.counts(texts) == expected and max(map(len, counter.known)) <= T.KEPT_LENGTH
