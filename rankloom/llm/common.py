@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -16,14 +18,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_OWN: list[str] = []
+
+
 def work_dir(spark: SparkSession) -> str:
-    """A new folder below the cluster's spark.checkpoint.dir; a local session without one gets a temporary folder."""
+    """A new folder below the cluster's spark.checkpoint.dir. A local session without one, as in tests, gets a temporary folder, which goes
+    when the process ends; what lies under a cluster's folder is for the cluster to clear, as results are read from it lazily."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master.startswith("local-cluster") or not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="rankloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not _OWN:
+            _OWN.append(tempfile.mkdtemp(prefix="rankloom-"))
+            atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
+        base = _OWN[0]
     return f"{base.rstrip('/')}/rankloom/{uuid.uuid4().hex}"
 
 

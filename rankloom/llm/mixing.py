@@ -131,7 +131,8 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, with all their columns, as often as the mix takes them: a row of which it takes q passes and a part stays q
     times, and once more if the part is half of the row or more. Rows that are taken less than half go, as do rows without words.
 
-    Rows that share doc_id, source and text are put apart again by their number, so that the words of all of them come out right.
+    Rows that share doc_id, source and text are put apart again by their number, so that the words of all of them come out right. A null
+    source is one of its own; null and empty texts have no words and go; ids may be null; an empty table stays empty.
     """
     found = mix_documents(docs, **options)
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0)

@@ -36,3 +36,20 @@ def test_stages_against_brute_force(spark, sf, tmp_path):
     placed = step("shard", mixed).collect()
     assert Counter((r["doc_id"], r["text_crc32"]) for r in placed) == Counter((r["doc_id"], zlib.crc32(r["text"].encode())) for r in mixed.collect())
     assert sorted(map(str, P.run(spark, sf).collect())) == sorted(map(str, placed))
+
+
+def test_odd_rows_and_empty_tables(spark, odd, none, tmp_path):
+    names = odd.withColumnsRenamed({"size": "target", "kept": "taken", "slot": "shard"}).withColumn("key", odd["doc_id"]).withColumn("order", odd["text"])
+    for k, (docs, expected) in enumerate(((odd, {1, 4, None}), (names, {1, 4, None}), (none, set()))):
+        docs.write.parquet(f"{tmp_path}/{k}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{k}/labels.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/{k}/benchmark.parquet")
+        rows = docs
+        for name, stage in P.STAGES[:-1]:
+            rows = written(stage(spark, rows, f"{tmp_path}/{k}"), f"{tmp_path}/{k}/{name}")
+            assert rows.columns == docs.columns, name
+        assert {r["doc_id"] for r in rows.collect()} <= expected
+        placed = P.run(spark, f"{tmp_path}/{k}").collect()
+        assert Counter(r["text_crc32"] for r in placed) == Counter(zlib.crc32(r["text"].encode()) for r in rows.collect())
+        for s in {r["shard"] for r in placed}:
+            assert sorted(r["slot"] for r in placed if r["shard"] == s) == list(range(sum(r["shard"] == s for r in placed)))
