@@ -49,7 +49,11 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies STAGES to documents."""
+    """Applies STAGES to documents: a row for each document of the mix, as often as it takes it, with its shard and its place there.
+
+    Rows with null, empty or short texts go in the first stage; repeated rows are one near-duplicate group, of which one row stays; null ids
+    are ids; an empty table, or one that loses all rows, gives an empty result; empty labels and benchmark tables reject nothing.
+    """
     path = work_dir(spark)
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
