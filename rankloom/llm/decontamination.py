@@ -30,7 +30,7 @@ WINDOW, CONTAINED, RUN = 5, 0.8, 13
 SHIFT, JOINED = 4, 2 * WINDOW
 #: Share of an item's matched tokens that may be renamed slots, at most: more would match on placeholders alone.
 MAX_RENAMED = 0.4
-#: Windows of the benchmark that a block may have (about 100 bytes each).
+#: Windows of the benchmark that a block may have (about 60 bytes each, with their text, in every worker and on the driver).
 BLOCK_WINDOWS = 1_000_000
 
 UNITS = frozenset(
@@ -82,10 +82,74 @@ def template(text: str | None, names: int = True) -> tuple[list[str], list[str]]
     return tokens, values
 
 
-def token_hash(token: str) -> int:
-    import xxhash
+class _Characters:
+    """What the characters are, as tables over code points that are filled for each block of 256 when it is first met; and hashes of spans.
 
-    return xxhash.xxh64_intdigest(token.encode("utf-8", "surrogatepass"))
+    kind: bits LETTER ... NUMBER_JOIN, after the classes of _TOKEN; case: 1 upper, 2 lower, 4 title, 8 a digit in another form; lower: the character in
+    lower case, if that is one character, with one form of sigma.
+    """
+
+    LETTER, DIGIT, SIGN, END, WORD_JOIN, NUMBER_JOIN = 1, 2, 4, 8, 16, 32
+    BASE, INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+
+    def __init__(self):
+        import numpy as np
+
+        self.kind, self.case = np.zeros(0x110000, np.uint8), np.zeros(0x110000, np.uint8)
+        self.lower, self.met = np.arange(0x110000, dtype=np.uint32), np.zeros(0x1100, bool)
+        self.up = self.down = np.zeros(0, np.uint64)
+        self.letter = re.compile(r"[^\W\d_]").match
+
+    def codes(self, text: str):
+        import numpy as np
+
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        blocks = np.flatnonzero(np.bincount(codes >> 8, minlength=0x1100))
+        for block in blocks[~self.met[blocks]].tolist():
+            for c in range(256 * block, 256 * block + 256):
+                ch = chr(c)
+                kind = self.LETTER if self.letter(ch) else self.DIGIT if ch in "0123456789" else self.SIGN if ch in "%$€£°" else 0
+                self.kind[c] = kind | (self.END if ch in ".!?" else 0) | (self.WORD_JOIN if ch in "'’-" else 0) | (self.NUMBER_JOIN if ch in ".,:/" else 0)
+                self.case[c] = 1 if ch.isupper() else 2 if ch.islower() else 4 if ch.istitle() else 8 if ch.isdigit() else 0
+                self.lower[c] = ord("σ") if ch in "Σς" else ord(ch.lower()) if len(ch.lower()) == 1 else c
+            self.met[block] = True
+        return codes
+
+    def hashes(self, codes, first, last):
+        """A hash of each span of characters in lower case: a polynomial in BASE, from sums over the whole text."""
+        import numpy as np
+
+        if len(self.up) < len(codes):
+            n = max(len(codes), 1 << 16)
+            self.up, self.down = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, x, np.uint64)]), dtype=np.uint64) for x in (self.BASE, self.INVERSE))
+        sums = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum((self.lower[codes].astype(np.uint64) + np.uint64(1)) * self.up[: len(codes)], out=sums[1:])
+        h = (sums[last] - sums[first]) * self.down[first]
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        return h ^ (h >> np.uint64(29))
+
+
+_CHARACTERS: list[_Characters] = []
+
+
+def _characters() -> _Characters:
+    """One per worker process."""
+    if not _CHARACTERS:
+        _CHARACTERS.append(_Characters())
+    return _CHARACTERS[0]
+
+
+def token_hashes(tokens: list[str]):
+    import numpy as np
+
+    if not tokens:
+        return np.zeros(0, np.uint64)
+    made = _characters()
+    codes = made.codes("\n".join(tokens))
+    n = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    last = np.cumsum(n + 1) - 1
+    return made.hashes(codes, last - n, last)
 
 
 def _rolled(a, width: int):
@@ -102,33 +166,47 @@ def _rolled(a, width: int):
 
 def window_hashes(tokens: list[str]):
     """Hashes of a template's windows; a shorter template is one window, which only a text of that length equals."""
-    import numpy as np
-
-    a = np.array([token_hash(t) for t in tokens], np.uint64)
+    a = token_hashes(tokens)
     return _rolled(a, min(WINDOW, len(a))) if len(a) else a
 
 
 class Index:
-    """The windows of a block of benchmark items, for all templates: where each hash occurs, and a bitmap for quick refusal."""
+    """The windows of a block of benchmark items, for all templates: where each hash occurs, and a bitmap for quick refusal.
+
+    Places are arrays of 17 bytes a window and template. An item's templates are made again when it is met, and the last ones kept.
+    """
 
-    BITS = 22
+    BITS, KEPT = 22, 4096
 
     def __init__(self, items: list[tuple]):
         import numpy as np
 
-        self.items, self.places = {}, defaultdict(list)
-        for item, text in items:
-            for names in TEMPLATES:
-                tokens, values = template(text, names)
-                h = window_hashes(tokens)
-                self.items[item, text, names] = (tokens, values, len(h))
-                for pos, x in enumerate(h.tolist()):
-                    self.places[x].append((item, text, names, pos))
-        self.places = dict(self.places)
-        self.sorted = np.array(sorted(self.places), np.uint64)
+        self.texts, self.kept = items, {}
+        hashes, item, names, pos = [], [], [], []
+        for k, (_, text) in enumerate(items):
+            for t in TEMPLATES:
+                h = window_hashes(template(text, t)[0])
+                hashes.append(h)
+                item.append(np.full(len(h), k, np.int32))
+                names.append(np.full(len(h), t, np.uint8))
+                pos.append(np.arange(len(h), dtype=np.int32))
+        joined = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts])
+        every = joined(hashes, np.uint64)
+        order = np.argsort(every, kind="stable")
+        self.sorted, self.item, self.names, self.pos = every[order], joined(item, np.int32)[order], joined(names, np.uint8)[order], joined(pos, np.int32)[order]
         self.bitmap = np.zeros(1 << self.BITS, bool)
         self.bitmap[self.sorted >> np.uint64(64 - self.BITS)] = True
 
+    def own(self, k: int, names: int) -> tuple[list[str], list[str], int]:
+        """Template tokens, values and number of windows of item k."""
+        found = self.kept.get((k, names))
+        if found is None:
+            if len(self.kept) >= self.KEPT:
+                self.kept.clear()
+            tokens, values = template(self.texts[k][1], names)
+            found = self.kept[k, names] = tokens, values, max(1, len(tokens) - WINDOW + 1)
+        return found
+
     def has(self, h):
         """Which of these hashes are windows of the benchmark."""
         import numpy as np
@@ -139,6 +217,8 @@ class Index:
 
     def matches(self, text: str | None) -> list[tuple]:
         """(item, share of its windows, longest run of tokens, renamed slots, first token in the text) of the items that a text holds."""
+        import numpy as np
+
         best: dict[object, tuple] = {}
         near: dict[tuple, list[tuple[int, int]]] = defaultdict(list)
         texts: dict[int, tuple] = {}
@@ -146,32 +226,35 @@ class Index:
             tokens, values = template(text, names)
             # windows on one diagonal (text position minus item position) belong to one copy
             diagonals: dict[tuple, list[int]] = defaultdict(list)
-            for pos, x in enumerate(window_hashes(tokens).tolist()):
-                for item, own, n, k in self.places.get(x, ()):
+            h = window_hashes(tokens)
+            held = self.has(h)
+            for pos, a, b in zip(held.tolist(), np.searchsorted(self.sorted, h[held]).tolist(), np.searchsorted(self.sorted, h[held], side="right").tolist()):
+                for own, n, k in zip(self.item[a:b].tolist(), self.names[a:b].tolist(), self.pos[a:b].tolist()):
                     if n == names:
-                        diagonals[item, own, pos - k].append(k)
-            for (item, own, shift), ks in diagonals.items():
-                found = self._verified((item, own, names), shift, ks, tokens, values)
+                        diagonals[own, pos - k].append(k)
+            for (own, shift), ks in diagonals.items():
+                item = self.texts[own][0]
+                found = self._verified((own, names), shift, ks, tokens, values)
                 if found and (found[0] >= CONTAINED or found[1] >= RUN) and found[:2] > best.get(item, (0, 0))[:2]:
                     best[item] = found
-            for (item, own, shift), ks in diagonals.items():
-                near[item, own, names].extend((shift, k) for k in ks)
+            for (own, shift), ks in diagonals.items():
+                near[own, names].extend((shift, k) for k in ks)
             texts[names] = tokens, values
         # the template with most slots comes first: what disagrees there is no copy in another
         wrong = set()
         for names in (EVERY, True, False):
             for key, at in near.items():
-                if key[2] == names and key[0] not in best and key[:2] not in wrong:
+                if key[1] == names and self.texts[key[0]][0] not in best and key[0] not in wrong:
                     found = self._joined(key, at, *texts[names])
                     if found:
-                        best[key[0]] = found
+                        best[self.texts[key[0]][0]] = found
                     elif found is False:
-                        wrong.add(key[:2])
-        return sorted(((i, *x) for i, x in best.items()), key=lambda x: (-x[1], -x[2], x[0] is None, x[0] or 0))
+                        wrong.add(key[0])
+        return sorted(((i, *x) for i, x in best.items()), key=lambda x: (-x[1], -x[2], x[0] is None, x[0]))
 
     def _verified(self, key: tuple, shift: int, ks: list[int], tokens: list[str], values: list[str]):
         """What is left of a diagonal's matches when the slots must agree by a one-to-one renaming; None if nothing is."""
-        own, slots, windows = self.items[key]
+        own, slots, windows = self.own(*key)
         width = min(WINDOW, len(own))
         there: dict[tuple, str] = {}
         back: dict[tuple, str] = {}
@@ -203,7 +286,7 @@ class Index:
 
         A changed word costs one token here, not all windows that hold it. None below CONTAINED, or if windows have less than half of the item, or if any slots disagree (False).
         """
-        own, slots, _ = self.items[key]
+        own, slots, _ = self.own(*key)
         n = len(own)
         if n < JOINED:
             return None
@@ -277,90 +360,121 @@ class Index:
 
 
 class Scanner:
-    """Finds the texts of a batch that share a window with an index. Keeps what it knows of raw words up to a bound."""
+    """Finds the texts of a batch that share a window with an index, in array operations over the characters of many texts at a time."""
 
-    KNOWN, STEP = 400_000, 200_000
+    #: Characters that are taken at a time; a longer text is looked at closely as it is.
+    STEP = 1 << 20
 
     def __init__(self, index: Index):
-        import numpy as np
-
-        self.index = index
-        self.fixed = {t: np.uint64(token_hash(t)) for t in (NUMBER, UNIT, NAME)}
-        self._clear()
-
-    def _clear(self) -> None:
-        self.words, self.hashes, self.kinds = {}, [], []
-
-    def _learn(self, word: str) -> tuple:
-        """The numbers of a raw word's tokens; the same number again for the end of a sentence, as minus one."""
-        out = []
-        for t in _TOKEN.findall(word):
-            kind = _kind(t)
-            out.append(len(self.hashes))
-            self.hashes.append(0 if kind == 4 else token_hash(t.lower()))
-            self.kinds.append(kind)
-        self.words[word] = tuple(out)
-        return self.words[word]
+        self.index, self.made = index, _characters()
+        self.fixed = dict(zip((NUMBER, UNIT, NAME), token_hashes([NUMBER, UNIT, NAME])))
+        self.units = token_hashes(sorted(UNITS))
 
     def candidates(self, texts: list[str | None]) -> list[int]:
-        """Rows whose texts have a window of the index in one of their templates."""
+        """Rows whose texts have a window of the index in one of their templates; texts that no array can tell are among them."""
         out: list[int] = []
-        ids: list[int] = []
-        starts: list[int] = []
-        ends: list[tuple[int, int]] = []
+        rows: list[int] = []
+        some: list[str] = []
+        size = 0
         for row, text in enumerate(texts):
-            known = self.words
-            for line in (text or "").split("\n"):
-                starts.append(len(ids))
-                for w in line.split():
-                    t = known.get(w)
-                    ids.extend(self._learn(w) if t is None else t)
-            ends.append((row, len(ids)))
-            if len(ids) >= self.STEP or row == len(texts) - 1:
-                out += self._hits(ids, starts, ends)
-                ids, starts, ends = [], [], []
-                if len(self.words) > self.KNOWN:
-                    self._clear()
-        return out
-
-    def _hits(self, ids: list[int], starts: list[int], ends: list[tuple[int, int]]) -> list[int]:
+            # a dotted capital I is two characters in lower case
+            pieces = None if text and "\u0130" in text else self._pieces(text or "")
+            if pieces is None:
+                out.append(row)
+                continue
+            for piece in pieces:
+                rows.append(row)
+                some.append(piece)
+                size += len(piece) + 1
+                if size >= self.STEP:
+                    out += self._hits(rows, some)
+                    rows, some, size = [], [], 0
+        return sorted({*out, *self._hits(rows, some)})
+
+    def _pieces(self, text: str) -> list[str] | None:
+        """The text in pieces of STEP characters at most, cut at white space, each with the last tokens of the one before: every window
+        is whole in one of them, with the tokens beside it. None if it has no white space to cut at."""
+        out, at = [], 0
+        while len(text) - at > self.STEP:
+            space = lambda a, b: max(text.rfind(" ", a, b), text.rfind("\n", a, b))
+            cut = space(at + self.STEP // 2, at + self.STEP)
+            back, width = cut, 256
+            while cut >= 0 and len(_TOKEN.findall(text, back, cut)) < 3 * WINDOW:
+                back, width = space(at + 1, cut - width), 2 * width
+                if back < 0:
+                    return None
+            if cut < 0:
+                return None
+            out.append(text[at:cut])
+            at = back
+        return [*out, text[at:]]
+
+    def _tokens(self, text: str):
+        """(first character, hash, kind, whether it begins a sentence) of the tokens of a text, as template() has them."""
         import numpy as np
 
-        if not ids:
+        made = self.made
+        codes = made.codes(text)
+        k = np.concatenate([np.zeros(1, np.uint8), made.kind[codes], np.zeros(1, np.uint8)])
+        here, before, after = k[1:-1], k[:-2], k[2:]
+        word = (here & made.LETTER > 0) | (here & made.WORD_JOIN > 0) & (before & made.LETTER > 0) & (after & made.LETTER > 0)
+        number = (here & made.DIGIT > 0) | (here & made.NUMBER_JOIN > 0) & (before & made.DIGIT > 0) & (after & made.DIGIT > 0)
+        t = np.where(word, 1, np.where(number, 2, np.where(here & made.SIGN > 0, 3, np.where(here & made.END > 0, 4, 0)))).astype(np.int8)
+        edge = np.concatenate([np.zeros(1, np.int8), t, np.zeros(1, np.int8)])
+        first = np.flatnonzero((t > 0) & ((t != edge[:-2]) | (t > 2)))
+        last = np.flatnonzero((t > 0) & ((t != edge[2:]) | (t > 2))) + 1
+        t = t[first]
+        h = made.hashes(codes, first, last)
+        case = made.case[codes]
+        lower, other = (np.concatenate([[0], np.cumsum(x, dtype=np.int32)]) for x in (case == 2, (case & 5) > 0))
+        name = (t == 1) & (case[first] == 1) & (other[last] == other[first] + 1) & (lower[last] > lower[first])
+        kind = np.where(t == 4, 4, np.where((t == 2) | (case[first] == 8), 1, np.where(np.isin(h, self.units), 2, np.where(name, 3, 0)))).astype(np.int8)
+        lines = np.cumsum(codes == 10, dtype=np.int32)[first] if len(first) else first
+        begins = np.ones(len(first), bool)
+        begins[1:] = (lines[1:] != lines[:-1]) | (kind[:-1] == 4)
+        return first, h, kind, begins
+
+    def _templates(self, h, kind, begins, text):
+        """The hashes of the tokens of each of TEMPLATES; text: the number of each token's text."""
+        import numpy as np
+
+        number = np.concatenate(([False], kind == 1, [False]))
+        same = np.concatenate(([False], text[1:] == text[:-1], [False]))
+        unit = (kind == 2) & (number[:-2] & same[:-1] | number[2:] & same[1:])
+        plain = np.where(kind == 1, self.fixed[NUMBER], np.where(unit, self.fixed[UNIT], h))
+        return np.where((kind == 3) & ~begins, self.fixed[NAME], plain), plain, np.where(kind == 3, self.fixed[NAME], plain)
+
+    def _hits(self, rows: list[int], some: list[str]) -> list[int]:
+        import numpy as np
+
+        if not rows:
             return []
-        at = np.array(ids)
-        h, kind = np.array(self.hashes, np.uint64)[at], np.array(self.kinds, np.int8)[at]
-        begins = np.zeros(len(at) + 1, bool)
-        begins[starts] = True
-        begins[1:] |= kind == 4
+        first, h, kind, begins = self._tokens("\n".join(some))
+        end = np.cumsum(np.fromiter((len(t) + 1 for t in some), np.int64, len(some)))
+        bound = np.searchsorted(first, end)
         word = kind != 4
-        bound = np.array([e for _, e in ends])
         # ends of sentences go; a text's bound becomes the number of words before it
         bound = np.concatenate(([0], np.cumsum(word)))[bound]
-        h, kind, begins = h[word], kind[word], begins[:-1][word]
+        h, kind, begins = h[word], kind[word], begins[word]
         if not len(h):
             return []
         text = np.searchsorted(bound, np.arange(len(h)), side="right")
-        number = np.concatenate(([False], kind == 1, [False]))
-        same = np.concatenate(([False], text[1:] == text[:-1], [False]))
-        unit = (kind == 2) & (number[:-2] & same[:-1] | number[2:] & same[1:])
-        plain = np.where(kind == 1, self.fixed[NUMBER], np.where(unit, self.fixed[UNIT], h))
         found = set()
-        for a in (np.where((kind == 3) & ~begins, self.fixed[NAME], plain), plain, np.where((kind == 3) & ~unit, self.fixed[NAME], plain)):
+        for a in self._templates(h, kind, begins, text):
             if len(a) >= WINDOW:
                 hit = self.index.has(_rolled(a, WINDOW))
                 found.update(text[hit[text[hit] == text[hit + WINDOW - 1]]].tolist())
         # texts shorter than a window are one window
         length = np.diff(np.concatenate(([0], bound)))
         found.update(np.flatnonzero((length > 0) & (length < WINDOW)).tolist())
-        return [ends[k][0] for k in sorted(found)]
+        return [rows[k] for k in sorted(found)]
 
 
 def blocks(benchmark: DataFrame, limit: int = BLOCK_WINDOWS) -> Iterator[list[tuple]]:
     """The benchmark's items, in blocks of `limit` windows at most (a longer item is a block of its own), read one partition at a time."""
     block, windows = [], 0
     for r in benchmark.select("item_id", F.col("text").cast("string").alias("text")).where("text is not null").distinct().orderBy("item_id", "text").toLocalIterator():
-        n = r["text"].count(" ") + r["text"].count("\n") + 1
+        n = len(_TOKEN.findall(r["text"])) + 1
         if block and windows + n > limit:
             yield block
             block, windows = [], 0
@@ -370,7 +484,11 @@ def blocks(benchmark: DataFrame, limit: int = BLOCK_WINDOWS) -> Iterator[list[tu
         yield block
 
 
-def _found(docs: DataFrame, index, columns: str) -> DataFrame:
+def _found(docs: DataFrame, index, columns: str, kind) -> DataFrame:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    item_type = to_arrow_type(kind)
+
     def found(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -381,7 +499,7 @@ def _found(docs: DataFrame, index, columns: str) -> DataFrame:
             rows = [(i, *m) for i in scan.candidates(texts) for m in scan.index.matches(texts[i])]
             at, item, share, run, renamed, start = zip(*rows) if rows else ([],) * 6
             yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(at, pa.int64())), pa.array(item, pa.int64()), pa.array(share, pa.float64()), pa.array(run, pa.int32()), pa.array(renamed, pa.int32()), pa.array(start, pa.int32())],
+                [ids.take(pa.array(at, pa.int64())), pa.array(item, item_type), pa.array(share, pa.float64()), pa.array(run, pa.int32()), pa.array(renamed, pa.int32()), pa.array(start, pa.int32())],
                 ["doc_id", "item_id", "contained", "run", "renamed", "start"],
             )
 
@@ -400,15 +518,19 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, limit: int = BLOCK_
     gives an empty result; other columns are not looked at.
     """
     spark = docs.sparkSession
-    columns = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id long, contained double, run int, renamed int, start int"
+    kind = benchmark.schema["item_id"].dataType
+    columns = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {kind.simpleString()}, contained double, run int, renamed int, start int"
     out = spark.createDataFrame([], columns)
     for block in blocks(benchmark, limit):
-        out = out.union(_found(docs, spark.sparkContext.broadcast(Index(block)), columns))
+        out = out.union(_found(docs, spark.sparkContext.broadcast(Index(block)), columns, kind))
     return out
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, limit: int = BLOCK_WINDOWS) -> DataFrame:
-    """The rows of docs, with all their columns, that hold no benchmark item. Rows are filtered where they are: nothing is shuffled."""
+    """The rows of docs, with all their columns, that hold no benchmark item. Rows are filtered where they are: nothing is shuffled.
+
+    Null and empty texts hold nothing and stay, repeated rows stay or go together, an empty table stays empty, an empty benchmark drops nothing.
+    """
     at = docs.columns.index("text")
 
     def clean(index):

@@ -1,3 +1,4 @@
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -33,10 +34,32 @@ def test_matches():
 def test_scanner_finds_every_candidate(texts):
     items = [(0, "a km 5 Bob. A1 km 5 k."), (1, "Bob a a a a 5 %"), (2, "b"), (3, texts[0])]
     ix = D.Index(items)
-    slow = {i for i, t in enumerate(texts) for n in (True, False) if any(h in ix.places for h in D.window_hashes(D.template(t, n)[0]).tolist())}
+    known = set(ix.sorted.tolist())
+    slow = {i for i, t in enumerate(texts) for n in D.TEMPLATES if any(h in known for h in D.window_hashes(D.template(t, n)[0]).tolist())}
     assert slow <= set(D.Scanner(ix).candidates(texts))
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.text(max_size=40) | st.text(st.sampled_from("aA1 km.\n5Bob,'é%-’:/°!ΣςΟß²½ǅÀ٣"), max_size=60) | st.lists(st.sampled_from("Anna has 5 km. Bob's 3.5 kg\nA1 Mary-Ann % 7:30 the USA".split(" ")), max_size=12).map(" ".join))
+def test_arrays_have_the_templates(text):
+    """The scanner's arrays are the templates' hashes, token by token."""
+    text = text.replace("\u0130", "")
+    scan = D.Scanner(D.Index([]))
+    _, h, kind, begins = scan._tokens(text)
+    word = kind != 4
+    arrays = scan._templates(h[word], kind[word], begins[word], np.zeros(int(word.sum()), int))
+    for names, a in zip(D.TEMPLATES, arrays):
+        assert a.tolist() == D.token_hashes(D.template(text, names)[0]).tolist(), names
+
+
+def test_long_texts_are_cut_without_loss(monkeypatch):
+    monkeypatch.setattr(D.Scanner, "STEP", 700)
+    scan = D.Scanner(D.Index([(0, ITEM)]))
+    texts = [" ".join([prose(k, 17 * k), ITEM, prose(k + 1, 90)]) for k in range(1, 40)]
+    assert scan.candidates(texts) == list(range(39)) and scan.candidates([prose(k, 400) for k in range(20)]) == []
+    assert all(max(map(len, scan._pieces(t))) <= 700 for t in texts) and scan.candidates(["x" * 5000, "\u0130"]) == [0, 1]
+
+
 def test_query_equals_containment(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
     items = spark.read.parquet(f"{sf}/benchmark.parquet").collect()
@@ -78,3 +101,21 @@ def test_short_items_with_a_changed_word():
     assert held(around.format(" ".join(words[:8])), item) == []
     assert held(around.format(" ".join(words[8:] + words[:8])), item) == []
     assert held(around.format(" ".join(words[:8]) + " " + prose(3, 20) + " " + " ".join(words[8:])), item) == []
+
+
+def test_text_ids_and_blocks_of_one_item(spark):
+    docs = spark.createDataFrame([("a", ITEM), ("b", "Well: " + RENAMED), ("c", prose(5, 200)), (None, ITEM), ("d", None), ("e", "")], "doc_id string, text string")
+    items = spark.createDataFrame([("x", ITEM), ("y", prose(6, 30)), (None, None), (None, prose(7, 40)), ("x", ITEM)], "item_id string, text string")
+    for limit in (D.BLOCK_WINDOWS, 1):
+        found = D.find_contaminated(docs, items, limit).collect()
+        assert sorted((str(r["doc_id"]), r["item_id"]) for r in found) == [("None", "x"), ("a", "x"), ("b", "x")]
+        assert sorted(r["doc_id"] for r in D.drop_contaminated(docs, items, limit).collect()) == ["c", "d", "e"]
+    assert D.find_contaminated(docs, items.limit(0)).count() == 0 and D.find_contaminated(docs.limit(0), items).count() == 0
+
+
+def test_memory_of_a_block():
+    import pickle
+
+    items = [(k, prose(k, 200)) for k in range(200)]
+    windows = sum(len(D.template(t)[0]) for _, t in items)
+    assert len(pickle.dumps(D.Index(items))) < (1 << D.Index.BITS) + 60 * windows
