@@ -20,8 +20,8 @@ from rankloom.llm.common import table, work_dir, written
 
 #: End of document; ids between checkpoints; longest code at least (more if the vocabulary needs it); coded bytes in a chunk, about.
 END_ID, STRIDE, MAX_BITS, CHUNK_BYTES = 1, 256, 16, 1 << 19
-#: Distinct words whose ids a worker keeps, in each of two generations.
-KNOWN_WORDS = 500_000
+#: Distinct words whose ids a worker keeps, in each of two generations (some 160 MB each).
+KNOWN_WORDS = 1_000_000
 MAGIC = b"RLHC0001"
 _SEPARATORS = re.compile("[\x1c-\x1f]").search
 
@@ -180,14 +180,13 @@ def unpack(code: Code, block: bytes):
 class Words:
     """Ids of texts, by words: the tokenizers this serves drop white space and never join what it parts.
 
-    Known words are kept in two generations of KNOWN_WORDS each: when the young one is full it becomes the old one, from which words in
-    use move back. A new word in simple letters (below U+0250, where lower case and composition are plain) is cut into the pre-tokens of
-    this kind of vocabulary, which are kept as well; new ones are encoded as one text, whose ids part where a piece ends a word. All
-    other words are encoded one by one.
+    Known words and pre-tokens are kept in two generations of KNOWN_WORDS each: when the young one is full it becomes the old one, from which
+    words in use move back. A new word in simple letters (below U+0250, where lower case and composition are plain) is cut into the
+    pre-tokens of this kind of vocabulary, and the library's model cuts each new one. All other words go through the library's whole chain,
+    as do all of a vocabulary for which a probe of both ways differs.
     """
 
     PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
-    END = "</w>"
 
     def __init__(self, path: str):
         import numpy as np
@@ -197,40 +196,34 @@ class Words:
         self.tokenizer = Tokenizer.from_file(path)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
         one = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
         if one("ab") + one("Cd1") != one("ab\n Cd1"):
             raise ValueError("this tokenizer does not take the words of a text one by one")
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.cut = regex.compile(self.PRETOKEN).findall
-        self.ends = np.zeros(self.size, bool)
-        for piece, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
-            self.ends[i] = piece.endswith(self.END)
+        # how byte-level vocabularies write the bytes of control characters and of letters beyond ASCII, by their rule: printable ones as themselves, others from 256 on
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        byte = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in shown)}
+        self.bytes = {c: "".join(byte[b] for b in chr(c).encode()) for c in range(0x250)}
         probe = "it's Ab1, x-2... \u00c4\u00df\u00b2 \u0178'LL"
-        self.simple = [x for w in probe.split() for x in self._by_parts([w])[0]] == [x for x in np.array(one(probe), self.kind).tobytes()]
-
-    def _by_parts(self, words: list[str]) -> list[bytes]:
+        self.marks = {m: np.array(one(m), self.kind).tobytes() for m in ".,;:!?"}
+        self.simple = True
+        self._learn(probe.split())
+        self.simple = b"".join(self.young[w] for w in probe.split()) == np.array(one(probe), self.kind).tobytes()
+        self.young = {}
+
+    def _pieces(self, pieces: list[str]) -> None:
+        """Learns pre-tokens in lower case: the library's model cuts each, which its whole chain would hand to it as it is."""
         import numpy as np
 
-        # letters alone, or with one mark after them, need no pattern
-        cuts = [(w.lower(),) if w.isalpha() else (w[:-1].lower(), w[-1]) if w[-1] in ".,;:!?" and w[:-1].isalpha() else self.cut(w.lower()) for w in words]
-        parts = self.parts
-        new = list({p for c in cuts for p in c if p not in parts})
-        if new:
-            if len(parts) > KNOWN_WORDS:
-                parts.clear()
-                new = list({p for c in cuts for p in c})
-            for k in range(0, len(new), 8192):
-                some = new[k : k + 8192]
-                ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.kind)
-                at = np.flatnonzero(self.ends[ids]) + 1
-                if len(at) == len(some) and at[-1] == len(ids):
-                    raw, at = ids.tobytes(), (at * self.kind.itemsize).tolist()
-                    parts.update(zip(some, [raw[a:b] for a, b in zip([0, *at[:-1]], at)]))
-                else:
-                    parts.update(zip(some, self._one_by_one(some)))
-        return [b"".join([parts[p] for p in c]) for c in cuts]
+        cut, flat, at, table = self.tokenizer.model.tokenize, [], [], self.bytes
+        for p in pieces:
+            flat += [x.id for x in cut(p if p.isascii() and p.isprintable() else p.translate(table))]
+            at.append(len(flat))
+        raw, width = np.array(flat, self.kind).tobytes(), self.kind.itemsize
+        at = [width * n for n in at]
+        self.young.update(zip(pieces, [raw[a:b] for a, b in zip([0, *at], at)]))
 
     def _one_by_one(self, words: list[str]) -> list[bytes]:
         import numpy as np
@@ -238,33 +231,62 @@ class Words:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def _learn(self, new: list[str]) -> None:
-        plain = [w for w in new if w.isascii() or max(w) < "\u0250" and "\u0130" not in w] if self.simple else []
-        plain = [w for w in plain if "<|" not in w]
-        if len(plain) < len(new):
+        """Learns new words. Those of letters, and of letters with one mark after them, need no pattern."""
+        young, every = self.young, "".join(new)
+        if not self.simple or "<|" in every or not every.isascii():
+            plain = [w for w in new if (w.isascii() or max(w) < "\u0250" and "\u0130" not in w) and "<|" not in w] if self.simple else []
             fast = set(plain)
             odd = [w for w in new if w not in fast]
-            self.young.update(zip(odd, self._one_by_one(odd)))
-        self.young.update(zip(plain, self._by_parts(plain)))
+            young.update(zip(odd, self._one_by_one(odd)))
+        else:
+            plain = new
+        lower = every == every.lower()
+        letters = [w for w in plain if w.isalpha()]
+        rest = set(plain).difference(letters)
+        marked = [w for w in rest if w[-1] in ".,;:!?" and w[:-1].isalpha()]
+        bare = [w[:-1].lower() for w in marked]
+        cut = [(w, self.cut(w.lower())) for w in rest.difference(marked)]
+        small = letters if lower else [w.lower() for w in letters]
+        self._pieces(list({*small, *bare, *[p for _, parts in cut for p in parts]}.difference(young)))
+        if not lower:
+            young.update(zip(letters, [young[w] for w in small]))
+        marks = self.marks
+        young.update(zip(marked, [young[p] + marks[w[-1]] for w, p in zip(marked, bare)]))
+        young.update([(w, b"".join([young[p] for p in parts])) for w, parts in cut])
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, with END_ID after them, as little-endian numbers of self.kind."""
         import numpy as np
 
+        # where the tokenizer takes letters in any case for the same, one case will do: there are fewer words to know
+        texts = [_lower(t) if self.simple and t else t for t in texts]
         # split() also parts at other white space, which these tokenizers drop as well, but for the four separators 0x1C-0x1F
         split = [[w.decode() for w in t.encode().split()] if t and _SEPARATORS(t) else (t or "").split() for t in texts]
         if len(self.young) > KNOWN_WORDS:
             self.young, self.old = {}, self.young
         young, old = self.young, self.old
         new = set().union(*split).difference(young)
-        for w in [w for w in new if w in old]:
-            young[w] = old[w]
-            new.discard(w)
+        if old:
+            for w in [w for w in new if w in old]:
+                young[w] = old[w]
+                new.discard(w)
         if new:
             self._learn(list(new))
         end, get = np.array([END_ID], self.kind).tobytes(), young.__getitem__
         return [b"".join(map(get, words)) + end for words in split]
 
 
+def _lower(text: str) -> str:
+    """The text in lower case, if it has Latin-1 characters alone and no special token; as it is otherwise."""
+    if "<|" in text:
+        return text
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
 _WORDS: dict[str, Words] = {}
 
 
@@ -378,10 +400,11 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, max_bits
         counts[i] = n
     lengths = code_lengths(counts, max_bits)
     spark.createDataFrame([(bytearray(lengths.tobytes()), STRIDE)], "lengths binary, stride int").coalesce(1).write.mode("overwrite").parquet(f"{path}/code")
-    rows = _coded(raw, lengths)
-    # the hash parts rows with one doc_id; it sets the order among them, too
+    # the hash parts rows with one doc_id; it sets the order among them, too. The coded rows are a table: the bounds of the ranges are
+    # drawn from two narrow columns of it, and nothing is coded twice
+    rows = written(_coded(raw, lengths).withColumn("tie", F.xxhash64("n_ids", "data")), f"{work_dir(spark)}/coded", compression="none")
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.withColumn("tie", F.xxhash64("n_ids", "data")).repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    rows = rows.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     rows.select(F.spark_partition_id().alias("part"), "doc_id", "n_ids", "marks", "data").mapInArrow(_chunked, FILES).write.mode("overwrite").option("compression", "none").parquet(f"{path}/chunks")
 
 
@@ -392,7 +415,8 @@ def _lengths(spark: SparkSession, path: str):
 
 
 def read_ids(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
-    """part, chunk, pos, doc_id, n_ids and ids (or, as a digest, their ids_crc32) per document, decoded from the files."""
+    """part, chunk, own (ids of the chunk's documents before this one), doc_id, n_ids and ids (or, as a digest, their ids_crc32) per
+    document, decoded from the files."""
     lengths = _lengths(spark, path)
 
     def read(batches: Iterator) -> Iterator:
@@ -410,22 +434,20 @@ def read_ids(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
                 raw = ids.astype("<u4")
                 each = [raw[e - n : e] for e, n in zip(ends.tolist(), counts.tolist())]
                 last = pa.array([zlib.crc32(x.tobytes()) for x in each], pa.int64()) if digest else pa.array(each, pa.list_(pa.int64()))
-                cols = [pa.array([part] * len(each), pa.int32()), pa.array([chunk] * len(each), pa.int32()), pa.array(range(len(each)), pa.int32()), pa.array(doc_ids, pa.int64()), pa.array(counts, pa.int64()), last]
-                yield pa.RecordBatch.from_arrays(cols, ["part", "chunk", "pos", "doc_id", "n_ids", "ids_crc32" if digest else "ids"])
+                cols = [pa.array([part] * len(each), pa.int32()), pa.array([chunk] * len(each), pa.int32()), pa.array(ends - counts, pa.int64()), pa.array(doc_ids, pa.int64()), pa.array(counts, pa.int64()), last]
+                yield pa.RecordBatch.from_arrays(cols, ["part", "chunk", "own", "doc_id", "n_ids", "ids_crc32" if digest else "ids"])
 
     chunks = spark.read.schema(FILES).parquet(f"{path}/chunks").select("part", "chunk", "doc_ids", "block")
-    return chunks.mapInArrow(read, "part int, chunk int, pos int, doc_id long, n_ids long, " + ("ids_crc32 long" if digest else "ids array<long>"))
+    return chunks.mapInArrow(read, "part int, chunk int, own long, doc_id long, n_ids long, " + ("ids_crc32 long" if digest else "ids array<long>"))
 
 
 def with_starts(read: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Adds start: the number of ids of all documents before this one. Sums go by part, by chunk in its part, by document in its chunk."""
+    """Adds start: the number of ids of all documents before this one. Sums go by part and by chunk in its part; the decoder gives the rest."""
     parts = chunks.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("part_start"))
     inside = Window.partitionBy("part").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     bases = chunks.select("part", "chunk", F.coalesce(F.sum("n_ids").over(inside), F.lit(0)).alias("chunk_start")).join(parts, "part")
-    own = Window.partitionBy("part", "chunk").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    read = read.withColumn("own", F.coalesce(F.sum("n_ids").over(own), F.lit(0)))
     return read.join(bases, ["part", "chunk"]).withColumn("start", (F.col("part_start") + F.col("chunk_start") + F.col("own")).cast("long")).drop("part_start", "chunk_start", "own")
 
 
