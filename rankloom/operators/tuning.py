@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rankloom.operators import metrics
 from rankloom.operators.index import Index
-from rankloom.operators.ranking import bm25_weight, check, matched
+from rankloom.operators.ranking import bm25_weight, check, matched, small
 
 K1, B = (0.6, 0.9, 1.2, 1.5, 1.8), (0.2, 0.4, 0.6, 0.75, 0.9)
 
@@ -24,24 +24,29 @@ KNOWN_SETTINGS = {"default": (0.9, 0.4), "textbook": (1.2, 0.75)}
 def bm25_grid(queries: DataFrame, ix: Index, qrels: DataFrame, cells: list[tuple[float, float]] | None = None, depth: int = 5) -> DataFrame:
     """k1, b, query_id, ndcg_at_5 for every cell and judged query, in one job.
 
-    Postings are matched and shuffled once: each (query, document) sums all cells' scores side by side, and becomes a row per cell after that.
+    Postings are matched and shuffled once: each (query, document) sums all cells' scores side by side. Only relevant documents gain, so
+    nothing is ranked: a relevant document's rank in a cell is one more than the number of documents that come before it there.
     """
     cells = cells or [(float(a), float(b)) for a in K1 for b in B]
     for a, b in cells:
         check(a, b)
-    hits = matched(queries.join(qrels.select("query_id").distinct(), "query_id", "left_semi"), ix)
-    sums = hits.groupBy("query_id", "doc_id").agg(*[F.sum(bm25_weight(F.lit(a), F.lit(b))).alias(f"s{i}") for i, (a, b) in enumerate(cells)])
-    each = F.array(*[F.struct(F.lit(float(a)).alias("k1"), F.lit(float(b)).alias("b"), F.round(f"s{i}", 6).alias("score")) for i, (a, b) in enumerate(cells)])
-    scored = sums.select("query_id", "doc_id", F.explode(each).alias("c")).select("c.k1", "c.b", "query_id", "doc_id", "c.score")
-    w = Window.partitionBy("k1", "b", "query_id").orderBy(F.desc("score"), "doc_id")
-    run = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= depth)
-    run = run.join(qrels.select("query_id", "doc_id", "grade"), ["query_id", "doc_id"]).where("grade > 0")
-    got = run.groupBy("k1", "b", "query_id").agg(F.sum(F.col("grade") / F.log2(F.col("rank") + 1.0)).alias("dcg"))
-    best = metrics.dcg(metrics.ideal(qrels), depth, name="best")
-    tried = F.explode(F.array(*[F.struct(F.lit(float(a)).alias("k1"), F.lit(float(b)).alias("b")) for a, b in cells]))
-    judged = qrels.select("query_id").distinct().join(queries.select("query_id"), "query_id", "left_semi").select("query_id", tried.alias("c")).select("c.k1", "c.b", "query_id")
-    both = judged.join(got, ["k1", "b", "query_id"], "left").join(best, "query_id", "left")
-    return both.select("k1", "b", "query_id", F.coalesce(F.col("dcg") / F.col("best"), F.lit(0.0)).alias("ndcg_at_5"))
+    judged = qrels.join(queries.select("query_id").distinct(), "query_id", "left_semi")
+    hits = matched(queries.join(judged.select("query_id").distinct(), "query_id", "left_semi"), ix)
+    sums = hits.groupBy("query_id", "doc_id").agg(*[F.round(F.sum(bm25_weight(F.lit(a), F.lit(b))), 6).alias(f"s{i}") for i, (a, b) in enumerate(cells)])
+    wanted = judged.where("grade > 0").select("query_id", "doc_id", "grade")
+    few = small(wanted)
+    relevant = sums.join(few, ["query_id", "doc_id"]).select("query_id", F.col("doc_id").alias("own"), "grade", *[F.col(f"s{i}").alias(f"r{i}") for i in range(len(cells))])
+    # as many rows as there are judgements at most: what holds for these holds for it
+    relevant = relevant if few is wanted else F.broadcast(relevant)
+    before = lambda i: F.count_if((F.col(f"s{i}") > F.col(f"r{i}")) | ((F.col(f"s{i}") == F.col(f"r{i}")) & (F.col("doc_id") < F.col("own"))))
+    places = sums.join(relevant, "query_id").groupBy("query_id", "own", "grade").agg(*[before(i).alias(f"n{i}") for i in range(len(cells))])
+    gains = [F.sum(F.when(F.col(f"n{i}") < depth, F.col("grade") / F.log2(F.col(f"n{i}") + 2.0)).otherwise(0.0)) for i in range(len(cells))]
+    got = places.groupBy("query_id").agg(F.array(*gains).alias("dcgs"))
+    best = metrics.dcg(metrics.ideal(judged), depth, name="best")
+    both = judged.select("query_id").distinct().join(got, "query_id", "left").join(best, "query_id", "left")
+    value = lambda i: F.coalesce(F.col("dcgs")[i] / F.col("best"), F.lit(0.0))
+    each = F.array(*[F.struct(F.lit(float(a)).alias("k1"), F.lit(float(b)).alias("b"), value(i).alias("ndcg_at_5")) for i, (a, b) in enumerate(cells)])
+    return both.select("query_id", F.explode(each).alias("c")).select("c.k1", "c.b", "query_id", "c.ndcg_at_5")
 
 
 def tuning_sample(judged: DataFrame, n: int = 400, share: float = 0.2, seed: int = 42) -> DataFrame:
