@@ -1,7 +1,8 @@
 """Operator 5, toxicity from the nearest labelled examples by exact TF-IDF cosine, with a block-max inverted index.
 
 The labelled sample has FIT_ROWS rows of a label at most. Its label-associated terms (words and word beginnings) are the vocabulary, or,
-with max_terms None, all its terms; their document frequencies come from all documents. Each document's vector is searched in the index of the sample: blocks of examples
+with max_terms None, all its terms; their document frequencies come from all documents. Where terms are selected, the rest of a text is one
+dimension that all texts share, of weight BACKGROUND: a vector's length would otherwise hide how much of a text the selected terms are. Each document's vector is searched in the index of the sample: blocks of examples
 are visited by falling upper bound, the query's weights times each term's largest weight in the block, until no block can hold a nearer
 neighbour. The neighbours' votes, weighted by similarity, are calibrated to scores on the sample itself, each row left out of its own
 neighbours.
@@ -24,6 +25,8 @@ FIT_ROWS = 8000
 PREFIXES, MAX_TERMS, MIN_G2, MIN_ODDS = (4, 5, 6), 2000, 24.0, 4.0
 NEIGHBOURS, BLOCK, EVIDENCE = 15, 1024, 3
 THRESHOLD = 0.7
+#: Weight of the dimension for what is not selected, as of a rare term that occurs a few times.
+BACKGROUND = 10.0
 #: Pseudo-similarity of a vote for the labels' overall share.
 PRIOR = 0.1
 
@@ -66,11 +69,13 @@ def vector(text: str | None, numbers: _Cache) -> dict[int, int]:
     return tf
 
 
-def weighted(tf: dict[int, int], idf) -> list[tuple[int, float]]:
-    """The unit vector of (1 + ln tf) idf."""
+def weighted(tf: dict[int, int], idf, background: float = 0.0) -> list[tuple[int, float]]:
+    """The unit vector of (1 + ln tf) idf, with the background as a last dimension if it has a weight."""
     import math
 
     w = [(t, (1 + math.log(n)) * idf[t]) for t, n in sorted(tf.items()) if idf[t] > 0]
+    if background:
+        w.append((len(idf), background))
     norm = math.sqrt(sum(x * x for _, x in w))
     return [(t, x / norm) for t, x in w] if norm else []
 
@@ -102,11 +107,14 @@ class Index:
 
         if not query or not self.n:
             return []
-        bound = sum(x * self.largest[t] for t, x in query) * (1 + 1e-9) + 1e-9
+        # scores are compared to 9 places, and so are their bounds
+        bound = np.round(sum(x * self.largest[t] for t, x in query) + 1e-12, 9)
         best, at = np.zeros(0), np.zeros(0, np.int64)
         for b in np.lexsort((np.arange(self.blocks), -bound)).tolist():
-            if bound[b] <= 1e-9 or len(at) == k and bound[b] < best[-1]:
+            if bound[b] <= 0 or len(at) == k and bound[b] < best[-1]:
                 break
+            if len(at) == k and bound[b] == best[-1] and b * BLOCK > at.max():
+                continue  # of equals, the first ones are there already
             score = np.zeros(BLOCK)
             for t, x in query:
                 own = self.postings.get(t, {}).get(b)
@@ -150,15 +158,15 @@ def isotonic(pairs: list[tuple[float, int, float]]) -> tuple[list[float], list[f
 class Model:
     """Everything that scoring needs; its size is bounded by FIT_ROWS and MAX_TERMS."""
 
-    def __init__(self, names: list[str], idf: list[float], sample: list[tuple], share: float):
+    def __init__(self, names: list[str], idf: list[float], sample: list[tuple], share: float, background: float = 0.0):
         """sample: (id, text key, term frequencies, label)."""
-        self.idf, self.ids = idf, [x[0] for x in sample]
+        self.idf, self.ids, self.background = idf, [x[0] for x in sample], background
         self.labels = [x[3] for x in sample]
-        self.vectors = [weighted(x[2], idf) for x in sample]
+        self.vectors = [weighted(x[2], idf, background) for x in sample]
         self.same: dict[int, tuple] = {}
         for k, x in enumerate(sample):
             self.same[x[1]] = (*self.same.get(x[1], ()), k)
-        self.index = Index(self.vectors, len(names))
+        self.index = Index(self.vectors, len(names) + 1)
         self.prior = share
         n1 = sum(self.labels)
         n0 = len(self.labels) - n1
@@ -187,11 +195,12 @@ class Model:
     def _score(self, tf: dict[int, int], without: tuple) -> tuple[float, str]:
         import bisect
 
-        found = self.index.nearest(weighted(tf, self.idf), without=without)
+        found = self.index.nearest(weighted(tf, self.idf, self.background), without=without)
         v = round(vote(found, self.labels, self.weight, self.prior), 6)
         k = bisect.bisect_right(self.steps[0], v) - 1
         score = self.steps[1][max(k, 0)] if self.steps[1] else self.prior
-        return score, ",".join(f"{self.ids[e]}:{self.labels[e]}:{s:.3f}" for s, e in found[:EVIDENCE])
+        # texts without a term have all such texts as neighbours: these are no evidence
+        return score, ",".join(f"{self.ids[e]}:{self.labels[e]}:{s:.3f}" for s, e in found[:EVIDENCE]) if tf else ""
 
 
 def _sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
@@ -241,11 +250,11 @@ def document_frequencies(vectors: DataFrame, n_terms: int) -> dict[int, int]:
 def score_documents(docs: DataFrame, labels: DataFrame, max_terms: int | None = MAX_TERMS) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence per row of docs(doc_id, text); labels(doc_id, toxic) has toxic 1 for toxic, 0 else.
 
-    Labels are learned from rows alone whose crc32(doc_id) mod 3 is not 1. Null and empty texts, and texts without a known term, have no
-    neighbours: their score is what such rows of the sample have. A null doc_id is not held out. Labels with null ids or values are not
+    Labels are learned from rows alone whose crc32(doc_id) mod 3 is not 1. Null and empty texts, and texts without a known term, have one
+    score, that of such rows of the sample. A null doc_id is not held out. Labels with null ids or values are not
     used; an id labelled twice has the larger label, and an id with several texts is one example, with one of them; without labels all
     scores are 0. Equal texts score alike, and no text is an example for itself. An empty table gives an empty result; other columns
-    are not looked at. With max_terms None, every term of the sample is a dimension.
+    are not looked at. With max_terms None, every term of the sample is a dimension, and there is no background.
     """
     spark = docs.sparkSession
     path = work_dir(spark)
@@ -268,7 +277,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, max_terms: int | None =
 
     found = written(docs.select("doc_id", F.xxhash64("text").alias("key"), F.col("text").cast("string").alias("text")).mapInArrow(vectors, f"doc_id {kind}, key long, terms array<int>, tf array<int>"), f"{path}/vectors")
     df = document_frequencies(found, len(names))
-    model = make_model(names, df, found.count(), sample, share)
+    model = make_model(names, df, found.count(), sample, share, 0.0 if max_terms is None else BACKGROUND)
     sent = spark.sparkContext.broadcast(model)
 
     def scored(batches: Iterator) -> Iterator:
@@ -298,7 +307,7 @@ def select_terms_of(by_term: DataFrame, n1: int, n: int, limit: int = MAX_TERMS)
     return [r["t"] for r in best.orderBy(F.desc("g2"), "t").limit(limit).collect()]
 
 
-def make_model(names: list[str], df: dict[int, int], n_docs: int, sample: DataFrame, share: float) -> Model:
+def make_model(names: list[str], df: dict[int, int], n_docs: int, sample: DataFrame, share: float, background: float) -> Model:
     """sample: doc_id, toxic, key, terms, tf; 2 x FIT_ROWS rows at most. What is collected of it are the terms in `names`."""
     import math
 
@@ -315,7 +324,7 @@ def make_model(names: list[str], df: dict[int, int], n_docs: int, sample: DataFr
     examples = sample.mapInArrow(numbered, f"doc_id {kind}, toxic int, key long, terms array<int>, tf array<int>")
     idf = [math.log(n_docs / df[k]) if df.get(k) else 0.0 for k in range(len(names))]
     rows = [(r["doc_id"], r["key"], dict(zip(r["terms"], r["tf"])), r["toxic"]) for r in examples.collect()]
-    return Model(names, idf, sorted(rows, key=lambda r: (zlib.crc32(str(r[0]).encode()), str(r[0]))), share)
+    return Model(names, idf, sorted(rows, key=lambda r: (zlib.crc32(str(r[0]).encode()), str(r[0]))), share, background)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,6 +95,8 @@ def brute(rows, label, max_terms):
     vec = {}
     for i in tf:
         w = {t: (1 + math.log(k)) * math.log(len(rows) / df[t]) for t, k in tf[i].items() if t in names and df[t] < len(rows)}
+        if max_terms is not None:
+            w[None] = X.BACKGROUND
         norm = math.sqrt(sum(x * x for x in w.values()))
         vec[i] = {t: x / norm for t, x in w.items()} if norm else {}
     order = sorted(label, key=lambda i: (zlib.crc32(str(i).encode()), str(i)))
