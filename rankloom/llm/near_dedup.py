@@ -1,7 +1,9 @@
-"""The pipeline's near-duplicate stage: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more are linked.
+"""Operator 1 for a similarity of word shingles: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more are linked.
 
-Candidates come from MinHash bands: BANDS keys of ROWS least hashes each. Two texts of similarity 0.8 share none of them with a probability
-of (1 - 0.8^5)^25 = 0.00005, less the more alike they are. Every candidate pair that can change a component is compared by its exact sets.
+The first candidates are those of operator 1: SimHash fingerprints, here of the sets, that the multi-index finds within its distance. At 0.8
+two fingerprints differ by some ten bits, beyond the Hamming balls that can be looked up, so further candidates come from MinHash bands:
+BANDS keys of ROWS least hashes each. Two texts of similarity 0.8 share none of them with a probability of (1 - 0.8^5)^25 = 0.00005, less
+the more alike they are. Every candidate pair that can change a component is compared by its exact sets.
 
 Only components count, so no bucket is compared all with all: first each member with the least of its bucket; what that links is one
 component. The texts of buckets that still hold several components are then searched exactly: of two sets of similarity 0.8, the
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 
 from rankloom.llm.common import components, work_dir, written
 from rankloom.llm.simhash import _LOWER, keep_one
+from rankloom.llm.simhash import links as fingerprint_links
 
 SEED = 42
 SHINGLE = 5
@@ -50,21 +53,23 @@ def _salts():
     return r.integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64), r.integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def bands(text: bytes | None, salts=None) -> list[int]:
-    """The signed keys under which a text is looked up; texts without words share one."""
+def sketch(text: bytes | None, salts=None) -> tuple[int, list[int]]:
+    """(the signed SimHash of a text's shingles, the signed MinHash keys under which it is looked up); texts without words share theirs."""
     import numpy as np
     import xxhash
 
     found = shingles(text)
     if not found:
-        return [0]
+        return 0, [0]
     xor, odd = _salts() if salts is None else salts
     h = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in found), np.uint64, len(found))
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    least, ones = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64), np.zeros(64, np.int64)
     with np.errstate(over="ignore"):
         for k in range(0, len(h), 4096):
             least = np.minimum(least, ((h[k : k + 4096] ^ xor) * odd).min(1))
-    return [int.from_bytes(xxhash.xxh64_digest(row.tobytes(), band), "big", signed=True) for band, row in enumerate(least.reshape(BANDS, ROWS))]
+            ones += np.unpackbits(h[k : k + 4096].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    fp = int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big", signed=True)
+    return fp, [int.from_bytes(xxhash.xxh64_digest(row.tobytes(), band), "big", signed=True) for band, row in enumerate(least.reshape(BANDS, ROWS))]
 
 
 def _keys(batches: Iterator) -> Iterator:
@@ -74,8 +79,9 @@ def _keys(batches: Iterator) -> Iterator:
     for batch in batches:
         *ids, text = batch.columns
         texts = text.cast(pa.binary())
-        keys = [bands(texts[i].as_py(), salts) for i in range(len(texts))]
-        yield pa.RecordBatch.from_arrays([*ids, pa.array(keys, pa.list_(pa.int64()))], [*batch.schema.names[:-1], "keys"])
+        rows = [sketch(texts[i].as_py(), salts) for i in range(len(texts))]
+        cols = [pa.array([fp for fp, _ in rows], pa.int64()), pa.array([keys for _, keys in rows], pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([*ids, *cols], [*batch.schema.names[:-1], "fp", "keys"])
 
 
 def parities(h) -> list[int]:
@@ -161,13 +167,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     path = work_dir(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
     named = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
-    rows = written(named.mapInArrow(_keys, f"doc_id {kind}, text_key long, keys array<long>"), f"{path}/keys")
-    nodes = written(rows.groupBy("text_key").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys")), f"{path}/nodes")
+    rows = written(named.mapInArrow(_keys, f"doc_id {kind}, text_key long, fp long, keys array<long>"), f"{path}/keys")
+    nodes = written(rows.groupBy("text_key").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), f"{path}/nodes")
     members = nodes.select(F.col("text_key").alias("node"), F.explode("keys").alias("key"))
     shared = members.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").select("key", "first")
     live = written(members.join(shared.hint("merge"), "key"), f"{path}/live")
 
-    stars = verified(live.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), docs, f"{path}/stars")
+    # texts with one fingerprint are a star, fingerprints that lie near are linked by the first text of each
+    heads = written(nodes.groupBy("fp").agg(F.min("text_key").alias("head")), f"{path}/heads")
+    same = nodes.select("fp", "text_key").join(heads.hint("merge"), "fp").where("text_key <> head").select(F.col("head").alias("a"), F.col("text_key").alias("b"))
+    near = fingerprint_links(heads.select("fp")).toDF("fp", "q").join(heads.hint("merge"), "fp").select("q", F.col("head").alias("x"))
+    near = near.join(heads.withColumnsRenamed({"fp": "q", "head": "y"}).hint("merge"), "q").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    banded = live.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    stars = verified(banded.union(same).union(near).distinct(), docs, f"{path}/stars")
     roots = components(stars, f"{path}/stars/rounds")
     live = written(live.select("key", "node").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node")), f"{path}/rooted")
     mixed = live.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")

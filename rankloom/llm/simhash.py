@@ -100,8 +100,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return fps.join(named, "fp").select("doc_id", "text_key", "fp", "root", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, of which one is left for each component, as keep_one() says."""
+def drop_near_duplicates(docs: DataFrame, by_similarity: bool = False) -> DataFrame:
+    """The rows of docs, with all their columns, of which one is left for each component, as keep_one() says.
+
+    Components are those of near_duplicates(); by_similarity, those of texts that share 0.8 of their five-word shingles, for which
+    fingerprints alone find too little (near_dedup). Null, empty and blank texts are one component; an empty table stays empty.
+    """
+    if by_similarity:
+        from rankloom.llm import near_dedup
+
+        return near_dedup.drop_near_duplicates(docs)
     return keep_one(docs, near_duplicates(docs))
 
 
