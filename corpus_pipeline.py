@@ -10,9 +10,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from rankloom.llm import decontamination, mixing, near_dedup as near, quality, sharding
+from rankloom.llm import decontamination, mixing, quality, sharding, simhash
 from rankloom.llm.common import table, work_dir, written
 
 
@@ -21,7 +20,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near.drop_near_duplicates(docs)
+    return simhash.drop_near_duplicates(docs, by_similarity=True)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
