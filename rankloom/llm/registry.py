@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rankloom.llm import decontamination, filter_audit, huffman, line_dedup, mixing, pii, quality, sharding, simhash, token_counts, toxicity
+from rankloom.llm import decontamination, filter_audit, huffman, line_dedup, mixing, pii, quality, sharding, simhash, spelling, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_quality_forest": quality.op8,
         "op9_virtual_slot_sharding": sharding.op9,
         "op10_template_decontamination": decontamination.op10,
+        "op11_spelling_variants": spelling.op11,
         "op12_filter_audit": filter_audit.op12,
     }
 
