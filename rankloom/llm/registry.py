@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rankloom.llm import decontamination, filter_audit, huffman, line_dedup, mixing, pii, quality, sharding, simhash, spelling, token_counts, toxicity
+from rankloom.llm import decontamination, filter_audit, huffman, line_dedup, mixing, pii, quality, sharding, simhash, spelling, suffix_dedup, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_template_decontamination": decontamination.op10,
         "op11_spelling_variants": spelling.op11,
         "op12_filter_audit": filter_audit.op12,
+        "op13_suffix_dedup": suffix_dedup.op13,
     }
 
 
@@ -27,4 +28,5 @@ def oracle_sql() -> dict:
         "op3_line_dedup": line_dedup.SQL,
         "op4_source_mixing": mixing.SQL,
         "op12_filter_audit": filter_audit.SQL,
+        "op13_suffix_dedup": suffix_dedup.SQL,
     }
