@@ -6,12 +6,13 @@ Suffixes are compared up to LENGTH bytes. Their buckets are refined in three ste
    windows with one anchor are a phrase, some 35 windows. The anchors' suffixes are dealt into q-gram buckets by a distributed sort; a bucket is refined
    by the identifiers of the q-grams at later (and earlier) offsets of its phrases, which say whether whole phrases are equal. Rows are then
    compared with their neighbours: of equal phrases the first stays, and buckets that hold one phrase are done.
-2. The distinct phrases of a bucket that holds several are fetched, and sorted by bucket and place. Each window starts in the bucket of its q-gram and its
+2. The distinct phrases of a bucket that holds several are fetched, and sorted by bucket and place; a bucket of more than SPREAD is dealt over
+   several tasks. Each window starts in the bucket of its q-gram and its
    distance to the anchor; buckets are refined by sorting on the identifiers at offset q, then 2q, and so on to LENGTH; pointers of one
    round are what the next one sorts by, and windows alone in a bucket leave.
-3. Buckets that were cut by the ends of a chunk are joined by 128 bits of identifiers of the first windows that each chunk found.
+3. Buckets that were dealt over several tasks are joined by 128 bits of identifiers of the first windows that each part of them found.
 
-All orders hold the place of a row, so that a bucket that holds a third of all rows is cut by range and belongs to many tasks; only the two rows
+The order of step 1 holds the place of a row, so that a bucket that holds a third of all rows is cut by range and belongs to many tasks; only the two rows
 at each end of a partition are settled with those of others. Identifiers are 64-bit hashes of q bytes; two phrases or windows are taken as
 equal when two or more such hashes are.
 """
@@ -29,8 +30,8 @@ from rankloom.llm.common import table, work_dir, written
 
 #: Bytes of a run that is deleted when it occurs again; bytes of a q-gram.
 LENGTH, Q = 100, 32
-#: Windows of a text that are looked at in one go; bytes of phrases that a task refines in one go.
-STEP, CHUNK = 1 << 18, 4 << 20
+#: Windows of a text that are looked at in one go; bytes of phrases that a task refines in one go; phrases of a bucket that are refined together.
+STEP, CHUNK, SPREAD = 1 << 18, 4 << 20, 20_000
 #: What the sorted rows are found to be. HEAD is the first row of a partition, TAIL the one phrase of the bucket that ends it; MULTI: its bucket has several.
 REPEAT, OPEN, HEAD, HEAD_MULTI, TAIL, END_MULTI = range(6)
 
@@ -189,7 +190,7 @@ def refined(bodies: list[bytes], at: np.ndarray, bucket: np.ndarray, length: int
     return phrase, number, repeat, one, two
 
 
-def _spans(docs: DataFrame, path: str, length: int, q: int, partitions: int, chunk: int, step: int) -> tuple[DataFrame, DataFrame]:
+def _spans(docs: DataFrame, path: str, length: int, q: int, partitions: int, chunk: int, step: int, spread: int) -> tuple[DataFrame, DataFrame]:
     """(texts, spans): texts(doc_id, id, key, text) dealt by (id, key); spans(id, key, span) with span = start << 16 | bytes."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("text"))
@@ -226,7 +227,11 @@ def _spans(docs: DataFrame, path: str, length: int, q: int, partitions: int, chu
     found = found.withColumn("id", F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("")))
     at = F.col("at")
     whole = found.where(F.col("kind") == REPEAT).select("id", "key", (F.shiftright(at, 16) * 65536 + at.bitwiseAND(255) + length).alias("span"))
-    several = found.where(F.col("kind") == OPEN).groupBy(F.col("id").alias("o_id"), F.col("key").alias("o_key")).agg(F.flatten(F.collect_list(F.array("at", "b"))).alias("open"))
+    several = found.where(F.col("kind") == OPEN).select("id", "key", "at", "b")
+    # part: -1, or in buckets of very many phrases the one of its parts that a document's phrases belong to
+    large = several.groupBy(F.col("b").alias("l_b")).agg(F.count("*").alias("n")).where(F.col("n") > spread).select("l_b", F.ceil(F.col("n") / spread).alias("parts"))
+    several = several.join(large, F.col("b") == F.col("l_b"), "left").withColumn("part", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("id", "key"), "parts")).otherwise(-1).cast("long"))
+    several = several.groupBy(F.col("id").alias("o_id"), F.col("key").alias("o_key")).agg(F.flatten(F.collect_list(F.array("at", "b", "part"))).alias("open"))
     texts = texts.select("doc_id", "id", "key", "text").repartition(partitions, "id", "key")
 
     def fetched(batches: Iterator) -> Iterator:
@@ -236,55 +241,54 @@ def _spans(docs: DataFrame, path: str, length: int, q: int, partitions: int, chu
             for k in range(0, b.num_rows, 500):
                 part = b.slice(k, 500)
                 lists = part.column(3)
-                sizes = np.diff(lists.offsets.to_numpy()) // 2
-                pairs = lists.flatten().to_numpy()
-                at, bucket, rows = pairs[::2], pairs[1::2], np.repeat(np.arange(len(sizes)), sizes)
+                sizes = np.diff(lists.offsets.to_numpy()) // 3
+                flat = lists.flatten().to_numpy()
+                at, bucket, share, rows = flat[::3], flat[1::3], flat[2::3], np.repeat(np.arange(len(sizes)), sizes)
                 raws = part.column(2).to_pylist()
                 bodies = [raws[i][a >> 16 : (a >> 16) + (a & 255) + length] for i, a in zip(rows.tolist(), at.tolist())]
                 taken = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(bucket), part.column(0).take(taken), part.column(1).take(taken), pa.array(at), pa.array(bodies, pa.binary())], ["b", "doc_id", "key", "at", "body"])
+                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(share), part.column(0).take(taken), part.column(1).take(taken), pa.array(at), pa.array(bodies, pa.binary())], ["b", "part", "doc_id", "key", "at", "body"])
 
     bodies = texts.join(several, (F.col("id") == F.col("o_id")) & (F.col("key") == F.col("o_key"))).select("doc_id", "key", "text", "open")
-    bodies = bodies.mapInArrow(fetched, f"b long, doc_id {kind}, key long, at long, body binary")
-    bodies = bodies.repartitionByRange(partitions, "b", *place).sortWithinPartitions("b", *place)
+    bodies = bodies.mapInArrow(fetched, f"b long, part long, doc_id {kind}, key long, at long, body binary")
+    bodies = bodies.repartition(partitions, "b", "part").sortWithinPartitions("b", "part", *place)
 
     def compared(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        held: list = []
-
-        def out() -> pa.RecordBatch:
-            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            b, at = rows.column(0).to_numpy(), rows.column(3).to_numpy()
-            bucket = np.cumsum(_changes(b, None))
-            phrase, number, repeat, one, two = refined(rows.column(4).to_pylist(), at, bucket, length, q)
+        def out(rows: pa.RecordBatch) -> pa.RecordBatch:
+            b, share, at = (rows.column(i).to_numpy() for i in (0, 1, 4))
+            phrase, number, repeat, one, two = refined(rows.column(5).to_pylist(), at, np.cumsum(_changes(b, None) | _changes(share, None)), length, q)
             first = at >> 16
             # runs of repeated windows of a phrase are one span
             r = np.flatnonzero(repeat)
             begins = _changes(r - np.arange(len(r)), None) | _changes(phrase[r], None)
             ends = np.append(begins[1:], True) if len(r) else begins
             begins, ends = r[begins], r[ends]
-            # buckets at the ends of the chunk may go on elsewhere: the first windows are told apart by their bytes
-            s = np.flatnonzero(~repeat & ((bucket == 1) | (bucket == bucket[-1]))[phrase])
+            # of a bucket in several parts, the first windows of each part are told apart by their bytes
+            s = np.flatnonzero(~repeat & (share >= 0)[phrase])
             spans = np.append((first[phrase[begins]] + number[begins]) << 16 | (number[ends] - number[begins] + length), (first[phrase[s]] + number[s]) << 16 | length)
             taken = pa.array(np.append(phrase[begins], phrase[s]))
             # a span that is settled has identifiers of its own place, that no order rests on
             c1 = np.append(begins.astype(_U) * _M[0] ^ b[phrase[begins]].view(_U), one[s]).view(np.int64)
             c2 = np.append(np.zeros(len(begins), _U), two[s]).view(np.int64)
             done = np.append(np.ones(len(begins), bool), np.zeros(len(s), bool))
-            return pa.RecordBatch.from_arrays([pa.array(c1), pa.array(c2), rows.column(1).take(taken), rows.column(2).take(taken), pa.array(spans), pa.array(done)], ["c1", "c2", "doc_id", "key", "span", "done"])
+            return pa.RecordBatch.from_arrays([pa.array(c1), pa.array(c2), rows.column(2).take(taken), rows.column(3).take(taken), pa.array(spans), pa.array(done)], ["c1", "c2", "doc_id", "key", "span", "done"])
 
-        size = 0
+        held, size = [], 0
         for rows in batches:
             if rows.num_rows:
                 held.append(rows)
-                size += rows.column(4).nbytes
-                if size > chunk:
-                    yield out()
-                    held.clear()
-                    size = 0
+                size += rows.column(5).nbytes
+            if size > chunk:  # up to the last bucket, or part of one, that has ended
+                rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                cut = int(np.flatnonzero(np.append(True, np.diff(rows.column(0).to_numpy()) | np.diff(rows.column(1).to_numpy())))[-1])
+                if cut:
+                    yield out(rows.slice(0, cut))
+                held = [rows.slice(cut)]
+                size = held[0].column(5).nbytes if cut else 0  # a bucket that alone is larger goes on to its end
         if held:
-            yield out()
+            yield out(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
     def joined(batches: Iterator) -> Iterator:
         """Of spans sorted by identifiers and place, the settled ones and all but the first of a window."""
@@ -320,13 +324,13 @@ def _kept(raw: bytes, spans: np.ndarray) -> tuple[list[tuple[int, int]], list[by
     return runs, [raw[a:b] for a, b in zip(ends, [*(s for s, _ in runs), len(raw)])]
 
 
-def _cut(docs: DataFrame, each, schema: str, length: int, q: int, partitions: int | None, chunk: int, step: int) -> DataFrame:
+def _cut(docs: DataFrame, each, schema: str, length: int, q: int, partitions: int | None, chunk: int, step: int, spread: int) -> DataFrame:
     """A row per row of docs: doc_id, then the columns that each(raw text or None, runs, pieces) gives."""
     spark = docs.sparkSession
     partitions = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     if not 8 <= q <= length or length - q > 255:
         raise ValueError("a q-gram has 8 bytes or more, and 255 fewer than a run at most")
-    texts, spans = _spans(docs, work_dir(spark), length, q, partitions, chunk, step)
+    texts, spans = _spans(docs, work_dir(spark), length, q, partitions, chunk, step, spread)
     spans = spans.groupBy(F.col("id").alias("s_id"), F.col("key").alias("s_key")).agg(F.collect_list("span").alias("spans"))
 
     def cut(batches: Iterator) -> Iterator:
@@ -347,16 +351,16 @@ def _cut(docs: DataFrame, each, schema: str, length: int, q: int, partitions: in
     return rows.mapInArrow(cut, f"doc_id {kind}, {schema}")
 
 
-def dedup_bytes(docs: DataFrame, length: int = LENGTH, q: int = Q, partitions: int | None = None, chunk: int = CHUNK, step: int = STEP) -> DataFrame:
+def dedup_bytes(docs: DataFrame, length: int = LENGTH, q: int = Q, partitions: int | None = None, chunk: int = CHUNK, step: int = STEP, spread: int = SPREAD) -> DataFrame:
     """doc_id, text (what is left; bytes that are no UTF-8 any more are replaced), removed array<struct<start, end>> (bytes), per row of docs.
 
     Odd rows are as in summarise; a null text stays null.
     """
     each = lambda raw, runs, pieces: (None if raw is None else b"".join(pieces).decode("utf-8", "replace"), [{"start": s, "end": e} for s, e in runs])
-    return _cut(docs, each, f"text string, removed {RUNS}", length, q, partitions, chunk, step)
+    return _cut(docs, each, f"text string, removed {RUNS}", length, q, partitions, chunk, step, spread)
 
 
-def summarise(docs: DataFrame, length: int = LENGTH, q: int = Q, partitions: int | None = None, chunk: int = CHUNK, step: int = STEP) -> DataFrame:
+def summarise(docs: DataFrame, length: int = LENGTH, q: int = Q, partitions: int | None = None, chunk: int = CHUNK, step: int = STEP, spread: int = SPREAD) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 per row of docs(doc_id, text).
 
     Null texts are empty; empty texts and those below `length` bytes lose nothing. Documents are in the order of doc_id (null first), those
@@ -370,7 +374,7 @@ def summarise(docs: DataFrame, length: int = LENGTH, q: int = Q, partitions: int
             h.update(p)
         return len(raw or b""), sum(e - s for s, e in runs), len(runs), h.hexdigest()
 
-    return _cut(docs, each, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", length, q, partitions, chunk, step)
+    return _cut(docs, each, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", length, q, partitions, chunk, step, spread)
 
 
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,15 +80,16 @@ def test_equal_to_all_strings(spark):
         want = by_hand(rows, length)
         assert sum(w[1] for w in want) > 1000
         # few and many partitions, chunks of a few phrases, texts in small steps: every cut of a bucket
-        for partitions, chunk, step in ((1, 1 << 20, 1 << 18), (13, 300, 250), (40, 2000, 220)):
-            assert answer(S.summarise(docs, length, q, partitions, chunk, step)) == want, (seed, partitions)
+        for partitions, chunk, step, spread in ((1, 1 << 20, 1 << 18, 1000), (13, 300, 250, 2), (40, 2000, 220, 9)):
+            assert answer(S.summarise(docs, length, q, partitions, chunk, step, spread)) == want, (seed, partitions)
 
 
 def test_one_bucket_over_all_partitions(spark):
     shared = prose(5, 40)
     rows = [(d, prose(100 + d, 5) + " " + shared[: 150 + d % 60] + " " + prose(900 + d, 4)) for d in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert answer(S.summarise(docs, partitions=29, chunk=4000)) == by_hand(rows, 100)
+    for spread in (7, 1000):
+        assert answer(S.summarise(docs, partitions=29, chunk=4000, spread=spread)) == by_hand(rows, 100)
 
 
 def test_texts_and_runs(spark):
