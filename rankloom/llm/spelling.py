@@ -143,40 +143,54 @@ class Trie:
         return found
 
 
-def trie_shards(words: DataFrame, shard_words: int = SHARD_WORDS, shard_chars: int = SHARD_CHARS) -> DataFrame:
-    """shard binary: packed tries of the words in sorted order, each of shard_words words and shard_chars characters at most (a longer word is alone)."""
+def trie_shards(words: DataFrame, path: str, shard_words: int = SHARD_WORDS, shard_chars: int = SHARD_CHARS) -> DataFrame:
+    """number, shard binary: packed tries of the words in sorted order, each of shard_words words and shard_chars characters at most (a longer word is alone).
+
+    A word's place in the order is its place in its range partition after the sizes of those before it, so that shards are full however many
+    partitions there are.
+    """
+    spark = words.sparkSession
+    ordered = written(words.select("word", "n").repartitionByRange("word").sortWithinPartitions("word").withColumn("at", F.monotonically_increasing_id()), f"{path}/ordered")
+    ordered = ordered.select("word", "n", F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND((1 << 33) - 1).alias("inside"))
+    sizes, before = [], 0
+    for r in ordered.groupBy("part").count().orderBy("part").collect():
+        sizes.append((r["part"], before))
+        before += r["count"]
+    if not sizes:
+        return spark.createDataFrame([], "number long, shard binary")
+    dealt = ordered.join(F.broadcast(spark.createDataFrame(sizes, "part long, before long")), "part").select("word", "n", F.floor((F.col("before") + F.col("inside")) / shard_words).alias("shard"))
 
     def built(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         held: list[str] = []
         numbers: list[int] = []
-        size = 0
+        size, at, more = 0, None, 0  # more: tries of a shard whose characters were too many for one
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([Trie.of(held, numbers).pack()], pa.binary())], ["shard"])
+            return pa.RecordBatch.from_arrays([pa.array([at << 20 | more]), pa.array([Trie.of(held, numbers).pack()], pa.binary())], ["number", "shard"])
 
         for b in batches:
-            for word, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if held and (len(held) == shard_words or size + len(word) > shard_chars):
+            for word, n, shard in zip(*(c.to_pylist() for c in b.columns)):
+                if held and (shard != at or size + len(word) > shard_chars):
                     yield out()
                     held.clear()
                     numbers.clear()
-                    size = 0
+                    size, more = 0, more + 1 if shard == at else 0
+                at = shard
                 held.append(word)
                 numbers.append(n)
                 size += len(word)
         if held:
             yield out()
 
-    n = words.count()
-    return words.select("word", "n").repartitionByRange(-(-n // shard_words) or 1, "word").sortWithinPartitions("word").mapInArrow(built, "shard binary")
+    return dealt.repartition(-(-before // shard_words), "shard").sortWithinPartitions("shard", "word").mapInArrow(built, "number long, shard binary")
 
 
 def neighbours(words: DataFrame, path: str, shard_words: int = SHARD_WORDS, at_once: int = SHARDS_AT_ONCE) -> DataFrame:
     """word, n, n_near, best struct<order, word> (the near word of largest n, first in code-point order; order is -n), of words(word, n)."""
     spark = words.sparkSession
-    shards = written(trie_shards(words, shard_words).withColumn("number", F.monotonically_increasing_id()), f"{path}/shards")
+    shards = written(trie_shards(words, path, shard_words), f"{path}/shards")
     numbers = [r[0] for r in shards.select("number").orderBy("number").collect()]
     dealt = words.select("word", "n").repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "word")
     parts = []

@@ -81,6 +81,19 @@ def test_variants_equal_comparing_all_words(spark):
     assert answer(S.variants(docs, times=2, least_length=4, least_count=2)) == by_hand(rows, 4, 2, 2)
 
 
+def test_shards_are_full_and_bounded(spark, tmp_path):
+    words = sorted({prose_word(i) for i in range(1000)})
+    table = spark.createDataFrame([(w, 5 + i) for i, w in enumerate(words)], "word string, n long").repartition(9)
+    for k, (size, chars, least) in enumerate(((300, 10**6, 300), (10**6, 10**6, len(words)), (10**6, 500, 1))):
+        tries = [S.Trie.unpack(bytes(r["shard"])) for r in S.trie_shards(table, f"{tmp_path}/{k}", size, chars).orderBy("number").collect()]
+        assert [n for t in tries for n in t.counts] == [5 + i for i in range(len(words))]  # in order, each word once
+        assert all(len(t.counts) <= size for t in tries) and all(len(t.counts) >= least for t in tries[:-1]) and all(len(t.labels) <= chars + 1 for t in tries)
+
+
+def prose_word(i):
+    return "".join(chr(97 + (i * 7 + k * k * (i % 5)) % 26) for k in range(3 + i % 6))
+
+
 def test_chains_are_followed(spark):
     rows = [(1, "abcdef " * 700 + "abcdeg " * 130 + "abcdhg " * 25 + "abcihg " * 5 + "jbcihg " * 5)]
     got = answer(S.variants(spark.createDataFrame(rows, "doc_id long, text string")))
