@@ -1,6 +1,6 @@
 """Inverted index as tables: postings(term, doc_id, tf, doc_length), doc_stats(doc_id, doc_length), doc_norms(doc_id, norm),
-term_stats(term, df, cf, idf, tidf), one row of collection_stats. Postings carry their document's length, so that scoring joins no table of
-documents; TF-IDF norms are made once, with the index."""
+term_stats(term, df, cf, idf, tidf), one row of collection_stats, and parts, the postings packed in tiles of documents (operators.blocks), from which
+BM25 ranks. Postings carry their document's length, so that scoring joins no table of documents; TF-IDF norms are made once, with the index."""
 
 from __future__ import annotations
 
@@ -9,7 +9,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TABLES = ("postings", "doc_stats", "doc_norms", "term_stats", "collection_stats")
+from rankloom.operators import blocks
+
+TABLES = ("postings", "doc_stats", "doc_norms", "term_stats", "collection_stats", "parts")
 #: Documents in a block of a packed posting list, about.
 BLOCK = 4096
 
@@ -25,6 +27,7 @@ class Index:
     doc_norms: DataFrame
     term_stats: DataFrame
     collection_stats: DataFrame
+    parts: DataFrame
 
     def vocabulary(self) -> DataFrame:
         return self.term_stats.select("term")
@@ -58,10 +61,12 @@ class Index:
         return found["doc_id"]
 
     def save(self, path: str, buckets: int | None = None) -> None:
-        """Postings are dealt out and sorted by term, so that a reader prunes row groups by query terms."""
+        """Postings are dealt out by ranges of term and document, and sorted, so that a reader prunes row groups by query terms and a term of very
+        many documents is cut over several tasks and files. Parts are dealt by tile, and sorted by term."""
         n = buckets or int(self.postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        self.postings.repartition(n, "term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-        for name in TABLES[1:]:
+        self.postings.repartitionByRange(n, "term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+        self.parts.repartition(n, "tile").sortWithinPartitions("term", "tile").write.mode("overwrite").parquet(f"{path}/parts")
+        for name in TABLES[1:-1]:
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
 
@@ -92,14 +97,15 @@ def term_frequencies(rows: DataFrame) -> DataFrame:
     return flat.groupBy("term", "doc_id", "doc_length").agg(F.count("*").alias("tf")).select("term", "doc_id", "tf", "doc_length")
 
 
-def build(rows: DataFrame, postings: DataFrame | None = None) -> Index:
-    """rows(doc_id, tokens). Documents without tokens count as documents of length 0. `postings`: a written or cached table to use."""
+def build(rows: DataFrame, postings: DataFrame | None = None, parts: DataFrame | None = None) -> Index:
+    """rows(doc_id, tokens). Documents without tokens count as documents of length 0. `postings`, `parts`: written or cached tables to use."""
+    parts = blocks.pack(rows.select("doc_id", "tokens")) if parts is None else parts
     postings = term_frequencies(rows) if postings is None else postings
     docs = rows.select("doc_id", F.size("tokens").cast("long").alias("doc_length"))
     stats = docs.agg(F.count("*").alias("num_docs"), F.coalesce(F.avg("doc_length"), F.lit(0.0)).alias("avg_doc_length"))
     terms = postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).crossJoin(F.broadcast(stats.select("num_docs")))
     terms = terms.select("term", "df", "cf", bm25_idf(F.col("num_docs"), F.col("df")).alias("idf"), F.log10(F.col("num_docs") / F.col("df")).alias("tidf"))
-    return Index(postings, docs, norms(postings, terms), terms, stats)
+    return Index(postings, docs, norms(postings, terms), terms, stats, parts)
 
 
 def tfidf_weight(tf: Column, tidf: Column) -> Column:

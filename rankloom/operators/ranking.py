@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions import text as T
+from rankloom.operators import blocks
 from rankloom.operators.index import Index, tfidf_weight
 
 #: Settings of BM25 by collection: (k1, b).
@@ -30,11 +31,18 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES
     return F.broadcast(df) if r["n"] <= rows and (r["b"] or 0) <= most else df
 
 
-def top_k(scored: DataFrame, k: int, by: tuple = ("query_id",), tie: str = "doc_id") -> DataFrame:
-    """The k best rows of each query, by score rounded to 6 places, ties by id: the same on any engine and any partitioning."""
+def top_k(scored: DataFrame, k: int, by: tuple = ("query_id",), tie: str = "doc_id", ties: bool = False) -> DataFrame:
+    """The k best rows of each query, by score rounded to 6 places, ties by id: the same on any engine and any partitioning.
+
+    With `ties`, also all rows whose score is that of the last one; their ranks go on above k.
+    """
     scored = scored.withColumn("score", F.round("score", 6))
+    best = Window.partitionBy(*by).orderBy(F.desc("score"))
+    if ties:
+        scored = scored.withColumn("__r", F.rank().over(best)).where(F.col("__r") <= k).drop("__r")
     w = Window.partitionBy(*by).orderBy(F.desc("score"), tie)
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    ranked = scored.withColumn("rank", F.row_number().over(w))
+    return ranked if ties else ranked.where(F.col("rank") <= k)
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -46,16 +54,41 @@ def bm25_weight(k1: Column, b: Column) -> Column:
     return F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_length") / F.col("avg_doc_length")))
 
 
+#: Postings of a term that stay together in a join that is shuffled.
+TERM_ROWS = 1_000_000
+
+
+def join_terms(postings: DataFrame, terms: DataFrame, df: DataFrame, rows: int = BROADCAST_ROWS, together: int = TERM_ROWS) -> DataFrame:
+    """postings joined with terms on term. df(term, df): documents of each term.
+
+    Terms of at most `rows` rows are broadcast. Beyond that, a term of over `together` postings is cut into numbered blocks by the hash of the document, and
+    the rows of terms that have it are there once for each block, so that no term is one task.
+    """
+    sent = small(terms, rows)
+    if sent is not terms:
+        return postings.join(sent, "term")
+    many = small(df.where(F.col("df") > together).select("term", F.ceil(F.col("df") / together).cast("int").alias("__many")))
+    own = postings.join(many, "term", "left").withColumn("__block", F.pmod(F.xxhash64("doc_id"), F.coalesce("__many", F.lit(1))).cast("int")).drop("__many")
+    asked = terms.join(many, "term", "left").withColumn("__block", F.explode(F.sequence(F.lit(0), F.coalesce("__many", F.lit(1)) - 1))).drop("__many")
+    return own.join(asked, ["term", "__block"]).drop("__block")
+
+
 def matched(queries: DataFrame, ix: Index) -> DataFrame:
     """query_id, term, qtf, doc_id, tf, idf, doc_length, avg_doc_length of every posting of a query's terms; unknown terms drop out."""
     terms = query_terms(queries).join(ix.term_stats.select("term", "df", "idf"), "term")
-    return ix.postings.join(small(terms), "term").crossJoin(F.broadcast(ix.collection_stats))
+    return join_terms(ix.postings, terms, ix.term_stats).crossJoin(F.broadcast(ix.collection_stats))
 
 
-def bm25(queries: DataFrame, ix: Index, k: int = 100, k1: float = DEFAULT[0], b: float = DEFAULT[1]) -> DataFrame:
+def bm25(queries: DataFrame, ix: Index, k: int = 100, k1: float = DEFAULT[0], b: float = DEFAULT[1], ties: bool = False) -> DataFrame:
+    """The k best documents of each query, by blocks that can hold one; with `ties`, also all that score like the last one."""
     check(k1, b)
-    scored = matched(queries, ix).groupBy("query_id", "doc_id").agg(F.sum(bm25_weight(F.lit(float(k1)), F.lit(float(b)))).alias("score"))
-    return top_k(scored.where("score <> 0"), k)
+    return top_k(scored(queries, ix, [(float(k1), float(b))], k, ties).drop("setting"), k, ties=ties)
+
+
+def scored(queries: DataFrame, ix: Index, settings: list[tuple[float, float]], k: int, ties: bool = False, **how) -> DataFrame:
+    """setting (its place), query_id, doc_id, score: a superset of the k best documents of each query under each (k1, b)."""
+    weighted = query_terms(queries).join(ix.term_stats.select("term", "idf"), "term").withColumn("weight", F.col("qtf") * F.col("idf"))
+    return blocks.bm25(weighted, ix.parts, ix.collection_stats.first()["avg_doc_length"], settings, k, ties, **how)
 
 
 def bm25_explain(queries: DataFrame, ix: Index, pairs: DataFrame, k1: float = DEFAULT[0], b: float = DEFAULT[1]) -> DataFrame:
@@ -68,7 +101,7 @@ def tfidf(queries: DataFrame, ix: Index, k: int = 100) -> DataFrame:
     """Cosine of TF-IDF vectors over the whole document and query. Only postings of query terms are weighed; norms come with the index."""
     terms = query_terms(queries).join(ix.term_stats.where("tidf > 0").select("term", "tidf"), "term").withColumn("qw", tfidf_weight(F.col("qtf"), F.col("tidf")))
     qnorm = terms.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
-    hits = ix.postings.join(small(terms.select("query_id", "term", "tidf", "qw")), "term")
+    hits = join_terms(ix.postings, terms.select("query_id", "term", "tidf", "qw"), ix.term_stats)
     dots = hits.groupBy("query_id", "doc_id").agg(F.sum(tfidf_weight(F.col("tf"), F.col("tidf")) * F.col("qw")).alias("dot"))
     scored = dots.join(ix.doc_norms, "doc_id").join(small(qnorm), "query_id").where("norm > 0").select("query_id", "doc_id", (F.col("dot") / F.col("norm") / F.col("qnorm")).alias("score"))
     return top_k(scored, k)

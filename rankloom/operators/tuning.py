@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rankloom.operators import metrics
 from rankloom.operators.index import Index
-from rankloom.operators.ranking import bm25_weight, check, matched
+from rankloom.operators.ranking import check, scored, top_k
 
 K1, B = (0.6, 0.9, 1.2, 1.5, 1.8), (0.2, 0.4, 0.6, 0.75, 0.9)
 
@@ -24,17 +24,14 @@ KNOWN_SETTINGS = {"default": (0.9, 0.4), "textbook": (1.2, 0.75)}
 def bm25_grid(queries: DataFrame, ix: Index, qrels: DataFrame, cells: list[tuple[float, float]] | None = None, depth: int = 5) -> DataFrame:
     """k1, b, query_id, ndcg_at_5 for every cell and judged query, in one job.
 
-    Postings are matched and shuffled once: each (query, document) sums all cells' scores side by side, and becomes a row per cell after that.
+    The postings are brought together and read once, for all cells; `depth` rows of each cell and query leave a task.
     """
     cells = cells or [(float(a), float(b)) for a in K1 for b in B]
     for a, b in cells:
         check(a, b)
-    hits = matched(queries.join(qrels.select("query_id").distinct(), "query_id", "left_semi"), ix)
-    sums = hits.groupBy("query_id", "doc_id").agg(*[F.sum(bm25_weight(F.lit(a), F.lit(b))).alias(f"s{i}") for i, (a, b) in enumerate(cells)])
-    each = F.array(*[F.struct(F.lit(float(a)).alias("k1"), F.lit(float(b)).alias("b"), F.round(f"s{i}", 6).alias("score")) for i, (a, b) in enumerate(cells)])
-    scored = sums.select("query_id", "doc_id", F.explode(each).alias("c")).select("c.k1", "c.b", "query_id", "doc_id", "c.score")
-    w = Window.partitionBy("k1", "b", "query_id").orderBy(F.desc("score"), "doc_id")
-    run = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= depth)
+    settings = queries.sparkSession.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(cells)], "setting int, k1 double, b double")
+    found = scored(queries.join(qrels.select("query_id").distinct(), "query_id", "left_semi"), ix, cells, depth)
+    run = top_k(found, depth, ("setting", "query_id")).join(F.broadcast(settings), "setting").select("k1", "b", "query_id", "doc_id", "rank")
     run = run.join(qrels.select("query_id", "doc_id", "grade"), ["query_id", "doc_id"]).where("grade > 0")
     got = run.groupBy("k1", "b", "query_id").agg(F.sum(F.col("grade") / F.log2(F.col("rank") + 1.0)).alias("dcg"))
     best = metrics.dcg(metrics.ideal(qrels), depth, name="best")

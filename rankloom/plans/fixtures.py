@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.functions import text as T
+from rankloom.operators import blocks
 from rankloom.operators import collections as C
 from rankloom.operators import index as I
 from rankloom.operators import ranking as R
@@ -65,7 +66,7 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _index(rows: DataFrame) -> I.Index:
     """Texts without tokens are no documents of a collection."""
     rows = C.non_empty(rows).select("doc_id", "tokens").persist(StorageLevel.MEMORY_AND_DISK)
-    built = I.build(rows, I.term_frequencies(rows).persist(StorageLevel.MEMORY_AND_DISK))
+    built = I.build(rows, I.term_frequencies(rows).persist(StorageLevel.MEMORY_AND_DISK), blocks.pack(rows).persist(StorageLevel.MEMORY_AND_DISK))
     built.term_stats = built.term_stats.persist(StorageLevel.MEMORY_AND_DISK)
     built.doc_stats = built.doc_stats.persist(StorageLevel.MEMORY_AND_DISK)
     built.doc_norms = I.norms(built.postings, built.term_stats).persist(StorageLevel.MEMORY_AND_DISK)
