@@ -32,6 +32,8 @@ from rankloom.llm.common import table, work_dir, written
 LENGTH, Q = 100, 32
 #: Windows of a text that are looked at in one go; bytes of phrases that a task refines in one go; phrases of a bucket that are refined together.
 STEP, CHUNK, SPREAD = 1 << 18, 4 << 20, 20_000
+#: Buckets of over SPREAD phrases that are broadcast, of 16 bytes each.
+LARGE_SENT = 500_000
 #: What the sorted rows are found to be. HEAD is the first row of a partition, TAIL the one phrase of the bucket that ends it; MULTI: its bucket has several.
 REPEAT, OPEN, HEAD, HEAD_MULTI, TAIL, END_MULTI = range(6)
 
@@ -230,6 +232,9 @@ def _spans(docs: DataFrame, path: str, length: int, q: int, partitions: int, chu
     several = found.where(F.col("kind") == OPEN).select("id", "key", "at", "b")
     # part: -1, or in buckets of very many phrases the one of its parts that a document's phrases belong to
     large = several.groupBy(F.col("b").alias("l_b")).agg(F.count("*").alias("n")).where(F.col("n") > spread).select("l_b", F.ceil(F.col("n") / spread).alias("parts"))
+    large = written(large, f"{path}/large")
+    if large.limit(LARGE_SENT + 1).count() <= LARGE_SENT:  # else a shuffled join, which adaptive execution splits
+        large = F.broadcast(large)
     several = several.join(large, F.col("b") == F.col("l_b"), "left").withColumn("part", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("id", "key"), "parts")).otherwise(-1).cast("long"))
     several = several.groupBy(F.col("id").alias("o_id"), F.col("key").alias("o_key")).agg(F.flatten(F.collect_list(F.array("at", "b", "part"))).alias("open"))
     texts = texts.select("doc_id", "id", "key", "text").repartition(partitions, "id", "key")
