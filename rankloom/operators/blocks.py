@@ -32,20 +32,28 @@ SCHEMA = "tile long, term string, gaps array<int>, tfs array<int>, blocks array<
 
 def pack(rows: DataFrame, tile: int = TILE) -> DataFrame:
     """parts of rows(doc_id string, tokens). Write or cache the result: the numbers of tiles are those of the tasks that make them."""
-    sized = rows.select(F.size("tokens").alias("length"), "doc_id", "tokens")
-    dealt = sized.repartitionByRange("length", "doc_id").sortWithinPartitions("length", "doc_id")
+    return _packed(rows.select(F.size("tokens").alias("length"), "doc_id", F.col("tokens").alias("terms"), F.lit(None).cast("array<int>").alias("tfs")), tile)
+
+
+def pack_counted(rows: DataFrame, tile: int = TILE) -> DataFrame:
+    """parts of rows(doc_id string, length, terms, tfs), as pack, of tokens that are counted already."""
+    return _packed(rows.select("length", "doc_id", "terms", "tfs"), tile)
+
+
+def _packed(rows: DataFrame, tile: int) -> DataFrame:
+    dealt = rows.repartitionByRange("length", "doc_id").sortWithinPartitions("length", "doc_id")
 
     def packed(batches: Iterator) -> Iterator:
         from pyspark import TaskContext
 
-        number, docs, n = TaskContext.get().partitionId() << 33, [], 0
+        number, docs, n = TaskContext.get().partitionId() << 24, [], 0
         for b in batches:
-            for doc in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                if docs and (len(docs) == tile or n + len(doc[1]) > TILE_TOKENS):
+            for length, doc, terms, tfs in zip(*(c.to_pylist() for c in b.columns)):
+                if docs and (len(docs) == tile or n + len(terms) > TILE_TOKENS):
                     yield _tile(number, docs)
                     number, docs, n = number + 1, [], 0
-                docs.append(doc)
-                n += len(doc[1])
+                docs.append((doc, length, Counter(terms) if tfs is None else dict(zip(terms, tfs))))
+                n += len(terms)
         if docs:
             yield _tile(number, docs)
 
@@ -60,14 +68,14 @@ def _lists(values, sizes: np.ndarray, first: int = 0):
     return pa.ListArray.from_arrays(pa.array(ends), values, mask=pa.array(np.arange(first + len(sizes)) < first))
 
 
-def _tile(number: int, docs: list[tuple[str, list[str]]]):
+def _tile(number: int, docs: list[tuple[str, int, dict[str, int]]]):
     """The rows of a tile: its own, then its terms in order."""
     import pyarrow as pa
 
     codes: dict[str, int] = {}
     code, place, tf = [], [], []
-    for at, (_, tokens) in enumerate(docs):
-        for term, n in Counter(tokens).items():
+    for at, (_, _, counts) in enumerate(docs):
+        for term, n in counts.items():
             code.append(codes.setdefault(term, len(codes)))
             place.append(at)
             tf.append(n)
@@ -88,19 +96,19 @@ def _tile(number: int, docs: list[tuple[str, list[str]]]):
     own = lambda values, kind: pa.array([values] + [None] * len(terms), pa.list_(kind))
     return pa.RecordBatch.from_arrays([
         pa.array(np.full(rows, number)), pa.array([None, *terms], pa.string()), _lists(pa.array(gaps, pa.int32()), per_term, 1), _lists(pa.array(tf), per_term, 1),
-        _lists(blocks, np.bincount(code[first], minlength=len(terms)), 1), own([d for d, _ in docs], pa.string()), own([len(t) for _, t in docs], pa.int32()),
+        _lists(blocks, np.bincount(code[first], minlength=len(terms)), 1), own([d for d, _, _ in docs], pa.string()), own([n for _, n, _ in docs], pa.int32()),
     ], ["tile", "term", "gaps", "tfs", "blocks", "ids", "lengths"])
 
 
-def unpack(parts: DataFrame) -> DataFrame:
-    """term, doc_id, tf, doc_length of parts."""
+def unpack(parts: DataFrame, *keep: str) -> DataFrame:
+    """term, doc_id, tf, doc_length of parts, and the columns of parts to keep. Documents whose ids are null are left out."""
     own = parts.where("term is null").select(F.col("tile").alias("o_tile"), "ids", "lengths")
     rows = parts.where("term is not null").drop("ids", "lengths").join(own, F.col("tile") == F.col("o_tile"))
     # places: gaps added up within each block
     flat = F.aggregate("blocks", F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("places")), lambda s, b: F.struct(
         (s["at"] + b["n"]).alias("at"), F.concat(s["places"], F.transform(F.sequence(F.lit(1), b["n"]), lambda i: b["block"] * BLOCK + F.aggregate(F.slice("gaps", s["at"] + 1, i), F.lit(0), lambda x, g: x + g))).alias("places")))["places"]
-    pairs = rows.select("term", "ids", "lengths", F.explode(F.arrays_zip(flat.alias("place"), F.col("tfs").alias("tf"))).alias("p"))
-    return pairs.select("term", F.get("ids", F.col("p.place")).alias("doc_id"), F.col("p.tf").cast("long").alias("tf"), F.get("lengths", F.col("p.place")).cast("long").alias("doc_length"))
+    pairs = rows.select(*keep, "term", "ids", "lengths", F.explode(F.arrays_zip(flat.alias("place"), F.col("tfs").alias("tf"))).alias("p"))
+    return pairs.select(*keep, "term", F.get("ids", F.col("p.place")).alias("doc_id"), F.col("p.tf").cast("long").alias("tf"), F.get("lengths", F.col("p.place")).cast("long").alias("doc_length")).where("doc_id is not null")
 
 
 class Wave:
@@ -123,6 +131,11 @@ class Wave:
         self.length = np.zeros(len(sizes) * self.places)
         where = np.repeat(np.arange(len(sizes)) * self.places - self.doc_at, sizes) + np.arange(len(lengths))
         self.length[where] = lengths
+        gone = pc.is_null(self.ids).to_numpy(zero_copy_only=False)
+        self.gone = None
+        if gone.any():
+            self.gone = np.zeros(len(self.length), bool)
+            self.gone[where] = gone
         self.shortest = self.length[::BLOCK]  # documents of a tile come by length
         blocks = lists.column(4)
         per_row = pc.list_value_length(blocks).to_numpy()
@@ -159,7 +172,11 @@ class Wave:
         doc = np.repeat(self.block[some] * BLOCK, n) + inside
         got = np.bincount(np.repeat(compact * BLOCK, n) + inside, np.repeat(weights, n) * tf / (tf + norms[doc]), len(places) * BLOCK)
         hit = np.flatnonzero(got > 0)
-        return places[hit // BLOCK] * BLOCK + hit % BLOCK, np.round(got[hit], 6)
+        docs, score = places[hit // BLOCK] * BLOCK + hit % BLOCK, np.round(got[hit], 6)
+        if self.gone is None:
+            return docs, score
+        there = ~self.gone[docs]
+        return docs[there], score[there]
 
     def names(self, docs: np.ndarray):
         import pyarrow as pa

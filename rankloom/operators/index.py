@@ -103,11 +103,16 @@ def build(rows: DataFrame, postings: DataFrame | None = None, parts: DataFrame |
     postings = term_frequencies(rows) if postings is None else postings
     docs = rows.select("doc_id", F.size("tokens").cast("long").alias("doc_length"))
     stats = docs.agg(F.count("*").alias("num_docs"), F.coalesce(F.avg("doc_length"), F.lit(0.0)).alias("avg_doc_length"))
-    terms = postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).crossJoin(F.broadcast(stats.select("num_docs")))
-    terms = terms.select("term", "df", "cf", bm25_idf(F.col("num_docs"), F.col("df")).alias("idf"), F.log10(F.col("num_docs") / F.col("df")).alias("tidf"))
+    terms = weighted_terms(postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")), stats)
     return Index(postings, docs, norms(postings, terms), terms, stats, parts)
 
 
+def weighted_terms(terms: DataFrame, stats: DataFrame) -> DataFrame:
+    """term_stats of terms(term, df, cf) and the one row of collection_stats."""
+    terms = terms.crossJoin(F.broadcast(stats.select("num_docs")))
+    return terms.select("term", "df", "cf", bm25_idf(F.col("num_docs"), F.col("df")).alias("idf"), F.log10(F.col("num_docs") / F.col("df")).alias("tidf"))
+
+
 def tfidf_weight(tf: Column, tidf: Column) -> Column:
     return (1 + F.log10(tf)) * tidf
 

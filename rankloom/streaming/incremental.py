@@ -7,21 +7,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from rankloom.functions import text as T
-from rankloom.operators.index import term_frequencies
+from rankloom.operators.segments import FAN, Segments
 
 
 def documents(spark: SparkSession, path: str, schema: str, files: int = 100) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
-def index_stream(docs: DataFrame, path: str, checkpoint: str, cfg: T.Tokenizing = T.Tokenizing()) -> StreamingQuery:
-    """Writes each micro-batch's postings and lengths below its batch number: a batch that is run again replaces itself."""
+def index_stream(docs: DataFrame, path: str, checkpoint: str, cfg: T.Tokenizing = T.Tokenizing(), fan: int = FAN) -> StreamingQuery:
+    """Each micro-batch becomes a segment of the index at path (operators.segments), merged in levels; newer documents replace those of the same id.
+
+    A batch that is run again, after a failure, is in the log already and adds nothing. Of an id that a batch has twice, one document stays.
+    """
+    segments = Segments(docs.sparkSession, path, fan)
 
     def one(batch: DataFrame, number: int) -> None:
-        rows = batch.select(F.col("doc_id").cast("string").alias("doc_id"), T.tokenize(F.col("text"), cfg).alias("tokens")).persist()
-        term_frequencies(rows).write.mode("overwrite").parquet(f"{path}/postings/batch={number}")
-        rows.select("doc_id", F.size("tokens").cast("long").alias("doc_length")).write.mode("overwrite").parquet(f"{path}/doc_stats/batch={number}")
-        rows.unpersist()
+        rows = batch.select(F.col("doc_id").cast("string").alias("doc_id"), "text").dropDuplicates(["doc_id"])
+        segments.append(rows.select("doc_id", T.tokenize(F.col("text"), cfg).alias("tokens")), checkpoint, number)
 
     return docs.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

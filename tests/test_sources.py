@@ -6,6 +6,7 @@ from rankloom.operators import collections as C
 from rankloom.operators import index as I
 from rankloom.sources import readers as S
 from rankloom.sources import writers as W
+from rankloom.operators.segments import Segments
 from rankloom.streaming import incremental
 
 
@@ -83,7 +84,7 @@ def test_stream_index_equals_batch(spark, tmp_path):
     docs.repartition(2).write.parquet(str(tmp_path / "in"))
     stream = incremental.documents(spark, str(tmp_path / "in"), "doc_id string, text string", files=1)
     incremental.index_stream(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "out/postings")).select("term", "doc_id", "tf")
+    got = Segments(spark, str(tmp_path / "out")).index().postings.select("term", "doc_id", "tf")
     assert sorted(map(tuple, got.collect())) == [("alpha", "a", 2), ("beta", "a", 1), ("beta", "b", 1), ("gamma", "b", 1)]
 
 
