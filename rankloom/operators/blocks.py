@@ -190,20 +190,21 @@ class Best:
     def __init__(self, k: int, ties: bool):
         self.k, self.ties, self.score, self.ids, self.least = k, ties, np.empty(0), None, -np.inf
 
-    def add(self, wave: Wave, docs: np.ndarray, score: np.ndarray) -> None:
+    def add(self, score: np.ndarray, names) -> None:
+        """names(places) gives the ids of rows of score."""
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        pick = score >= self.least
-        docs, score = docs[pick], score[pick]
-        if len(docs) + len(self.score) > self.k:
+        places = np.flatnonzero(score >= self.least)
+        score = score[places]
+        if len(places) + len(self.score) >= self.k:
             every = np.append(self.score, score)
             self.least = np.partition(every, -self.k)[-self.k]
             pick = score >= self.least
-            docs, score = docs[pick], score[pick]
-        if not len(docs):
+            places, score = places[pick], score[pick]
+        if not len(places):
             return
-        ids = wave.names(docs)
+        ids = names(places)
         ids = ids if self.ids is None else pa.concat_arrays([self.ids, ids])
         score = np.append(self.score, score)
         pick = np.flatnonzero(score >= self.least)
@@ -215,6 +216,10 @@ class Best:
         self.score, self.ids = score[pick], ids.take(pa.array(pick))
 
 
+def _add(best: Best, wave: Wave, docs: np.ndarray, score: np.ndarray) -> None:
+    best.add(score, lambda places: wave.names(docs[places]))
+
+
 def search(wave: Wave, codes: np.ndarray, weights: np.ndarray, bounds: np.ndarray, norms: np.ndarray, best: Best) -> tuple[int, int]:
     """Adds a wave's best rows of one query. (postings of its terms, postings that were read)"""
     some, w = wave.asked(codes, weights)
@@ -230,13 +235,13 @@ def search(wave: Wave, codes: np.ndarray, weights: np.ndarray, bounds: np.ndarra
         first[np.argpartition(most, -seeds)[-seeds:]] = True
         pick = first[block]
         read += int(wave.n[some[pick]].sum())
-        best.add(wave, *wave.scores(some[pick], w[pick], norms))
+        _add(best, wave, *wave.scores(some[pick], w[pick], norms))
         open_ &= ~first
     open_ &= most >= best.least - 1e-6  # scores are rounded
     pick = open_[block]
     if pick.any():
         read += int(wave.n[some[pick]].sum())
-        best.add(wave, *wave.scores(some[pick], w[pick], norms))
+        _add(best, wave, *wave.scores(some[pick], w[pick], norms))
     return total, read
 
 

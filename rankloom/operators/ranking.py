@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -10,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions import text as T
-from rankloom.operators import blocks
+from rankloom.operators import blocks, pivots
 from rankloom.operators.index import Index, tfidf_weight
 
 #: Settings of BM25 by collection: (k1, b).
@@ -125,54 +124,14 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-#: Queries whose vectors one scan takes along; queries and vectors that are multiplied at a time.
-SCAN_QUERIES, QUERY_BLOCK, VECTOR_BLOCK = 65_536, 512, 2048
-
-
-def dense(queries: DataFrame, vectors: DataFrame, k: int = 100, scan: int = SCAN_QUERIES) -> DataFrame:
+def dense(queries: DataFrame, vectors: DataFrame, k: int = 100, **how) -> DataFrame:
     """Exact inner products of every query(query_id, vector) with every vector(doc_id, vector), in double precision, k best of each query.
 
-    A scan of the vectors serves `scan` queries at a time, whose matrix is sent to the workers. There each batch of vectors is one
-    matrix product per block of queries, and only scores that reach the k-th best of what the task has seen leave it: what moves is
-    about queries x partitions x k rows. Vectors of unlike lengths are an error.
+    vectors may be packed in chunks already (operators.pivots), of which those that cannot hold one of the k best are skipped. Vectors of unlike lengths
+    are an error.
     """
-    import numpy as np
-
-    spark, n = queries.sparkSession, queries.count()
-    parts = -(-n // scan)
-    kind = vectors.schema["doc_id"].dataType.simpleString()
-    known = queries.select("query_id", F.col("vector").cast("array<double>").alias("v"), F.pmod(F.xxhash64("query_id"), F.lit(max(parts, 1))).alias("part"))
-    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id {kind}, score double"
-    out = spark.createDataFrame([], schema)
-    for part in range(parts):
-        rows = known.where(F.col("part") == part).orderBy("query_id").collect()
-        if len({len(r["v"]) for r in rows}) > 1:
-            raise ValueError("query vectors have unlike lengths")
-        if rows:
-            sent = spark.sparkContext.broadcast(([r["query_id"] for r in rows], np.array([r["v"] for r in rows])))
-            out = out.union(vectors.select("doc_id", F.col("vector").cast("array<double>").alias("v")).mapInArrow(lambda b, s=sent: _products(b, *s.value, k), schema))
-    return top_k(out, k)
-
-
-def _products(batches: Iterator, ids: list, q, k: int) -> Iterator:
-    import numpy as np
-    import pyarrow as pa
-
-    names = pa.array(ids)
-    best = np.full((len(ids), k), -np.inf)
-    for batch in batches:
-        for at in range(0, batch.num_rows, VECTOR_BLOCK):
-            some = batch.slice(at, VECTOR_BLOCK)
-            flat = some.column(1).flatten().to_numpy(zero_copy_only=False)
-            if len(flat) != some.num_rows * q.shape[1]:
-                raise ValueError("a vector is longer or shorter than the queries")
-            v = flat.reshape(some.num_rows, q.shape[1])
-            for b in range(0, len(ids), QUERY_BLOCK):
-                score = np.round(q[b : b + QUERY_BLOCK] @ v.T, 6) + 0.0
-                own = np.concatenate([best[b : b + QUERY_BLOCK], score], axis=1)
-                best[b : b + QUERY_BLOCK] = np.partition(own, -k, axis=1)[:, -k:]
-                r, c = np.nonzero(score >= best[b : b + QUERY_BLOCK].min(axis=1)[:, None])
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(r + b)), some.column(0).take(pa.array(c)), pa.array(score[r, c])], ["query_id", "doc_id", "score"])
+    chunks = vectors if "center" in vectors.columns else pivots.pack(vectors)
+    return top_k(pivots.search(queries, chunks, k, **how), k)
 
 
 def max_pool(rows: DataFrame) -> DataFrame:
@@ -295,7 +254,7 @@ class Sparse(_Search):
 
 @dataclass
 class Dense(_Search):
-    """make: an encoder class; vectors(doc_id, vector) of unit length."""
+    """make: an encoder class; vectors(doc_id, vector) of unit length, or their chunks."""
 
     vectors: DataFrame
     make: object

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions import stem
 from rankloom.functions import text as T
+from rankloom.operators import blocks
 from rankloom.operators import collections as C
 from rankloom.operators import index as I
 from rankloom.operators import metrics as M
@@ -203,6 +204,12 @@ def postings_lists(spark, d):
     return I.postings_lists(ix.postings, ix.term_stats)
 
 
+@query("SELECT term, doc_id, tf, doc_length FROM pap_p JOIN pap_d USING (doc_id)")
+def packed_postings(spark, d):
+    """What the tiles and blocks hold that BM25 ranks from."""
+    return blocks.unpack(X.paper_index(spark, d).parts)
+
+
 @query("SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS number FROM papers_full")
 def doc_numbers(spark, d):
     return X.paper_index(spark, d).doc_numbers()
@@ -274,6 +281,12 @@ def bm25_papers_default(spark, d):
     return longs(R.bm25(X.queries(spark, d), X.paper_index(spark, d), 100))
 
 
+@query(f"SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT *, rank() OVER (PARTITION BY query_id ORDER BY score DESC) AS r FROM ({Q.bm25_scores('pap', *R.TUNED['paper'])})) WHERE r <= 10")
+def bm25_ties(spark, d):
+    """The ten best and all that score like the tenth."""
+    return longs(R.bm25(X.queries(spark, d), X.paper_index(spark, d), 10, *R.TUNED["paper"], ties=True))
+
+
 @query(_RUN.format("bm25par") + " WHERE rank <= 100")
 def bm25_paragraphs(spark, d):
     return longs(X.paragraph_run(spark, d).where("rank <= 100"))
@@ -329,7 +342,7 @@ def sparse_topk(spark, d):
 
 @query(_RUN.format("dense"))
 def dense_topk(spark, d):
-    return longs(R.dense(X.vector_queries(spark, d), X.vectors(spark, d), 100))
+    return longs(R.dense(X.vector_queries(spark, d), X.vector_chunks(spark, d), 100))
 
 
 @query("SELECT doc_id, i AS dim, round(CAST(vector[i] AS DOUBLE) / sqrt(list_sum(list_transform(vector, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 6) AS x FROM vec, (SELECT unnest(range(1, 65)) AS i)")
@@ -395,7 +408,7 @@ def maxp(spark, d):
 def dense_maxp(spark, d):
     v = X.vectors(spark, d)
     group = v.select("doc_id", F.floor(F.col("doc_id").cast("long") / 10).cast("string").alias("paper_id"))
-    return longs(R.maxp(R.dense(X.vector_queries(spark, d), v, 2000), group))
+    return longs(R.maxp(R.dense(X.vector_queries(spark, d), X.vector_chunks(spark, d), 2000), group))
 
 
 @query(_RUN.format("rrfpap"))
@@ -414,7 +427,7 @@ def rankers(spark, d):
     texts, ix = X.query_texts(spark, d), X.paper_index(spark, d)
     weigh = lambda q: R.query_terms(q.select("query_id", T.tokenize(F.col("query")).alias("tokens"))).select("query_id", "term", F.log1p("qtf").alias("weight"))
     each = {"bm25": R.Bm25(ix, *R.TUNED["paper"]), "tfidf": R.TfIdf(ix), "sparse": R.Sparse(X.sparse_weights(ix), weigh)}
-    out = R.dense(X.vector_queries(spark, d), X.vectors(spark, d), 100).select(F.lit("dense").alias("model"), "query_id", "doc_id", "score", "rank")
+    out = R.dense(X.vector_queries(spark, d), X.vector_chunks(spark, d), 100).select(F.lit("dense").alias("model"), "query_id", "doc_id", "score", "rank")
     for name, ranker in each.items():
         out = out.unionByName(ranker.rank(texts).select(F.lit(name).alias("model"), "query_id", "doc_id", "score", "rank"))
     return longs(out)

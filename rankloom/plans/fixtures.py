@@ -12,6 +12,7 @@ from rankloom.functions import text as T
 from rankloom.operators import blocks
 from rankloom.operators import collections as C
 from rankloom.operators import index as I
+from rankloom.operators import pivots
 from rankloom.operators import ranking as R
 from rankloom.operators.ranking import small
 
@@ -155,6 +156,11 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("doc_id"), F.col("embedding").alias("vector"), "label")
 
 
+@_kept
+def vector_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.pack(vectors(spark, sf_dir)).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector whose id is divisible by 20, against all."""
     return table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").cast("string").alias("query_id"), F.col("embedding").alias("vector"))

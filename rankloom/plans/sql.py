@@ -95,11 +95,12 @@ def ranked(scores: str, k: int, by: str = "query_id") -> str:
     return f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY score DESC, doc_id) AS rank FROM ({scores})) WHERE rank <= {k}"
 
 
+def bm25_scores(name: str, k1: float, b: float, terms: str = "qt") -> str:
+    return f"SELECT query_id, doc_id, round(sum(qtf * idf * tf * ({k1} + 1) / (tf + {k1} * (1 - {b} + {b} * doc_length / avg_doc_length))), 6) AS score FROM {terms} JOIN {name}_p USING (term) JOIN {name}_t USING (term) JOIN {name}_d USING (doc_id), {name}_c GROUP BY query_id, doc_id"
+
+
 def bm25(name: str, k: int, k1: float, b: float, terms: str = "qt") -> str:
-    return ranked(
-        f"SELECT query_id, doc_id, round(sum(qtf * idf * tf * ({k1} + 1) / (tf + {k1} * (1 - {b} + {b} * doc_length / avg_doc_length))), 6) AS score FROM {terms} JOIN {name}_p USING (term) JOIN {name}_t USING (term) JOIN {name}_d USING (doc_id), {name}_c GROUP BY query_id, doc_id",
-        k,
-    )
+    return ranked(bm25_scores(name, k1, b, terms), k)
 
 
 STEPS |= index("pap", "papers_full") | index("par", "paras_full")

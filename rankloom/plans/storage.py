@@ -12,6 +12,7 @@ from rankloom.operators import index as I
 from rankloom.operators import ranking as R
 from rankloom.operators import serving as V
 from rankloom.operators import tuning as U
+from rankloom.operators.segments import Segments
 from rankloom.plans import catalog
 from rankloom.plans import fixtures as X
 from rankloom.plans import sql as Q
@@ -156,6 +157,21 @@ def saved_index(spark, d):
     return longs(R.bm25(X.queries(spark, d), I.load(spark, path), 100, *R.TUNED["paper"]))
 
 
+@query("SELECT query_id, doc_id, score, rank FROM bm25")
+def segmented_index(spark, d):
+    """All papers in three batches, of which the second replaces wrong texts of the first, merged, and some that are deleted again."""
+    rows, third = C.non_empty(X.paper_tokens(spark, d)).select("doc_id", "tokens").persist(), F.pmod(F.xxhash64("doc_id"), F.lit(3))
+    grown = Segments(spark, work_folder(spark), fan=2)
+    wrong = rows.where(third < 2).select("doc_id", F.slice("tokens", 1, 1).alias("tokens"))
+    extra = rows.where(third == 1).select(F.concat(F.lit("extra"), "doc_id").alias("doc_id"), "tokens")
+    for k, batch in enumerate((wrong.union(extra), rows.where(third < 2), rows.where(third == 2))):
+        if not grown.append(batch, "papers", k) or grown.append(batch, "papers", k):
+            raise ValueError("a batch must be added once")
+    grown.delete(extra)
+    rows.unpersist()
+    return longs(R.bm25(X.queries(spark, d), grown.index(), 100, *R.TUNED["paper"]))
+
+
 @query("SELECT query_id, doc_id, score, rank FROM sparse")
 def saved_sparse_index(spark, d):
     path = work_folder(spark)

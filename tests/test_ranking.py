@@ -165,7 +165,7 @@ def test_broadcasts_are_bounded_by_rows_and_bytes(spark):
 def test_dense_in_blocks(spark):
     v = spark.createDataFrame([(str(i), [float(i % 7), float(i % 5), 1.0]) for i in range(40)], "doc_id string, vector array<float>")
     queries = v.select(F.col("doc_id").alias("query_id"), "vector").where("cast(doc_id as int) < 9")
-    one, many = R.dense(queries, v, 5), R.dense(queries, v, 5, scan=2)
+    one, many = R.dense(queries, v, 5), R.dense(queries, v, 5, cells=10)
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect())) and one.count() == 45
 
 
