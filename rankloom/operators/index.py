@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankloom.operators import blocks
@@ -20,6 +20,15 @@ def bm25_idf(n: Column, df: Column) -> Column:
     return F.log1p((n - df + 0.5) / (df + 0.5))
 
 
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """rows with `number`: places in an order, from 0. Two levels: rows by range partition, then inside each, so that no task sorts all."""
+    parted = rows.repartitionByRange(*order).withColumn("__p", F.spark_partition_id())
+    ahead = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    base = parted.groupBy("__p").agg(F.count("*").alias("__n")).select("__p", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__base"))
+    own = F.row_number().over(Window.partitionBy("__p").orderBy(*order)) - 1
+    return parted.withColumn("__i", own).join(F.broadcast(base), "__p").withColumn("number", (F.col("__base") + F.col("__i")).cast("long")).select(*rows.columns, "number")
+
+
 @dataclass
 class Index:
     postings: DataFrame
@@ -37,14 +46,8 @@ class Index:
         return self.postings.where(F.col("term") == term).select("doc_id", "tf").orderBy("doc_id")
 
     def doc_numbers(self) -> DataFrame:
-        """doc_id, number: places in the order of ids, from 0. Two levels: rows by range partition, then inside each."""
-        from pyspark.sql import Window
-
-        parted = self.doc_stats.select("doc_id").repartitionByRange("doc_id").withColumn("__p", F.spark_partition_id())
-        ahead = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-        base = parted.groupBy("__p").agg(F.count("*").alias("__n")).select("__p", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__base"))
-        own = F.row_number().over(Window.partitionBy("__p").orderBy("doc_id")) - 1
-        return parted.withColumn("__i", own).join(F.broadcast(base), "__p").select("doc_id", (F.col("__base") + F.col("__i")).cast("long").alias("number"))
+        """doc_id, number: places in the order of ids, from 0."""
+        return numbered(self.doc_stats.select("doc_id"), "doc_id")
 
     def doc_number(self, doc_id: str) -> int:
         """A document's number; KeyError for an unknown one."""

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -148,15 +150,37 @@ def significance(metrics: DataFrame, metric: str) -> DataFrame:
     return rows.withColumn("significant", F.col("p") < MAX_P)
 
 
+#: Queries whose signs a task keeps.
+KEPT_SIGNS = 10_000
+
+
 def randomization(metrics: DataFrame, metric: str, draws: int = DRAWS, seed: int = 42) -> DataFrame:
     """model_a, model_b, n, mean_d, p: Fisher's randomization test. Each draw turns the signs of the queries' differences by a seeded hash;
     p is the share of draws, the observed one among them, whose mean is as far from 0."""
     d = paired_differences(metrics, metric)
     seen = d.groupBy("model_a", "model_b").agg(F.count("*").alias("n"), F.round(F.avg("d"), 9).alias("mean_d"))
-    rows = d.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    odd = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("draw").cast("string"), "query_id")), 1, 4), 16, 10).cast("long") % 2
-    means = rows.groupBy("model_a", "model_b", "draw").agg(F.round(F.avg(F.when(odd == 1, -F.col("d")).otherwise(F.col("d"))), 9).alias("m"))
-    far = means.join(seen, ["model_a", "model_b"]).groupBy("model_a", "model_b", "n", "mean_d").agg(F.count_if(F.abs("m") >= F.abs("mean_d")).alias("far"))
+
+    def summed(batches: Iterator) -> Iterator:
+        """Sums of all draws, side by side, of what a task has of each pair."""
+        import numpy as np
+        import pyarrow as pa
+
+        sums: dict = {}
+        signs: dict = {}
+        for b in batches:
+            for model_a, model_b, query, x in zip(*(c.to_pylist() for c in b.columns)):
+                if query not in signs:
+                    if len(signs) == KEPT_SIGNS:
+                        signs.clear()
+                    signs[query] = np.array([-1.0 if hashlib.md5(f"{seed}-{k}-{query}".encode()).digest()[1] & 1 else 1.0 for k in range(1, draws + 1)])
+                key = (model_a, model_b)
+                sums[key] = sums.get(key, 0.0) + signs[query] * x
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums]), pa.array([k[1] for k in sums]), pa.array(list(sums.values()), pa.list_(pa.float64()))], ["model_a", "model_b", "sums"])
+
+    sums = d.select("model_a", "model_b", "query_id", F.col("d").cast("double")).mapInArrow(summed, "model_a string, model_b string, sums array<double>")
+    means = sums.select("model_a", "model_b", F.posexplode("sums").alias("draw", "s")).groupBy("model_a", "model_b", "draw").agg(F.sum("s").alias("s"))
+    far = means.join(seen, ["model_a", "model_b"]).groupBy("model_a", "model_b", "n", "mean_d").agg(F.count_if(F.abs(F.round(F.col("s") / F.col("n"), 9)) >= F.abs("mean_d")).alias("far"))
     return far.select("model_a", "model_b", "n", "mean_d", ((F.col("far") + 1) / F.lit(draws + 1)).alias("p"))
 
 
@@ -165,9 +189,30 @@ def tukey(metrics: DataFrame, metric: str, draws: int = DRAWS, seed: int = 42) -
     the models by a seeded hash; p is the share of draws, the observed one among them, whose largest mean exceeds the least by as much."""
     rows = metrics.select("model", "query_id", F.col(metric).alias("x"))
     means = rows.groupBy("model").agg(F.round(F.avg("x"), 9).alias("mean"))
-    drawn = rows.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    order = Window.partitionBy("draw", "query_id").orderBy(F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("draw").cast("string"), "query_id", "model")), "model")
-    seats = drawn.withColumn("seat", F.row_number().over(order)).groupBy("draw", "seat").agg(F.round(F.avg("x"), 9).alias("m"))
+
+    def seated(batches: Iterator) -> Iterator:
+        """Sums and counts of all draws and seats, of what a task has of the queries."""
+        import numpy as np
+        import pyarrow as pa
+
+        sums = counts = np.zeros((draws, 0))
+        for b in batches:
+            for query, scores in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                m = len(scores)
+                if m > sums.shape[1]:
+                    more = ((0, 0), (0, m - sums.shape[1]))
+                    sums, counts = np.pad(sums, more), np.pad(counts, more)
+                models, x = [r["model"] for r in scores], np.array([r["x"] for r in scores], float)
+                for k in range(draws):
+                    order = sorted(range(m), key=lambda i: (hashlib.md5(f"{seed}-{k + 1}-{query}-{models[i]}".encode()).digest(), models[i]))  # noqa: B023
+                    sums[k, :m] += x[order]
+                counts[:, :m] += 1
+        if sums.shape[1]:
+            draw, seat = np.indices(sums.shape)
+            yield pa.RecordBatch.from_arrays([pa.array(v.ravel(), t) for v, t in ((draw, pa.int32()), (seat, pa.int32()), (sums, pa.float64()), (counts.astype(np.int64), pa.int64()))], ["draw", "seat", "s", "n"])
+
+    by_query = rows.groupBy("query_id").agg(F.collect_list(F.struct("model", "x")).alias("scores"))  # as many as there are models
+    seats = by_query.mapInArrow(seated, "draw int, seat int, s double, n long").groupBy("draw", "seat").agg(F.round(F.sum("s") / F.sum("n"), 9).alias("m"))
     ranges = seats.groupBy("draw").agg(F.round(F.max("m") - F.min("m"), 9).alias("range"))
     a, b = means.toDF("model_a", "x"), means.toDF("model_b", "y")
     pairs = a.join(b, F.col("model_a") < F.col("model_b")).select("model_a", "model_b", F.round(F.col("x") - F.col("y"), 9).alias("mean_d"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.operators import metrics
-from rankloom.operators.index import Index
+from rankloom.operators.index import Index, numbered
 from rankloom.operators.ranking import check, scored, top_k
 
 K1, B = (0.6, 0.9, 1.2, 1.5, 1.8), (0.2, 0.4, 0.6, 0.75, 0.9)
@@ -43,9 +43,8 @@ def bm25_grid(queries: DataFrame, ix: Index, qrels: DataFrame, cells: list[tuple
 
 def tuning_sample(judged: DataFrame, n: int = 400, share: float = 0.2, seed: int = 42) -> DataFrame:
     """query_id, held_out: n judged queries in drawn order, of which the first int(n share) are held out."""
-    w = Window.orderBy(draw(F.col("query_id"), seed=seed), "query_id")
-    some = judged.select("query_id").distinct().withColumn("at", F.row_number().over(w)).where(F.col("at") <= n)
-    return some.select("query_id", (F.col("at") <= F.floor(F.count("*").over(Window.partitionBy()) * F.lit(share))).alias("held_out"))
+    drawn = numbered(judged.select("query_id").distinct().withColumn("__d", draw(F.col("query_id"), seed=seed)), "__d", "query_id").where(F.col("number") < n)
+    return drawn.crossJoin(F.broadcast(drawn.agg(F.count("*").alias("__n")))).select("query_id", (F.col("number") < F.floor(F.col("__n") * F.lit(share))).alias("held_out"))
 
 
 def held_out_check(queries: DataFrame, ix: Index, qrels: DataFrame, split: DataFrame, grid: DataFrame) -> DataFrame:
@@ -69,8 +68,8 @@ def best_cell(means: DataFrame) -> DataFrame:
 
 def held_out(queries: DataFrame, share: float = 0.2, seed: int = 42) -> DataFrame:
     """query_id, held_out: by drawn order, int(n share) of the queries are held out."""
-    w = Window.orderBy(draw(F.col("query_id"), seed=seed), "query_id")
-    return queries.select("query_id", (F.row_number().over(w) <= F.floor(F.count("*").over(Window.partitionBy()) * F.lit(share))).alias("held_out"))
+    drawn = numbered(queries.select("query_id").withColumn("__d", draw(F.col("query_id"), seed=seed)), "__d", "query_id")
+    return drawn.crossJoin(F.broadcast(drawn.agg(F.count("*").alias("__n")))).select("query_id", (F.col("number") < F.floor(F.col("__n") * F.lit(share))).alias("held_out"))
 
 
 def stratified_split(rows: DataFrame, share: float = 0.1, seed: int = 42) -> DataFrame:

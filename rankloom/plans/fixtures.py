@@ -95,8 +95,10 @@ def _judged(docs: DataFrame, items: DataFrame) -> DataFrame:
     inside = F.slice(cut(F.btrim("item")), 2, F.greatest(F.size(cut(F.btrim("item"))) - 2, F.lit(0)))
     key = F.array_max(F.transform(inside, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     keyed = items.withColumn("key", key)
-    words = docs.select("doc_id", "text", F.explode(F.array_distinct(cut(F.col("text")))).alias("word"))
-    held = words.join(small(keyed.where("key is not null")), F.col("word") == F.col("key")).where(F.contains("text", "item")).select("query_id", "doc_id", "text")
+    # ids and words first; texts of what is left after that
+    words = docs.select("doc_id", F.explode(F.array_distinct(cut(F.col("text")))).alias("word"))
+    some = words.join(small(keyed.where("key is not null").select("query_id", "key")), F.col("word") == F.col("key")).select("query_id", "doc_id")
+    held = some.join(docs.select("doc_id", "text"), "doc_id").join(small(items), "query_id").where(F.contains("text", "item")).select("query_id", "doc_id", "text")
     short = docs.join(small(keyed.where("key is null")), F.contains("text", "item")).select("query_id", "doc_id", "text")
     held = held.union(short).persist(StorageLevel.MEMORY_AND_DISK)
     lines = lambda d, *keep: d.select(*keep, F.explode(F.split("text", "\n", -1)).alias("line")).where(F.length("line") >= 60)
