@@ -36,13 +36,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def wide(rows: DataFrame) -> DataFrame:
+    """The same rows over as many partitions as there are cores, at least: a small table is few pieces to read, and tokenizing is bound by CPU."""
+    n = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(n) if rows.rdd.getNumPartitions() < n else rows
+
+
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, title (first line), text, source, lang."""
     return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.substring_index("text", "\n", 1).alias("title"), "text", "source", "lang")
 
 
 def paper_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return papers(spark, sf_dir).select("doc_id", "text", T.tokenize(F.col("text")).alias("tokens"))
+    return wide(papers(spark, sf_dir)).select("doc_id", "text", T.tokenize(F.col("text")).alias("tokens"))
 
 
 def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +56,7 @@ def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def paragraph_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.tokenized(paragraphs(spark, sf_dir))
+    return C.tokenized(C.paragraphs(wide(table(spark, sf_dir, "documents"))))
 
 
 def query_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
