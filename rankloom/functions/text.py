@@ -1,9 +1,13 @@
-"""Text cleaning and tokenizing as column expressions: everything stays inside the JVM."""
+"""Text cleaning and tokenizing as column expressions, which stay inside the JVM; words of a large vocabulary are marked by an automaton in Arrow batches."""
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass, field, fields
+from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -164,6 +168,79 @@ def matcher(words: list[str]) -> str:
     return rf"(?iu)(?<![\p{{L}}\p{{N}}])({'|'.join(escaped)})(?![\p{{L}}\p{{N}}])" if words else ""
 
 
-def highlight(t: Column, words: list[str], before: str = "<mark>", after: str = "</mark>") -> Column:
+#: Words up to which a pattern is as good as an automaton.
+FEW_WORDS = 40
+
+
+def highlight(t: Column, words: list[str], before: str = "<mark>", after: str = "</mark>", few: int = FEW_WORDS) -> Column:
+    """Whole words of a text marked, without regard to case: at each place the longest one.
+
+    A few words are a pattern. More are an automaton, which goes over a text once however many words there are.
+    """
+    words = sorted({w for w in words if w.strip()})
+    if len(words) > few:
+        return marked(words, before, after)(t)
     pattern = matcher(words)
     return F.regexp_replace(t, pattern, f"{before}$1{after}") if pattern else t
+
+
+def fold(t: str) -> str:
+    """A text without case, character by character, so that places stay."""
+    return "".join(map(_folded, t)) if not t.isascii() else t.lower()
+
+
+@lru_cache(maxsize=100_000)
+def _folded(c: str) -> str:
+    up = c.upper()
+    low = (up if len(up) == 1 else c).lower()
+    return low if len(low) == 1 else c
+
+
+class Marker:
+    """An Aho-Corasick automaton of words. Each task makes it once."""
+
+    def __init__(self, words: list[str]):
+        import ahocorasick
+
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for w in words:
+            self.automaton.add_word(fold(w))
+        self.automaton.make_automaton()
+
+    def spans(self, t: str) -> list[tuple[int, int]]:
+        """(start, end) of the words of a text, from the left, at each place the longest, without overlaps; none begins or ends inside of a run of letters and numbers."""
+        longest: dict[int, int] = {}
+        for last, n in self.automaton.iter(fold(t)):
+            start, end = last + 1 - n, last + 1
+            if end > longest.get(start, 0) and not (start and _inside(t[start - 1])) and not (end < len(t) and _inside(t[end])):
+                longest[start] = end
+        out, at = [], 0
+        for start in sorted(longest):
+            if start >= at:
+                at = longest[start]
+                out.append((start, at))
+        return out
+
+    def mark(self, t: str, before: str, after: str) -> str:
+        out, at = [], 0
+        for start, end in self.spans(t):
+            out += [t[at:start], before, t[start:end], after]
+            at = end
+        return "".join([*out, t[at:]])
+
+
+@lru_cache(maxsize=100_000)
+def _inside(c: str) -> bool:
+    return unicodedata.category(c)[0] in "LN"
+
+
+def marked(words: list[str], before: str, after: str):
+    """highlight() of a column by a Marker."""
+
+    @F.pandas_udf("string")
+    def mark(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        marker = Marker(words)
+        for texts in columns:
+            yield texts.map(lambda t: marker.mark(t, before, after), na_action="ignore")
+
+    return mark

@@ -17,6 +17,7 @@ from rankloom.operators import metrics as M
 from rankloom.operators import ranking as R
 from rankloom.operators import serving as V
 from rankloom.operators import stats as S
+from rankloom.operators import suggestions
 from rankloom.operators import tuning as U
 from rankloom.plans import fixtures as X
 from rankloom.plans import sql as Q
@@ -835,12 +836,27 @@ def _titles(spark, d):
 
 @query("SELECT p_partkey AS number, p_name AS title FROM part WHERE contains(lower(p_name), 're') ORDER BY p_partkey LIMIT 5")
 def suggest(spark, d):
-    return V.suggest(_titles(spark, d), " RE ")
+    return _suggestions(spark, d).suggest(" RE ")
 
 
 @query("SELECT p_partkey AS number, p_name AS title FROM part WHERE contains(lower(p_name), 're') ORDER BY starts_with(lower(p_name), 're') DESC, p_partkey LIMIT 5")
 def suggest_prefix_first(spark, d):
-    return V.suggest(_titles(spark, d), "re", prefix_first=True)
+    return _suggestions(spark, d).suggest("re", prefix_first=True)
+
+
+_GRAMS = "SELECT DISTINCT p_partkey AS number, unnest(list_transform(range(1, length(p_name) - {k} + 2), lambda i: substr(lower(p_name), i, {k}))) AS gram FROM part WHERE length(p_name) >= {k}"
+
+
+@query("SELECT gram, count(*) AS n, min(number) AS first, max(number) AS last FROM (" + " UNION ALL ".join(_GRAMS.format(k=k) for k in (1, 2, 3)) + ") GROUP BY gram")
+def suggestion_grams(spark, d):
+    return longs(_suggestions(spark, d).grams.groupBy("gram").agg(F.sum(F.size("numbers")).alias("n"), F.min(F.array_min("numbers")).alias("first"), F.max(F.array_max("numbers")).alias("last")))
+
+
+@X._kept
+def _suggestions(spark, d):
+    index = suggestions.build(_titles(spark, d))
+    index.grams, index.titles = index.grams.persist(), index.titles.persist()
+    return index
 
 
 _FACETS = "SELECT doc_id, lang AS type, 2000 + CAST(doc_id AS BIGINT) % 25 AS year FROM papers"
@@ -948,3 +964,14 @@ def saved_valid(spark, d):
 @query(r"SELECT doc_id, array_to_string(list_transform(regexp_extract_all(title, '[\p{L}\p{N}]+|[^\p{L}\p{N}]+'), lambda x: CASE WHEN lower(x) IN ('the', 'on', 'in') THEN '<mark>' || x || '</mark>' ELSE x END), '') AS marked FROM papers")
 def highlight(spark, d):
     return X.papers(spark, d).select("doc_id", T.highlight(F.col("title"), ["the", "on", "in"]).alias("marked"))
+
+
+_WORDS = r"SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[\p{L}\p{N}]+'))) AS w FROM benchmark"
+_RUNS = r"SELECT doc_id, unnest(r) AS x, unnest(range(len(r))) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}]+|[^\p{L}\p{N}]+') AS r FROM papers)"
+
+
+@query(f"SELECT doc_id, string_agg(CASE WHEN w IS NULL THEN x ELSE '<mark>' || x || '</mark>' END, '' ORDER BY i) AS marked FROM ({_RUNS}) LEFT JOIN ({_WORDS}) ON lower(x) = w GROUP BY doc_id")
+def highlight_vocabulary(spark, d):
+    """All words of all queries, in all texts."""
+    words = X.table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(T.TOKEN), F.lit(0))).alias("w")).distinct()
+    return X.papers(spark, d).select("doc_id", T.highlight(F.col("text"), [r["w"] for r in words.collect()], few=0).alias("marked"))

@@ -87,3 +87,20 @@ def test_stemming_in_sql_is_the_same(a, b):
     steps = Q.stem_steps("w")
     sql = f"WITH w AS (SELECT '{a + b}' AS term), " + ", ".join(f"{k} AS ({v})" for k, v in steps.items()) + " SELECT s FROM stems"
     assert duckdb.sql(sql).fetchall()[0][0] == stem.porter2(a + b)
+
+
+def test_many_words_are_marked_as_by_a_pattern(spark):
+    """Ten thousand words, in texts with other cases, joined words, signs and accents."""
+    import random
+
+    r = random.Random(4)
+    words = sorted({"".join(r.choice("abcé") for _ in range(r.randrange(1, 7))) + r.choice(["", " d", "-e", " de f"]) for _ in range(30_000)})[:10_000]
+    small = words[::400] + ["c++", "Ärger", "a b c"]
+    texts = ["", "x", "ÄRGER c++ a B C", "c++x a b cé"] + ["".join(r.choice(["a", "B", "c", "É", " ", " d", "-e", ".", "9", "de f"]) for _ in range(200)) for _ in range(50)]
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string")
+    got = df.select("t", T.highlight(F.col("t"), small, few=1000).alias("pattern"), T.highlight(F.col("t"), small, few=0).alias("automaton")).collect()
+    assert all(x["pattern"] == x["automaton"] for x in got) and sum("<mark>" in (x["automaton"] or "") for x in got) > 40
+    # each step of the automaton is one character, however many words there are
+    marker, few = T.Marker(words), T.Marker(words[:10])
+    text = " ".join(r.choice(words) for _ in range(2000))
+    assert len(marker.spans(text)) > 1000 and marker.spans(text.upper()) == marker.spans(text) and len(few.spans(text)) < 1000
