@@ -12,30 +12,51 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankloom.functions.text import SPACE
+
 
 class Encoder(Protocol):
     def encode(self, texts: list[str]) -> list[list[float]]: ...
 
 
 class HashEncoder:
-    def __init__(self, size: int = 64, max_words: int = 256):
+    """Each word adds 1 or takes 1 at a place, both by its md5. max_words: words of a text that are read, all if None, as a learned encoder has a limit."""
+
+    def __init__(self, size: int = 64, max_words: int | None = None):
         self.size, self.max_words = size, max_words
 
     def encode(self, texts: list[str]) -> list[list[float]]:
+        import hashlib
         import math
-        import zlib
 
         out = []
         for text in texts:
             v = [0.0] * self.size
             for w in (text or "").lower().split()[: self.max_words]:
-                h = zlib.crc32(w.encode("utf-8", "surrogatepass"))
-                v[h % self.size] += 1.0 if h >> 31 else -1.0
+                h = hashlib.md5(w.encode("utf-8", "surrogatepass")).hexdigest()
+                v[int(h[:7], 16) % self.size] += 1.0 if int(h[7], 16) & 1 else -1.0
             norm = math.sqrt(sum(x * x for x in v))
             out.append([x / norm for x in v] if norm else v)
         return out
 
 
+#: Words of a window of a long text, and words from one window's first to the next one's.
+WINDOW, STRIDE = 256, 192
+
+
+def windows(rows: DataFrame, column: str = "text", size: int = WINDOW, stride: int = STRIDE) -> DataFrame:
+    """rows with a row per window of `size` words, numbered from 0 in `window`; the words, space-joined, are the text. A short text is one window.
+
+    Windows overlap by size - stride words, and each word is in one: encoders that read `size` words see all of a text.
+    """
+    if not 0 < stride <= size:
+        raise ValueError("windows must overlap or touch")
+    words = F.filter(F.split(F.coalesce(F.col(column), F.lit("")), f"[{SPACE}]+"), lambda w: w != "")
+    last = F.greatest(F.ceil((F.size("__w") - size) / stride), F.lit(0)).cast("int")
+    each = rows.withColumn("__w", words).withColumn("window", F.explode(F.sequence(F.lit(0), last)))
+    return each.withColumn(column, F.array_join(F.slice("__w", F.col("window") * stride + 1, size), " ")).drop("__w")
+
+
 def encode(rows: DataFrame, make: type | object = HashEncoder, column: str = "text", out: str = "vector", batch: int = 256) -> DataFrame:
     """rows with a vector per text. `make()` gives an encoder; it is called once per task."""
 
@@ -55,3 +76,8 @@ def logits(rows: DataFrame, make: type | object = HashEncoder, column: str = "te
     """doc_id, term, x, mask: encoder outputs in long form, the input of ranking.max_pool."""
     vectors = encode(rows, make, column)
     return vectors.select("doc_id", F.posexplode("vector").alias("p", "x")).select("doc_id", (F.col("p") + 1).cast("long").alias("term"), F.col("x").cast("double").alias("x"), F.lit(1).alias("mask"))
+
+
+def window_logits(rows: DataFrame, make: type | object = HashEncoder, column: str = "text", size: int = WINDOW, stride: int = STRIDE) -> DataFrame:
+    """logits() of all windows of each text, for ranking.max_pool, which takes the greatest of them."""
+    return logits(windows(rows.select("doc_id", column), column, size, stride), make, column)

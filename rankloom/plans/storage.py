@@ -198,7 +198,21 @@ def resumed_build(spark, d):
     if done[2] or sum(done) != rows.count():
         raise ValueError(f"appended {done}")
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
-    return rounded(longs(spark.read.parquet(path).select("doc_id", F.size("vector").alias("size"), F.round(norm, 3).alias("norm"))))
+    return rounded(longs(writers.grown(spark, path).select("doc_id", F.size("vector").alias("size"), F.round(norm, 3).alias("norm"))))
+
+
+_WINDOWS = {
+    "ww": f"SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS i, len(ws) AS n FROM (SELECT doc_id, regexp_extract_all(lower(text), '[^{Q.SP}]+') AS ws FROM papers)",
+    "wn": f"SELECT doc_id, w, k FROM (SELECT *, unnest(range(CAST(greatest(ceil((n - {encoders.WINDOW}) / {encoders.STRIDE}.0), 0) AS BIGINT) + 1)) AS k FROM ww) WHERE i >= k * {encoders.STRIDE} AND i < k * {encoders.STRIDE} + {encoders.WINDOW}",
+    "wv": "SELECT doc_id, k, term, sum(s) AS v FROM (SELECT doc_id, k, CAST('0x' || substr(md5(w), 1, 7) AS BIGINT) % 64 + 1 AS term, CASE WHEN CAST('0x' || substr(md5(w), 8, 1) AS BIGINT) % 2 = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS s FROM wn) GROUP BY doc_id, k, term",
+    "wx": "SELECT doc_id, k, term, CAST(CAST(v / sqrt(sum(v * v) OVER (PARTITION BY doc_id, k)) AS FLOAT) AS DOUBLE) AS x FROM wv",
+}
+
+
+@query("SELECT doc_id, term, round(max(ln(1 + greatest(x, 0))), 6) AS weight FROM wx GROUP BY doc_id, term HAVING max(x) > 0", _WINDOWS)
+def window_weights(spark, d):
+    """Sparse weights of whole papers: of overlapping windows, as an encoder with a limit needs, the greatest ones."""
+    return rounded(R.max_pool(encoders.window_logits(X.papers(spark, d).select("doc_id", "text"))))
 
 
 # --- settings and small tables ---

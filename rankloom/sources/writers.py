@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankloom.sources.commits import Change, Log
 from rankloom.sources.readers import InputError
 
 COLLECTIONS, QUERY_SETS = ("paper", "paragraph"), ("train", "study", "test")
@@ -67,17 +69,39 @@ def append_new(rows: DataFrame, path: str, key: str = "doc_id") -> int:
 
 
 def append_in_parts(rows: DataFrame, path: str, make, key: str = "doc_id", every: int = 50_000) -> int:
-    """make(part) of all rows whose key is not in the table yet, appended in parts of about `every` rows; the number of rows appended.
+    """make(part) of all rows whose key is not in the table yet, in parts of about `every` rows; the number of rows appended. grown() reads it.
 
-    Parts are dealt by the hash of the key. Each is a commit of its own: when a build breaks off, the next call does what is missing.
+    Rows are dealt into parts by the hash of the key and written once, so that no part scans the others' rows. A part is written to a folder of its own and
+    then committed: what breaks off is not seen, and the next call does what is missing. The table's keys are read once a call; nothing
+    but the part itself is counted.
     """
-    n = rows.count()
-    parts, done = max(1, -(-n // every)), 0
+    spark, log = rows.sparkSession, Log(rows.sparkSession, path)
+    if log.live()[0]:
+        rows = rows.join(grown(spark, path).select(key), key, "left_anti")
+    staged = f"{path}/staged/{uuid.uuid4().hex}"
+    rows.withColumn("__part", F.pmod(F.xxhash64(key), F.lit(1 << 20))).write.parquet(staged)
+    staged_rows = spark.read.schema(rows.schema.add("__part", "long")).parquet(staged)
+    parts, done = -(-staged_rows.count() // every), 0  # by the footers
+    if parts > 1:
+        staged_rows.withColumn("__part", F.col("__part") % parts).repartition(parts, "__part").write.partitionBy("__part").parquet(f"{staged}-parts")
     for k in range(parts):
-        done += append_new(make(rows.where(F.pmod(F.xxhash64(key), F.lit(parts)) == k)), path, key)
+        part = staged_rows if parts == 1 else spark.read.schema(staged_rows.schema).parquet(f"{staged}-parts").where(F.col("__part") == k)
+        name = uuid.uuid4().hex
+        make(part.drop("__part")).write.parquet(f"{path}/parts/{name}")
+        n = spark.read.parquet(f"{path}/parts/{name}").count()
+        log.commit([Change("add", name, docs=n)])
+        done += n
     return done
 
 
+def grown(spark, path: str) -> DataFrame:
+    """The table that append_in_parts has committed so far."""
+    there = Log(spark, path).live()[0]
+    if not there:
+        raise InputError(f"nothing is committed at {path}")
+    return spark.read.parquet(*[f"{path}/parts/{c.name}" for c in there])
+
+
 def save_sparse(weights: DataFrame, path: str, settings: dict) -> None:
     """weights(term, doc_id, weight), sorted by term as postings are, and the encoder's settings. Nothing to save is an error."""
     if weights.limit(1).count() == 0:

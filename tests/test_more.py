@@ -64,3 +64,40 @@ def test_hard_negatives_are_below_the_top_and_unjudged(spark):
     assert sorted(got) == sorted(U.hard_negatives(run.orderBy(F.rand(1)), qrels, 10).collect())
     with pytest.raises(ValueError):
         U.stratified_split(run, 1.0)
+
+
+def test_windows_hold_every_word(spark):
+    words = [f"w{i}" for i in range(1000)]
+    docs = spark.createDataFrame([("long", " \n".join(words)), ("edge", " ".join(words[:256])), ("short", " a  b "), ("none", None), ("blank", " ")], "doc_id string, text string")
+    got = {}
+    for r in encoders.windows(docs).orderBy("doc_id", "window").collect():
+        got.setdefault(r["doc_id"], []).append(r["text"].split())
+    assert [len(got[d]) for d in ("long", "edge", "short", "none", "blank")] == [5, 1, 1, 1, 1] and got["short"] == [["a", "b"]] and got["none"] == [[]]
+    assert all(len(w) <= encoders.WINDOW for w in got["long"]) and {x for w in got["long"] for x in w} == set(words) and got["long"][1] == words[192:448]
+    # the last word of a long text counts
+    cut = lambda: encoders.HashEncoder(max_words=encoders.WINDOW)
+    one, other = (spark.createDataFrame([("d", " ".join(words + [w]))], "doc_id string, text string") for w in ("x", "y"))
+    weights = lambda df: sorted(map(tuple, R.max_pool(encoders.window_logits(df, cut)).collect()))
+    assert weights(one) != weights(other) and sorted(map(tuple, R.max_pool(encoders.logits(one, cut)).collect())) == sorted(map(tuple, R.max_pool(encoders.logits(other, cut)).collect()))
+    with pytest.raises(ValueError):
+        encoders.windows(docs, size=10, stride=11)
+
+
+def test_parts_are_made_once_and_a_broken_build_goes_on(spark, tmp_path):
+    path, made = str(tmp_path / "t"), []
+    rows = spark.createDataFrame([(f"{i}", float(i)) for i in range(50)], "doc_id string, x double")
+
+    def make(part):
+        made.append(part.count())
+        if len(made) == 4:
+            raise RuntimeError("power cut")
+        return part.withColumn("x", F.col("x") * 2)
+
+    with pytest.raises(S.InputError):
+        W.grown(spark, path)
+    with pytest.raises(RuntimeError):
+        W.append_in_parts(rows, path, make, every=5)
+    kept = W.grown(spark, path).count()
+    assert kept == sum(made[:3]) < 50
+    assert W.append_in_parts(rows, path, make, every=5) == 50 - kept and W.append_in_parts(rows, path, make, every=5) == 0
+    assert sorted(map(tuple, W.grown(spark, path).collect())) == sorted((f"{i}", 2.0 * i) for i in range(50)) and sum(made) == 50 + made[3]
