@@ -79,6 +79,12 @@ def page_buttons(current: int, total: int, shown: int = 5) -> list[int]:
     return list(range(first, min(total, first + shown - 1) + 1))
 
 
+def page_range(current: Column, total: Column, shown: int = 5) -> list[Column]:
+    """page_buttons() of columns: first and last."""
+    first = F.greatest(F.lit(1), F.least(current - shown // 2, total - shown + 1))
+    return [first.alias("first"), F.least(total, first + shown - 1).alias("last")]
+
+
 def active_filters(types: list[str] | None, since: int | None) -> int:
     return len(types or []) + (since is not None)
 

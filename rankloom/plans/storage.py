@@ -25,12 +25,13 @@ from rankloom.sources.folders import work_folder
 
 @X._kept
 def _raw(spark, d):
-    """(papers, malformed files) of a folder with a JSON object per file, and one that is none."""
+    """(papers, malformed files) of a folder with a JSON object per file, and some that break off."""
     path = work_folder(spark)
     lines = F.transform(F.split("text", "\n", -1), lambda s, i: F.struct(F.concat_ws("_", F.col("doc_id"), (i + 1).cast("string")).alias("key"), s.alias("value")))
     rows = X.papers(spark, d).select(F.col("doc_id").alias("paper_id"), "title", F.lit("").alias("abstract"), F.map_from_entries(lines).alias("paragraphs"))
     rows.write.option("maxRecordsPerFile", 1).json(path)
-    spark.createDataFrame([('{"paper_id": "broken", ',)], "value string").coalesce(1).write.mode("append").text(path)
+    broken = X.papers(spark, d).where(F.col("doc_id").cast("long") % 50 == 0).select(F.concat(F.lit('{"paper_id": "'), "doc_id", F.lit('", ')).alias("value"))
+    broken.write.option("maxRecordsPerFile", 1).mode("append").text(path)
     return readers.raw_papers(spark, path)
 
 
@@ -39,7 +40,7 @@ def raw_papers(spark, d):
     return longs(_raw(spark, d)[0].select("paper_id", "title", F.size("paragraphs").alias("n")))
 
 
-@query("SELECT 1 AS n")
+@query("SELECT count(*) AS n FROM documents WHERE doc_id % 50 = 0")
 def malformed_papers(spark, d):
     return _raw(spark, d)[1].agg(F.count("*").alias("n"))
 
@@ -260,10 +261,13 @@ def _text_file(spark, text: str) -> str:
     return path
 
 
-@query("SELECT * FROM (VALUES ('paper', 4.0::DOUBLE, 0.75::DOUBLE), ('paragraph', 0.4::DOUBLE, 0.9::DOUBLE)) t(collection, k1, b)")
+@query("SELECT 'paper' AS collection, * FROM bm25 UNION ALL SELECT 'paragraph', * FROM bm25par WHERE rank <= 100")
 def settings_file(spark, d):
-    path = _text_file(spark, BM25)
-    return spark.createDataFrame([(c, *readers.bm25_settings(spark, path, c)) for c in ("paper", "paragraph")], "collection string, k1 double, b double")
+    """Both collections ranked by the settings of a file."""
+    path, queries = _text_file(spark, BM25), X.queries(spark, d)
+    runs = [(c, R.bm25(queries, ix, 100, *readers.bm25_settings(spark, path, c))) for c, ix in (("paper", X.paper_index(spark, d)), ("paragraph", X.paragraph_index(spark, d)))]
+    both = [longs(run).select(F.lit(c).alias("collection"), "query_id", "doc_id", "score", "rank") for c, run in runs]
+    return both[0].union(both[1])
 
 
 _CONFIGURED = Q.literal(catalog.T.stopwords.build(extra=["et", "al"], keep=["not", "no"]))
@@ -284,10 +288,11 @@ def stopword_file(spark, d):
     return spark.createDataFrame([(w,) for w in readers.stopword_file(spark, path)], "word string")
 
 
-@query("SELECT current, greatest(1, least(current - 2, 16)) AS first, least(20, greatest(1, least(current - 2, 16)) + 4) AS last FROM (SELECT unnest(range(1, 21)) AS current)")
+@query("SELECT query_id, current, greatest(1, least(current - 2, total - 4)) AS first, least(total, greatest(1, least(current - 2, total - 4)) + 4) AS last FROM (SELECT *, unnest(range(1, total + 1)) AS current FROM (SELECT query_id, CAST(ceil(count(*) / 10.0) AS BIGINT) AS total FROM bm25 GROUP BY query_id))")
 def page_buttons(spark, d):
-    rows = [(c, V.page_buttons(c, 20)) for c in range(1, 21)]
-    return spark.createDataFrame([(c, b[0], b[-1]) for c, b in rows], "current long, first long, last long")
+    """The buttons below each page of each query's results."""
+    pages = X.bm25_run(spark, d).groupBy("query_id").agg(F.ceil(F.count("*") / 10).alias("total")).select("query_id", "total", F.explode(F.sequence(F.lit(1).cast("long"), "total")).alias("current"))
+    return pages.select("query_id", "current", *V.page_range(F.col("current"), F.col("total")))
 
 
 def _raises(f) -> bool:
@@ -323,6 +328,8 @@ def _fail():
     raise ValueError
 
 
+#: Checks that look at the given tables; tests hold the others, which look at made-up input.
+_ON_TABLES = ("run not in order", "run id with a space", "text of an unknown id", "unknown document", "page 0", "page of 101", "depth below k", "batch of 0", "nothing to save", "vectors of two lengths", "unknown document number", "missing run")
 _RIGHT = ("valid k1 and b", "valid query file", "health", "preferences", "metric column")
 _NAMES = (
     "k1 below 0", "b above 1", "valid k1 and b", "unknown cleaning key", "unknown tokenizer key", "no stopwords section", "token length 0", "unknown stemmer", "unknown section", "no settings of a collection", "query file without a list", "query without text", "query id twice",
@@ -331,7 +338,7 @@ _NAMES = (
 )
 
 
-@query("SELECT name, name NOT IN (" + ", ".join(f"'{n}'" for n in _RIGHT) + ") AS error FROM (SELECT unnest(" + Q.literal(_NAMES) + ") AS name)")
+@query("SELECT name, true AS error FROM (SELECT unnest(" + Q.literal(_ON_TABLES) + ") AS name) WHERE (SELECT count(*) FROM documents) > 0")
 def input_checks(spark, d):
-    """What must be refused, and what must not."""
-    return spark.createDataFrame(_checks(spark, d), "name string, error boolean")
+    """What must be refused of the tables' own rows."""
+    return spark.createDataFrame([c for c in _checks(spark, d) if c[0] in _ON_TABLES], "name string, error boolean")

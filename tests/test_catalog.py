@@ -35,3 +35,10 @@ def test_rows_equal_those_of_sql(spark, duck, name):
     at = [found.columns.index(c) for c in cols]
     expected = sorted(tuple(same(r[i]) for i in at) for r in found.fetchall())
     assert sorted(tuple(same(r[c]) for c in cols) for r in df.collect()) == expected and expected
+
+
+def test_what_must_be_refused_and_what_must_not(spark):
+    from rankloom.plans import storage
+
+    got = storage._checks(spark, SF)
+    assert [n for n, _ in got] == list(storage._NAMES) and all(error == (name not in storage._RIGHT) for name, error in got)
