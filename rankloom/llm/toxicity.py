@@ -4,14 +4,13 @@ The labelled sample has FIT_ROWS rows of a label at most. Its label-associated t
 with max_terms None, all its terms; their document frequencies come from all documents. Where terms are selected, the rest of a text is one
 dimension that all texts share, of weight BACKGROUND: a vector's length would otherwise hide how much of a text the selected terms are. Each document's vector is searched in the index of the sample: blocks of examples
 are visited by falling upper bound, the query's weights times each term's largest weight in the block, until no block can hold a nearer
-neighbour. The neighbours' votes, weighted by similarity, are calibrated to scores on the sample itself, each row left out of its own
+neighbour. Examples of one vector are one entry with its numbers of labels, and all that are as near as the last neighbour vote: no id has a say. The neighbours' votes, weighted by similarity, are calibrated to scores on the sample itself, each row left out of its own
 neighbours.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -83,10 +82,12 @@ def weighted(tf: dict[int, int], idf, background: float = 0.0) -> list[tuple[int
 class Index:
     """Postings by term, cut into blocks of BLOCK examples, with the largest weight of each."""
 
-    def __init__(self, vectors: list[list[tuple[int, float]]], n_terms: int):
+    def __init__(self, vectors: list[list[tuple[int, float]]], n_terms: int, counts: list[int] | None = None):
+        """counts: examples that have each vector, one if not given."""
         import numpy as np
 
         self.n, self.blocks = len(vectors), -(-len(vectors) // BLOCK) or 1
+        self.counts = np.ones(self.n, np.int64) if counts is None else np.array(counts, np.int64)
         postings: dict[int, list] = defaultdict(list)
         for k, v in enumerate(vectors):
             for t, w in v:
@@ -101,41 +102,50 @@ class Index:
                 self.postings[t][b] = (at[own] - b * BLOCK, w[own])
                 self.largest[t, b] = w[own].max()
 
-    def nearest(self, query: list[tuple[int, float]], k: int = NEIGHBOURS, without: tuple = ()) -> list[tuple[float, int]]:
-        """The k examples of the largest positive cosines, exactly; of equals, the first ones. Those of `without` are left out."""
+    def nearest(self, query: list[tuple[int, float]], k: int = NEIGHBOURS, without: dict[int, int] | None = None) -> list[tuple[float, int]]:
+        """The vectors of the k examples of the largest positive cosines, exactly, and all that are as near as the last of them, nearest first.
+
+        without: how many examples of a vector are left out.
+        """
         import numpy as np
 
         if not query or not self.n:
             return []
         # scores are compared to 9 places, and so are their bounds
         bound = np.round(sum(x * self.largest[t] for t, x in query) + 1e-12, 9)
-        best, at = np.zeros(0), np.zeros(0, np.int64)
+        best, at, least = np.zeros(0), np.zeros(0, np.int64), 0.0
+        counts = self.counts
+        if without:
+            counts = counts.copy()
+            for e, n in without.items():
+                counts[e] -= n
         for b in np.lexsort((np.arange(self.blocks), -bound)).tolist():
-            if bound[b] <= 0 or len(at) == k and bound[b] < best[-1]:
+            if bound[b] <= 0 or bound[b] < least:
                 break
-            if len(at) == k and bound[b] == best[-1] and b * BLOCK > at.max():
-                continue  # of equals, the first ones are there already
             score = np.zeros(BLOCK)
             for t, x in query:
                 own = self.postings.get(t, {}).get(b)
                 if own:
                     score[own[0]] += x * own[1]
             score = np.round(score, 9)
-            for e in without:
-                if b * BLOCK <= e < (b + 1) * BLOCK:
-                    score[e - b * BLOCK] = 0.0
-            new = np.flatnonzero((score > 0) & (score >= best[-1]) if len(at) == k else score > 0)
+            new = np.flatnonzero((score > 0) & (score >= least))
+            new = new[counts[new + b * BLOCK] > 0]
             if len(new):
                 best, at = np.concatenate([best, score[new]]), np.concatenate([at, new + b * BLOCK])
-                order = np.lexsort((at, -best))[:k]
+                order = np.lexsort((at, -best))
                 best, at = best[order], at[order]
+                enough = np.flatnonzero(np.cumsum(counts[at]) >= k)
+                if len(enough):
+                    least = best[enough[0]]
+                    best, at = best[best >= least], at[best >= least]
         return list(zip(best.tolist(), at.tolist()))
 
 
-def vote(found: list[tuple[float, int]], labels: list[int], weight: tuple[float, float], prior: float) -> float:
-    """Share of label 1 among neighbours by similarity and label weight; the overall share counts as a neighbour of similarity PRIOR."""
-    one = sum(s * weight[1] for s, e in found if labels[e])
-    both = sum(s * weight[labels[e]] for s, e in found)
+def vote(found: list[tuple[float, int, int]], weight: tuple[float, float], prior: float) -> float:
+    """Share of label 1 among neighbours by similarity and label weight; the overall share counts as a neighbour of similarity PRIOR.
+    found: similarity, examples of label 0, of label 1."""
+    one = sum(s * weight[1] * n1 for s, _, n1 in found)
+    both = sum(s * (weight[0] * n0 + weight[1] * n1) for s, n0, n1 in found)
     return (one + PRIOR * prior) / (both + PRIOR)
 
 
@@ -159,27 +169,44 @@ class Model:
     """Everything that scoring needs; its size is bounded by FIT_ROWS and MAX_TERMS."""
 
     def __init__(self, names: list[str], idf: list[float], sample: list[tuple], share: float, background: float = 0.0):
-        """sample: (id, text key, term frequencies, label)."""
-        self.idf, self.ids, self.background = idf, [x[0] for x in sample], background
-        self.labels = [x[3] for x in sample]
-        self.vectors = [weighted(x[2], idf, background) for x in sample]
-        self.same: dict[int, tuple] = {}
-        for k, x in enumerate(sample):
-            self.same[x[1]] = (*self.same.get(x[1], ()), k)
-        self.index = Index(self.vectors, len(names) + 1)
+        """sample: (id, text key, term frequencies, label). Its order is nothing."""
+        self.idf, self.background = idf, background
+        each = [tuple(weighted(x[2], idf, background)) for x in sample]
+        vectors = sorted(set(each))
+        number = {v: g for g, v in enumerate(vectors)}
+        #: of each vector, examples of label 0 and 1; of each text, examples with it by vector; a few ids of each vector, as evidence
+        self.labels = [[0, 0] for _ in vectors]
+        self.same: dict[int, dict[int, list[int]]] = {}
+        self.ids: list[list] = [[] for _ in vectors]
+        for x, v in zip(sample, each):
+            g = number[v]
+            self.labels[g][x[3]] += 1
+            self.same.setdefault(x[1], {}).setdefault(g, [0, 0])[x[3]] += 1
+            self.ids[g].append((x[0], x[3]))
+        self.ids = [sorted(i, key=lambda x: (str(x[0]), x[1]))[:EVIDENCE] for i in self.ids]
+        self.index = Index([list(v) for v in vectors], len(names) + 1, [sum(n) for n in self.labels])
         self.prior = share
-        n1 = sum(self.labels)
-        n0 = len(self.labels) - n1
+        n0, n1 = (sum(n[y] for n in self.labels) for y in (0, 1))
         # a label's rows stand for all its learnable rows
         self.weight = ((1 - share) / n0 if n0 else 0.0, share / n1 if n1 else 0.0)
         top = max(self.weight) or 1.0
         self.weight = (self.weight[0] / top, self.weight[1] / top)
+        # examples with one text and one vector have one vote
+        known: dict[tuple, float] = {}
         votes = []
-        for x, v, y in zip(sample, self.vectors, self.labels):
-            votes.append((round(vote(self.index.nearest(v, without=self.same[x[1]]), self.labels, self.weight, share), 6), y, self.weight[y]))
-        self.steps = isotonic(votes)
+        for x, v in zip(sample, each):
+            key = (x[1], v)
+            if key not in known:
+                known[key] = self._vote(v, self.same[x[1]])[0]
+            votes.append((known[key], x[3], self.weight[x[3]]))
+        self.steps = isotonic(sorted(votes))
         self.seen: dict[tuple, tuple] = {}
 
+    def _vote(self, query, without: dict[int, list[int]]) -> tuple[float, list[tuple[float, int]]]:
+        found = self.index.nearest(list(query), without={g: sum(n) for g, n in without.items()})
+        left = [(s, *(n - m for n, m in zip(self.labels[g], without.get(g, (0, 0))))) for s, g in found]
+        return round(vote(left, self.weight, self.prior), 6), found
+
     def score(self, tf: dict[int, int], text_key: int | None = None) -> tuple[float, str]:
         """(score, evidence: the nearest examples' ids, labels and similarities). An example with the same text is none, so that no score
         is read off its own label."""
@@ -189,30 +216,32 @@ class Model:
         if key not in self.seen:
             if len(self.seen) > 100_000:
                 self.seen.clear()
-            self.seen[key] = self._score(tf, ())
+            self.seen[key] = self._score(tf, {})
         return self.seen[key]
 
-    def _score(self, tf: dict[int, int], without: tuple) -> tuple[float, str]:
+    def _score(self, tf: dict[int, int], without: dict[int, list[int]]) -> tuple[float, str]:
         import bisect
 
-        found = self.index.nearest(weighted(tf, self.idf, self.background), without=without)
-        v = round(vote(found, self.labels, self.weight, self.prior), 6)
+        v, found = self._vote(weighted(tf, self.idf, self.background), without)
         k = bisect.bisect_right(self.steps[0], v) - 1
         score = self.steps[1][max(k, 0)] if self.steps[1] else self.prior
         # texts without a term have all such texts as neighbours: these are no evidence
-        return score, ",".join(f"{self.ids[e]}:{self.labels[e]}:{s:.3f}" for s, e in found[:EVIDENCE]) if tf else ""
+        return score, ",".join([f"{i}:{y}:{s:.3f}" for s, g in found for i, y in self.ids[g]][:EVIDENCE]) if tf else ""
 
 
 def _sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
     """(doc_id, toxic, key of the text, terms, tf) of the labelled sample, 2 x FIT_ROWS rows at most, and the share of label 1 among all learnable labels."""
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out(F.col("doc_id")))
     size = known.agg(F.count("*").alias("n"), F.sum("toxic").alias("n1")).first()
-    # the ids of the least hashes of each label: 2 x FIT_ROWS at most
-    chosen = known.limit(0).select("doc_id", "toxic")
-    for y in (0, 1):
-        chosen = chosen.union(least_hashed(known.where(f"toxic = {y}"), "doc_id", FIT_ROWS).select("doc_id", "toxic"))
+    # the texts of the least hashes of each label: 2 x FIT_ROWS at most. Ids have no say in what is an example, but for equal texts, which are equal examples
     spark = docs.sparkSession
-    chosen = written(chosen.select(F.col("doc_id").alias("__rl_id"), F.col("toxic").cast("int").alias("toxic")), f"{work_dir(spark)}/chosen")
+    path = work_dir(spark)
+    texts = docs.select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("key")).join(known, "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("key").alias("key"))
+    texts = written(texts, f"{path}/labelled")
+    chosen = texts.limit(0)
+    for y in (0, 1):
+        chosen = chosen.union(least_hashed(texts.where(f"toxic = {y}"), "key", FIT_ROWS, "doc_id"))
+    chosen = written(chosen.select(F.col("doc_id").alias("__rl_id"), F.col("toxic").cast("int").alias("toxic")), f"{path}/chosen")
     found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("__rl_id"))
     # of an id that several rows have, the text of the least hash
     one = found.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min(F.struct(F.xxhash64("text").alias("key"), "text")).alias("x")).select("doc_id", "toxic", "x.key", "x.text")
@@ -324,7 +353,7 @@ def make_model(names: list[str], df: dict[int, int], n_docs: int, sample: DataFr
     examples = sample.mapInArrow(numbered, f"doc_id {kind}, toxic int, key long, terms array<int>, tf array<int>")
     idf = [math.log(n_docs / df[k]) if df.get(k) else 0.0 for k in range(len(names))]
     rows = [(r["doc_id"], r["key"], dict(zip(r["terms"], r["tf"])), r["toxic"]) for r in examples.collect()]
-    return Model(names, idf, sorted(rows, key=lambda r: (zlib.crc32(str(r[0]).encode()), str(r[0]))), share, background)
+    return Model(names, idf, rows, share, background)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

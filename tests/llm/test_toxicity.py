@@ -22,8 +22,9 @@ def test_index_is_exact(monkeypatch, block):
     ix = X.Index(vectors, 40)
     for k, q in enumerate(vectors):
         dots = [(round(sum(x * dict(v).get(t, 0.0) for t, x in q), 9), e) for e, v in enumerate(vectors) if e != k]
-        expected = sorted(((s, e) for s, e in dots if s > 0), key=lambda x: (-x[0], x[1]))[: X.NEIGHBOURS]
-        got = ix.nearest(q, without=(k,))
+        expected = sorted(((s, e) for s, e in dots if s > 0), key=lambda x: (-x[0], x[1]))
+        expected = [x for x in expected if x[0] >= expected[: X.NEIGHBOURS][-1][0]]  # and all ties
+        got = ix.nearest(q, without={k: 1})
         assert [e for _, e in got] == [e for _, e in expected] and [s for s, _ in got] == pytest.approx([s for s, _ in expected])
 
 
@@ -54,6 +55,25 @@ def test_held_out_labels_are_not_used(spark, scored):
     assert {r["doc_id"]: r["score"] for r in X.score_documents(docs, turned).collect()} == {r["doc_id"]: r["score"] for r in rows}
 
 
+def test_ids_have_no_say(spark):
+    """Other ids that keep the held-out rows, in another order, give the same scores, with a sample that is cut and one that is not."""
+    rows = [(i, f"{prose(i % 40, 12)}" + (" vexor" if i % 3 == 0 else "")) for i in range(400)]
+    label = {i: int(i % 3 == 0 or i % 17 == 0) for i in range(0, 400, 2)}
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    pools = {h: iter([i for i in range(10**6, 10**6 + 9000) if held(i) == h][::-1]) for h in (False, True)}
+    other = {i: next(pools[held(i)]) for i, _ in rows}
+    for limit in (8000, 40):
+        X.FIT_ROWS, kept = limit, X.FIT_ROWS
+        try:
+            one, two = (
+                {back[r["doc_id"]]: r["score"] for r in X.score_documents(spark.createDataFrame([(ids[i], t) for i, t in rows], "doc_id long, text string"), spark.createDataFrame([(ids[i], y) for i, y in label.items()], "doc_id long, toxic int")).collect()}
+                for ids in ({i: i for i, _ in rows}, other) for back in ({v: k for k, v in ids.items()},)
+            )
+        finally:
+            X.FIT_ROWS = kept
+        assert one == two and len(set(one.values())) > 1
+
+
 def test_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(1, 1), (1, 0), (4, 0), (None, 1), (6, None), (7, 7)], "doc_id long, toxic int")
     rows = X.score_documents(odd, labels).collect()
@@ -99,14 +119,15 @@ def brute(rows, label, max_terms):
             w[None] = X.BACKGROUND
         norm = math.sqrt(sum(x * x for x in w.values()))
         vec[i] = {t: x / norm for t, x in w.items()} if norm else {}
-    order = sorted(label, key=lambda i: (zlib.crc32(str(i).encode()), str(i)))
+    order = sorted(label)
     share = n1 / n
     weight = [(1 - share) / (n - n1), share / n1]
     weight = [w / max(weight) for w in weight]
 
     def voted(i):
         near = [(round(sum(x * vec[e].get(t, 0.0) for t, x in vec[i].items()), 9), k, e) for k, e in enumerate(order) if texts[e] != texts[i]]
-        near = sorted((x for x in near if x[0] > 0), key=lambda x: (-x[0], x[1]))[: X.NEIGHBOURS]
+        near = sorted((x for x in near if x[0] > 0), key=lambda x: (-x[0], x[1]))
+        near = [x for x in near if x[0] >= near[: X.NEIGHBOURS][-1][0]]  # all ties at the cut vote
         one, both = (sum(s * weight[label[e]] for s, _, e in near if label[e] or c) for c in (0, 1))
         return round((one + X.PRIOR * share) / (both + X.PRIOR), 6)
 
