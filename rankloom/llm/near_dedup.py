@@ -7,14 +7,16 @@ the more alike they are. Every candidate pair that can change a component is com
 
 Only components count, so no bucket is compared all with all: first each member with the least of its bucket; what that links is one
 component. The texts of buckets that still hold several components are then searched exactly: of two sets of similarity 0.8, the
-rarest fifth of the shingles of each, in one common order, have a shingle in common (the prefix filter of Chaudhuri et al., 2006). Copies
-that were edited apart have rare shingles of their own, so most of them meet few others there. Those that meet, in different components,
-are first held against a bound that no similar pair fails: each set has a sketch of CELLS bits, the parity of its shingles in each cell of
+rarest fifth of the larger one's shingles and the rarest ninth of the other's, in one common order, have a shingle in common (the prefix filter of
+Chaudhuri et al., 2006, and its shorter prefix for the smaller set, of Xiao et al., 2008); only sets of near sizes are put together. Pages of one template that
+are not similar have a ninth of their shingles to themselves, and meet nobody there; copies that were edited apart meet few others. Those that
+meet, in different components, and whose places in the order leave enough to share, are held against a bound that no similar pair fails: each set has a sketch of CELLS bits, the parity of its shingles in each cell of
 the hash space, and the bits in which two sketches differ are at most the shingles that the sets do not share. What is left is compared.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -32,6 +34,8 @@ SIMILAR = (4, 5)
 BANDS, ROWS = 25, 5
 #: Bits of the parity sketch; long sets fill it up, and then fewer pairs are ruled out.
 CELLS = 1024
+#: Sizes of a class of sets, from the least to the next class's.
+SIZE_STEP = 1.03
 
 
 def shingles(text: bytes | None) -> frozenset[bytes]:
@@ -105,10 +109,11 @@ def _hashed(batches: Iterator) -> Iterator:
 
 
 def prefixes(nodes: DataFrame, texts: DataFrame, path: str) -> DataFrame:
-    """h, node, root, size, sketch: the shingles in which a node(node, root) can meet another one that is similar; size is that of its whole set.
+    """h, place, node, root, size, sketch: the shingles in which a node(node, root) can meet another one that is similar; size is that of its whole
+    set, place the shingle's in its order, from 0.
 
     Sets are ordered by rarity among the nodes, then by hash. Two sets of similarity 4 / 5 share 4 / 5 of the larger one's shingles at
-    least, so that the first n - ceil(4 n / 5) + 1 of each share one. Shingles that no other node has are left out after that.
+    least, so that their first common shingle is among the first n - ceil(4 n / 5) + 1 of each. Shingles that no other node has are left out after that.
     """
     texts = texts.select(F.xxhash64("text").alias("node"), F.col("text").cast("string").alias("t")).join(nodes.select("node").hint("merge"), "node", "left_semi")
     texts = texts.groupBy("node").agg(F.first("t").alias("t")).join(nodes.hint("merge"), "node").select("node", "root", "t")
@@ -119,7 +124,35 @@ def prefixes(nodes: DataFrame, texts: DataFrame, path: str) -> DataFrame:
     size = F.size("hs").cast("long")
     order = flat.groupBy("node").agg(F.array_sort(F.collect_list("x")).alias("xs"))
     first = sets.select("node", "root", "sketch", size.alias("size"), (size - F.ceil(size * F.lit(SIMILAR[0]) / F.lit(SIMILAR[1])) + 1).cast("int").alias("k")).join(order.hint("merge"), "node")
-    return first.select("node", "root", "size", "sketch", F.explode(F.slice("xs", F.lit(1), F.col("k"))).alias("x")).where("x.df > 1").select("x.h", "node", "root", "size", "sketch")
+    return first.select("node", "root", "size", "sketch", F.posexplode(F.slice("xs", F.lit(1), F.col("k"))).alias("place", "x")).where("x.df > 1").select("x.h", "place", "node", "root", "size", "sketch")
+
+
+def meetings(met: DataFrame) -> DataFrame:
+    """All rows of met(h, place, node, root, size, sketch) put together with those of no larger sets, of similar size, in their shorter prefix: columns
+    of the smaller set end in _b. Of a pair of similar sets there is a row for their first common shingle, which may_meet() keeps.
+
+    A set shares (4 / 9) (n + m) shingles with one of m >= n that is similar, 8 / 9 of its own at least: its first common shingle is among the first
+    n - ceil(8 n / 9) + 1. A set of n is put together with classes of sizes from 4 / 5 of n to n, at each place with those alone whose least size leaves
+    enough shingles to share from there on.
+    """
+    num, den = SIMILAR
+    log = math.log(SIZE_STEP)
+    group = lambda size: F.floor(F.log(size) / F.lit(log)).cast("int")
+    least = F.ceil(F.col("size") * num / den)
+    larger = met.withColumn("class", F.explode(F.sequence(group(least), group(F.col("size")))))
+    smallest = F.greatest(least, F.floor(F.pow(F.lit(SIZE_STEP), "class")) - 1)
+    larger = larger.where((F.col("size") - F.col("place")) * (num + den) >= num * (F.col("size") + smallest))
+    short = F.col("size") - F.ceil(F.col("size") * (2 * num) / (num + den)) + 1
+    smaller = met.where(F.col("place") < short).select("h", group(F.col("size")).alias("class"), *[F.col(c).alias(f"{c}_b") for c in ("place", "node", "root", "size", "sketch")])
+    return larger.join(smaller.hint("merge"), ["h", "class"])
+
+
+def may_meet() -> Column:
+    """Of meetings(), those of different components, once a pair, whose sizes and places leave as many shingles to share as similar sets do."""
+    num, den = SIMILAR
+    once = (F.col("size") > F.col("size_b")) | (F.col("size") == F.col("size_b")) & (F.col("node") > F.col("node_b"))
+    left = F.least(F.col("size") - F.col("place"), F.col("size_b") - F.col("place_b"))
+    return once & (F.col("root") != F.col("root_b")) & (F.col("size_b") * den >= F.col("size") * num) & (left * (num + den) >= num * (F.col("size") + F.col("size_b")))
 
 
 def may_be_similar(a: str, b: str, size_a: str, size_b: str) -> Column:
@@ -187,9 +220,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     met = written(prefixes(open_.select("node", "root").distinct(), docs, path), f"{path}/prefixes")
     mixed = met.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("h")
     met = written(met.join(mixed.hint("merge"), "h", "left_semi"), f"{path}/met")
-    other = met.select("h", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("size").alias("size_b"), F.col("sketch").alias("sketch_b"))
-    near = (F.col("root") != F.col("root_b")) & (F.col("a") < F.col("b")) & may_be_similar("sketch", "sketch_b", "size", "size_b")
-    across = met.withColumnRenamed("node", "a").join(other.hint("merge"), "h").where(near).select("a", "b").distinct()
+    across = meetings(met).where(may_meet() & may_be_similar("sketch", "sketch_b", "size", "size_b"))
+    across = across.select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct()
     links = stars.union(verified(across, docs, f"{path}/across"))
 
     roots = components(links, f"{path}/rounds").withColumnRenamed("node", "text_key")

@@ -78,3 +78,47 @@ def test_odd_rows(spark, odd, none):
     kept = N.drop_near_duplicates(odd)
     assert kept.columns == odd.columns and kept.where("doc_id = 4").count() == 1 and kept.where("doc_id = 8").count() == 0
     assert N.drop_near_duplicates(none).count() == 0
+
+
+def template_pages(n, own):
+    """Pages of one template of 100 words, each with some words of its own."""
+    r, words, out = random.Random(8), prose(31, 100).split(), []
+    for k in range(n):
+        page = list(words)
+        for i, at in enumerate(r.sample(range(100), own)):
+            page[at] = f"own{k}x{i}"
+        out.append((k, " ".join(page)))
+    return out
+
+
+def test_pages_of_one_template_meet_few_others(spark, tmp_path):
+    """Alike, but by less than 0.8: the rows that are put together stay in proportion to the pages."""
+    from pyspark.sql import functions as F
+
+    for n in (500, 2000):
+        docs = spark.createDataFrame(template_pages(n, 3), "doc_id long, text string")
+        nodes = docs.select(F.xxhash64("text").alias("node")).withColumn("root", F.col("node"))
+        met = N.prefixes(nodes, docs, f"{tmp_path}/{n}")
+        assert N.meetings(met).count() < 100 * n
+    rows = template_pages(150, 3) + [(1000 + k, t) for k, t in template_pages(30, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(x["doc_id"], x["component_id"]) for x in N.near_duplicates(docs).collect()} == set(zip((i for i, _ in rows), brute(rows)))
+
+
+def test_similar_sets_meet(spark, tmp_path):
+    """Of random sets of many sizes, all pairs of similarity 0.8 or more are kept."""
+    from pyspark.sql import functions as F
+
+    r, rows = random.Random(9), []
+    for k in range(120):
+        words = prose(k // 8 + 40, r.choice([12, 30, 60, 61, 150]) + r.randrange(3)).split()
+        for _ in range(r.randrange(3)):
+            words[r.randrange(len(words))] = f"x{r.randrange(2)}"
+        rows.append((k, " ".join(words + ["y"] * r.randrange(len(words) // 4 + 1))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    keyed = docs.select(F.xxhash64("text").alias("node"), "text").distinct()
+    sets = {x["node"]: shingles(x["text"]) for x in keyed.collect()}
+    met = N.prefixes(keyed.select("node", F.col("node").alias("root")), docs, str(tmp_path))
+    found = {tuple(sorted((x["node"], x["node_b"]))) for x in N.meetings(met).where(N.may_meet() & N.may_be_similar("sketch", "sketch_b", "size", "size_b")).collect()}
+    alike = {tuple(sorted((a, b))) for a, b in itertools.combinations(sets, 2) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    assert alike <= found and len(alike) > 10
