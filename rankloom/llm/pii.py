@@ -279,7 +279,7 @@ def add_at(patterns: list[dict], post: list[float], weights: list[float]) -> flo
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, base, spans and secrets per row of docs(doc_id, text): arrays of struct(kind number, start, stop), by kind and start.
 
-    base: the strict patterns' spans. spans: these and the added ones of the same kinds. secrets: spans of kind 4. Null and empty texts have
+    base: the strict patterns' spans. spans: these and all added ones, of the same kinds and of kind 4. secrets: those of kind 4 alone. Null and empty texts have
     none. Repeated rows are rows of their own; ids may be null. An empty table gives an empty result; other columns are not looked at. A
     loose candidate, which meets no base span, is added if a labeler votes for it, its probability is what add_at() says, and it meets no
     added span of an earlier kind.
@@ -300,8 +300,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     rows = found.select("doc_id", F.filter("spans", lambda x: ~x["loose"]).alias("b"), F.filter("spans", lambda x: x["loose"] & seconded(x) & (likelihood(x) >= least)).alias("l"))
     rows = rows.withColumn("l", _apart(F.col("l"), F.col("l"), lambda x, y: y["kind"] < x["kind"]))
     base, added = F.transform("b", place), F.transform("l", place)
-    own = F.filter(added, lambda x: x["kind"] < len(KINDS))
-    return rows.select("doc_id", F.array_sort(base).alias("base"), F.array_sort(F.concat(base, own)).alias("spans"), F.array_sort(F.filter(added, lambda x: x["kind"] >= len(KINDS))).alias("secrets"))
+    return rows.select("doc_id", F.array_sort(base).alias("base"), F.array_sort(F.concat(base, added)).alias("spans"), F.array_sort(F.filter(added, lambda x: x["kind"] >= len(KINDS))).alias("secrets"))
 
 
 def digest(spans: Column) -> Column:
@@ -318,7 +317,7 @@ def redact(docs: DataFrame, mark: str = "<{}>") -> DataFrame:
     path = work_dir(docs.sparkSession)
     texts = docs.where("text is not null").select(F.xxhash64("text").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = find_personal_data(texts.groupBy("doc_id").agg(F.first("text").alias("text")))
-    spans = F.array_sort(F.transform(F.concat("spans", "secrets"), lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), x["kind"].alias("kind"))))
+    spans = F.array_sort(F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), x["kind"].alias("kind"))))
     found = written(found.select(F.col("doc_id").alias("__rl_key"), spans.alias("__rl_spans")).where("size(__rl_spans) > 0"), f"{path}/found")
     names = F.array(*[F.lit(mark.format(k)) for k in ALL_KINDS])
     text = F.col("text")
@@ -333,5 +332,5 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_personal_data(table(spark, sf_dir, "documents"))
     many = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
     counts = [many(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
-    n = (F.size("spans") + F.size("secrets")).cast("long")
+    n = F.size("spans").cast("long")
     return found.select("doc_id", *counts, F.sha2(digest(F.col("base")), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"), F.size("secrets").cast("long").alias("n_secret"), digest(F.col("secrets")).alias("secrets"), n.alias("n_found"), (n > 0).alias("found"))
