@@ -137,21 +137,27 @@ def preferences(stored: dict | None) -> dict:
     return {"model": pick("model", MODELS), "collection": pick("collection", COLLECTIONS)}
 
 
-def search(ranked: DataFrame, metadata: DataFrame, parts: DataFrame | None, queries: DataFrame, collection: str = "paper", number: int = 1, size: int = 10, depth: int = 100) -> DataFrame:
+def search(ranked: DataFrame, metadata: DataFrame, parts: DataFrame | None, queries: DataFrame, collection: str = "paper", number: int = 1, size: int = 10, depth: int = 100, types: list[str] | None = None, since: int | None = None) -> DataFrame:
     """query_id, rank, doc_id, type, year, title, excerpt, total of a page of the first `depth` hits.
 
     A paragraph's paper is found over parts(doc_id, paper_id, text), its title and year over metadata(doc_id, title, abstract, year); hits
-    without metadata drop out of the page, not out of the total.
+    without metadata drop out of the page, not out of the total. With facets (types, since a year), hits that have not those are left out before
+    pages are cut: total and rank are those of what is left.
     """
-    top = ranked.where(F.col("rank") <= depth)
+    top, kind = ranked.where(F.col("rank") <= depth), "Paper" if collection == "paper" else "Paragraph"
+    if types or since is not None:
+        heads = metadata.select("doc_id", "year")
+        if collection != "paper":
+            heads = parts.select("doc_id", "paper_id").join(heads.withColumnRenamed("doc_id", "paper_id"), "paper_id").select("doc_id", "year")
+        top = facet_filter(top.join(heads, "doc_id").withColumn("type", F.lit(kind)), types, since).drop("type", "year")
+        top = top.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
     total = top.groupBy("query_id").agg(F.count("*").alias("total"))
     rows = page(top, number, size).join(total, "query_id").join(queries.select("query_id", "query"), "query_id")
     if collection == "paper":
         rows = rows.join(metadata.withColumnRenamed("abstract", "text"), "doc_id")
     else:
         rows = rows.join(parts.select("doc_id", "paper_id", "text"), "doc_id").join(metadata.select(F.col("doc_id").alias("paper_id"), "title", "year"), "paper_id")
-    kind = F.lit("Paper" if collection == "paper" else "Paragraph")
-    return excerpt(rows).select("query_id", "rank", "doc_id", kind.alias("type"), "year", "title", "excerpt", "total")
+    return excerpt(rows).select("query_id", "rank", "doc_id", F.lit(kind).alias("type"), "year", "title", "excerpt", "total")
 
 
 # --- a user's vocabulary: words(word, kind, active), kind query, keyword or suggested ---

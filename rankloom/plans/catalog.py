@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rankloom.functions import stem
+from rankloom.functions import encoders, stem
 from rankloom.functions import text as T
 from rankloom.operators import blocks
 from rankloom.operators import collections as C
@@ -434,6 +434,19 @@ def rankers(spark, d):
     return longs(out)
 
 
+_ENCODED = {
+    "ev": f"SELECT query_id, CAST('0x' || substr(md5(w), 1, 7) AS BIGINT) % 64 + 1 AS i, sum(CASE WHEN CAST('0x' || substr(md5(w), 8, 1) AS BIGINT) % 2 = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) AS v FROM (SELECT query_id, unnest(regexp_extract_all(lower(query), '[^{Q.SP}]+')) AS w FROM q) GROUP BY query_id, i",
+    "ef": "SELECT query_id, i, CAST(CAST(v / sqrt(sum(v * v) OVER (PARTITION BY query_id)) AS FLOAT) AS DOUBLE) AS x FROM ev",
+    "en": "SELECT query_id, i, x / sqrt(sum(x * x) OVER (PARTITION BY query_id)) AS x FROM ef",
+}
+
+
+@query(_RUN.format("(" + Q.ranked("SELECT query_id, doc_id, round(sum(x * CAST(vector[i] AS DOUBLE)), 6) AS score FROM en, vec GROUP BY query_id, doc_id", 100) + ")"), _ENCODED)
+def dense_ranker(spark, d):
+    """Query texts, encoded, against the given vectors, by the common surface."""
+    return longs(R.Dense(X.vector_chunks(spark, d), encoders.HashEncoder).rank(X.query_texts(spark, d)))
+
+
 # --- evaluation ---
 
 
@@ -800,6 +813,15 @@ def search_paragraphs_page(spark, d):
     return longs(V.search(X.paragraph_run(spark, d), X.metadata(spark, d), X.paragraphs(spark, d), X.query_texts(spark, d), "paragraph").drop("excerpt"))
 
 
+@query(
+    "SELECT query_id, rank, doc_id, 'Paragraph' AS type, year, title, total FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place) AS rank, count(*) OVER (PARTITION BY query_id) AS total "
+    "FROM (SELECT query_id, b.doc_id, b.rank AS place, m.year, m.title FROM bm25par b JOIN paras p USING (doc_id) JOIN meta m ON m.doc_id = p.paper_id WHERE b.rank <= 100 AND m.year >= 2050)) WHERE rank BETWEEN 11 AND 20"
+)
+def search_facets_page(spark, d):
+    """The second page of the hits since a year."""
+    return longs(V.search(X.paragraph_run(spark, d), X.metadata(spark, d), X.paragraphs(spark, d), X.query_texts(spark, d), "paragraph", 2, types=["Paragraph"], since=2050).drop("excerpt"))
+
+
 @query("SELECT doc_id, 'Paper' AS type, title, year, abstract AS content FROM meta WHERE doc_id = '7' UNION ALL SELECT p.doc_id, 'Paragraph', m.title, m.year, p.text FROM paras p JOIN meta m ON m.doc_id = p.paper_id WHERE p.doc_id = '7_1'")
 def document_preview(spark, d):
     return V.document("7", X.metadata(spark, d), X.paragraphs(spark, d)).unionByName(V.document("7_1", X.metadata(spark, d), X.paragraphs(spark, d), "paragraph"))
