@@ -17,7 +17,7 @@ from rankloom.plans import catalog
 from rankloom.plans import fixtures as X
 from rankloom.plans import sql as Q
 from rankloom.plans.catalog import longs, query, rounded
-from rankloom.sources import readers, writers
+from rankloom.sources import lookup, readers, writers
 from rankloom.sources.folders import work_folder
 
 # --- raw papers and collections ---
@@ -78,6 +78,15 @@ def wanted_texts(spark, d):
     return readers.texts_of(X.papers(spark, d), X.qrels(spark, d))
 
 
+@query("SELECT doc_id, text FROM papers WHERE doc_id IN (SELECT doc_id FROM bm25 WHERE rank <= 3)")
+def looked_up_texts(spark, d):
+    """Texts of each query's first three hits, from the files that hold them."""
+    path = work_folder(spark)
+    lookup.save(X.papers(spark, d).select("doc_id", "text"), path)
+    wanted = X.bm25_run(spark, d).where("rank <= 3").select("doc_id").distinct().collect()
+    return lookup.Lookup(spark, path).rows([r["doc_id"] for r in wanted])
+
+
 @query("SELECT doc_id FROM paras_full")
 def collection_ids(spark, d):
     return X.paragraph_index(spark, d).doc_stats.select("doc_id")

@@ -26,7 +26,7 @@ def same(x):
     return repr(round(x, 6) + 0.0) if isinstance(x, float) else "[" + ",".join(map(same, x)) + "]" if isinstance(x, (list, tuple)) else str(x)
 
 
-@pytest.mark.parametrize("name", ["tokenize", "bm25_papers", "tfidf_paragraphs", "dense_topk", "evaluation_report", "significance", "significance_tukey", "bm25_grid", "tuning_sample", "excerpt", "postings_lists", "run_round_trip", "saved_sparse_index", "input_checks"])
+@pytest.mark.parametrize("name", ["tokenize", "bm25_papers", "tfidf_paragraphs", "dense_topk", "evaluation_report", "significance", "significance_tukey", "bm25_grid", "tuning_sample", "excerpt", "postings_lists", "run_round_trip", "saved_sparse_index", "input_checks", "bm25_ties", "packed_postings", "window_weights", "dense_ranker", "search_facets_page", "highlight_vocabulary", "looked_up_texts", "page_buttons"])
 def test_rows_equal_those_of_sql(spark, duck, name):
     df = catalog.queries()[name](spark, SF)
     cols = sorted(df.columns)

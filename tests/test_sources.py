@@ -97,3 +97,17 @@ def test_settings_without_a_yaml_library():
         assert S.plain_settings(text) == (yaml.safe_load(text) or {})
     with pytest.raises(S.InputError):
         S.plain_settings("- a\n- b")
+
+
+def test_lookup_opens_only_the_files_of_wanted_ids(spark, tmp_path):
+    from rankloom.sources import lookup
+
+    rows = spark.range(3000).selectExpr("printf('%05d', id) as doc_id", "concat('text ', id) as text").union(spark.createDataFrame([("01500", "again")], "doc_id string, text string"))
+    lookup.save(rows, str(tmp_path / "t"), files=25)
+    table = lookup.Lookup(spark, str(tmp_path / "t"))
+    assert len(table.files) == 25
+    got = table.rows(["00007", "01500", "02999", "00007"])
+    assert sorted(r["doc_id"] for r in got.collect()) == ["00007", "01500", "01500", "02999"] and len(got.inputFiles()) <= 4
+    with pytest.raises(S.InputError):
+        table.rows(["00007", "9"])
+    assert table.rows(["00007", "9"], missing=True).count() == 1 and table.rows(["zzz"], missing=True).count() == 0 and table.rows([]).count() == 0
