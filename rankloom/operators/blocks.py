@@ -1,6 +1,6 @@
 """Block-max ranking over packed postings.
 
-Documents are dealt into tiles of at most TILE, in the order of their lengths and ids. parts has a row for each tile, and for each term in a tile:
+Each task deals its documents into tiles of at most TILE, in the order of their lengths and ids. parts has a row for each tile, and for each term in a tile:
 
   tile, term (null: the tile itself), gaps, tfs, blocks array<struct<block, n, top>>, ids, lengths
 
@@ -15,13 +15,14 @@ blocks alone whose bounds reach it; k rows of each query leave the task.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankloom.functions.stem import STEMMERS
+
 #: Documents of a tile and places of a block; tokens at which a tile ends even if it has fewer documents.
 TILE, BLOCK, TILE_TOKENS = 4096, 64, 4_000_000
 #: Postings that a task looks at together; rows of query terms that one scan takes along, of some 50 bytes each.
@@ -32,30 +33,69 @@ SCHEMA = "tile long, term string, gaps array<int>, tfs array<int>, blocks array<
 
 def pack(rows: DataFrame, tile: int = TILE) -> DataFrame:
     """parts of rows(doc_id string, tokens). Write or cache the result: the numbers of tiles are those of the tasks that make them."""
-    return _packed(rows.select(F.size("tokens").alias("length"), "doc_id", F.col("tokens").alias("terms"), F.lit(None).cast("array<int>").alias("tfs")), tile)
+    return pack_counted(counted(rows), tile)
 
 
-def pack_counted(rows: DataFrame, tile: int = TILE) -> DataFrame:
-    """parts of rows(doc_id string, length, terms, tfs), as pack, of tokens that are counted already."""
-    return _packed(rows.select("length", "doc_id", "terms", "tfs"), tile)
+#: Tokens that a task counts together.
+COUNTED = 500_000
+
+
+def counted(rows: DataFrame, stemming: str = "none") -> DataFrame:
+    """doc_id, length, terms, tfs of rows(doc_id string, tokens): a document's distinct tokens, stemmed as said, and how often each occurs. Nothing is shuffled."""
+
+    def each(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
+        for b in batches:
+            for some in _slices(b, 1, COUNTED):
+                lists = some.column(1)
+                sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                words = lists.flatten().dictionary_encode()
+                code, names = words.indices.to_numpy(), words.dictionary
+                if stemming != "none":
+                    stems = pa.array([STEMMERS[stemming](w) for w in names.to_pylist()], pa.string()).dictionary_encode()
+                    code, names = stems.indices.to_numpy()[code], stems.dictionary
+                key, tfs = np.unique(np.repeat(np.arange(len(sizes)), sizes) * max(len(names), 1) + code, return_counts=True)
+                ends = np.append(0, np.cumsum(np.bincount(key // max(len(names), 1), minlength=len(sizes)))).astype(np.int32)
+                terms = names.take(pa.array(key % max(len(names), 1)))
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sizes), pa.ListArray.from_arrays(pa.array(ends), terms), pa.ListArray.from_arrays(pa.array(ends), pa.array(tfs.astype(np.int32)))], ["doc_id", "length", "terms", "tfs"])
+
+    return rows.select("doc_id", "tokens").mapInArrow(each, "doc_id string, length long, terms array<string>, tfs array<int>")
+
+
+def _slices(b, column: int, most: int) -> Iterator:
+    """Slices of a batch whose lists in a column have at most so many elements together; a row alone may have more."""
+    sizes = np.cumsum(b.column(column).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < b.num_rows:
+        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, "right")))
+        yield b.slice(at, end - at)
+        at = end
+
+
+def pack_counted(rows: DataFrame, tile: int = TILE) -> DataFrame:
+    """parts of rows(doc_id string, length, terms, tfs), as pack, of tokens that are counted already.
 
-def _packed(rows: DataFrame, tile: int) -> DataFrame:
-    dealt = rows.repartitionByRange("length", "doc_id").sortWithinPartitions("length", "doc_id")
+    A task packs what it has, in the order of lengths: nothing is shuffled, and no task gets all of the long documents. It holds one tile, as Arrow arrays.
+    """
+    dealt = rows.select("length", "doc_id", "terms", "tfs").sortWithinPartitions("length", "doc_id")
 
     def packed(batches: Iterator) -> Iterator:
         from pyspark import TaskContext
 
-        number, docs, n = TaskContext.get().partitionId() << 24, [], 0
+        number, held, docs, n = TaskContext.get().partitionId() << 24, [], 0, 0
         for b in batches:
-            for length, doc, terms, tfs in zip(*(c.to_pylist() for c in b.columns)):
-                if docs and (len(docs) == tile or n + len(terms) > TILE_TOKENS):
-                    yield _tile(number, docs)
-                    number, docs, n = number + 1, [], 0
-                docs.append((doc, length, Counter(terms) if tfs is None else dict(zip(terms, tfs))))
-                n += len(terms)
+            sizes = b.column(2).value_lengths().to_numpy().tolist()
+            begin = 0
+            for i, size in enumerate(sizes):
+                if docs and (docs == tile or n + size > TILE_TOKENS):
+                    yield _tile(number, [*held, b.slice(begin, i - begin)])
+                    number, held, docs, n, begin = number + 1, [], 0, 0, i
+                docs += 1
+                n += size
+            held.append(b.slice(begin))
         if docs:
-            yield _tile(number, docs)
+            yield _tile(number, held)
 
     return dealt.mapInArrow(packed, SCHEMA)
 
@@ -68,23 +108,26 @@ def _lists(values, sizes: np.ndarray, first: int = 0):
     return pa.ListArray.from_arrays(pa.array(ends), values, mask=pa.array(np.arange(first + len(sizes)) < first))
 
 
-def _tile(number: int, docs: list[tuple[str, int, dict[str, int]]]):
-    """The rows of a tile: its own, then its terms in order."""
+def _tile(number: int, batches: list):
+    """The rows of a tile: its own, then its terms in order. batches(length, doc_id, terms, tfs) of its documents."""
     import pyarrow as pa
+    import pyarrow.compute as pc
 
-    codes: dict[str, int] = {}
-    code, place, tf = [], [], []
-    for at, (_, _, counts) in enumerate(docs):
-        for term, n in counts.items():
-            code.append(codes.setdefault(term, len(codes)))
-            place.append(at)
-            tf.append(n)
-    terms = sorted(codes)
-    rank = np.empty(len(codes), np.int64)
-    rank[[codes[t] for t in terms]] = np.arange(len(codes))
-    code, place, tf = rank[code] if code else np.empty(0, np.int64), np.array(place, np.int64), np.array(tf, np.int32)
-    order = np.lexsort((place, code))
-    code, place, tf = code[order], place[order], tf[order]
+    batches = [b for b in batches if b.num_rows]
+    column = lambda i: pa.concat_arrays([b.column(i) for b in batches])
+    sizes = np.concatenate([b.column(2).value_lengths().to_numpy() for b in batches])
+    words = pa.concat_arrays([b.column(2).flatten() for b in batches]).dictionary_encode()
+    order = pc.sort_indices(words.dictionary)
+    terms = words.dictionary.take(order)
+    rank = np.empty(len(terms), np.int64)
+    rank[order.to_numpy()] = np.arange(len(terms))
+    # one number a posting: term, place, tf
+    tf = np.concatenate([b.column(3).flatten().to_numpy() for b in batches]).astype(np.int64)
+    places, tfs = max(len(sizes) - 1, 1).bit_length(), max(int(tf.max(initial=1)), 1).bit_length()
+    key = (rank[words.indices.to_numpy()] << places + tfs) | (np.repeat(np.arange(len(sizes)), sizes) << tfs) | tf
+    key.sort()
+    code, place, tf = key >> places + tfs, (key >> tfs) & (1 << places) - 1, (key & (1 << tfs) - 1).astype(np.int32)
+    del words, key
     block = place // BLOCK
     new = np.append(True, (code[1:] != code[:-1]) | (block[1:] != block[:-1])) if len(code) else np.empty(0, bool)
     first = np.flatnonzero(new)
@@ -93,10 +136,10 @@ def _tile(number: int, docs: list[tuple[str, int, dict[str, int]]]):
     n = np.diff(np.append(first, len(code)))
     blocks = pa.StructArray.from_arrays([pa.array(block[first], pa.int32()), pa.array(n, pa.int32()), pa.array(np.maximum.reduceat(tf, first) if len(first) else tf)], ["block", "n", "top"])
     per_term, rows = np.bincount(code, minlength=len(terms)), 1 + len(terms)
-    own = lambda values, kind: pa.array([values] + [None] * len(terms), pa.list_(kind))
+    own = lambda values: pa.ListArray.from_arrays(pa.array(np.append(0, np.full(rows, len(values))).astype(np.int32)), values, mask=pa.array(np.arange(rows) > 0))
     return pa.RecordBatch.from_arrays([
-        pa.array(np.full(rows, number)), pa.array([None, *terms], pa.string()), _lists(pa.array(gaps, pa.int32()), per_term, 1), _lists(pa.array(tf), per_term, 1),
-        _lists(blocks, np.bincount(code[first], minlength=len(terms)), 1), own([d for d, _, _ in docs], pa.string()), own([n for _, n, _ in docs], pa.int32()),
+        pa.array(np.full(rows, number)), pa.concat_arrays([pa.nulls(1, pa.string()), terms]), _lists(pa.array(gaps, pa.int32()), per_term, 1), _lists(pa.array(tf), per_term, 1),
+        _lists(blocks, np.bincount(code[first], minlength=len(terms)), 1), own(column(1)), own(column(0).cast(pa.int32())),
     ], ["tile", "term", "gaps", "tfs", "blocks", "ids", "lengths"])
 
 

@@ -37,6 +37,8 @@ class Index:
     term_stats: DataFrame
     collection_stats: DataFrame
     parts: DataFrame
+    #: doc_id, length, terms, tfs (blocks.counted), if they are kept.
+    docs: DataFrame | None = None
 
     def vocabulary(self) -> DataFrame:
         return self.term_stats.select("term")
@@ -110,6 +112,16 @@ def build(rows: DataFrame, postings: DataFrame | None = None, parts: DataFrame |
     return Index(postings, docs, norms(postings, terms), terms, stats, parts)
 
 
+def build_counted(docs: DataFrame, parts: DataFrame) -> Index:
+    """The index of docs (blocks.counted, written) and their parts. Postings are the lists of docs, row by row."""
+    pair = F.explode(F.arrays_zip("terms", "tfs")).alias("p")
+    postings = docs.select("doc_id", F.col("length").alias("doc_length"), pair).select(F.col("p.terms").alias("term"), "doc_id", F.col("p.tfs").cast("long").alias("tf"), "doc_length")
+    own = docs.select("doc_id", F.col("length").alias("doc_length"))
+    stats = own.agg(F.count("*").alias("num_docs"), F.coalesce(F.avg("doc_length"), F.lit(0.0)).alias("avg_doc_length"))
+    terms = weighted_terms(postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")), stats)
+    return Index(postings, own, norms(postings, terms), terms, stats, parts, docs)
+
+
 def weighted_terms(terms: DataFrame, stats: DataFrame) -> DataFrame:
     """term_stats of terms(term, df, cf) and the one row of collection_stats."""
     terms = terms.crossJoin(F.broadcast(stats.select("num_docs")))

@@ -108,3 +108,15 @@ def test_saved_index_ranks_alike(spark, ix, asked, tmp_path):
     ix.save(str(tmp_path))
     assert rows(R.bm25(asked, I.load(spark, str(tmp_path)), 10)) == rows(R.bm25(asked, ix, 10))
     assert rows(R.bm25(asked, I.empty(spark), 10)) == []
+
+
+def test_packing_shuffles_nothing_and_counts_in_slices(spark, monkeypatch):
+    """Long documents are not brought together: neither documents nor tokens go to other tasks, and slices of a batch give the same rows."""
+    rows = spark.createDataFrame([(d, t + ["runs"] * (i % 3)) for i, (d, t) in enumerate(corpus(300))], "doc_id string, tokens array<string>")
+    assert "Exchange" not in B.pack(rows, 50)._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(B, "COUNTED", 40)
+    got = {r["doc_id"]: (r["length"], dict(zip(r["terms"], r["tfs"]))) for r in B.counted(rows, "snowball").collect()}
+    for r in rows.collect():
+        words = ["run" if w == "runs" else w for w in r["tokens"]]
+        assert got[r["doc_id"]] == (len(words), {w: words.count(w) for w in words})
+    assert B.counted(rows.limit(0)).collect() == []
