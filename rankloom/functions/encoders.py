@@ -19,24 +19,40 @@ class Encoder(Protocol):
     def encode(self, texts: list[str]) -> list[list[float]]: ...
 
 
+class _Places(dict):
+    """Words to places: of a vector of `size`, the first for words that take 1, then those that add 1. So many words are remembered."""
+
+    def __init__(self, size: int, most: int = 200_000):
+        self.size, self.most = size, most
+
+    def __missing__(self, word: str) -> int:
+        import hashlib
+
+        if len(self) >= self.most:
+            self.clear()
+        h = hashlib.md5(word.encode("utf-8", "surrogatepass")).hexdigest()
+        self[word] = place = int(h[:7], 16) % self.size + self.size * (int(h[7], 16) & 1)
+        return place
+
+
 class HashEncoder:
-    """Each word adds 1 or takes 1 at a place, both by its md5. max_words: words of a text that are read, all if None, as a learned encoder has a limit."""
+    """Each word adds 1 or takes 1 at a place, both by its md5. If the words of a text cancel out, the first alone counts: each text with a word has length 1.
+    max_words: words of a text that are read, all if None, as a learned encoder has a limit."""
 
     def __init__(self, size: int = 64, max_words: int | None = None):
-        self.size, self.max_words = size, max_words
+        self.size, self.max_words, self.places = size, max_words, _Places(size)
 
     def encode(self, texts: list[str]) -> list[list[float]]:
-        import hashlib
-        import math
+        import numpy as np
 
         out = []
         for text in texts:
-            v = [0.0] * self.size
-            for w in (text or "").lower().split()[: self.max_words]:
-                h = hashlib.md5(w.encode("utf-8", "surrogatepass")).hexdigest()
-                v[int(h[:7], 16) % self.size] += 1.0 if int(h[7], 16) & 1 else -1.0
-            norm = math.sqrt(sum(x * x for x in v))
-            out.append([x / norm for x in v] if norm else v)
+            words = (text or "").lower().split()[: self.max_words]
+            n = np.bincount([self.places[w] for w in words], minlength=2 * self.size) if words else np.zeros(2 * self.size)
+            v = (n[self.size :] - n[: self.size]).astype(float)
+            if words and not v.any():
+                v[self.places[words[0]] % self.size] = 1.0 if self.places[words[0]] >= self.size else -1.0
+            out.append((v / np.sqrt(v @ v) if words else v).tolist())
         return out
 
 
