@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankloom.operators import blocks
+from rankloom.sources.folders import work_folder
 
 TABLES = ("postings", "doc_stats", "doc_norms", "term_stats", "collection_stats", "parts")
 #: Documents in a block of a packed posting list, about.
@@ -20,13 +21,23 @@ def bm25_idf(n: Column, df: Column) -> Column:
     return F.log1p((n - df + 0.5) / (df + 0.5))
 
 
-def numbered(rows: DataFrame, *order: str) -> DataFrame:
-    """rows with `number`: places in an order, from 0. Two levels: rows by range partition, then inside each, so that no task sorts all."""
-    parted = rows.repartitionByRange(*order).withColumn("__p", F.spark_partition_id())
+def ranged(rows: DataFrame, *order: str) -> tuple[DataFrame, DataFrame]:
+    """(rows with __p, the number of their range partition, and __i, their place in it from 0; __p and __base, the rows ahead of each partition).
+
+    Ranges come from a sample, so that rows are written with their range: if both tables made them anew, they might differ.
+    """
+    path = work_folder(rows.sparkSession)
+    rows.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()).write.parquet(path)
+    parted = rows.sparkSession.read.parquet(path)
     ahead = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     base = parted.groupBy("__p").agg(F.count("*").alias("__n")).select("__p", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__base"))
-    own = F.row_number().over(Window.partitionBy("__p").orderBy(*order)) - 1
-    return parted.withColumn("__i", own).join(F.broadcast(base), "__p").withColumn("number", (F.col("__base") + F.col("__i")).cast("long")).select(*rows.columns, "number")
+    return parted.withColumn("__i", F.row_number().over(Window.partitionBy("__p").orderBy(*order)) - 1), base
+
+
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """rows with `number`: places in an order, from 0. Two levels: rows by range partition, then inside each, so that no task sorts all."""
+    parted, base = ranged(rows, *order)
+    return parted.join(F.broadcast(base), "__p").withColumn("number", (F.col("__base") + F.col("__i")).cast("long")).select(*rows.columns, "number")
 
 
 @dataclass

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom import schemas
@@ -16,9 +16,9 @@ class InputError(ValueError):
     """An input file does not hold what it must."""
 
 
-def raw_papers(spark: SparkSession, path: str, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(papers, malformed files) of a folder with a JSON object per file; `limit` takes the first files by name, 0 or None all."""
-    rows = spark.read.schema(schemas.RAW_PAPER).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path).withColumn("file", F.input_file_name())
+def raw_papers(spark: SparkSession, path: str, limit: int | None = None, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(papers, malformed ones) of a folder with a JSON object per file, or per line; `limit` takes the first files by name, 0 or None all."""
+    rows = spark.read.schema(schemas.RAW_PAPER).option("multiLine", not lines).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path).withColumn("file", F.input_file_name())
     if limit:
         files = rows.select("file").distinct().orderBy("file").limit(limit)
         rows = rows.join(F.broadcast(files), "file", "left_semi")
@@ -96,17 +96,16 @@ def batches(rows: DataFrame, size: int = 256, limit: int | None = None, order: s
 
     Numbers come from two levels: rows per range partition, then inside each.
     """
+    from rankloom.operators.index import ranged
+
     if size < 1:
         raise ValueError("a batch has one row at least")
     rows = rows.where(F.trim("text") != "")
     if limit is not None:
         rows = rows.orderBy(order).limit(limit)
-    parted = rows.repartitionByRange(order).withColumn("__p", F.spark_partition_id())
-    ahead = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    base = parted.groupBy("__p").agg(F.count("*").alias("__n")).select("__p", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__base"))
-    own = F.row_number().over(Window.partitionBy("__p").orderBy(order))
-    numbered = parted.withColumn("__i", own).join(F.broadcast(base), "__p")
-    return numbered.withColumn("batch", F.floor((F.col("__base") + F.col("__i") - 1) / size)).drop("__p", "__i", "__base")
+    parted, base = ranged(rows, order)
+    numbered = parted.join(F.broadcast(base), "__p")
+    return numbered.withColumn("batch", F.floor((F.col("__base") + F.col("__i")) / size)).drop("__p", "__i", "__base")
 
 
 def saved_sparse(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:

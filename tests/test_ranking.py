@@ -179,3 +179,15 @@ def test_best_checkpoint(spark):
     log = spark.createDataFrame([(50, 0.1), (100, 0.4), (150, 0.3), (200, 0.4), (250, 0.2), (300, 0.9)], "step long, value double")
     assert tuple(U.best_checkpoint(log, 3).first()) == (100, 0.4, 250)
     assert tuple(U.best_checkpoint(log, 9).first()) == (300, 0.9, None)
+
+
+def test_numbers_come_from_ranges_that_are_drawn_once(spark):
+    """Ranges are sampled and joined as sizes ask: their numbers are stored, not made for the counts and for the places."""
+    from rankloom.operators.index import numbered
+    from rankloom.sources.readers import batches
+
+    ids = spark.range(6_000).select(F.col("id").cast("string").alias("doc_id"), F.lit("x").alias("text")).repartition(3)
+    place = {d: i for i, d in enumerate(sorted(map(str, range(6_000))))}
+    for got, by, size in ((numbered(ids, "doc_id"), "number", 1), (batches(ids), "batch", 256)):
+        assert "SPARK_PARTITION_ID" not in got._jdf.queryExecution().optimizedPlan().toString()
+        assert all(r[by] == place[r["doc_id"]] // size for r in got.collect())
