@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions import text as T
+from rankloom.functions.stem import stem_arrays
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
@@ -35,19 +36,21 @@ def empty(rows: DataFrame) -> DataFrame:
 def paper_collection(papers: DataFrame, cfg: T.Tokenizing = T.Tokenizing(), title_weight: int = 1, paragraph_title: bool = False, cleaning: T.Cleaning | None = None) -> tuple[DataFrame, DataFrame]:
     """(papers, paragraphs) of raw papers with tokens. A paper's tokens are its title's, title_weight times, and those of its non-empty
     paragraphs in order; the abstract is paragraph 1. With paragraph_title, paragraphs begin with the title's tokens, too."""
-    title = T.tokenize(F.col("title"), cfg, cleaning)
-    parts = paragraphs_of_raw(papers).withColumn("own", T.tokenize(F.col("text"), cfg, cleaning)).where(F.size("own") > 0).withColumn("t", title)
-    body = parts.groupBy("paper_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "own"))), lambda x: x["own"])).alias("body"))
-    heads = papers.select("paper_id", "title", "abstract", T.paper_year(F.col("paper_id")).alias("year"), F.flatten(F.array_repeat(title, title_weight)).alias("head"))
-    none = F.expr("cast(array() as array<string>)")
-    whole = heads.join(body, "paper_id", "left").select(F.col("paper_id").alias("doc_id"), "title", "abstract", "year", F.concat("head", F.coalesce("body", none)).alias("tokens"))
+    words = lambda t: T.words(t, cfg, cleaning)
+    pos = lambda key: F.regexp_extract(key, r"_(\d+)$", 1).cast("long")
+    # a paper's paragraphs are in its row, and stay there
+    own = F.array_sort(F.transform(F.map_entries("paragraphs"), lambda e: F.struct(pos(e["key"]).alias("pos"), words(e["value"]).alias("own"))))
+    body = F.coalesce(F.flatten(F.transform(own, lambda x: x["own"])), F.array().cast("array<string>"))
+    whole = papers.select(F.col("paper_id").alias("doc_id"), "title", "abstract", T.paper_year(F.col("paper_id")).alias("year"), F.concat(F.flatten(F.array_repeat(words(F.col("title")), title_weight)), body).alias("tokens"))
+    whole = whole.withColumn("tokens", stem_arrays(F.col("tokens"), cfg.stemming))
+    parts = paragraphs_of_raw(papers).withColumn("own", T.tokenize(F.col("text"), cfg, cleaning)).where(F.size("own") > 0).withColumn("t", T.tokenize(F.col("title"), cfg, cleaning))
     tokens = F.concat("t", "own") if paragraph_title else F.col("own")
     return non_empty(whole), parts.select("doc_id", "paper_id", "text", tokens.alias("tokens"))
 
 
 def metadata(papers: DataFrame, parts: DataFrame) -> DataFrame:
     """doc_id, title, abstract, year: an empty or missing abstract is paragraph 1. papers: doc_id, title, abstract, year."""
-    first = parts.select(F.col("doc_id").alias("pid"), F.col("text").alias("first"))
+    first = parts.where(F.col("doc_id").endswith("_1")).select(F.col("doc_id").alias("pid"), F.col("text").alias("first"))
     joined = papers.join(first, F.concat(papers["doc_id"], F.lit("_1")) == F.col("pid"), "left")
     return joined.select("doc_id", "title", F.coalesce(F.nullif(F.col("abstract"), F.lit("")), "first", F.lit("")).alias("abstract"), "year")
 
