@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.stem import STEMMERS
 
-#: Documents of a tile and places of a block; tokens at which a tile ends even if it has fewer documents.
-TILE, BLOCK, TILE_TOKENS = 4096, 64, 4_000_000
+#: Documents of a tile and places of a block; postings at which a tile ends even if it has fewer documents.
+TILE, BLOCK, TILE_TOKENS = 4096, 64, 1_000_000
 #: Postings that a task looks at together; rows of query terms that one scan takes along, of some 50 bytes each.
-WAVE, SCAN_TERMS = 4_000_000, 1_000_000
+WAVE, SCAN_TERMS = 1_000_000, 1_000_000
 
 SCHEMA = "tile long, term string, gaps array<int>, tfs array<int>, blocks array<struct<block: int, n: int, top: int>>, ids array<string>, lengths array<int>"
 
@@ -59,10 +59,18 @@ def counted(rows: DataFrame, stemming: str = "none") -> DataFrame:
                 ends = np.append(0, np.cumsum(np.bincount(key // max(len(names), 1), minlength=len(sizes)))).astype(np.int32)
                 terms = names.take(pa.array(key % max(len(names), 1)))
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sizes), pa.ListArray.from_arrays(pa.array(ends), terms), pa.ListArray.from_arrays(pa.array(ends), pa.array(tfs.astype(np.int32)))], ["doc_id", "length", "terms", "tfs"])
+        _release()
 
     return rows.select("doc_id", "tokens").mapInArrow(each, "doc_id string, length long, terms array<string>, tfs array<int>")
 
 
+def _release() -> None:
+    """Gives back what Arrow has freed: workers are kept for later tasks."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+
+
 def _slices(b, column: int, most: int) -> Iterator:
     """Slices of a batch whose lists in a column have at most so many elements together; a row alone may have more."""
     sizes = np.cumsum(b.column(column).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -96,6 +104,7 @@ def pack_counted(rows: DataFrame, tile: int = TILE) -> DataFrame:
             held.append(b.slice(begin))
         if docs:
             yield _tile(number, held)
+        _release()
 
     return dealt.mapInArrow(packed, SCHEMA)
 
@@ -353,6 +362,7 @@ def _ranked(batches: Iterator, rows, average: float, settings, k: int, ties: boo
             for q in range(len(queries)):
                 some = slice(ends[q], ends[q + 1])
                 told[s, q] += search(w, code[some], weight[some] * (k1 + 1), bounds, norms, best[s][q])
+    _release()
     for s, each in enumerate(best):
         if counts:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(queries), s), pa.int32()), queries, pa.array(told[s, :, 0]), pa.array(told[s, :, 1])], ["setting", "query_id", "postings", "read"])

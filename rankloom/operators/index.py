@@ -4,8 +4,10 @@ BM25 ranks. Postings carry their document's length, so that scoring joins no tab
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -49,7 +51,7 @@ class Index:
     collection_stats: DataFrame
     parts: DataFrame
     #: doc_id, length, terms, tfs (blocks.counted), if they are kept.
-    docs: DataFrame | None = None
+    docs: DataFrame | None = field(default=None, init=False)
 
     def vocabulary(self) -> DataFrame:
         return self.term_stats.select("term")
@@ -123,14 +125,20 @@ def build(rows: DataFrame, postings: DataFrame | None = None, parts: DataFrame |
     return Index(postings, docs, norms(postings, terms), terms, stats, parts)
 
 
-def build_counted(docs: DataFrame, parts: DataFrame) -> Index:
-    """The index of docs (blocks.counted, written) and their parts. Postings are the lists of docs, row by row."""
-    pair = F.explode(F.arrays_zip("terms", "tfs")).alias("p")
-    postings = docs.select("doc_id", F.col("length").alias("doc_length"), pair).select(F.col("p.terms").alias("term"), "doc_id", F.col("p.tfs").cast("long").alias("tf"), "doc_length")
-    own = docs.select("doc_id", F.col("length").alias("doc_length"))
-    stats = own.agg(F.count("*").alias("num_docs"), F.coalesce(F.avg("doc_length"), F.lit(0.0)).alias("avg_doc_length"))
-    terms = weighted_terms(postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")), stats)
-    return Index(postings, own, norms(postings, terms), terms, stats, parts, docs)
+class Counted(Index):
+    """The index of docs (blocks.counted, written) and their parts. Postings are the lists of docs, row by row; norms are made when they are asked for."""
+
+    def __init__(self, docs: DataFrame, parts: DataFrame):
+        pair = F.explode(F.arrays_zip("terms", "tfs")).alias("p")
+        self.docs, self.parts = docs, parts
+        self.postings = docs.select("doc_id", F.col("length").alias("doc_length"), pair).select(F.col("p.terms").alias("term"), "doc_id", F.col("p.tfs").cast("long").alias("tf"), "doc_length")
+        self.doc_stats = docs.select("doc_id", F.col("length").alias("doc_length"))
+        self.collection_stats = self.doc_stats.agg(F.count("*").alias("num_docs"), F.coalesce(F.avg("doc_length"), F.lit(0.0)).alias("avg_doc_length"))
+        self.term_stats = weighted_terms(self.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")), self.collection_stats)
+
+    @cached_property
+    def doc_norms(self) -> DataFrame:
+        return norms_by_frequency(self.postings, self.term_stats).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def weighted_terms(terms: DataFrame, stats: DataFrame) -> DataFrame:
@@ -149,6 +157,24 @@ def norms(postings: DataFrame, terms: DataFrame) -> DataFrame:
     return w.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
 
 
+#: Terms that norms_by_frequency() broadcasts.
+COMMON = 200_000
+
+
+def norms_by_frequency(postings: DataFrame, terms: DataFrame, common: int = COMMON) -> DataFrame:
+    """norms(): the `common` most frequent terms are broadcast, so that their postings stay where they are; those of the others, a few of all, are shuffled."""
+    least, n = 0, 0
+    for r in terms.groupBy("df").count().orderBy(F.desc("df")).collect():  # a row for each frequency that there is
+        n += r["count"]
+        if n > common:
+            least = r["df"]
+            break
+    known = postings.join(F.broadcast(terms.where(F.col("df") > least).select("term", "tidf")), "term", "left")
+    rest = known.where("tidf is null").select("term", "doc_id", "tf").join(terms.where((F.col("df") <= least) & (F.col("tidf") > 0)).select("term", "tidf"), "term")
+    w = known.where("tidf > 0").select("doc_id", "tf", "tidf").union(rest.select("doc_id", "tf", "tidf")).select("doc_id", tfidf_weight(F.col("tf"), F.col("tidf")).alias("w"))
+    return w.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+
+
 def postings_lists(postings: DataFrame, term_stats: DataFrame, block: int = BLOCK) -> DataFrame:
     """term, block, docs, tfs: parallel arrays by doc_id, in blocks of about `block` documents of a term, dealt by the hash of the id.
 

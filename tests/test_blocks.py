@@ -120,3 +120,24 @@ def test_packing_shuffles_nothing_and_counts_in_slices(spark, monkeypatch):
         words = ["run" if w == "runs" else w for w in r["tokens"]]
         assert got[r["doc_id"]] == (len(words), {w: words.count(w) for w in words})
     assert B.counted(rows.limit(0)).collect() == []
+
+
+def test_scores_are_made_where_documents_are(spark, monkeypatch, asked):
+    """TF-IDF and sparse runs of counted documents are those of the join of postings, in slices of any size; norms of rare terms come by a join."""
+    from rankloom.operators import scan
+
+    plain = spark.createDataFrame(corpus(800), "doc_id string, tokens array<string>").repartition(3).where(F.size("tokens") > 0).persist()
+    docs = B.counted(plain).persist()
+    kept, ix = I.Counted(docs, B.pack_counted(docs, 100).persist()), I.build(plain)
+    norms = lambda df: {r["doc_id"]: round(r["norm"], 9) for r in df.collect()}
+    want = norms(ix.doc_norms)
+    assert norms(I.norms_by_frequency(kept.postings, kept.term_stats, 50)) == norms(I.norms_by_frequency(kept.postings, kept.term_stats)) == want
+    for cells, pairs in ((1_000_000, 1_000_000), (40, 30)):
+        monkeypatch.setattr(scan, "CELLS", cells)
+        monkeypatch.setattr(scan, "PAIRS", pairs)
+        assert rows(R.tfidf(asked, kept, 10)) == rows(R.tfidf(asked, ix, 10)) != []
+        weigh = R.query_terms(asked).join(ix.term_stats, "term").select("query_id", "term", (F.log1p("qtf") * F.col("idf")).alias("weight"))
+        weights = ix.postings.select("term", "doc_id", F.log1p("tf").alias("weight"))
+        assert rows(R.top_k(scan.search(weigh, docs, 10, "log1p", scan=40), 10)) == rows(R.sparse(weigh, weights, 10))
+    hits = R.bm25_explain(asked, kept, R.bm25(asked, kept, 5))
+    assert hits.groupBy("query_id", "doc_id").count().count() == R.bm25(asked, ix, 5).count()
