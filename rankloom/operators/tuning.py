@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.operators import metrics
 from rankloom.operators.index import Index, numbered
-from rankloom.operators.ranking import check, scored, top_k
+from rankloom.operators.ranking import check, scored, small, top_k
 
 K1, B = (0.6, 0.9, 1.2, 1.5, 1.8), (0.2, 0.4, 0.6, 0.75, 0.9)
 
@@ -146,6 +147,10 @@ def training_triples(examples: DataFrame, texts: DataFrame) -> DataFrame:
     ids = F.transform(F.array_sort(F.map_entries("positives")), lambda x: x["key"])
     rows = examples.where(F.size("negatives") > 0).select("query_id", F.col("query").alias("anchor"), F.posexplode(ids).alias("i", "pos_id"), "negatives")
     rows = rows.withColumn("neg_id", F.element_at("negatives", F.col("i") % F.size("negatives") + 1))
+    # ids first: texts are looked up, and only those that are named
+    rows = rows.select("query_id", "anchor", "pos_id", "neg_id").persist(StorageLevel.MEMORY_AND_DISK)
+    ids = rows.select(F.col("pos_id").alias("doc_id")).union(rows.select(F.col("neg_id").alias("doc_id"))).distinct()
+    texts = texts.select("doc_id", "text").join(small(ids), "doc_id", "left_semi")
     a, b = texts.select(F.col("doc_id").alias("pos_id"), F.col("text").alias("positive")), texts.select(F.col("doc_id").alias("neg_id"), F.col("text").alias("negative"))
     return rows.join(a, "pos_id").join(b, "neg_id").select("query_id", "anchor", "positive", "negative")
 
