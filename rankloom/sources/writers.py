@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -72,8 +73,8 @@ def append_in_parts(rows: DataFrame, path: str, make, key: str = "doc_id", every
     """make(part) of all rows whose key is not in the table yet, in parts of about `every` rows; the number of rows appended. grown() reads it.
 
     Rows are dealt into parts by the hash of the key and written once, so that no part scans the others' rows. A part is written to a folder of its own and
-    then committed: what breaks off is not seen, and the next call does what is missing. The table's keys are read once a call; nothing
-    but the part itself is counted.
+    then committed, as many parts at a time as there are cores: what breaks off is not seen, and the next call does what is missing. The table's keys are read
+    once a call; nothing but the parts themselves is counted.
     """
     spark, log = rows.sparkSession, Log(rows.sparkSession, path)
     if log.live()[0]:
@@ -84,13 +85,32 @@ def append_in_parts(rows: DataFrame, path: str, make, key: str = "doc_id", every
     parts, done = -(-staged_rows.count() // every), 0  # by the footers
     if parts > 1:
         staged_rows.withColumn("__part", F.col("__part") % parts).repartition(parts, "__part").write.partitionBy("__part").parquet(f"{staged}-parts")
-    for k in range(parts):
-        part = staged_rows if parts == 1 else spark.read.schema(staged_rows.schema).parquet(f"{staged}-parts").where(F.col("__part") == k)
+    split = staged_rows if parts < 2 else spark.read.schema(staged_rows.schema).parquet(f"{staged}-parts")
+    made: list[DataFrame] = []
+    version = None
+
+    def commit() -> int:
+        """Writes and commits the parts that are made, in one job for all."""
+        nonlocal version
+        if not made:
+            return 0
         name = uuid.uuid4().hex
-        make(part.drop("__part")).write.parquet(f"{path}/parts/{name}")
-        n = spark.read.parquet(f"{path}/parts/{name}").count()
-        log.commit([Change("add", name, docs=n)])
-        done += n
+        together = reduce(DataFrame.unionByName, [m.withColumn("__at", F.lit(k)) for k, m in enumerate(made)])
+        made.clear()
+        together.write.partitionBy("__at").parquet(f"{path}/parts/{name}")
+        sizes = {r["__at"]: r["count"] for r in spark.read.parquet(f"{path}/parts/{name}").groupBy("__at").count().collect()}
+        if sizes:
+            version = log.commit([Change("add", f"{name}/__at={k}", docs=n) for k, n in sorted(sizes.items())], version) + 1
+        return sum(sizes.values())
+
+    try:
+        for k in range(parts):
+            part = split if parts == 1 else split.where(F.col("__part") == k)
+            made.append(make(part.drop("__part")))
+            if len(made) == spark.sparkContext.defaultParallelism:
+                done += commit()
+    finally:
+        done += commit()  # what was made before a later part broke off, too
     return done
 
 

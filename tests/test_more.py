@@ -101,3 +101,26 @@ def test_parts_are_made_once_and_a_broken_build_goes_on(spark, tmp_path):
     assert kept == sum(made[:3]) < 50
     assert W.append_in_parts(rows, path, make, every=5) == 50 - kept and W.append_in_parts(rows, path, make, every=5) == 0
     assert sorted(map(tuple, W.grown(spark, path).collect())) == sorted((f"{i}", 2.0 * i) for i in range(50)) and sum(made) == 50 + made[3]
+
+
+def test_each_text_with_a_word_has_a_vector_of_length_one():
+    """Also if its words cancel out."""
+    one = lambda text: encoders.HashEncoder().encode([text])[0]
+    seen = {}
+    for i in range(1000):
+        v = tuple(one(f"w{i}"))
+        if tuple(-x for x in v) in seen:
+            pair = f"w{i} {seen[tuple(-x for x in v)]}"
+            break
+        seen[v] = f"w{i}"
+    assert sum(x * x for x in one(pair)) == 1.0 and one(pair) == one(f"w{i}") and not any(one(" \x1f"))
+
+
+def test_parts_are_committed_together_and_the_log_is_read_once(spark, tmp_path, monkeypatch):
+    from rankloom.sources.commits import Log
+
+    reads, live = [], Log.live
+    monkeypatch.setattr(Log, "live", lambda self: reads.append(1) or live(self))
+    rows = spark.createDataFrame([(f"{i}", float(i)) for i in range(100)], "doc_id string, x double")
+    assert W.append_in_parts(rows, str(tmp_path / "t"), lambda p: p, every=5) == 100
+    assert len(reads) == 2 and len(list((tmp_path / "t" / "log").iterdir())) == 5 and W.grown(spark, str(tmp_path / "t")).count() == 100
