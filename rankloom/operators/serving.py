@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions import text as T
 from rankloom.functions.stem import stem_arrays
-from rankloom.operators.ranking import page
+from rankloom.operators.ranking import page, small
 
 
 def excerpt(rows: DataFrame, cfg: T.Tokenizing = T.Tokenizing(), length: int = 300) -> DataFrame:
@@ -22,7 +23,7 @@ def results_page(run: DataFrame, metadata: DataFrame, queries: DataFrame, number
     """A page of the first `depth` hits with total, metadata and excerpt; hits without metadata drop out. metadata(doc_id, title, text)."""
     top = run.where(F.col("rank") <= depth)
     total = top.groupBy("query_id").agg(F.count("*").alias("total"))
-    rows = page(top, number, size).join(total, "query_id").join(metadata, "doc_id").join(queries.select("query_id", "query"), "query_id")
+    rows = small(page(top, number, size).join(total, "query_id").join(queries.select("query_id", "query"), "query_id")).join(metadata, "doc_id")
     return excerpt(rows).select("query_id", "rank", "doc_id", "score", "total", "title", "excerpt")
 
 
@@ -148,15 +149,16 @@ def search(ranked: DataFrame, metadata: DataFrame, parts: DataFrame | None, quer
     if types or since is not None:
         heads = metadata.select("doc_id", "year")
         if collection != "paper":
-            heads = parts.select("doc_id", "paper_id").join(heads.withColumnRenamed("doc_id", "paper_id"), "paper_id").select("doc_id", "year")
+            heads = parts.select("doc_id", "paper_id").join(small(top.select("doc_id").distinct()), "doc_id", "left_semi").join(heads.withColumnRenamed("doc_id", "paper_id"), "paper_id").select("doc_id", "year")
         top = facet_filter(top.join(heads, "doc_id").withColumn("type", F.lit(kind)), types, since).drop("type", "year")
         top = top.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
     total = top.groupBy("query_id").agg(F.count("*").alias("total"))
     rows = page(top, number, size).join(total, "query_id").join(queries.select("query_id", "query"), "query_id")
+    rows = small(rows)  # a page of hits goes to the texts, not the texts to it
     if collection == "paper":
         rows = rows.join(metadata.withColumnRenamed("abstract", "text"), "doc_id")
     else:
-        rows = rows.join(parts.select("doc_id", "paper_id", "text"), "doc_id").join(metadata.select(F.col("doc_id").alias("paper_id"), "title", "year"), "paper_id")
+        rows = small(rows.join(parts.select("doc_id", "paper_id", "text"), "doc_id").persist(StorageLevel.MEMORY_AND_DISK)).join(metadata.select(F.col("doc_id").alias("paper_id"), "title", "year"), "paper_id")
     return excerpt(rows).select("query_id", "rank", "doc_id", F.lit(kind).alias("type"), "year", "title", "excerpt", "total")
 
 
