@@ -36,8 +36,8 @@ def pack(rows: DataFrame, tile: int = TILE) -> DataFrame:
     return pack_counted(counted(rows), tile)
 
 
-#: Tokens that a task counts together.
-COUNTED = 500_000
+#: Tokens that a task counts together; words whose stems it remembers.
+COUNTED, STEMS = 500_000, 100_000
 
 
 def counted(rows: DataFrame, stemming: str = "none") -> DataFrame:
@@ -46,6 +46,15 @@ def counted(rows: DataFrame, stemming: str = "none") -> DataFrame:
     def each(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        known: dict[str, str] = {}
+
+        def stem(word: str) -> str:
+            if (found := known.get(word)) is None:
+                if len(known) == STEMS:
+                    known.clear()
+                found = known[word] = STEMMERS[stemming](word)
+            return found
+
         for b in batches:
             for some in _slices(b, 1, COUNTED):
                 lists = some.column(1)
@@ -53,7 +62,7 @@ def counted(rows: DataFrame, stemming: str = "none") -> DataFrame:
                 words = lists.flatten().dictionary_encode()
                 code, names = words.indices.to_numpy(), words.dictionary
                 if stemming != "none":
-                    stems = pa.array([STEMMERS[stemming](w) for w in names.to_pylist()], pa.string()).dictionary_encode()
+                    stems = pa.array([stem(w) for w in names.to_pylist()], pa.string()).dictionary_encode()
                     code, names = stems.indices.to_numpy()[code], stems.dictionary
                 key, tfs = np.unique(np.repeat(np.arange(len(sizes)), sizes) * max(len(names), 1) + code, return_counts=True)
                 ends = np.append(0, np.cumsum(np.bincount(key // max(len(names), 1), minlength=len(sizes)))).astype(np.int32)

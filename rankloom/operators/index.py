@@ -7,12 +7,11 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankloom.operators import blocks
-from rankloom.sources.folders import work_folder
+from rankloom.sources.folders import stored, work_folder
 
 TABLES = ("postings", "doc_stats", "doc_norms", "term_stats", "collection_stats", "parts")
 #: Documents in a block of a packed posting list, about.
@@ -138,7 +137,7 @@ class Counted(Index):
 
     @cached_property
     def doc_norms(self) -> DataFrame:
-        return norms_by_frequency(self.postings, self.term_stats).persist(StorageLevel.MEMORY_AND_DISK)
+        return stored(norms_by_frequency(self.postings, self.term_stats))
 
 
 def weighted_terms(terms: DataFrame, stats: DataFrame) -> DataFrame:

@@ -626,7 +626,7 @@ def _tuning_split(spark, d):
 def _grid(spark, d):
     """Of the tuning queries alone."""
     queries = X.queries(spark, d).join(_tuning_split(spark, d).where("not held_out"), "query_id", "left_semi")
-    return U.grid_means(U.bm25_grid(queries, X.paper_index(spark, d), X.qrels(spark, d))).persist()
+    return X.stored(U.grid_means(U.bm25_grid(queries, X.paper_index(spark, d), X.qrels(spark, d))))
 
 
 @query("SELECT query_id, held_out FROM ho", _GRID)
