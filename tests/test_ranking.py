@@ -191,3 +191,18 @@ def test_numbers_come_from_ranges_that_are_drawn_once(spark):
     for got, by, size in ((numbered(ids, "doc_id"), "number", 1), (batches(ids), "batch", 256)):
         assert "SPARK_PARTITION_ID" not in got._jdf.queryExecution().optimizedPlan().toString()
         assert all(r[by] == place[r["doc_id"]] // size for r in got.collect())
+
+
+def test_metrics_of_models_bring_together_only_judgements_of_their_rows(spark):
+    qrels = spark.createDataFrame([(q, f"d{i}", 1 + i % 2) for q in "xy" for i in range(300)] + [("z", "d0", 0)], "query_id string, doc_id string, grade int")
+    run = spark.createDataFrame([(m, q, f"d{i}", i + 1) for m, q in (("a", "x"), ("a", "w"), ("b", "y")) for i in range(3)], "model string, query_id string, doc_id string, rank int")
+    together = M.by_model(run, qrels, ["a", "b"])
+    got = {(r["model"], r["query_id"]): r.asDict() for r in together.collect()}
+    assert set(got) == {(m, q) for m in "ab" for q in "xyz"}
+    for m in "ab":
+        for r in M.per_query(run.where(f"model = '{m}'").drop("model"), qrels).collect():
+            assert got[m, r["query_id"]] == {"model": m} | r.asDict()
+    assert got["a", "x"]["recall_at_100"] == 0.01 and got["b", "x"]["ndcg"] == 0 == got["a", "z"]["ndcg"]
+    # judgements are not multiplied by the models: only the few rows of queries are
+    plan = together._jdf.queryExecution().optimizedPlan().toString()
+    assert "to_json" not in plan and plan.count("WindowGroupLimit") == 1
