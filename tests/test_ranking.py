@@ -206,3 +206,11 @@ def test_metrics_of_models_bring_together_only_judgements_of_their_rows(spark):
     # judgements are not multiplied by the models: only the few rows of queries are
     plan = together._jdf.queryExecution().optimizedPlan().toString()
     assert "to_json" not in plan and plan.count("WindowGroupLimit") == 1
+
+
+def test_maxp_brings_together_only_paragraphs_of_the_run(spark):
+    run = spark.createDataFrame([("q", "a_1", 0.9, 1), ("q", "b_1", 0.8, 2)], "query_id string, doc_id string, score double, rank int")
+    table = spark.createDataFrame([(f"{p}_{i}", p) for p in "abc" for i in range(50)], "doc_id string, paper_id string")
+    got = R.maxp(run, table, k=2)
+    assert scores(got) == {"a": 0.9, "b": 0.8}
+    assert "LeftSemi" in got._jdf.queryExecution().optimizedPlan().toString()
