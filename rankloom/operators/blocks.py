@@ -246,10 +246,10 @@ class Wave:
 
 
 class Best:
-    """The k best rows of one query in a task, ties by id; with `ties`, also all rows that equal the last one."""
+    """The k best rows of one query in a task, ties by id; with `ties`, also all rows that equal the last one. Rows below `least` are none of them."""
 
-    def __init__(self, k: int, ties: bool):
-        self.k, self.ties, self.score, self.ids, self.least = k, ties, np.empty(0), None, -np.inf
+    def __init__(self, k: int, ties: bool, least: float = -np.inf):
+        self.k, self.ties, self.score, self.ids, self.least = k, ties, np.empty(0), None, least
 
     def add(self, score: np.ndarray, names) -> None:
         """names(places) gives the ids of rows of score."""

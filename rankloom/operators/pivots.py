@@ -11,13 +11,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.operators.blocks import Best
+from rankloom.sources.folders import stored
 
 #: Vectors that are drawn as pivots; vectors of a chunk; chunks that a task looks at together; queries x k that one scan takes along.
 PIVOTS, CHUNK, WAVE, CELLS = 256, 256, 64, 1_000_000
+#: k from which each query's floor is found first: k rows of each query and task would be many times the result.
+FLOORS = 500
 
 
 def _matrix(column, size: int | None = None) -> np.ndarray:
@@ -97,12 +100,20 @@ def search(queries: DataFrame, chunks: DataFrame, k: int = 100, counts: bool = F
     """query_id, doc_id, score: a superset of the k best of each query(query_id, vector), by inner product rounded to 6 places, k of each task at most.
 
     A scan of the chunks serves cells / k queries, so that what a task keeps does not grow with queries or k. counts: vectors, multiplied instead, by
-    task: how many products of a query and a vector there are, and how many were made.
+    task: how many products of a query and a vector there are, and how many were made. From k = FLOORS on, a first pass finds a score that k rows of each
+    query reach, of all tasks together, and tasks give the rows alone that reach it.
     """
-    spark = queries.sparkSession
     kind, own = chunks.schema["ids"].dataType.elementType.simpleString(), queries.schema["query_id"].dataType.simpleString()
     schema = "vectors long, multiplied long" if counts else f"query_id {own}, doc_id {kind}, score double"
-    known, scan = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")), max(1, cells // k)
+    known = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"), F.lit(None).cast("double").alias("floor"))
+    if k >= FLOORS and not counts:
+        known = known.drop("floor").join(floors(known, chunks, k, cells), "query_id", "left")
+    return _scans(known, chunks.select("low", "high", "norm", "center", "ids", "vectors"), max(1, cells // k), schema, lambda b, sent: _searched(b, *sent, k, counts))
+
+
+def _scans(known: DataFrame, chunks: DataFrame, scan: int, schema: str, each) -> DataFrame:
+    """each(batches, (ids, vectors and floors of some `scan` queries)) of the chunks, for all of known(query_id, vector, floor)."""
+    spark = known.sparkSession
     few = known.limit(scan + 1).toArrow()
     turns = 1 if few.num_rows <= scan else -(-known.count() // scan)
     out = spark.createDataFrame([], schema)
@@ -110,15 +121,49 @@ def search(queries: DataFrame, chunks: DataFrame, k: int = 100, counts: bool = F
         rows = few if turns == 1 else known.where(F.pmod(F.xxhash64("query_id"), F.lit(turns)) == turn).toArrow()
         if rows.num_rows:
             rows = rows.combine_chunks()
-            sent = spark.sparkContext.broadcast((rows.column(0).combine_chunks(), _matrix(rows.column(1).combine_chunks())))
-            out = out.union(chunks.select("low", "high", "norm", "center", "ids", "vectors").mapInArrow(lambda b, s=sent: _searched(b, *s.value, k, counts), schema))
+            floor = rows.column(2).combine_chunks().fill_null(-np.inf).to_numpy()
+            sent = spark.sparkContext.broadcast((rows.column(0).combine_chunks(), _matrix(rows.column(1).combine_chunks()), floor))
+            out = out.union(chunks.mapInArrow(lambda b, s=sent: each(b, s.value), schema))
     return out
 
 
-def _searched(batches: Iterator, names, q: np.ndarray, k: int, counts: bool) -> Iterator:
+def floors(known: DataFrame, chunks: DataFrame, k: int, cells: int = CELLS) -> DataFrame:
+    """query_id, floor: a score that k rows of the query or more reach; queries with fewer rows have none. Written, as each scan of a search reads it.
+
+    A task tells a query's scores at some of its ranks, and how many rows have it or more that the score told before does not stand for. The rows that reach the
+    floor are k and at most some half more.
+    """
+    own = known.schema["query_id"].dataType.simpleString()
+    told = _scans(known, chunks.select("vectors"), max(1, cells // k), f"query_id {own}, score double, n long", lambda b, sent: _told(b, sent[0], sent[1], k))
+    reached = told.withColumn("reached", F.sum("n").over(Window.partitionBy("query_id").orderBy(F.desc("score"))))
+    # a little less for rounding, and for products that are made in another order
+    return stored(reached.where(F.col("reached") >= k).groupBy("query_id").agg((F.max("score") - 2e-6).alias("floor")))
+
+
+def _told(batches: Iterator, names, q: np.ndarray, k: int) -> Iterator:
+    import pyarrow as pa
+
+    best = np.full((len(q), k), -np.inf)
+    for b in batches:
+        vectors = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, q.shape[1])
+        for at in range(0, len(vectors), WAVE * CHUNK):
+            some = vectors[at : at + WAVE * CHUNK]
+            step = max(1, CELLS // (len(some) + k))
+            for i in range(0, len(q), step):
+                every = np.concatenate([best[i : i + step], q[i : i + step] @ some.T], axis=1)
+                best[i : i + step] = np.partition(every, -k, axis=1)[:, -k:]
+    best = -np.sort(-best, axis=1)
+    ranks = np.unique(np.append(np.minimum((1.5 ** np.arange(64)).astype(np.int64), k), k))
+    scores, n = best[:, ranks - 1], np.diff(ranks, prepend=0)
+    query, place = np.nonzero(scores > -np.inf)
+    if len(query):
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(query)), pa.array(scores[query, place]), pa.array(n[place])], ["query_id", "score", "n"])
+
+
+def _searched(batches: Iterator, names, q: np.ndarray, floor: np.ndarray, k: int, counts: bool) -> Iterator:
     import pyarrow as pa
 
-    best = [Best(k, False) for _ in range(len(q))]
+    best = [Best(k, False, x) for x in floor.tolist()]
     norms, told = np.sqrt((q * q).sum(axis=1)), [0, 0]
     for b in batches:
         for at in range(0, b.num_rows, WAVE):

@@ -409,7 +409,7 @@ def maxp(spark, d):
 def dense_maxp(spark, d):
     v = X.vectors(spark, d)
     group = v.select("doc_id", F.floor(F.col("doc_id").cast("long") / 10).cast("string").alias("paper_id"))
-    return longs(R.maxp(R.dense(X.vector_queries(spark, d), X.vector_chunks(spark, d), 2000), group))
+    return longs(R.maxp(X.stored(R.dense(X.vector_queries(spark, d), X.vector_chunks(spark, d), 2000)), group))
 
 
 @query(_RUN.format("rrfpap"))

@@ -59,6 +59,16 @@ def test_chunks_and_scans_change_nothing(table, queries):
     assert rows(R.dense(queries, P.pack(table), 7, cells=20)) == want
 
 
+@pytest.mark.parametrize("k", [500, 700])
+def test_many_rows_of_a_query_leave_tasks_once(table, queries, k):
+    """Tasks give what all of them together may need, not k rows each."""
+    chunks = P.pack(table, 60, 32).repartition(12).persist()
+    left = P.search(queries, chunks, k).groupBy("query_id").count().where("query_id <> 91").collect()  # whose scores are all 0
+    assert len(left) == 21 and all(k <= r["count"] < 2 * k for r in left)
+    got, want = rows(R.dense(queries, chunks, k, cells=3 * k)), by_hand(queries, k)
+    assert [x[:3] for x in got] == [x[:3] for x in want] and max(abs(a[3] - b[3]) for a, b in zip(got, want)) < 2e-6
+
+
 def test_few_vectors_are_multiplied(table, queries):
     near = queries.where("query_id < 90")
     told = P.search(near, P.pack(table, 60, 32).coalesce(1), 5, counts=True).agg(F.sum("vectors").alias("v"), F.sum("multiplied").alias("m")).first()
