@@ -112,6 +112,18 @@ def training_examples(queries: DataFrame, qrels: DataFrame, run: DataFrame, n: i
     return out.withColumn("negatives", F.coalesce("negatives", F.expr("cast(array() as array<string>)")))
 
 
+def manifest_of(queries: DataFrame, splits: DataFrame, qrels: DataFrame, run: DataFrame, n: int = 30, skip_top: int = 20, seed: int = 42, collection: DataFrame | None = None) -> DataFrame:
+    """manifest() of training_examples() of the same tables: rows are counted, and no query's documents become one row."""
+    if collection is not None:
+        there = collection.select("doc_id")
+        qrels, run = qrels.join(there, "doc_id", "left_semi"), run.join(there, "doc_id", "left_semi")
+    judged = qrels.groupBy("query_id").agg(F.count_if(F.col("grade") > 0).alias("positives"), F.count_if(F.col("grade") == 0).alias("zeros")).where("positives > 0")
+    hard = hard_negatives(run, qrels, n, skip_top, seed).groupBy("query_id").agg(F.count("*").alias("hard"))
+    rows = queries.select("query_id", "label").join(judged, "query_id").join(hard, "query_id", "left").join(splits.select("query_id", "split"), "query_id")
+    negatives = F.least(F.col("zeros") + F.coalesce("hard", F.lit(0)), F.lit(n))
+    return rows.groupBy("split", "label").agg(F.count("*").alias("queries"), F.sum("positives").cast("long").alias("positives"), F.sum(negatives).cast("long").alias("negatives"))
+
+
 def manifest(examples: DataFrame, splits: DataFrame) -> DataFrame:
     """split, label, queries, positives, negatives."""
     rows = examples.join(splits.select("query_id", "split"), "query_id")

@@ -717,7 +717,8 @@ def query_split(spark, d):
 
 @query("SELECT s.split, s.label, count(*) AS queries, CAST(sum(len(pos)) AS BIGINT) AS positives, CAST(sum(len(neg)) AS BIGINT) AS negatives FROM (" + _SPLIT + ") s JOIN ex USING (query_id) GROUP BY s.split, s.label", _HARD)
 def training_manifest(spark, d):
-    return U.manifest(_examples(spark, d), U.stratified_split(X.query_texts(spark, d).select("query_id", "label")))
+    queries = X.query_texts(spark, d)
+    return U.manifest_of(queries, U.stratified_split(queries.select("query_id", "label")), X.qrels(spark, d), X.bm25_run(spark, d), collection=X.paper_index(spark, d).doc_stats)
 
 
 @query(

@@ -214,3 +214,20 @@ def test_maxp_brings_together_only_paragraphs_of_the_run(spark):
     got = R.maxp(run, table, k=2)
     assert scores(got) == {"a": 0.9, "b": 0.8}
     assert "LeftSemi" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_manifest_counts_what_examples_list(spark):
+    """Counts come without a row that holds all documents of a query."""
+    from rankloom.operators import tuning as U
+
+    queries = spark.createDataFrame([(f"q{i}", f"text {i}", "Easy" if i % 2 else "Hard") for i in range(8)], "query_id string, query string, label string")
+    judged = [(f"q{q}", f"d{i}", i % 3) for q in range(6) for i in range(q * 9)] + [("q7", "d1", 0), ("other", "d1", 2)]
+    qrels = spark.createDataFrame(judged, "query_id string, doc_id string, grade int")
+    run = spark.createDataFrame([(f"q{q}", f"d{i * 2}", i + 1) for q in range(8) for i in range(60)], "query_id string, doc_id string, rank int")
+    there = spark.createDataFrame([(f"d{i}",) for i in range(110)], "doc_id string")
+    splits = U.stratified_split(queries.select("query_id", "label"), 0.3)
+    for n, collection in ((30, None), (5, there)):
+        want = U.manifest(U.training_examples(queries, qrels, run, n, collection=collection), splits)
+        got = U.manifest_of(queries, splits, qrels, run, n, collection=collection)
+        assert sorted(got.collect()) == sorted(want.collect()) and got.count()
+        assert "collect_list" not in got._jdf.queryExecution().toString()
