@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.functions.stem import STEMMERS
+from rankloom.functions.stem import PLAIN
 
 #: Documents of a tile and places of a block; postings at which a tile ends even if it has fewer documents.
 TILE, BLOCK, TILE_TOKENS = 4096, 64, 1_000_000
@@ -52,7 +52,7 @@ def counted(rows: DataFrame, stemming: str = "none") -> DataFrame:
             if (found := known.get(word)) is None:
                 if len(known) == STEMS:
                     known.clear()
-                found = known[word] = STEMMERS[stemming](word)
+                found = known[word] = PLAIN[stemming](word)
             return found
 
         for b in batches:
@@ -68,16 +68,21 @@ def counted(rows: DataFrame, stemming: str = "none") -> DataFrame:
                 ends = np.append(0, np.cumsum(np.bincount(key // max(len(names), 1), minlength=len(sizes)))).astype(np.int32)
                 terms = names.take(pa.array(key % max(len(names), 1)))
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sizes), pa.ListArray.from_arrays(pa.array(ends), terms), pa.ListArray.from_arrays(pa.array(ends), pa.array(tfs.astype(np.int32)))], ["doc_id", "length", "terms", "tfs"])
+        known.clear()
         _release()
 
     return rows.select("doc_id", "tokens").mapInArrow(each, "doc_id string, length long, terms array<string>, tfs array<int>")
 
 
 def _release() -> None:
-    """Gives back what Arrow has freed: workers are kept for later tasks."""
+    """Gives back what Arrow and Python have freed: workers are kept for later tasks."""
+    import ctypes
+
     import pyarrow as pa
 
     pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc keeps what arrays had, else
+        trim(0)
 
 
 def _slices(b, column: int, most: int) -> Iterator:
@@ -113,6 +118,7 @@ def pack_counted(rows: DataFrame, tile: int = TILE) -> DataFrame:
             held.append(b.slice(begin))
         if docs:
             yield _tile(number, held)
+        held.clear()
         _release()
 
     return dealt.mapInArrow(packed, SCHEMA)

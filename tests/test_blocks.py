@@ -141,3 +141,28 @@ def test_scores_are_made_where_documents_are(spark, monkeypatch, asked):
         assert rows(R.top_k(scan.search(weigh, docs, 10, "log1p", scan=40), 10)) == rows(R.sparse(weigh, weights, 10))
     hits = R.bm25_explain(asked, kept, R.bm25(asked, kept, 5))
     assert hits.groupBy("query_id", "doc_id").count().count() == R.bm25(asked, ix, 5).count()
+
+
+def test_workers_keep_few_stems(spark):
+    """A worker lives on after a task: what it keeps of a vocabulary is bounded."""
+    from rankloom.functions import stem
+
+    assert stem.porter2.cache_info().maxsize <= 20_000 and stem.porter.cache_info().maxsize <= 20_000
+    assert all(stem.PLAIN[kind](w) == one(w) for kind, one in stem.STEMMERS.items() for w in ("running", "generously", "skies", "flies", "it"))
+    rows = spark.createDataFrame([(str(i), ["runs", f"word{i}ing", "running"]) for i in range(50)], "doc_id string, tokens array<string>")
+
+    got = {r["doc_id"]: dict(zip(r["terms"], r["tfs"])) for r in B.counted(rows, "snowball").collect()}
+    assert len(got) == 50 and got["7"] == {"run": 2, stem.porter2("word7ing"): 1}
+
+
+def test_sparse_scan_has_one_worker_a_task(spark, ix, asked):
+    from rankloom.operators import scan
+
+    docs = B.counted(spark.createDataFrame(corpus(300), "doc_id string, tokens array<string>"))
+    weighted = R.query_terms(asked).select("query_id", "term", F.col("qtf").alias("weight"))
+    found = scan.search(weighted, docs, 5, "log1p")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 2  # counting, and the scan
+    flat = docs.select("doc_id", F.explode(F.arrays_zip("terms", "tfs")).alias("p")).select("doc_id", "p.terms", F.log1p("p.tfs").alias("w"))
+    want = flat.join(weighted, F.col("terms") == F.col("term")).groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("weight")).alias("score"))
+    assert rows(R.top_k(found, 5)) == rows(R.top_k(want, 5))
