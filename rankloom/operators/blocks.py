@@ -37,7 +37,7 @@ def pack(rows: DataFrame, tile: int = TILE) -> DataFrame:
 
 
 #: Tokens that a task counts together; words whose stems it remembers.
-COUNTED, STEMS = 500_000, 100_000
+COUNTED, STEMS = 200_000, 50_000
 
 
 def counted(rows: DataFrame, stemming: str = "none") -> DataFrame:
@@ -150,7 +150,7 @@ def _tile(number: int, batches: list):
     places, tfs = max(len(sizes) - 1, 1).bit_length(), max(int(tf.max(initial=1)), 1).bit_length()
     key = (rank[words.indices.to_numpy()] << places + tfs) | (np.repeat(np.arange(len(sizes)), sizes) << tfs) | tf
     key.sort()
-    code, place, tf = key >> places + tfs, (key >> tfs) & (1 << places) - 1, (key & (1 << tfs) - 1).astype(np.int32)
+    code, place, tf = (key >> places + tfs).astype(np.int32), ((key >> tfs) & (1 << places) - 1).astype(np.int32), (key & (1 << tfs) - 1).astype(np.int32)
     del words, key
     block = place // BLOCK
     new = np.append(True, (code[1:] != code[:-1]) | (block[1:] != block[:-1])) if len(code) else np.empty(0, bool)

@@ -4,9 +4,11 @@ BM25 ranks. Postings carry their document's length, so that scoring joins no tab
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -137,7 +139,7 @@ class Counted(Index):
 
     @cached_property
     def doc_norms(self) -> DataFrame:
-        return stored(norms_by_frequency(self.postings, self.term_stats))
+        return stored(norms_of_rows(self.docs, self.term_stats))
 
 
 def weighted_terms(terms: DataFrame, stats: DataFrame) -> DataFrame:
@@ -160,14 +162,50 @@ def norms(postings: DataFrame, terms: DataFrame) -> DataFrame:
 COMMON = 200_000
 
 
-def norms_by_frequency(postings: DataFrame, terms: DataFrame, common: int = COMMON) -> DataFrame:
-    """norms(): the `common` most frequent terms are broadcast, so that their postings stay where they are; those of the others, a few of all, are shuffled."""
-    least, n = 0, 0
+def _least(terms: DataFrame, common: int) -> int:
+    """A df that `common` terms at most are above."""
+    n = 0
     for r in terms.groupBy("df").count().orderBy(F.desc("df")).collect():  # a row for each frequency that there is
         n += r["count"]
         if n > common:
-            least = r["df"]
-            break
+            return r["df"]
+    return 0
+
+
+def norms_of_rows(docs: DataFrame, terms: DataFrame, common: int = COMMON) -> DataFrame:
+    """norms() of docs(doc_id, terms, tfs): the `common` most frequent terms are weighed where the documents are, without a row for each; the others are joined."""
+    least = _least(terms, common)
+    rows = terms.where(F.col("df") > least).select("term", "tidf").toArrow().combine_chunks()
+    sent = docs.sparkSession.sparkContext.broadcast(rows)
+
+    def weighed(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        known = pa.array([], pa.string()) if not sent.value.num_rows else sent.value.column(0).combine_chunks()
+        tidf = np.append(sent.value.column(1).to_numpy(), 0.0)
+        for b in batches:
+            for some in blocks._slices(b, 1, 500_000):
+                flat, tfs = some.column(1).flatten(), some.column(2).flatten()
+                code = pc.index_in(flat, known).fill_null(-1).to_numpy()  # -1: the 0 at the end
+                doc = np.repeat(np.arange(some.num_rows), some.column(1).value_lengths().to_numpy())
+                square = np.bincount(doc, ((1 + np.log10(tfs.to_numpy())) * tidf[code]) ** 2, some.num_rows)
+                rest = pa.array(code < 0)
+                ends = pa.array(np.append(0, np.cumsum(np.bincount(doc[code < 0], minlength=some.num_rows))).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, x.filter(rest)) for x in (flat, tfs)]
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(square), *lists], ["doc_id", "square", "terms", "tfs"])
+        blocks._release()
+
+    known = stored(docs.select("doc_id", "terms", "tfs").mapInArrow(weighed, "doc_id string, square double, terms array<string>, tfs array<int>"))
+    rest = known.select("doc_id", F.explode(F.arrays_zip("terms", "tfs")).alias("p")).select("doc_id", F.col("p.terms").alias("term"), F.col("p.tfs").alias("tf"))
+    w = rest.join(terms.where((F.col("df") <= least) & (F.col("tidf") > 0)).select("term", "tidf"), "term").select("doc_id", tfidf_weight(F.col("tf"), F.col("tidf")).alias("w"))
+    every = known.where("square > 0").select("doc_id", "square").union(w.select("doc_id", F.col("w") * F.col("w")))
+    return every.groupBy("doc_id").agg(F.sqrt(F.sum("square")).alias("norm"))
+
+
+def norms_by_frequency(postings: DataFrame, terms: DataFrame, common: int = COMMON) -> DataFrame:
+    """norms(): the `common` most frequent terms are broadcast, so that their postings stay where they are; those of the others, a few of all, are shuffled."""
+    least = _least(terms, common)
     known = postings.join(F.broadcast(terms.where(F.col("df") > least).select("term", "tidf")), "term", "left")
     rest = known.where("tidf is null").select("term", "doc_id", "tf").join(terms.where((F.col("df") <= least) & (F.col("tidf") > 0)).select("term", "tidf"), "term")
     w = known.where("tidf > 0").select("doc_id", "tf", "tidf").union(rest.select("doc_id", "tf", "tidf")).select("doc_id", tfidf_weight(F.col("tf"), F.col("tidf")).alias("w"))

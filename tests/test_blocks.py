@@ -166,3 +166,15 @@ def test_sparse_scan_has_one_worker_a_task(spark, ix, asked):
     flat = docs.select("doc_id", F.explode(F.arrays_zip("terms", "tfs")).alias("p")).select("doc_id", "p.terms", F.log1p("p.tfs").alias("w"))
     want = flat.join(weighted, F.col("terms") == F.col("term")).groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("weight")).alias("score"))
     assert rows(R.top_k(found, 5)) == rows(R.top_k(want, 5))
+
+
+@pytest.mark.parametrize("common", [0, 40, 100_000])
+def test_norms_where_documents_are(spark, common):
+    docs = B.counted(spark.createDataFrame([*corpus(300), ("bare", ["all"])], "doc_id string, tokens array<string>")).persist()
+    ix = I.Counted(docs, B.pack_counted(docs))
+    want = {r["doc_id"]: r["norm"] for r in I.norms(ix.postings, ix.term_stats).collect()}
+    known = I.norms_of_rows(docs, ix.term_stats, common)
+    got = {r["doc_id"]: r["norm"] for r in known.collect()}
+    assert got.keys() == want.keys() and len(got) > 250 and all(abs(got[i] - want[i]) < 1e-9 for i in got)
+    # of frequent terms no row is made
+    assert common < 100_000 or I.Counted(docs, ix.parts).doc_norms.count() == len(got)
