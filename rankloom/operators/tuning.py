@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.operators import metrics
-from rankloom.operators.index import Index, numbered
+from rankloom.operators.index import Index, numbered, numbered_within
 from rankloom.operators.ranking import check, scored, small, top_k
+from rankloom.sources.folders import stored
 
 K1, B = (0.6, 0.9, 1.2, 1.5, 1.8), (0.2, 0.4, 0.6, 0.75, 0.9)
 
@@ -88,35 +88,45 @@ def candidates(run: DataFrame, depth: int = 100) -> DataFrame:
 
 def hard_negatives(run: DataFrame, qrels: DataFrame, n: int = 30, skip_top: int = 20, seed: int = 42) -> DataFrame:
     """query_id, doc_id, pick: unjudged documents below the first skip_top ranks, n of each query in drawn order."""
-    left = run.where(F.col("rank") > skip_top).join(qrels, ["query_id", "doc_id"], "left_anti")
+    left, pair = run.where(F.col("rank") > skip_top), ["query_id", "doc_id"]
+    # the run is small beside the judgements: only those of its rows are brought together with it
+    left = left.join(qrels.select(*pair).join(small(left.select(*pair)), pair, "left_semi"), pair, "left_anti")
     w = Window.partitionBy("query_id").orderBy(draw(F.col("query_id"), F.col("doc_id"), seed=seed), "doc_id")
     return left.select("query_id", "doc_id", F.row_number().over(w).alias("pick")).where(F.col("pick") <= n)
 
 
+def _there(qrels: DataFrame, run: DataFrame, collection: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Both without documents that collection(doc_id) does not have."""
+    if collection is None:
+        return qrels, run
+    there = collection.select("doc_id")
+    return qrels.join(there, "doc_id", "left_semi"), run.join(there, "doc_id", "left_semi")
+
+
+def _negatives(qrels: DataFrame, run: DataFrame, n: int, skip_top: int, seed: int) -> DataFrame:
+    """query_id, doc_id, at: judged zeros first, then hard negatives, n of each query in all, numbered from 1."""
+    zero = qrels.where("grade = 0").select("query_id", "doc_id", F.lit(0).alias("kind"), F.lit(0).alias("pick"))
+    hard = hard_negatives(run, qrels, n, skip_top, seed).select("query_id", "doc_id", F.lit(1).alias("kind"), "pick")
+    w = Window.partitionBy("query_id").orderBy("kind", "pick", "doc_id")
+    return zero.union(hard).withColumn("at", F.row_number().over(w)).where(F.col("at") <= n)
+
+
 def training_examples(queries: DataFrame, qrels: DataFrame, run: DataFrame, n: int = 30, skip_top: int = 20, seed: int = 42, collection: DataFrame | None = None) -> DataFrame:
     """query_id, query, label, positives {doc: grade}, negatives [doc]: judged zeros first, then hard negatives, n in all.
 
     Queries without a positive drop out; those without negatives stay with an empty list. With `collection`(doc_id), documents that it does
     not have count for nothing.
     """
-    if collection is not None:
-        there = collection.select("doc_id")
-        qrels, run = qrels.join(there, "doc_id", "left_semi"), run.join(there, "doc_id", "left_semi")
+    qrels, run = _there(qrels, run, collection)
     positives = qrels.where("grade > 0").groupBy("query_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("doc_id", "grade")))).alias("positives"))
-    zero = qrels.where("grade = 0").select("query_id", "doc_id", F.lit(0).alias("kind"), F.lit(0).alias("pick"))
-    hard = hard_negatives(run, qrels, n, skip_top, seed).select("query_id", "doc_id", F.lit(1).alias("kind"), "pick")
-    w = Window.partitionBy("query_id").orderBy("kind", "pick", "doc_id")
-    chosen = zero.union(hard).withColumn("at", F.row_number().over(w)).where(F.col("at") <= n)
-    negatives = chosen.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "doc_id"))), lambda x: x["doc_id"]).alias("negatives"))
+    negatives = _negatives(qrels, run, n, skip_top, seed).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "doc_id"))), lambda x: x["doc_id"]).alias("negatives"))
     out = queries.select("query_id", "query", "label").join(positives, "query_id").join(negatives, "query_id", "left")
     return out.withColumn("negatives", F.coalesce("negatives", F.expr("cast(array() as array<string>)")))
 
 
 def manifest_of(queries: DataFrame, splits: DataFrame, qrels: DataFrame, run: DataFrame, n: int = 30, skip_top: int = 20, seed: int = 42, collection: DataFrame | None = None) -> DataFrame:
     """manifest() of training_examples() of the same tables: rows are counted, and no query's documents become one row."""
-    if collection is not None:
-        there = collection.select("doc_id")
-        qrels, run = qrels.join(there, "doc_id", "left_semi"), run.join(there, "doc_id", "left_semi")
+    qrels, run = _there(qrels, run, collection)
     judged = qrels.groupBy("query_id").agg(F.count_if(F.col("grade") > 0).alias("positives"), F.count_if(F.col("grade") == 0).alias("zeros")).where("positives > 0")
     hard = hard_negatives(run, qrels, n, skip_top, seed).groupBy("query_id").agg(F.count("*").alias("hard"))
     rows = queries.select("query_id", "label").join(judged, "query_id").join(hard, "query_id", "left").join(splits.select("query_id", "split"), "query_id")
@@ -154,17 +164,38 @@ def at_least(examples: DataFrame, grade: int = 1) -> DataFrame:
     return examples.withColumn("positives", kept).where(F.size("positives") > 0)
 
 
+def with_texts(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """rows(pos_id, neg_id, ...) with positive and negative, texts(doc_id, text) in place of the ids.
+
+    Texts are shuffled once for each document, never once for each row: the negatives are few, and are sent to where the positives are. Beyond what is
+    broadcast they are shuffled as well.
+    """
+    rows, texts = stored(rows), texts.select("doc_id", "text")
+    ids = [rows.select(F.col(c).alias("doc_id")).distinct() for c in ("pos_id", "neg_id")]
+    sent = [small(x) for x in ids]
+    positive = texts if sent[0] is ids[0] else texts.join(sent[0], "doc_id", "left_semi")
+    negative = stored(texts.join(sent[1], "doc_id", "left_semi"))
+    named = rows.join(positive.select(F.col("doc_id").alias("pos_id"), F.col("text").alias("positive")), "pos_id")
+    return named.join(small(negative.select(F.col("doc_id").alias("neg_id"), F.col("text").alias("negative"))), "neg_id").drop("pos_id", "neg_id")
+
+
 def training_triples(examples: DataFrame, texts: DataFrame) -> DataFrame:
     """query_id, anchor, positive, negative: the i-th positive with the i-th negative, from the first again at the end. texts(doc_id, text)."""
     ids = F.transform(F.array_sort(F.map_entries("positives")), lambda x: x["key"])
     rows = examples.where(F.size("negatives") > 0).select("query_id", F.col("query").alias("anchor"), F.posexplode(ids).alias("i", "pos_id"), "negatives")
-    rows = rows.withColumn("neg_id", F.element_at("negatives", F.col("i") % F.size("negatives") + 1))
-    # ids first: texts are looked up, and only those that are named
-    rows = rows.select("query_id", "anchor", "pos_id", "neg_id").persist(StorageLevel.MEMORY_AND_DISK)
-    ids = rows.select(F.col("pos_id").alias("doc_id")).union(rows.select(F.col("neg_id").alias("doc_id"))).distinct()
-    texts = texts.select("doc_id", "text").join(small(ids), "doc_id", "left_semi")
-    a, b = texts.select(F.col("doc_id").alias("pos_id"), F.col("text").alias("positive")), texts.select(F.col("doc_id").alias("neg_id"), F.col("text").alias("negative"))
-    return rows.join(a, "pos_id").join(b, "neg_id").select("query_id", "anchor", "positive", "negative")
+    rows = rows.select("query_id", "anchor", "pos_id", F.element_at("negatives", F.col("i") % F.size("negatives") + 1).alias("neg_id"))
+    return with_texts(rows, texts).select("query_id", "anchor", "positive", "negative")
+
+
+def triples_of(queries: DataFrame, qrels: DataFrame, run: DataFrame, texts: DataFrame, n: int = 30, skip_top: int = 20, seed: int = 42, collection: DataFrame | None = None) -> DataFrame:
+    """training_triples() of training_examples() of the same tables: positives are numbered as rows, and no query's documents become one row."""
+    qrels, run = _there(qrels, run, collection)
+    chosen = stored(_negatives(qrels, run, n, skip_top, seed).select("query_id", F.col("at").alias("__at"), F.col("doc_id").alias("neg_id")))
+    asked = chosen.groupBy("query_id").agg(F.max("__at").alias("__n")).join(queries.select("query_id").distinct(), "query_id", "left_semi")
+    placed = numbered_within(qrels.where("grade > 0").select("query_id", F.col("doc_id").alias("pos_id")).join(small(asked.select("query_id")), "query_id", "left_semi"), "query_id", "pos_id")
+    rows = placed.join(small(asked), "query_id").select("query_id", "pos_id", (F.col("number") % F.col("__n") + 1).cast("int").alias("__at"))
+    named = with_texts(rows.join(small(chosen), ["query_id", "__at"]).select("query_id", "pos_id", "neg_id"), texts)
+    return named.join(small(queries.select("query_id", F.col("query").alias("anchor"))), "query_id").select("query_id", "anchor", "positive", "negative")
 
 
 def training_pairs(queries: DataFrame, qrels: DataFrame, texts: DataFrame) -> DataFrame:

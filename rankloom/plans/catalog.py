@@ -693,7 +693,7 @@ def training_examples(spark, d):
 
 @query("SELECT query_id, query AS anchor, p.text AS positive, n.text AS negative FROM (SELECT query_id, query, pos[i] AS pos_id, neg[(i - 1) % len(neg) + 1] AS neg_id FROM (SELECT *, unnest(range(1, len(pos) + 1)) AS i FROM ex WHERE len(neg) > 0)) JOIN papers p ON p.doc_id = pos_id JOIN papers n ON n.doc_id = neg_id", _HARD)
 def training_triples(spark, d):
-    return U.training_triples(_examples(spark, d), X.papers(spark, d))
+    return U.triples_of(X.query_texts(spark, d), X.qrels(spark, d), X.bm25_run(spark, d), X.papers(spark, d), collection=X.paper_index(spark, d).doc_stats)
 
 
 @query("SELECT j.query_id, j.doc_id, q.query, p.text FROM qrels j JOIN q USING (query_id) JOIN papers p ON p.doc_id = j.doc_id WHERE grade > 0")

@@ -231,3 +231,46 @@ def test_manifest_counts_what_examples_list(spark):
         got = U.manifest_of(queries, splits, qrels, run, n, collection=collection)
         assert sorted(got.collect()) == sorted(want.collect()) and got.count()
         assert "collect_list" not in got._jdf.queryExecution().toString()
+
+
+def test_triples_of_rows_are_triples_of_examples_and_shuffle_no_text_per_row(spark):
+    """A positive's text is shuffled once for its document, whatever the number of queries; the negatives are sent."""
+    from rankloom.operators import tuning as U
+
+    queries = spark.createDataFrame([(f"q{i}", f"text {i}", "Easy") for i in range(9)], "query_id string, query string, label string")
+    judged = [(f"q{q}", f"d{i}", i % 3) for q in range(7) for i in range(q * 9)] + [("q7", "d1", 0), ("q8", "d1", 1), ("other", "d1", 2)]
+    qrels = spark.createDataFrame(judged, "query_id string, doc_id string, grade int")
+    run = spark.createDataFrame([(f"q{q}", f"d{i * 2}", i + 1) for q in range(8) for i in range(60)], "query_id string, doc_id string, rank int")
+    there = spark.createDataFrame([(f"d{i}",) for i in range(110)], "doc_id string")
+    texts = spark.createDataFrame([(f"d{i}", f"body {i}") for i in range(130)], "doc_id string, text string")
+    for n, collection in ((30, None), (5, there)):
+        # by hand, from the lists of the examples
+        want = []
+        for r in U.training_examples(queries, qrels, run, n, collection=collection).collect():
+            neg, body = r["negatives"], lambda d: "body " + d[1:]
+            want += [(r["query_id"], r["query"], body(d), body(neg[i % len(neg)])) for i, d in enumerate(sorted(r["positives"])) if neg]
+        got = U.triples_of(queries, qrels, run, texts, n, collection=collection)
+        assert sorted(map(tuple, got.collect())) == sorted(want) and want
+    examples = U.training_examples(queries, qrels, run)
+    assert sorted(map(tuple, U.training_triples(examples, texts).collect())) == sorted(map(tuple, U.triples_of(queries, qrels, run, texts).collect()))
+    # even where no table is broadcast by its size, no exchange takes rows that have a positive's text already
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for got in (U.triples_of(queries, qrels, run, texts), U.training_triples(examples, texts)):
+            plan = got._jdf.queryExecution().sparkPlan()
+            joins = [line for line in plan.toString().splitlines() if "Join" in line]
+            above = [line for line in joins if "neg_id" in line]
+            assert len(above) == 1 and "BroadcastHashJoin" in above[0]
+            assert "collect_list" not in plan.toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_places_inside_groups(spark):
+    from rankloom.operators.index import numbered_within
+
+    rows = spark.createDataFrame([(g, f"{i:04d}", "x") for g, n in (("a", 3_000), ("b", 1), ("c", 500)) for i in range(n)], "g string, doc_id string, text string").repartition(5)
+    got = numbered_within(rows, "g", "doc_id")
+    assert got.columns == ["g", "doc_id", "text", "number"] and got.count() == 3_501
+    assert all(r["number"] == int(r["doc_id"]) for r in got.collect())
